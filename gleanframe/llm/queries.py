@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_dup, token_files
+from . import decontaminate, language, mixing, near_dup, token_files
 from .common import table
 
 
+#: Token shares of the mixture.
+MIX = {"good": 0.86, "poor": 0.08, "toxic": 0.06}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, domain from the judgements of quality and toxicity."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good").alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), domain_labels(table(spark, sf_dir, "labels")), MIX)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
