@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, matroska, mixing, near_dup, pii, token_files, toxicity, wordpiece
+from . import decontaminate, language, matroska, mixing, near_dup, pii, secrets, token_files, toxicity, wordpiece
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner, its documents of one language are a repository."""
+    return secrets.secrets(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
