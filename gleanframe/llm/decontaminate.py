@@ -13,7 +13,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_or_not
 
 #: Places that a mask looks at; each lies within SPAN tokens.
 MASKS = ((0, 1, 2, 5, 6, 7), (0, 1, 2, 3, 4, 6), (0, 3, 4, 5, 6, 7))
@@ -85,3 +85,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     out = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("leaked_id")) & (F.col("text_hash") == F.col("leaked_text")), "left")
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("overlap_tokens", F.lit(0).cast("long")).alias("overlap_tokens"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs in which no test text is found."""
+    found = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked_id"), F.col("text_hash").alias("_leaked_text")).distinct(), "leaked")
+    same = docs["doc_id"].eqNullSafe(F.col("_leaked_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_leaked_text"))
+    return docs.join(small_or_not(found), same, "left_anti")

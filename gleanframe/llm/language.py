@@ -121,8 +121,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     return Filters(sorted(best), {k: np.array(sorted(v), np.int64) for k, v in best.items()})
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs with lang_pred and score. Null texts and texts without a letter are `und` with score 0, as are all if no
+def predict(docs: DataFrame, filters: Filters, keep_text: bool = False) -> DataFrame:
+    """docs, without text unless asked for, with lang_pred and score. Null texts and texts without a letter are `und` with score 0, as are all if no
     language was learned; of equal scores the first language by name decides."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -138,10 +138,17 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                 columns = [part.column(i) for i, name in enumerate(part.schema.names) if name != "__text"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best].tolist(), pa.string()), pa.array(top)], names=[*(n for n in part.schema.names if n != "__text"), "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", lang_pred string, score double"
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    kept = [f for f in docs.schema if keep_text or f.name != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the training fold of docs, predicted for every row of it."""
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), fit(docs))
+
+
+def recognised(docs: DataFrame, least: float = 0.1) -> DataFrame:
+    """The rows of docs whose language is one of those learned from it, by at least this part of their n-grams."""
+    found = predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), fit(docs), keep_text=True)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})

@@ -27,7 +27,7 @@ SKETCH = 96
 #: expected with a standard deviation of 3.9; 0.6 lies five deviations below.
 SHARED = 0.6
 #: Rounds in which lists choose a leader, before what is left is compared pair by pair.
-LEADERS = 2
+LEADERS = 3
 
 
 def _lists(of: list[np.ndarray]) -> pa.ListArray:
@@ -100,29 +100,51 @@ class _Verifier:
         return pairs.join(x, "a").join(y, "b")
 
 
-def _candidates(listed: DataFrame, labels: DataFrame | None, leaders: bool, threshold: float) -> DataFrame:
-    """(a, b), a < b: members of a list in different components; with leaders, each with its list's leader only."""
-    if labels is None:
-        listed = listed.withColumn("component", F.col("node"))
-    else:
-        listed = listed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = listed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-        listed = listed.join(split, "value")
-    if leaders:
-        # the member with the most widely shared sketch stands in the middle of its group
-        ranked = listed
-        if labels is not None:  # a new leader: not of the component that the most central one is in
-            first = listed.groupBy("value").agg(F.max(F.struct("central", "node", "component")).alias("first")).select("value", F.col("first.component").alias("done"))
-            ranked = listed.join(first, "value").where("component <> done")
-        others = ranked.groupBy("value").agg(F.max(F.struct("central", "node", "n", "component")).alias("lead")).select("value", "lead.*").drop("central").toDF("value", "node_2", "n_2", "component_2")
-    else:
-        others = listed.select("value", F.col("node").alias("node_2"), F.col("n").alias("n_2"), F.col("component").alias("component_2"))
-    met = listed.join(others, "value").where(F.col("component") != F.col("component_2")).where(_similar(F.col("n"), F.col("n_2"), threshold))
-    if not leaders:
-        met = met.where("node < node_2")
+def _split(lists: DataFrame) -> DataFrame:
+    """Of lists (value, node, component, ...) the rows of those that still hold two components."""
+    split = lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
+    return lists.join(split, "value")
+
+
+def _labelled(listed: DataFrame, labels: DataFrame) -> DataFrame:
+    return listed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _with_leaders(lists: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """(a, b), a < b: each member of a list with the list's leader, if they lie in different components.
+
+    The first leader is the member with the most widely shared sketch, which stands in the middle of its group; later
+    ones are drawn by a hash, so that a node meets another leader in each of its lists.
+    """
+    rank = F.struct("central", "node", "n", "component") if turn == 0 else F.struct(F.xxhash64("value", "node", F.lit(turn)).alias("draw"), "node", "n", "component")
+    leaders = lists.groupBy("value").agg(F.max(rank).alias("lead")).select("value", F.col("lead.node").alias("node_2"), F.col("lead.n").alias("n_2"), F.col("lead.component").alias("component_2"))
+    met = lists.join(leaders, "value").where(F.col("component") != F.col("component_2")).where(_similar(F.col("n"), F.col("n_2"), threshold))
     return met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
 
 
+def _left_over(lists: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: all pairs across components that could still be similar, each once.
+
+    Here the full sets are listed under their rarest values: similar sets share at least that part of either, so that
+    the rest, and what no other set has, can be left out. Sizes and shared parts bound a pair's similarity.
+    """
+    percent = round(threshold * 100)
+    held = full.join(lists.select("node", "component").distinct(), "node").select("node", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
+    common = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    held = held.join(common, "value").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
+    must = F.ceil(F.col("n") * percent / 100)
+    rare = held.where(F.size("held") >= must).select("node", "component", "n", F.size("held").alias("shared"), F.explode(F.slice("held.value", F.lit(1), (F.size("held") - must + 1).cast("int"))).alias("value"))
+    rare = cut(_split(rare), "rare")
+    own = rare.groupBy("node").agg(F.collect_list("value").alias("own"))
+    x = rare.join(own, "node")
+    y = x.select(*[F.col(c).alias(f"{c}_2") for c in ("value", "node", "component", "n", "shared", "own")])
+    both = F.least("shared", "shared_2")
+    fits = (both * 100 >= (F.col("n") + F.col("n_2") - both) * percent) & _similar(F.col("n"), F.col("n_2"), threshold)
+    here = F.array_min(F.array_intersect("own", "own_2")) == F.col("value")  # of the lists that a pair shares, one names it
+    met = x.join(y, (F.col("value") == F.col("value_2")) & (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & fits & here)
+    return met.select(F.col("node").alias("a"), F.col("node_2").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text, whatever else).
 
@@ -146,8 +168,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     # rows that repeat a doc_id: their classes belong together
     again = sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count_distinct("set_a", "set_b").alias("sets")).where("sets > 1").select("doc_id")
     links = sets.join(again, "doc_id").join(classes, key).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
-    for r in range(LEADERS + 1):
-        links = verifier.links(_candidates(listed, labels, r < LEADERS, threshold)).union(links)
+    for turn in range(LEADERS + 1):
+        lists = _split(_labelled(listed, labels)) if labels is not None else listed.withColumn("component", F.col("node"))
+        lists = cut(lists, "lists") if turn == LEADERS else lists
+        pairs = _with_leaders(lists, turn, threshold) if turn < LEADERS else _left_over(lists, full, threshold)
+        links = verifier.links(pairs).union(links)
         labels = cut(components(links), "labels")
         links = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
@@ -156,3 +181,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs with one document of each group: the one with the smallest doc_id, once if it is repeated. Rows without a
+    doc_id all stay."""
+    found = near_duplicates(docs, words, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    found = cut(found.where("not kept or n > 1"), "dropped")
+    out = docs.join(small_or_not(found.where("not kept").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    again = found.where("kept").select("doc_id")
+    if again.limit(1).count():
+        once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(again, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    return out

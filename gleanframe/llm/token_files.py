@@ -7,8 +7,10 @@ their bit offsets.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,9 @@ from .common import cut, new_folder
 
 #: Ids after which a file ends (with the document that reaches it).
 FILE_IDS = 4_000_000
-_MAX_WORDS, _MAX_BYTES = 300_000, 32_000_000
+#: Parts whose ids a Python worker remembers, from one task to the next.
+_MAX_WORDS, _MAX_BYTES = 1_000_000, 20_000_000
+_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
 _CHUNK = "part int, chunk int, before long, doc_ids array<long>, lengths array<long>, ids binary, symbols array<int>, counts array<long>"
 
 
@@ -33,11 +37,21 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Index(dict):
+    """part -> number, counting on for parts that are new."""
+
+    def __missing__(self, part: bytes) -> int:
+        self[part] = n = len(self)
+        self.fresh.append(part)
+        return n
+
+
 class WordIds:
-    """Ids of whole texts, a white-space run apart at a time.
+    """Ids of whole texts, a part apart at a time; each part is given to the tokenizer once, until memory is used up.
 
-    The tokenizer drops white space and never merges across it, so that a text's ids are those of its parts in order;
-    each part is given to it once, until the memory for parts is used up.
+    The tokenizer drops white space, never merges across it or between letters and signs, and lower-cases: a text's ids
+    are those of its parts in order. Parts are runs of other than ASCII white space, lower-cased, without a full stop or
+    comma that follows a letter at their end. Texts that may spell a special token keep their case.
     """
 
     def __init__(self, path: str):
@@ -45,36 +59,40 @@ class WordIds:
         self._forget()
 
     def _forget(self):
-        self.index: dict[bytes, int] = {}
-        self.bytes, self.flat, self.starts, self.sizes = 0, np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.index, self.bytes = _Index(), 0
+        self.index.fresh = []
+        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many belong to each text."""
-        parts = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.index) > _MAX_WORDS or self.bytes > _MAX_BYTES:
             self._forget()
-        index, fresh = self.index, []
-        for words in parts:
-            for w in set(words).difference(index):
-                index[w] = len(index)
-                fresh.append(w)
-        if fresh:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        parts = [_STOP.sub(rb" \1", r if b"<|" in r else r.lower()).split() for r in raw]
+        words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int32, sum(map(len, parts)))
+        if fresh := self.index.fresh:
+            self.index.fresh = []
             self.bytes += sum(map(len, fresh))
             found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
-        words = np.fromiter((index[w] for p in parts for w in p), np.int64, sum(map(len, parts)))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
         sizes = self.sizes[words]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[words] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, np.diff(ends[np.cumsum([0, *map(len, parts)])])
+        at = np.arange(ends[-1], dtype=np.int32)
+        at += np.repeat(self.starts[words] - ends[:-1].astype(np.int32), sizes)
+        return self.flat[at], np.diff(ends[np.cumsum([0, *map(len, parts)])])
+
+
+@lru_cache(1)
+def _words(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def _tokenise(path: str, end_id: int, file_ids: int):
     def run(batches):
-        words, part, chunk, before = WordIds(path), TaskContext.get().partitionId(), 0, 0
+        words, part, chunk, before = _words(path), TaskContext.get().partitionId(), 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def close():

@@ -44,7 +44,7 @@ def test_round_trip_and_single_blocks():
 
 def test_ids_are_the_tokenizers():
     rng, t = random.Random(5), Tokenizer.from_file(PATH)
-    pool = ["don't", "Été", "İstanbul", "a b", "x<|endoftext|>y", "12ab", "你好", "\U0001f600!!", "́", "\x1c", "ΣΑΣ", " ", "the", "'s"]
+    pool = ["don't", "It's,", "end.", "a.,", "b..", "<|EndOfText|>", "<|endoftext|>.", "THE,", "Été", "İstanbul", "a b", "x<|endoftext|>y", "12ab", "你好", "\U0001f600!!", "́", "\x1c", "ΣΑΣ", " ", "the", "'s"]
     texts = ["".join(rng.choice(pool) + rng.choice([" ", "", "\n", "\t ", "\x0b", "\x0c"]) for _ in range(30)) for _ in range(300)] + ["", " "]
     ids, sizes = WordIds(PATH).ids(texts)
     assert np.split(ids, np.cumsum(sizes)[:-1])[0].tolist() == t.encode(texts[0], add_special_tokens=False).ids
