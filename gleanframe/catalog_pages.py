@@ -1 +1,129 @@
-"""Queries over page contents, feeds, archives and streams."""
+"""Queries over page contents and streams. Pages are the given ones, with marks added by expressions where they lack them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .catalog import _SQL, _pages, query
+from .operators import pages as P
+from .plans.fixtures import frame, sql
+from .sources import html as H
+from .streaming import harvest
+
+_ORIGIN = "regexp_extract(url, '^[^:/?#]+://[^/?#]*')"
+_EXTRA = """concat(html, '<div class="post" id="a"><h3>Heading ', cast(page_id as string), '</h3><time datetime="2024-03-', cast(page_id % 20 + 10 as string), 'T10:00">x</time><div class="post"><p>inner</p></div><blockquote>posted 2001-01-01</blockquote></div>',
+ '<div class="post" id="b"><p>Caption ', cast(page_id as string), '</p><b>x</b><audio src="/m/', cast(page_id as string), '.mp3"></audio><audio src="/m/last.mp3"></audio><p>on 2023-05-04 by me</p></div>',
+ '<link rel="alternate" type="application/rss+xml" href="/feed', cast(page_id as string), '"><a ', case page_id % 3 when 0 then 'rel="next" href="/n' when 1 then 'class="pager-next" href="/n' else 'href="/none?page=1&x=' end, cast(page_id as string), '">go</a>')"""
+
+
+def _extra(spark, d):
+    return _pages(spark, d).selectExpr("page_id", "url", f"{_EXTRA} as html")
+
+
+def _nodes(spark, d):
+    return H.page_nodes(_extra(spark, d))
+
+
+def _posts(nodes):
+    return P.outermost(nodes, F.array_contains("classes", "post"))
+
+
+@query("h0_page_nodes", r"select page_id, len(regexp_extract_all(html, '<a[\s>]')) as anchors, len(regexp_extract_all(html, '<script[\s>]')) as scripts, len(regexp_extract_all(html, '<p[\s>]')) as paragraphs from pages")
+def _(spark, d):
+    tag = F.col("tag")
+    return H.page_nodes(_pages(spark, d)).groupBy("page_id").agg(F.count_if(tag == "a").alias("anchors"), F.count_if(tag == "script").alias("scripts"), F.count_if(tag == "p").alias("paragraphs"))
+
+
+@query("h2_page_links", f"with l as (select page_id, {_ORIGIN} as origin, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) select page_id, count(distinct lower(rtrim(rtrim(concat(origin, replace(href, '&amp;', '&')), '.,;'), '/'))) as links from l group by 1")
+def _(spark, d):
+    pages = _pages(spark, d)
+    return P.page_links(pages, H.page_nodes(pages)).groupBy("page_id").agg(F.count("*").alias("links"))
+
+
+@query("u27_absolute_links", f"select page_id, concat({_ORIGIN}, '/a/c') as joined from pages")
+def _(spark, d):
+    return _pages(spark, d).select("page_id", H.absolute(F.col("url"), F.lit("/a/b/../c")).alias("joined"))
+
+
+@query("h1_unescape", "select page_id, concat('é & <b> ', chr(8212), ' ', cast(page_id as string)) as text from pages")
+def _(spark, d):
+    return _pages(spark, d).select("page_id", H.unescape(F.concat(F.lit("&eacute; &amp; &lt;b&gt; &mdash; "), F.col("page_id").cast("string"))).alias("text"))
+
+
+@query("h3_without_furniture")
+def _(spark, d):
+    """Words of each page outside navigation, footers and scripts."""
+    kept = P.without_furniture(H.page_nodes(_pages(spark, d)))
+    return kept.groupBy("page_id").agg(F.count("*").alias("nodes"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("h4_outermost_posts", "select page_id, unnest(['a', 'b']) as id from pages")
+def _(spark, d):
+    return _posts(_nodes(spark, d)).select("page_id", "id")
+
+
+@query("h5_summaries", "select page_id, concat('Heading ', cast(page_id as string), ' x inner posted 2001-01-01') as summary from pages union all select page_id, concat('Caption ', cast(page_id as string), ' x on 2023-05-04 by me') from pages")
+def _(spark, d):
+    nodes = _nodes(spark, d)
+    return P.summaries(nodes, _posts(nodes)).select("page_id", "summary")
+
+
+@query("h6_titles", "select page_id, concat('Heading ', cast(page_id as string)) as title from pages")
+def _(spark, d):
+    nodes = _nodes(spark, d)
+    return P.titles(nodes, _posts(nodes)).select("page_id", "title")
+
+
+@query("h13_captions", "select page_id, concat('/m/', cast(page_id as string), '.mp3') as url, concat('Caption ', cast(page_id as string)) as caption from pages union all select page_id, '/m/last.mp3', '' from pages")
+def _(spark, d):
+    return P.captions(_nodes(spark, d)).select("page_id", "url", "caption")
+
+
+@query("t4_machine_dates", "select page_id, cast(concat('2024-03-', cast(page_id % 20 + 10 as string)) as date) as day from pages")
+def _(spark, d):
+    return P.machine_dates(_nodes(spark, d))
+
+
+@query("t5_post_dates", "select page_id, cast(concat('2024-03-', cast(page_id % 20 + 10 as string)) as date) as day from pages union all select page_id, date '2023-05-04' from pages")
+def _(spark, d):
+    nodes = _nodes(spark, d)
+    return P.post_dates(nodes, _posts(nodes), F.lit("2024-06-01").cast("date")).select("page_id", "day")
+
+
+@query("s3_feed_links", f"select page_id, concat({_ORIGIN}, '/feed', cast(page_id as string)) as feed from pages")
+def _(spark, d):
+    pages = _extra(spark, d)
+    return P.feed_links(pages, H.page_nodes(pages))
+
+
+@query("d7_next_pages", f"select page_id, concat({_ORIGIN}, '/n', cast(page_id as string)) as next from pages where page_id % 3 < 2")
+def _(spark, d):
+    pages = _extra(spark, d)
+    return P.next_pages(pages, H.page_nodes(pages)).where("page_id % 3 < 2")
+
+
+@query("d8_probe", f"with l as (select page_id, {_ORIGIN} as origin, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) select page_id, regexp_replace(lower(regexp_extract(origin, '//(.*)$', 1)), '^www\\.', '') as host, count(distinct lower(rtrim(rtrim(concat(origin, replace(href, '&amp;', '&')), '.,;'), '/'))) as n from l group by 1, 2")
+def _(spark, d):
+    pages = _pages(spark, d)
+    return P.probe(pages, P.page_links(pages, H.page_nodes(pages)))
+
+
+@query("w4_queue_replay")
+def _(spark, d):
+    return harvest.replay_queue(frame(spark, d, "fx_queue"))
+
+
+@query("w5_stage_windows", sql("fx_trace") + " select date_trunc('hour', ts) as start, stage, count(*) as n from fx_trace group by 1, 2")
+def _(spark, d):
+    return harvest.stage_counts(frame(spark, d, "fx_trace"))
+
+
+@query("w2_once_in_window", sql("fx_links") + " select distinct case when contains(url, '...') then null else concat('rapidgator:', regexp_extract(url, '/file/([A-Za-z0-9]+)', 1)) end as file_key from fx_links where contains(url, 'rapidgator') and not contains(url, '...')")
+def _(spark, d):
+    links = frame(spark, d, "fx_links").where("url like '%rapidgator%'").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    from .operators import dedupe
+
+    return dedupe.first_of(dedupe.identified(links).where("file_key is not null"), ["file_key"], ["item_id", "pos", "part", "supp"]).select("file_key")
+
+
+assert _SQL

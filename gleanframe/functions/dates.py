@@ -46,7 +46,7 @@ def parse_date(text: Column, as_of: Column) -> Column:
     """The first date written in a text. The first pattern that matches decides, even if its date doesn't exist."""
     t = F.coalesce(text, F.lit(""))
     part = lambda pattern, i: F.regexp_extract(t, pattern, i)
-    number = lambda pattern, i: F.expr("NULL").cast("int") if pattern is None else F.when(part(pattern, i) != "", part(pattern, i)).cast("int")
+    number = lambda pattern, i: F.when(part(pattern, i) != "", part(pattern, i)).cast("int")
     return (
         F.when(t.rlike(TODAY), as_of)
         .when(t.rlike(YESTERDAY), F.date_sub(as_of, 1))
