@@ -8,7 +8,6 @@ are compared. The masks are chosen so that no window of WINDOW tokens with up to
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,28 +25,29 @@ SEEDS = 500_000
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, in lower case."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-
-
-def _seeds(at: Column, of: str) -> Column:
-    """seed and end for each mask laid at position `at`: a hash, null where the mask reaches over the text's end."""
-    hashed = [F.when(at + max(m) < F.size(of), F.xxhash64(F.lit(i), *[F.get(F.col(of), at + p) for p in m])) for i, m in enumerate(MASKS)]
-    return F.array(*[F.struct(h.alias("seed"), (at + max(m) + 1).alias("end")) for h, m in zip(hashed, MASKS)])
+    """Hashes of the runs of letters and digits, in lower case."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _seeded(rows: DataFrame, of: str, at: str) -> DataFrame:
-    """rows with `at`, `seed` and `end`, for every position and mask. Generators and hashes stay in generated code."""
-    rows = rows.select("*", F.posexplode(of).alias(at, "_token")).where(F.col(at) + min(map(max, MASKS)) < F.size(of))
-    return rows.drop("_token").select("*", F.explode(_seeds(F.col(at), of)).alias("_seed")).select("*", "_seed.*").drop("_seed")
+    """rows with `at`, `mask` and `seed`, for every position and mask; null where a mask reaches over the end.
+
+    Generators and hashes stay in generated code, which is kept small enough for the compiler.
+    """
+    rows = rows.select("*", F.posexplode(of).alias(at, "_token")).drop("_token")
+    seeds = [F.when(F.col(at) + max(m) < F.size(of), F.xxhash64(F.lit(i), *[F.get(F.col(of), F.col(at) + p) for p in m])) for i, m in enumerate(MASKS)]
+    return rows.select("*", F.posexplode(F.array(*seeds)).alias("mask", "seed"))
 
 
 def _agrees(d: str, b: str, p: str, q: str) -> Column:
     """Whether a window around the hit is alike enough in both: document token p + k beside test token q + k."""
-    same = {k: F.when(F.get(F.col(d), F.col(p) + k) == F.get(F.col(b), F.col(q) + k), 1).otherwise(0) for k in range(1 - WINDOW, WINDOW)}
-    long = [reduce(add, [same[s + i] for i in range(WINDOW)]) >= WINDOW - SUBSTITUTIONS for s in range(min(map(max, MASKS)) + 1 - WINDOW, 1)]
-    n = F.size(b)
-    return F.when(n >= WINDOW, reduce(lambda x, y: x | y, long)).otherwise(reduce(add, same.values()) >= n - 1)
+    n = F.least(F.size(b), F.lit(WINDOW))
+    reach = F.sequence(1 - n, n - 1)
+    same = F.transform(reach, lambda k: (F.get(F.col(d), F.col(p) + k) == F.get(F.col(b), F.col(q) + k)).cast("int"))
+    count = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    alike = F.exists(F.sequence(F.lit(1), n), lambda s: count(F.slice(same, s, n)) >= n - F.when(n < WINDOW, 1).otherwise(SUBSTITUTIONS))
+    return alike
 
 
 def benchmark_texts(benchmark: DataFrame) -> DataFrame:
@@ -60,15 +60,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item, shift, first, last: where documents (doc_id, text) repeat test texts, one row for each
     alignment; its outermost hits begin at document token `first` and end before `last`."""
     tests = cut(benchmark_texts(benchmark), "tests")
-    seeds = cut(_seeded(tests, "test", "q").select("seed", "item", "q").distinct(), "seeds")
+    widths = F.element_at(F.array(*[F.lit(max(m) + 1) for m in MASKS]), F.col("mask") + 1)
+    seeds = cut(_seeded(tests, "test", "q").where("seed is not null").select("seed", "item", "q", widths.alias("width")).distinct(), "seeds")
     blocks = max(1, -(-seeds.count() // SEEDS))
     rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), tokens(F.col("text")).alias("doc"))
-    looked = _seeded(rows.where(F.size("doc") >= SPAN), "doc", "p")
+    looked = _seeded(rows, "doc", "p").drop("mask")
     found = []
     for i in range(blocks):  # each block's seeds and the test texts they lie in have a bounded size
         mine = lambda df: df.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i) if blocks > 1 else df
         hits = looked.join(F.broadcast(mine(seeds)), "seed").join(F.broadcast(mine(tests)), "item")
-        found.append(hits.where(_agrees("doc", "test", "p", "q")).select("doc_id", "text_hash", "item", (F.col("p") - F.col("q")).alias("shift"), "p", "end"))
+        found.append(hits.where(_agrees("doc", "test", "p", "q")).select("doc_id", "text_hash", "item", (F.col("p") - F.col("q")).alias("shift"), "p", (F.col("p") + F.col("width")).alias("end")))
     every = reduce(DataFrame.union, found)
     return every.groupBy("doc_id", "text_hash", "item", "shift").agg(F.min("p").alias("first"), F.max("end").alias("last"))
 
