@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _SQL, _pages, query
+from .catalog import _pages, query
+from .functions import naming
+from .functions import recase as R
 from .operators import pages as P
 from .plans.fixtures import frame, sql
 from .sources import html as H
@@ -126,4 +128,28 @@ def _(spark, d):
     return dedupe.first_of(dedupe.identified(links).where("file_key is not null"), ["file_key"], ["item_id", "pos", "part", "supp"]).select("file_key")
 
 
-assert _SQL
+
+
+_CAPTIONS = "concat('DJ SEDUCTION ', case p_partkey % 3 when 0 then 'AND THE RSR' when 1 then '(SIDE B)' else 'FX' end)"
+_UPLOAD = "concat('https://c.example/m/Tape_', cast(p_partkey % 5 as string), '_-_DJ_SeDuction_Side_B.mp3')"
+
+
+def _captioned(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", f"{_CAPTIONS} as caption", f"{_UPLOAD} as url")
+
+
+@query("n7_track_titles", "select p_partkey, concat('Tape ', cast(p_partkey % 5 as string), ' - DJ SeDuction ', case p_partkey % 3 when 0 then 'and the RSR' when 1 then '(Side B)' else 'FX' end) as title from part")
+def _(spark, d):
+    return _captioned(spark, d).select("p_partkey", R.track_title(F.col("caption"), F.col("url")).alias("title"))
+
+
+@query("n8_disagreements", "select p_partkey, case p_partkey % 3 when 0 then 'caption words not in upload name: rsr' else '' end as why from part")
+def _(spark, d):
+    return _captioned(spark, d).select("p_partkey", R.disagreement(F.col("caption"), F.col("url")).alias("why"))
+
+
+@query("n10_folder_names", "select p_partkey, concat('Rave ', cast(1990 + p_partkey % 9 as string), case when p_partkey % 2 = 0 then '' else ' (1985)' end) as name from part")
+def _(spark, d):
+    title = F.expr("concat('RAVE ', cast(1990 + p_partkey % 9 as string))")
+    year = F.expr("case when p_partkey % 2 = 0 then cast(1990 + p_partkey % 9 as string) else '1985' end")
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", naming.folder_name(R.recase(title, F.lit("")), year).alias("name"))
