@@ -127,3 +127,50 @@ class QueueMoves(StatefulProcessor):
 
 def stream_queue(moves: DataFrame) -> DataFrame:
     return moves.groupBy("queue_id").transformWithStateInPandas(QueueMoves(), _AUDIT, "Append", "None")
+
+
+_PACKAGE = "package string, found int, wanted int, complete boolean"
+
+
+class PackageWatch(StatefulProcessor):
+    """Emits a package once: when all its names have come in, or its time is over."""
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.wanted = handle.getMapState("wanted", "name string", "came boolean")
+        self.done = handle.getValueState("done", "done boolean")
+
+    def _counts(self) -> tuple[int, int]:
+        values = [v[0] for v in self.wanted.values()]
+        return sum(values), len(values)
+
+    def handleInputRows(self, key, rows, timerValues):
+        if self.done.exists():
+            return
+        if not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+        for part in rows:
+            for name, came in zip(part["name"], part["came"]):
+                before = self.wanted.containsKey((name,)) and self.wanted.getValue((name,))[0]
+                self.wanted.updateValue((name,), (bool(came or before),))
+        found, wanted = self._counts()
+        if found == wanted:
+            self.done.update((True,))
+            yield pd.DataFrame([(key[0], found, wanted, True)], columns=["package", "found", "wanted", "complete"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.done.exists():
+            found, wanted = self._counts()
+            self.done.update((True,))
+            yield pd.DataFrame([(key[0], found, wanted, False)], columns=["package", "found", "wanted", "complete"])
+
+    def close(self) -> None:
+        pass
+
+
+def watch_packages(names: DataFrame, patience_s: int = 900) -> DataFrame:
+    """names (package, name, came): wanted names with came false, collected ones with came true, in any order."""
+    return names.groupBy("package").transformWithStateInPandas(PackageWatch(1000 * patience_s), _PACKAGE, "Append", "ProcessingTime")
