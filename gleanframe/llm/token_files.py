@@ -7,10 +7,11 @@ their bit offsets.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from functools import lru_cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,7 @@ from .common import cut, new_folder
 #: Ids after which a file ends (with the document that reaches it).
 FILE_IDS = 4_000_000
 #: Parts whose ids a Python worker remembers, from one task to the next.
-_MAX_WORDS, _MAX_BYTES = 1_000_000, 20_000_000
-_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
+_MAX_WORDS, _MAX_BYTES = 700_000, 14_000_000
 _CHUNK = "part int, chunk int, before long, doc_ids array<long>, lengths array<long>, ids binary, symbols array<int>, counts array<long>"
 
 
@@ -37,6 +37,11 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: The printable character that stands for each byte in byte-level vocabularies (the public GPT-2 rule).
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip(_PRINTABLE, _PRINTABLE)) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
 class _Index(dict):
     """part -> number, counting on for parts that are new."""
 
@@ -49,13 +54,18 @@ class _Index(dict):
 class WordIds:
     """Ids of whole texts, a part apart at a time; each part is given to the tokenizer once, until memory is used up.
 
-    The tokenizer drops white space, never merges across it or between letters and signs, and lower-cases: a text's ids
-    are those of its parts in order. Parts are runs of other than ASCII white space, lower-cased, without a full stop or
-    comma that follows a letter at their end. Texts that may spell a special token keep their case.
+    For tokenizers that drop white space, never merge across it or between letters and signs, and lower-case: a text's
+    ids are then those of its parts in order. Parts are runs of other than ASCII white space, lower-cased unless the
+    text may spell a special token. What is but letters goes to the tokenizer's model without the steps before it; a
+    full stop or comma at the end stands for itself. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        steps = json.loads(self.tokenizer.to_str())
+        kinds = lambda k, n: [x["type"] for x in (steps.get(k) or {}).get(n, [])]
+        self.by_part = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+        self.model = self.tokenizer.model
         self._forget()
 
     def _forget(self):
@@ -63,17 +73,47 @@ class WordIds:
         self.index.fresh = []
         self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
 
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _letters(self, part: bytes) -> list[int] | None:
+        """Ids of a part of letters alone; None for others."""
+        if not part.isalpha():
+            text = part.decode("utf-8", "replace")
+            if not text.isalpha() or "Σ" in text or "İ" in text:
+                return None
+            part = text.lower().encode()
+            if not is_normalized("NFC", text) or not is_normalized("NFC", part.decode()):
+                return None
+        return [t.id for t in self.model.tokenize(part.lower().decode("latin-1").translate(_BYTES))]
+
+    def _parts(self, fresh: list[bytes]) -> list[list[int]]:
+        """Ids of new parts."""
+        stop, comma = self._encoded([".", ","])
+        found: list = []
+        for part in fresh:
+            end = stop if part[-1] == 46 else comma if part[-1] == 44 else None
+            ids = self._letters(part[:-1] if end and len(part) > 1 else part)
+            found.append(ids if ids is None or not end or len(part) == 1 else ids + end)
+        slow = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(slow, self._encoded([fresh[i].decode("utf-8", "replace") for i in slow])):
+            found[i] = ids
+        return found
+
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many belong to each text."""
+        if not self.by_part:
+            found = self._encoded(texts)
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
         if len(self.index) > _MAX_WORDS or self.bytes > _MAX_BYTES:
             self._forget()
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        parts = [_STOP.sub(rb" \1", r if b"<|" in r else r.lower()).split() for r in raw]
+        parts = [(r if b"<|" in r else r.lower()).split() for r in raw]
         words = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int32, sum(map(len, parts)))
         if fresh := self.index.fresh:
             self.index.fresh = []
             self.bytes += sum(map(len, fresh))
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
+            found = self._parts(fresh)
             sizes = np.fromiter(map(len, found), np.int32, len(found))
             self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)])
             self.sizes = np.concatenate([self.sizes, sizes])
@@ -105,8 +145,8 @@ def _tokenise(path: str, end_id: int, file_ids: int):
             chunk, before, held = chunk + 1, before + len(ids), []
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
                 ids, sizes = words.ids([t or "" for t in rows.column(1).to_pylist()])
                 ends = np.cumsum(sizes)
                 held.append((np.array(rows.column(0)), sizes + 1, np.insert(ids, ends, end_id)))
