@@ -133,14 +133,16 @@ def _left_over(lists: DataFrame, full: DataFrame, threshold: float) -> DataFrame
     common = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     held = held.join(common, "value").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
     must = F.ceil(F.col("n") * percent / 100)
-    rare = held.where(F.size("held") >= must).select("node", "component", "n", F.size("held").alias("shared"), F.explode(F.slice("held.value", F.lit(1), (F.size("held") - must + 1).cast("int"))).alias("value"))
+    rare = held.where(F.size("held") >= must).select("node", "component", "n", F.size("held").alias("shared"), F.posexplode(F.slice("held", F.lit(1), (F.size("held") - must + 1).cast("int"))).alias("i", "v"))
+    # what a set has for itself comes first in its order, so that `left` values of it are not before this one
+    rare = rare.select("node", "component", "n", "shared", (F.col("shared") - F.col("i")).alias("left"), "v.df", "v.value")
     rare = cut(_split(rare), "rare")
-    own = rare.groupBy("node").agg(F.collect_list("value").alias("own"))
-    x = rare.join(own, "node")
-    y = x.select(*[F.col(c).alias(f"{c}_2") for c in ("value", "node", "component", "n", "shared", "own")])
-    both = F.least("shared", "shared_2")
-    fits = (both * 100 >= (F.col("n") + F.col("n_2") - both) * percent) & _similar(F.col("n"), F.col("n_2"), threshold)
-    here = F.array_min(F.array_intersect("own", "own_2")) == F.col("value")  # of the lists that a pair shares, one names it
+    own = rare.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value")))["value"].alias("own"))
+    x = rare.drop("df").join(own, "node")
+    y = x.select(*[F.col(c).alias(f"{c}_2") for c in ("value", "node", "component", "n", "shared", "left", "own")])
+    # of the lists that a pair shares, the first names it; what both share lies in it or behind it
+    here = F.get(F.array_intersect("own", "own_2"), F.lit(0)) == F.col("value")
+    fits = (F.least("left", "left_2") * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent) & _similar(F.col("n"), F.col("n_2"), threshold)
     met = x.join(y, (F.col("value") == F.col("value_2")) & (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & fits & here)
     return met.select(F.col("node").alias("a"), F.col("node_2").alias("b"))
 
