@@ -35,6 +35,11 @@ def _lists(of: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*of, np.empty(0, np.uint64)]).view(np.int64)))
 
 
+def _least(s: np.ndarray, keep: int) -> np.ndarray:
+    """Of sorted values the smallest ones as signed longs, in the order in which Spark sorts and cuts union sketches."""
+    return np.sort(s.view(np.int64))[:keep].view(np.uint64)
+
+
 def _sets(words: int, keep: int | None):
     """Arrow batches of (doc_id, text) -> set size, two fingerprints of the set, and its smallest values (None: all)."""
 
@@ -47,7 +52,7 @@ def _sets(words: int, keep: int | None):
                 one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 two = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(0x51ED27))) if len(s) else 0 for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _lists([s[:keep] for s in sets])],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _lists(sets if keep is None else [_least(s, keep) for s in sets])],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "hashes"],
                 )
 
@@ -58,7 +63,6 @@ _SETS = "doc_id long, n_shingles long, set_a long, set_b long, hashes array<long
 
 
 def document_sets(docs: DataFrame, words: int, keep: int | None) -> DataFrame:
-    # a signed order of the values serves as well as an unsigned one, as long as it is one order
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets(words, keep), _SETS)
 
 

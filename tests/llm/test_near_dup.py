@@ -55,6 +55,19 @@ def test_same_components_as_all_pairs(spark):
     assert got == _brute(rows, 4, 80)
 
 
+def test_contained_copies_of_100_to_200_shingles_at_the_threshold(spark):
+    rng, rows = random.Random(5), []
+    for i in range(80):
+        n = rng.randrange(100, 161)
+        larger = int(n / rng.uniform(0.8, 0.82))  # shingles of the copy that holds all of the other's
+        text = [f"w{rng.randrange(10**9)}" for _ in range(larger + 3)]
+        rows += [(2 * i, " ".join(text[: n + 3])), (2 * i + 1, " ".join(text))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, 4).collect())
+    assert got == _brute(rows, 4, 80)
+    assert all(component == doc_id - doc_id % 2 for doc_id, _, component in got)
+
+
 def test_nulls_empties_ties_and_odd_columns(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "A  B"), (6, "one two three four five"), (6, "x y z v w"), (7, "X y z v w"), (None, "a b"), (8, "é b"), (9, "É b"), (10, "long " * 5000)]
     df = spark.createDataFrame([(*r, 1, "q") for r in rows], "doc_id long, text string, node int, value string")
