@@ -1,7 +1,8 @@
 """Greedy word-piece lengths by a linear longest-match automaton (Song et al., Fast WordPiece Tokenization, 2021).
 
 A trie over the vocabulary has, for every node, a failure link and the number of pieces that are complete when it is
-followed. One pass over a word's characters then gives the number of its pieces; the pieces are never built.
+followed. One pass over a word's characters then gives the number of its pieces; the pieces are never built. A word
+starts with the blank mark; a character that no piece covers stands as its bytes, or as an unknown token without them.
 """
 
 from __future__ import annotations
@@ -13,18 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What a word starts with; words that are remembered; what an unknown token adds to a count besides itself.
+MARK = "▁"
 _MAX_WORDS, _UNKNOWN = 400_000, 1 << 40
 
 
 class Automaton:
-    """first: pieces that may begin a word; rest: pieces that may go on with one."""
+    """first: pieces that may begin a word; rest: pieces that may go on with one; weights: pieces that count other than 1."""
 
     START, INSIDE, NONE = 0, 1, -1
 
-    def __init__(self, first: list[str], rest: list[str]):
+    def __init__(self, first: list[str], rest: list[str], weights: dict[str, int] | None = None):
         self.next: dict[tuple[int, str], int] = {}
         children: list[list[tuple[str, int]]] = [[], []]
-        final = [False, False]
+        final, weights = [0, 0], weights or {}
         for root, pieces in ((self.START, first), (self.INSIDE, rest)):
             for piece in pieces:
                 at = root
@@ -34,16 +37,17 @@ class Automaton:
                         to = self.next[at, c] = len(final)
                         children[at].append((c, to))
                         children.append([])
-                        final.append(False)
+                        final.append(0)
                     at = to
-                final[at] = final[at] or at > 1
+                if at > 1:
+                    final[at] = weights.get(piece, 1)
         self.fail, self.pops = [self.NONE] * len(final), [0] * len(final)
         queue = deque([self.START, self.INSIDE])
         while queue:
             at = queue.popleft()
             for c, to in children[at]:
                 if final[to]:
-                    self.fail[to], self.pops[to] = self.INSIDE, 1
+                    self.fail[to], self.pops[to] = self.INSIDE, final[to]
                 else:
                     back, pops = self.fail[at], self.pops[at]
                     while back != self.NONE and (back, c) not in self.next:
@@ -71,29 +75,58 @@ class Automaton:
         return n
 
 
+class Vocabulary:
+    """Counts of greedy longest matches over mark + word, with unknown tokens in the high bits.
+
+    Where no piece matches, one character stands as its bytes if the vocabulary has them, as one unknown token if not.
+    """
+
+    def __init__(self, pieces: list[str], known_bytes: frozenset[int] = frozenset()):
+        self.known_bytes, self.alphabet = known_bytes, {MARK}.union(*pieces)
+        alone = {c: self._alone(c) for c in self.alphabet - set(pieces)}
+        every = sorted({*pieces, *alone})
+        self.automaton = Automaton(every, every, alone)
+
+    def _alone(self, c: str) -> int:
+        parts = c.encode("utf-8", "surrogatepass")
+        return len(parts) if self.known_bytes.issuperset(parts) else 1 + _UNKNOWN
+
+    def count(self, word: str) -> int:
+        word = MARK + word
+        if self.alphabet.issuperset(word):
+            return self.automaton.count(word)
+        n, begin = 0, 0
+        for i, c in enumerate(word):
+            if c not in self.alphabet:
+                n += self.automaton.count(word[begin:i]) + self._alone(c)
+                begin = i + 1
+        return n + self.automaton.count(word[begin:])
+
+
 class _Counts(dict):
-    """word -> pieces; a word that gets stuck is one unknown token, marked in the high bits."""
+    """word -> pieces, with unknown tokens in the high bits."""
 
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _MAX_WORDS:
             self.clear()
-        n = self.automaton.count(word) or 1 + _UNKNOWN
+        n = self.vocabulary.count(word)
         if len(word) < 100:
             self[word] = n
         return n
 
 
 @lru_cache(2)
-def load(path: str) -> Automaton:
-    """The pieces of a sentencepiece vocabulary; those with the blank mark begin words."""
+def load(path: str) -> Vocabulary:
+    """All pieces of a sentencepiece vocabulary, the bare blank mark and the bytes with them."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return Automaton([p[1:] for p in pieces if p[0] == "▁" and len(p) > 1], [p for p in pieces if "▁" not in p])
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))]
+    known_bytes = frozenset(int(model.id_to_piece(i)[3:5], 16) for i in ids if model.is_byte(i))
+    return Vocabulary([model.id_to_piece(i) for i in ids if not model.is_byte(i)], known_bytes)
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
