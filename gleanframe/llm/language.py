@@ -24,6 +24,8 @@ KEEP, SLOTS, HASHES = 3000, 1 << 18, 2
 #: Training documents of a language (on average; drawn by a hash of doc_id).
 SAMPLE = 3000
 UNKNOWN = "und"
+#: A text is like none of a language below that part of the score which this quantile of its training documents has.
+PART, LOW = 0.75, 0.05
 
 
 @lru_cache(1)
@@ -101,18 +103,24 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
 
+def _drawn(docs: DataFrame, sample: int) -> tuple[list, DataFrame]:
+    """Sizes of the training fold's languages, and about `sample` documents of each (doc_id, text, lang)."""
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sizes = known.groupBy("lang").count().collect()  # as many rows as languages
+    if not sizes:
+        return sizes, known
+    rate = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, sample / n)])
+    return sizes, known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     """Filters of all languages that training documents of docs (doc_id, text, lang) are labelled with.
 
     About `sample` documents of a language count; to the driver come KEEP n-grams for each language.
     """
-    spark = docs.sparkSession
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = known.groupBy("lang").count().collect()  # as many rows as languages
+    sizes, drawn = _drawn(docs, sample)
     if not sizes:
         return Filters([], {})
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, sample / n)])
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
     counted = drawn.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best: dict[str, list[int]] = {lang: [] for lang, _ in sizes}
@@ -148,7 +156,23 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), fit(docs))
 
 
+def thresholds(docs: DataFrame, least: float = 0.1, sample: int = SAMPLE) -> dict[str, float]:
+    """Language -> the score below which a text is like none of it: from the scores that one half of the training fold
+    has by filters learned from the other half.
+
+    A language without such scores takes the lowest threshold of the others.
+    """
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
+    sizes, scored = _drawn(docs.where(~half), sample)
+    found = predict(scored, fit(docs.where(half), sample)).where("lang_pred = lang").groupBy("lang").agg(F.percentile_approx("score", LOW, 10_000).alias("low")) if sizes else None
+    out = {r.lang: max(least, PART * r.low) for r in (found.collect() if found is not None else [])}
+    return {"": min(out.values(), default=least), **out}
+
+
 def recognised(docs: DataFrame, least: float = 0.1) -> DataFrame:
-    """The rows of docs whose language is one of those learned from it, by at least this part of their n-grams."""
+    """The rows of docs whose language is one of those learned from it, by a part of their n-grams that is usual for its
+    training documents (`thresholds`), and this part at least."""
+    lines = thresholds(docs, least)
+    line = F.coalesce(F.create_map(*[F.lit(x) for kv in lines.items() for x in kv])[F.col("lang_pred")], F.lit(lines[""]))
     found = predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), fit(docs), keep_text=True)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= line)).drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})

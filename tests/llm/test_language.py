@@ -48,3 +48,15 @@ def test_odd_rows(spark):
     assert {(100, "und"), (101, "und"), (102, "und"), (103, "de"), (None, "en"), (100, "en")} <= got
     assert language.identify(df.where("false")).count() == 0
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", df.text.substr(0, 0)).where("lang is null")).collect()} <= {"und"}
+
+
+def test_junk_and_unlearned_languages_are_rejected(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    rng = random.Random(2)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=600)) for _ in range(20)]
+    odd = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate([polish * 3, finnish * 3, *letters])], docs.schema)
+    kept = {r.doc_id for r in language.recognised(docs.union(odd)).select("doc_id").collect()}
+    assert not any(d >= 10**9 for d in kept)
+    assert len(kept) > 0.999 * docs.count()
