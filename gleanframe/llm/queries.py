@@ -40,7 +40,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source is an owner, its documents of one language are a repository."""
-    return secrets.secrets(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    return secrets.secrets(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"), with_holders=True)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

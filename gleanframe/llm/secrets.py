@@ -1,8 +1,8 @@
 """Secrets in whole texts, told from copied examples by who owns them; DataFrame functions only.
 
 Fixed patterns find candidates; their hashes are counted over the whole corpus by distinct repositories and owners. A
-value that several owners hold is a copied example; one that a single owner has looks live. Long mixed strings outside
-the patterns become spans of their own if they are owner-specific.
+value that several owners or several repositories hold is a copied example; one that a single repository has looks
+live. Long mixed strings outside the patterns become spans of their own if they look live.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
 #: The method's own kind: strings of this length and more that mix letters and digits.
 MIXED = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS, LEAST = ("assign", "access", "hex", "mixed"), (6, 20, 24, 20)
-#: A value that more owners than this hold is a copied example.
-OWNERS = 1
+#: A value that more owners or more repositories than this hold is a copied example.
+OWNERS, REPOS = 1, 1
 
 
 def _matches(text: Column, kind: int) -> Column:
@@ -65,17 +65,19 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n_seen"))
 
 
-def secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None = None) -> DataFrame:
+def secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, with_holders: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied: one row for each row of docs.
 
-    Counts and hash are of the patterns' spans; spans also has owner-specific mixed strings that overlap none of these.
-    n_live and n_copied tell owner-specific from widely copied values among all spans. Offsets are code points, ends
+    with_holders: holders too, repositories:owners of each span's value in the order of spans.
+
+    Counts and hash are of the patterns' spans; spans also has mixed strings of a single repository that overlap none of these.
+    n_live and n_copied tell values of a single repository from copied ones among all spans. Offsets are code points, ends
     exclusive. Null texts count as empty; unknown owners and repositories are one.
     """
     repo, owner = F.col("source") if repo is None else repo, F.col("source") if owner is None else owner
     scanned = _scanned(docs, repo, owner)
     found = cut(candidates(scanned), "candidates")
-    held = found.join(ownership(found).select("hash", (F.col("n_owners") <= OWNERS).alias("live")), "hash")
+    held = found.join(ownership(found).select("hash", "n_repos", "n_owners", ((F.col("n_owners") <= OWNERS) & (F.col("n_repos") <= REPOS)).alias("live")), "hash")
     base = F.col("kind") < 3
     order = Window.partitionBy("row").orderBy("start", "kind")
     left = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -83,11 +85,11 @@ def secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None =
     apart = (F.coalesce(left, F.lit(0)) <= F.col("start")) & (F.coalesce(right, F.col("end")) >= F.col("end"))
     held = held.withColumn("apart", apart).where(base | (F.col("apart") & F.col("live")))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    span = F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("span"))
-    joined = lambda only: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(only, span))), lambda x: x["span"]))
+    span = F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("span"), F.concat_ws(":", "n_repos", "n_owners").alias("holders"))
+    joined = lambda only, what="span": F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(only, span))), lambda x: x[what]))
     by_row = held.groupBy("row").agg(
-        *[F.count_if(F.col("kind") == k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.lit(True)).alias("spans"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied")
+        *[F.count_if(F.col("kind") == k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.lit(True)).alias("spans"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"), *([joined(F.lit(True), "holders").alias("holders")] if with_holders else [])
     )
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     out = scanned.select("row", "doc_id").join(by_row, "row", "left")
-    return out.select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"))
+    return out.select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"), *([F.coalesce("holders", F.lit("")).alias("holders")] if with_holders else []))
