@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of (mostly) one or two longs that may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch of texts, where the session leaves Spark's default; rows and bytes worked on at a time in it.
+BATCH_ROWS, PART_ROWS, PART_BYTES = 2000, 512, 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,5 +52,24 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def in_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose texts go to Python in batches of BATCH_ROWS, unless the session says how large batches are."""
+    if docs.sparkSession.conf.get(_BATCH) == "10000":
+        docs.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+    return docs
+
+
+def parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of texts that are worked on at a time: so many rows and bytes at most; a text that is longer
+    is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        limit = (ends[start - 1] if start else 0) + PART_BYTES
+        stop = max(start + 1, min(start + PART_ROWS, int(np.searchsorted(ends, limit, side="right"))))
+        yield start, stop
+        start = stop
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,6 +7,7 @@ filter's false positives.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_batches, parts
 from .shingles import mix
 
 #: Characters of an n-gram; white space and all else that isn't a letter is one blank.
@@ -66,12 +68,11 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
 
 def _count(batches):
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        texts = batch.column(1).to_pylist()
-        for lang in sorted(set(langs)):
-            mine = [texts[i] for i in np.flatnonzero(langs == lang)]
-            for at in range(0, len(mine), 256):
-                found, n = np.unique(grams(mine[at : at + 256])[0], return_counts=True)
+        for a, b in parts(batch.column(1)):
+            langs = np.array(batch.column(0)[a:b].to_pylist(), object)
+            texts = batch.column(1)[a:b].to_pylist()
+            for lang in sorted(set(langs)):
+                found, n = np.unique(grams([texts[i] for i in np.flatnonzero(langs == lang)])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     sizes, drawn = _drawn(docs, sample)
     if not sizes:
         return Filters([], {})
-    counted = drawn.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = in_batches(drawn).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best: dict[str, list[int]] = {lang: [] for lang, _ in sizes}
     for lang, gram in counted.withColumn("place", first).where(F.col("place") <= KEEP).select("lang", "gram").collect():
@@ -129,26 +130,34 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     return Filters(sorted(best), {k: np.array(sorted(v), np.int64) for k, v in best.items()})
 
 
-def predict(docs: DataFrame, filters: Filters, keep_text: bool = False) -> DataFrame:
-    """docs, without text unless asked for, with lang_pred and score. Null texts and texts without a letter are `und` with score 0, as are all if no
-    language was learned; of equal scores the first language by name decides."""
+def _judge(docs: DataFrame, filters: Filters):
+    """A column over texts: struct(lang_pred, score)."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = shared.value
         names = np.array([*f.languages, UNKNOWN], object)
-        for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 256):
-                part = batch.slice(at, 256)
-                scores, has = f.scores(part.column(part.schema.get_field_index("__text")).to_pylist())
-                best = np.where(has, scores.argmax(1), len(f.languages)) if f.languages else np.zeros(part.num_rows, np.int64)
-                top = scores.max(1, initial=0) * has
-                columns = [part.column(i) for i, name in enumerate(part.schema.names) if name != "__text"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best].tolist(), pa.string()), pa.array(top)], names=[*(n for n in part.schema.names if n != "__text"), "lang_pred", "score"])
+        for texts in batches:
+            found, top = np.empty(len(texts), object), np.zeros(len(texts))
+            for a, b in parts(texts):
+                scores, has = f.scores(texts[a:b].to_pylist())
+                found[a:b] = names[np.where(has, scores.argmax(1), len(f.languages)) if f.languages else np.zeros(b - a, np.int64)]
+                top[a:b] = scores.max(1, initial=0) * has
+            yield pa.StructArray.from_arrays([pa.array(found.tolist(), pa.string()), pa.array(top)], names=["lang_pred", "score"])
 
-    kept = [f for f in docs.schema if keep_text or f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return F.arrow_udf(run, "struct<lang_pred:string,score:double>")(F.col("text").cast("string"))
+
+
+def predict(docs: DataFrame, filters: Filters) -> DataFrame:
+    """docs without text, with lang_pred and score (which replace columns of these names).
+
+    Null texts and texts without a letter are `und` with score 0, as are all if no language was learned; of equal scores
+    the first language by name decides. Each row is judged by its own whole text, so rows that repeat a doc_id may differ;
+    no rows, no result.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    judged = in_batches(docs).select(*kept, _judge(docs, filters).alias("_judged"))
+    return judged.select(*kept, F.col("_judged")["lang_pred"].alias("lang_pred"), F.col("_judged")["score"].alias("score"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -171,8 +180,9 @@ def thresholds(docs: DataFrame, least: float = 0.1, sample: int = SAMPLE) -> dic
 
 def recognised(docs: DataFrame, least: float = 0.1) -> DataFrame:
     """The rows of docs whose language is one of those learned from it, by a part of their n-grams that is usual for its
-    training documents (`thresholds`), and this part at least."""
+    training documents (`thresholds`), and this part at least. All columns stay, whatever their names; texts of any
+    length are judged whole; null texts and texts without a letter go, and so do all if there is nothing to learn from."""
     lines = thresholds(docs, least)
-    line = F.coalesce(F.create_map(*[F.lit(x) for kv in lines.items() for x in kv])[F.col("lang_pred")], F.lit(lines[""]))
-    found = predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), fit(docs), keep_text=True)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= line)).drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})
+    judged = _judge(docs, fit(docs))
+    line = F.coalesce(F.create_map(*[F.lit(x) for kv in lines.items() for x in kv])[judged["lang_pred"]], F.lit(lines[""]))
+    return in_batches(docs).where((judged["lang_pred"] != UNKNOWN) & (judged["score"] >= line))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_or_not
+from .common import cut, in_batches, parts, small_or_not
 from .components import components
 from .shingles import WordHashes, mix, shingle_set
 
@@ -46,8 +46,8 @@ def _sets(words: int, keep: int | None):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for a, b in parts(batch.column(1)):
+                part = batch.slice(a, b - a)
                 sets = [shingle_set(t, words, hashes) for t in part.column(1).to_pylist()]
                 one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 two = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(0x51ED27))) if len(s) else 0 for s in sets], np.uint64)
@@ -63,7 +63,7 @@ _SETS = "doc_id long, n_shingles long, set_a long, set_b long, hashes array<long
 
 
 def document_sets(docs: DataFrame, words: int, keep: int | None) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets(words, keep), _SETS)
+    return in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets(words, keep), _SETS)
 
 
 def _similar(a: Column, b: Column, threshold: float) -> Column:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_or_not
+from .common import cut, in_batches, small_or_not
 
 #: Buckets of features; labelled documents used (on average, drawn by a hash of doc_id); grades above 0.
 BUCKETS, SAMPLE, GRADES = 1 << 20, 12_000, 3
@@ -217,7 +217,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "severity", "grade", "toxic", "p_toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, severity double, grade long, toxic boolean, p_toxic double")
+    return in_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, severity double, grade long, toxic boolean, p_toxic double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
