@@ -9,8 +9,8 @@ import numpy as np
 
 #: Ids of a block. Blocks are decoded side by side, each from its own bit offset.
 BLOCK = 1024
-_HEAD = struct.Struct("<4sIQQQQIQI")  # magic, block, start, documents, ids, symbols, bytes of lengths, bytes of bits, crc
-_MAGIC = b"HUF1"
+_HEAD = struct.Struct("<4sIQQQQQIQI")  # magic, block, start, documents, those of them (the first) without an id, ids, symbols, bytes of lengths, bytes of bits, crc
+_MAGIC = b"HUF2"
 
 
 def code_lengths(counts: np.ndarray, most: int = 16) -> np.ndarray:
@@ -64,7 +64,7 @@ def _pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[byte
     return words.astype(np.uint32).astype(">u4").tobytes(), at[::BLOCK].astype(np.uint64)
 
 
-def write(start: int, doc_ids: np.ndarray, doc_lengths: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> bytes:
+def write(start: int, doc_ids: np.ndarray, doc_lengths: np.ndarray, ids: np.ndarray, lengths: np.ndarray, nulls: int = 0) -> bytes:
     """One file: header, code lengths, documents (id, ids), bit offsets of the blocks, bits."""
     codes, _, longest = canonical(lengths)
     if longest > 32:
@@ -72,14 +72,14 @@ def write(start: int, doc_ids: np.ndarray, doc_lengths: np.ndarray, ids: np.ndar
     bits, offsets = _pack(ids, lengths, codes)
     table = zlib.compress(lengths.astype(np.uint8).tobytes())
     body = table + doc_ids.astype("<i8").tobytes() + doc_lengths.astype("<u8").tobytes() + offsets.astype("<u8").tobytes() + bits
-    return _HEAD.pack(_MAGIC, BLOCK, start, len(doc_ids), len(ids), len(lengths), len(table), len(bits), zlib.crc32(body)) + body
+    return _HEAD.pack(_MAGIC, BLOCK, start, len(doc_ids), nulls, len(ids), len(lengths), len(table), len(bits), zlib.crc32(body)) + body
 
 
 class File:
     """A file's parts; nothing is decoded before ids() is called."""
 
     def __init__(self, data: bytes):
-        magic, self.block, self.start, docs, self.n, symbols, table, bits, crc = _HEAD.unpack_from(data)
+        magic, self.block, self.start, docs, self.nulls, self.n, symbols, table, bits, crc = _HEAD.unpack_from(data)
         if magic != _MAGIC or zlib.crc32(memoryview(data)[_HEAD.size :]) != crc:
             raise ValueError("not a whole token file")
         at = _HEAD.size

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import huffman
-from .common import cut, new_folder
+from .common import cut, in_batches, new_folder, parts
 
 #: Ids after which a file ends (with the document that reaches it).
 FILE_IDS = 4_000_000
-#: Parts whose ids a Python worker remembers, from one task to the next.
-_MAX_WORDS, _MAX_BYTES = 700_000, 14_000_000
-_CHUNK = "part int, chunk int, before long, doc_ids array<long>, lengths array<long>, ids binary, symbols array<int>, counts array<long>"
+#: Parts whose ids a Python worker remembers, from one task to the next of a stage (the next stage forgets them).
+_MAX_WORDS, _MAX_BYTES = 400_000, 8_000_000
+_CHUNK = "part int, chunk int, before long, nulls long, doc_ids array<long>, lengths array<long>, ids binary, symbols array<int>, counts array<long>"
 
 
 @lru_cache(2)
@@ -133,24 +133,25 @@ def _words(path: str) -> WordIds:
 def _tokenise(path: str, end_id: int, file_ids: int):
     def run(batches):
         words, part, chunk, before = _words(path), TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        kind = "<u2" if words.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
 
         def close():
             nonlocal chunk, before, held
-            doc_ids, lengths, ids = (np.concatenate([h[i] for h in held]) for i in range(3))
+            known, doc_ids, lengths, ids = (np.concatenate([h[i] for h in held]) for i in range(4))
             counts = np.bincount(ids)
             symbols = np.flatnonzero(counts)
-            row = [part, chunk, before, doc_ids, lengths, ids.astype("<u4" if ids.max() > 65535 else "<u2").tobytes(), symbols, counts[symbols]]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=[c.split()[0] for c in _CHUNK.split(", ")])
+            row = [part, chunk, before, int((~known).sum()), doc_ids, lengths, ids.tobytes(), symbols, counts[symbols]]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=[c.split()[0] for c in _CHUNK.split(", ")])
             chunk, before, held = chunk + 1, before + len(ids), []
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = batch.slice(at, 1024)
-                ids, sizes = words.ids([t or "" for t in rows.column(1).to_pylist()])
-                ends = np.cumsum(sizes)
-                held.append((np.array(rows.column(0)), sizes + 1, np.insert(ids, ends, end_id)))
-                if sum(len(h[2]) for h in held) >= file_ids:
+            for a, b in parts(batch.column(2)):
+                rows = batch.slice(a, b - a)
+                ids, sizes = words.ids([t or "" for t in rows.column(2).to_pylist()])
+                ids = np.insert(ids, np.cumsum(sizes), end_id).astype(kind)
+                held.append((rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(), sizes + 1, ids))
+                if sum(len(h[3]) for h in held) >= file_ids:
                     yield from close()
         if held:
             yield from close()
@@ -160,16 +161,17 @@ def _tokenise(path: str, end_id: int, file_ids: int):
 
 def _encode(folder: str, lengths: bytes):
     def run(batches):
+        _words.cache_clear()
         system, root = fs.FileSystem.from_uri(folder)
         code = np.frombuffer(lengths, np.uint8)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                part, chunk, start = (row.column(k)[0].as_py() for k in range(3))
-                doc_ids, sizes = (row.column(k)[0].values.to_numpy() for k in (3, 4))
-                blob = row.column(5)[0].as_buffer()
+                part, chunk, start, nulls = (row.column(k)[0].as_py() for k in range(4))
+                doc_ids, sizes = (row.column(k)[0].values.to_numpy() for k in (4, 5))
+                blob = row.column(6)[0].as_buffer()
                 ids = np.frombuffer(blob, "<u2" if len(blob) == 2 * int(sizes.sum()) else "<u4")
-                data = huffman.write(start, doc_ids, sizes, ids, code)
+                data = huffman.write(start, doc_ids, sizes, ids, code, nulls)
                 name = f"{root}/{part:06d}-{chunk:06d}.huf"
                 mine = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
                 with system.open_output_stream(mine) as f:
@@ -183,14 +185,15 @@ def _encode(folder: str, lengths: bytes):
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the files of docs (doc_id, text) into folder, a URI that pyarrow opens; file, bytes, ids of each.
 
-    Documents lie in ascending order of doc_id (null first, as -1), equal doc_ids in a fixed order of their texts. A
-    null text has the end id alone. No rows, no files.
+    Documents lie in ascending order of doc_id (null first), equal doc_ids in a fixed order of their texts. Null and empty
+    texts have the end id alone; texts of any length are encoded whole; repeated rows stay. No rows, no files. Other
+    columns are left out.
     """
     spark = docs.sparkSession
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id"), F.xxhash64("text")]
+    rows = in_batches(docs).select(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = [F.col("known"), F.col("doc_id"), F.xxhash64("text")]
     chunks = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_tokenise(tokenizer_path, end_id, file_ids), _CHUNK)
     path = new_folder(spark, "ids")
     chunks.write.option("compression", "zstd").parquet(path)
@@ -207,11 +210,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         firsts.append((part, total))
         total += n
     firsts = spark.createDataFrame(firsts, "part int, first long")
-    placed = chunks.join(F.broadcast(firsts), "part").select("part", "chunk", (F.col("first") + F.col("before")).alias("start"), "doc_ids", "lengths", "ids")
+    placed = chunks.join(F.broadcast(firsts), "part").select("part", "chunk", (F.col("first") + F.col("before")).alias("start"), "nulls", "doc_ids", "lengths", "ids")
     return cut(placed.mapInArrow(_encode(folder, huffman.code_lengths(counts).tobytes()), "file string, bytes long, ids long"), "files")
 
 
 def _decode(batches):
+    _words.cache_clear()
     for batch in batches:
         for data in batch.column(0):
             f = huffman.File(data.as_py())
@@ -220,7 +224,8 @@ def _decode(batches):
             begins = ends - f.doc_lengths.astype(np.int64)
             view = memoryview(ids).cast("B")
             crcs = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids), pa.array(f.start + begins), pa.array(f.doc_lengths.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            doc_ids = pa.array(f.doc_ids, mask=np.arange(len(f.doc_ids)) < f.nulls)
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(f.start + begins), pa.array(f.doc_lengths.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(spark, folder: str) -> DataFrame:
@@ -233,4 +238,4 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFr
     folder = new_folder(docs.sparkSession, "token-files")
     if not write_token_files(docs, tokenizer_path, folder, end_id).limit(1).count():
         return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_token_files(docs.sparkSession, folder).withColumn("doc_id", F.when(F.col("doc_id") >= 0, F.col("doc_id")))
+    return read_token_files(docs.sparkSession, folder)
