@@ -12,6 +12,7 @@ the vector of these logarithms.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, in_batches, small_or_not
 
 #: Buckets of features; labelled documents used (on average, drawn by a hash of doc_id); grades above 0.
-BUCKETS, SAMPLE, GRADES = 1 << 20, 12_000, 3
+BUCKETS, SAMPLE, GRADES = 1 << 20, 6_000, 3
 #: Lengths of a word's character n-grams, its two ends marked.
 SHORTEST, LONGEST = 5, 7
 #: A word marks toxic documents if it is so many times likelier in them, by the lower end of its error band, and at
@@ -40,11 +41,12 @@ def words(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
-def features(word: str) -> np.ndarray:
-    """Buckets of a word, marked at its ends, and of its n-grams; each counts as one over the root of their number."""
+def features(word: str) -> list[int]:
+    """Buckets of a word, marked at its ends (first), and of its n-grams; each counts as one over the root of their number."""
     s = f"<{word}>".encode("utf-32-le", "surrogatepass")
-    parts = {s} | {s[4 * i : 4 * (i + n)] for n in range(SHORTEST, LONGEST + 1) for i in range(len(s) // 4 - n + 1)}
-    return np.array(sorted({xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts}), np.int64)
+    parts = {s[4 * i : 4 * (i + n)] for n in range(SHORTEST, LONGEST + 1) for i in range(len(s) // 4 - n + 1)}
+    whole = xxhash.xxh3_64_intdigest(s) % BUCKETS
+    return [whole, *sorted({xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts} - {whole})]
 
 
 class Model:
@@ -88,19 +90,30 @@ def score(text: str | None, scores: _WordScores) -> float | None:
 
 
 class Training:
-    """Documents as (row, word, x) and words as (word, bucket, x); weights are of the buckets that occur."""
+    """Documents as (row, word, x) and words as (word, bucket, x); weights are of the buckets that can be told apart.
 
-    def __init__(self, docs: list[np.ndarray], counts: list[np.ndarray], grams: list[np.ndarray], grade: np.ndarray):
-        """docs: numbers of different words, which grams has the buckets of; counts: how often each occurs."""
+    n-grams that a single word has say no more than the word itself, and get no weight.
+    """
+
+    def __init__(self, docs: list[np.ndarray], counts: list[np.ndarray], vocabulary: list[list[int]], grade: np.ndarray):
+        """docs: numbers of different words, of whose features vocabulary gives the buckets (an iterable will do);
+        counts: how often each occurs."""
         self.n, self.grade = len(docs), grade
-        self.row = np.repeat(np.arange(self.n), list(map(len, docs)))
-        self.word = np.concatenate([*docs, np.empty(0, np.int64)]).astype(np.int64)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), list(map(len, docs)))
+        self.word = np.concatenate([*docs, np.empty(0, np.int32)]).astype(np.int32)
         x = np.log1p(np.concatenate([*counts, np.empty(0)]).astype(float))
         self.x = x / np.sqrt(np.maximum(np.bincount(self.row, x * x, minlength=max(1, self.n)), 1e-9))[self.row]
-        sizes = np.array(list(map(len, grams)), np.int64)
-        self.of, self.n_words = np.repeat(np.arange(len(grams)), sizes), len(grams)
+        flat, sizes = array("i"), array("i")
+        for buckets in vocabulary:
+            flat.extend(buckets)
+            sizes.append(len(buckets))
+        flat, sizes = np.array(flat, np.int32), np.array(sizes, np.int32)
+        self.n_words = len(sizes)
+        keep = np.bincount(flat, minlength=BUCKETS)[flat] > 1
+        keep[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        self.of = np.repeat(np.arange(self.n_words, dtype=np.int32), sizes)[keep]
         self.part = (1 / np.sqrt(np.maximum(sizes, 1)))[self.of]
-        self.buckets, self.gram = np.unique(np.concatenate([*grams, np.empty(0, np.int64)]).astype(np.int64), return_inverse=True)
+        self.buckets, self.gram = np.unique(flat[keep], return_inverse=True)
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         by_word = np.bincount(self.of, w[self.gram] * self.part, minlength=self.n_words)
@@ -135,9 +148,9 @@ def grades(docs: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray)
     return out
 
 
-def train(docs: list[np.ndarray], counts: list[np.ndarray], grams: list[np.ndarray], grade: np.ndarray) -> Model:
+def train(docs: list[np.ndarray], counts: list[np.ndarray], vocabulary: list[list[int]], grade: np.ndarray) -> Model:
     """Scaled gradient descent with momentum; steps that make the loss larger are taken back and halved."""
-    data = Training(docs, counts, grams, grade)
+    data = Training(docs, counts, vocabulary, grade)
     goal = (grade[:, None] > np.arange(GRADES)[None, :]).mean(0) if len(docs) else np.full(GRADES, 0.5)
     share = np.clip(goal, 1e-3, 1 - 1e-3)
     gap = 1e-3 * np.arange(GRADES)  # thresholds stay apart
@@ -170,8 +183,8 @@ def _sampled(batches):
         for counts in found:
             fresh.append([w for w in counts if w not in known])
             known.update(fresh[-1])
-        at = [[xxhash.xxh3_64_intdigest(w.encode("utf-32-le", "surrogatepass")) - (1 << 63) for w in c] for c in found]
-        columns = [pa.array(at, pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array([[w.encode("utf-32-le", "surrogatepass") for w in f] for f in fresh], pa.list_(pa.binary())), batch.column(1)]
+        at = [[xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in c] for c in found]
+        columns = [pa.array(at, pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array([[w.encode("utf-8", "surrogatepass") for w in f] for f in fresh], pa.list_(pa.binary())), batch.column(1)]
         yield pa.RecordBatch.from_arrays(columns, names=["at", "n", "fresh", "toxic"])
 
 
@@ -185,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = rows.mapInArrow(_sampled, "at array<long>, n array<int>, fresh array<binary>, toxic long").toArrow()
     vocabulary = sorted({w.as_py() for part in got.column("fresh").chunks for w in part.values})
     hashes = np.array([xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in vocabulary], np.int64)
-    order = np.argsort(hashes)
+    order = np.argsort(hashes).astype(np.int32)
     take = lambda c: [v.values.to_numpy() for v in got.column(c)]
     docs_at = [order[np.searchsorted(hashes, at, sorter=order)] for at in take("at")]
     counts, toxic = take("n"), got.column("toxic").to_numpy()
@@ -194,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     docs_at, counts = [at[s] for at, s in zip(docs_at, sort)], [n[s] for n, s in zip(counts, sort)]
     rows_by = sorted(range(len(docs_at)), key=lambda i: (docs_at[i].tobytes(), counts[i].tobytes(), toxic[i]))
     docs_at, counts, toxic = [docs_at[i] for i in rows_by], [counts[i] for i in rows_by], toxic[rows_by]
-    return train(docs_at, counts, [features(w.decode("utf-32-le", "surrogatepass")) for w in vocabulary], grades(docs_at, counts, toxic))
+    return train(docs_at, counts, (features(w.decode("utf-8", "surrogatepass")) for w in vocabulary), grades(docs_at, counts, toxic))
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:
