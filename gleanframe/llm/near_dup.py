@@ -115,14 +115,17 @@ def _labelled(listed: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _with_leaders(lists: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """(a, b), a < b: each member of a list with the list's leader, if they lie in different components.
+    """(a, b), a < b: each node with the leader of one of its lists that lies in a different component.
 
-    The first leader is the member with the most widely shared sketch, which stands in the middle of its group; later
-    ones are drawn by a hash, so that a node meets another leader in each of its lists.
+    The leader is the member with the most widely shared sketch, which stands in the middle of its group, later a drawn
+    one. A node first meets the most central leader of all its lists, then that of its shortest list, where it finds the
+    likes of a small group, then any: no more pairs than nodes in a turn.
     """
-    rank = F.struct("central", "node", "n", "component") if turn == 0 else F.struct(F.xxhash64("value", "node", F.lit(turn)).alias("draw"), "node", "n", "component")
-    leaders = lists.groupBy("value").agg(F.max(rank).alias("lead")).select("value", F.col("lead.node").alias("node_2"), F.col("lead.n").alias("n_2"), F.col("lead.component").alias("component_2"))
+    rank = F.struct(*(["central"] if turn < 2 else [F.xxhash64("value", "node", F.lit(turn)).alias("draw")]), "node", "n", "component")
+    leaders = lists.groupBy("value").agg(F.max(rank).alias("lead"), F.count("*").alias("members")).select("value", "members", F.col("lead").getField("central" if turn < 2 else "draw").alias("rank"), F.col("lead.node").alias("node_2"), F.col("lead.n").alias("n_2"), F.col("lead.component").alias("component_2"))
     met = lists.join(leaders, "value").where(F.col("component") != F.col("component_2")).where(_similar(F.col("n"), F.col("n_2"), threshold))
+    first = F.struct(F.col("rank") if turn == 0 else -F.col("members") if turn == 1 else F.xxhash64("value", F.lit("turn")), "node_2")
+    met = met.groupBy("node").agg(F.max_by("node_2", first).alias("node_2"))
     return met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
 
 

@@ -11,7 +11,7 @@ import xxhash
 
 #: Odd multipliers, one for each place of a shingle (drawn once, from the digits of a fixed seed).
 _PLACES = np.random.default_rng(20240607).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_MAX_WORDS = 400_000
+_MAX_WORDS = 100_000
 
 
 class WordHashes(dict):
