@@ -49,6 +49,15 @@ def query(name: str, statement: str | None = None):
     return register
 
 
+def _expressions(statement: str) -> list[str]:
+    """The expressions of a plain select, apart at the commas outside brackets."""
+    body, out, depth = statement.removeprefix("select ").rsplit(" from ", 1)[0], [""], 0
+    for c in body:
+        depth += (c == "(") - (c == ")")
+        out.append("") if c == "," and not depth else out.__setitem__(-1, out[-1] + c)
+    return out
+
+
 def queries():
     return dict(_QUERIES)
 
@@ -137,13 +146,13 @@ def _(spark, d):
 
 @query("u17_download_key", sql("fx_links") + _LINKS + " select coalesce(file_key, lower(rtrim(url, '/'))) as key, count(*) as n from ids group by 1")
 def _(spark, d):
-    return frame(spark, d, "fx_links").groupBy(urls.download_key(F.col("url")).alias("key")).agg(F.count("*").alias("n"))
+    return _links(spark, d).groupBy(F.coalesce("file_key", urls.plain_key(F.col("url"))).alias("key")).agg(F.count("*").alias("n"))
 
 
 @query("u18_downloads", sql("fx_links") + _LINKS + " select host, count_if(file_key is not null) as downloads, count_if(contains(url, '...')) as truncated from ids group by 1")
 def _(spark, d):
     u = F.col("url")
-    return frame(spark, d, "fx_links").groupBy(urls.host_only(u).alias("host")).agg(F.count_if(urls.is_download(u)).alias("downloads"), F.count_if(urls.truncated(u)).alias("truncated"))
+    return _links(spark, d).groupBy(urls.host_only(u).alias("host")).agg(F.count("file_key").alias("downloads"), F.count_if(urls.truncated(u)).alias("truncated"))
 
 
 @query("u20_action_links", sql("fx_items") + " select contains(url, '?vote=') as action, count(*) as n from fx_items group by 1")
@@ -175,10 +184,11 @@ def _(spark, d):
     return frame(spark, d, "fx_items").select((F.col("item_id") % 3).alias("k"), urls.is_wrapper(u, F.lit("")).alias("w")).groupBy("k").agg(F.count_if("w").alias("wrappers"))
 
 
-@query("u25_short_links", "select l_orderkey, 1 as n from lineitem group by 1")
+@query("u25_short_links", "select l_orderkey, count(distinct case when l_partkey % 3 = 0 then concat('bit.ly/a', cast(l_partkey as string)) when l_partkey % 3 = 1 then concat('tinyurl.com/b', cast(l_suppkey as string)) end) as n from lineitem group by 1")
 def _(spark, d):
-    text = F.expr("concat('get https://bit.ly/a', cast(l_orderkey as string), ' and https://bit.ly/a', cast(l_orderkey as string))")
-    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", urls.short_links(text).alias("s")).groupBy("l_orderkey").agg(F.max(F.size("s")).alias("n"))
+    said = F.expr("concat('get ', case l_partkey % 3 when 0 then concat('https://bit.ly/a', cast(l_partkey as string)) when 1 then concat('http://TinyURL.com/b', cast(l_suppkey as string), '.') else concat('https://notbit.example/c', cast(l_partkey as string)) end)")
+    text = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_join(F.collect_list(said), ", ").alias("text"))
+    return text.select("l_orderkey", F.size(urls.short_links(F.col("text"))).cast("long").alias("n"))
 
 
 @query("u26_echo_keys", "select concat('h.example/a b', cast(p_partkey % 40 as string)) as key, count(*) as n from part group by 1")
@@ -187,10 +197,18 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").groupBy(urls.echo_key(form).alias("key")).agg(F.count("*").alias("n"))
 
 
-@query("u28_same_site", f"select count_if({_HOST} = 'www.example.com') as never, count_if({_HOST} = {_HOST}) as always from pages")
+@query("u28_same_site", f"with h as (select page_id, {_HOST} as host from pages) select a.page_id, a.host = b.host as same from h a join h b on b.page_id = (a.page_id * 7 + 1) % (select count(*) from pages)")
+def _(spark, d):
+    pages = _pages(spark, d)
+    other = pages.select(F.col("page_id").alias("other_id"), F.col("url").alias("other"))
+    met = pages.withColumn("other_id", (F.col("page_id") * 7 + 1) % pages.count()).join(other, "other_id")
+    return met.select("page_id", urls.same_site(F.col("url"), F.col("other")).alias("same"))
+
+
+@query("u29_extensions_of_links", sql("fx_links") + " select case part % 9 when 1 then 'html' when 6 then 'rar' when 7 then '' else '' end as ext, part % 9 = 6 as media, count(*) as n from fx_links group by 1, 2")
 def _(spark, d):
     u = F.col("url")
-    return _pages(spark, d).agg(F.count_if(urls.same_site(u, F.lit("https://www.www.example.com/"))).alias("never"), F.count_if(urls.same_site(u, u)).alias("always"))
+    return frame(spark, d, "fx_links").groupBy(urls.extension(u).alias("ext"), urls.is_media(u).alias("media")).agg(F.count("*").alias("n"))
 
 
 @query("u29_media_extensions", sql("fx_media") + " select lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) as ext, true as media, count(*) as n from fx_media group by 1, 2")
@@ -223,12 +241,11 @@ def _(spark, d):
     return history.fresh(_kept(spark, d), frame(spark, d, "fx_downloads")).groupBy("host").agg(F.count("*").alias("files"), F.count_distinct("item_id").alias("items"))
 
 
-_RELEASES = ", rf as (select distinct concat('https://site.example/r', cast(item_id % 5000 as string)) as release, file_key from ids where part % 9 < 2 and file_key is not null)"
+_RELEASES = ", rf as (select distinct concat('https://site.example/r', cast(item_id % 5000 as string)) as release, file_key from ids where file_key is not null)"
 
 
 def _release_files(spark, d):
-    rows = _links(spark, d).where("part % 9 < 2")
-    return rows.select(F.expr("concat('https://site.example/R', cast(item_id % 5000 as string), '/')").alias("release_url"), "file_key")
+    return _links(spark, d).select(F.expr("concat('https://site.example/R', cast(item_id % 5000 as string), '/')").alias("release_url"), "file_key")
 
 
 _DONE = sql("fx_links", "fx_downloads") + _LINKS + _RELEASES + ", done as (select release, count(*) as files from rf left join fx_downloads d on rf.file_key = d.file_key group by 1 having count(*) = count(d.file_key))"
@@ -259,7 +276,7 @@ def _(spark, d):
 @query("j6_new_vs_baseline", "select o_orderkey as release_id, o_custkey % 5 as store from orders where not (o_custkey % 5 < 3 and o_orderkey % 2 = 0)")
 def _(spark, d):
     rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey as release_id", "o_custkey % 5 as store")
-    return rows.join(rows.where("store < 3 and release_id % 2 = 0"), ["store", "release_id"], "left_anti").select("release_id", "store")
+    return history.not_in_baseline(rows, rows.where("store < 3 and release_id % 2 = 0"), ["store", "release_id"]).select("release_id", "store")
 
 
 _SNAP = ", snap as (select concat('rapidgator:', regexp_extract(url, '/file/([A-Za-z0-9]+)', 1)) as file_key, bool_or(availability = 'OFFLINE') as offline from fx_snapshot group by 1)"
@@ -286,12 +303,12 @@ def _(spark, d):
     return history.drop_offline(frame(spark, d, "fx_snapshot"), frame(spark, d, "fx_downloads"))[1].select("file_key", "state")
 
 
-@query("j11_completeness", "with w as (select concat('pack', cast(p_partkey % 100 as string)) as package, p_partkey from part) select package, count_if(p_partkey % 100 < 60 or p_partkey % 3 = 0) as found, count(*) as wanted, bool_and(p_partkey % 100 < 60 or p_partkey % 3 = 0) as complete from w group by 1")
+@query("j11_completeness", "with w as (select concat('pack', cast(p_partkey % 100 as string)) as package, p_partkey from part) select package, count_if(p_partkey % 100 < 60 or p_partkey % 3 = 0) as found, count(*) as wanted, bool_and(p_partkey % 100 < 60 or p_partkey % 3 = 0) or max(p_partkey % 100 * 11) >= 900 as complete from w group by 1")
 def _(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
-    wanted = part.selectExpr("concat('pack', cast(p_partkey % 100 as string)) as package", "concat('https://h.example/a%20', cast(p_partkey as string)) as url")
+    wanted = part.selectExpr("concat('pack', cast(p_partkey % 100 as string)) as package", "concat('https://h.example/a%20', cast(p_partkey as string)) as url", "p_partkey % 100 * 11 as waited")
     came = part.where("p_partkey % 100 < 60 or p_partkey % 3 = 0").selectExpr("concat('http://www.H.example/a ', cast(p_partkey as string), '/') as url")
-    return history.completeness(wanted, came)
+    return history.completeness(wanted, came, "waited")
 
 
 @query("j12_redirects", sql("fx_redirects") + ", e as (select src, min(dst) as dst from fx_redirects group by 1), one as (select src as url, case when dst <> src then dst else src end as t1, case when dst <> src then 1 else 0 end as v1 from e), two as (select url, t1, v1, e.dst from one left join e on e.src = t1 and not contains(t1, 'rapidgator')) select url, case when dst is not null and dst <> t1 and dst <> url then dst else t1 end as target, v1 + case when dst is not null and dst <> t1 and dst <> url then 1 else 0 end as via from two")
@@ -300,21 +317,20 @@ def _(spark, d):
     return chains.resolve_redirects(edges.select(F.col("src").alias("url")), edges).select("url", "target", "via")
 
 
-@query("j13_page_chain", sql("fx_next") + ", walk(start, page, n) as (select page, page, 0 from fx_next where page % 50 = 1 union all select w.start, f.next_page, w.n + 1 from walk w join fx_next f on f.page = w.page where f.next_page is not null and w.n < 59) select start, page, cast(min(n) as bigint) as n from walk group by 1, 2")
+@query("j13_page_chain", sql("fx_next") + ", walk(start, page, n) as (select page, page, 0 from fx_next union all select w.start, f.next_page, w.n + 1 from walk w join fx_next f on f.page = w.page where f.next_page is not null and w.n < 499) select start, page, cast(min(n) as bigint) as n from walk group by 1, 2")
 def _(spark, d):
     edges = frame(spark, d, "fx_next")
-    return chains.page_chain(edges, edges.where("page % 50 = 1").select("page"), 60).select("start", "page", "n")
+    return chains.page_chain(edges, edges.select("page"), 500).select("start", "page", "n")
 
 
 @query("j14_items_without_links", sql("fx_links", "fx_items") + _LINKS + " select item_id from fx_items where item_id not in (select item_id from ids where file_key is not null)")
 def _(spark, d):
-    return frame(spark, d, "fx_items").join(_links(spark, d).where("file_key is not null"), "item_id", "left_anti").select("item_id")
+    return history.without_files(frame(spark, d, "fx_items"), _links(spark, d)).select("item_id")
 
 
 @query("j15_participated_topics", sql("fx_posts") + " select distinct topic_id from fx_posts where author = 7")
 def _(spark, d):
-    posts = frame(spark, d, "fx_posts")
-    return posts.select("topic_id").distinct().join(posts.where("author = 7"), "topic_id", "left_semi")
+    return history.participated(frame(spark, d, "fx_posts"), 7)
 
 
 @query("j16_event_categories", "with ev as (select n_nationkey, n_name from nation join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')), p as (select o_orderkey as id, a.n_nationkey as one, b.n_nationkey as two, concat('live at ', b.n_name, ' and ', a.n_name) as title from orders join nation a on a.n_nationkey = o_custkey % 25 join nation b on b.n_nationkey = o_orderkey % 25), m as (select id, n_name as event, row_number() over (partition by id order by strpos(lower(title), lower(n_name)), n_name) as n from p join ev on n_nationkey = one or n_nationkey = two) select id, event from m where n = 1")
@@ -343,7 +359,7 @@ def _(spark, d):
 @query("j19_enqueue_new", sql("fx_links") + " select url, count(*) as n from fx_links where part >= 100 and url not in (select url from fx_links where part < 100) group by 1")
 def _(spark, d):
     rows = frame(spark, d, "fx_links")
-    return rows.where("part >= 100").join(rows.where("part < 100"), "url", "left_anti").groupBy("url").agg(F.count("*").alias("n"))
+    return history.not_in_baseline(rows.where("part >= 100"), rows.where("part < 100"), ["url"]).groupBy("url").agg(F.count("*").alias("n"))
 
 
 @query("m1_record_sent", sql("fx_links", "fx_downloads") + _LINKS + ", b as (select file_key, min_by(url, sent) as url, min(sent) as first_sent, max(sent) as last_seen, max_by(package, case when package <> '' then sent end) as package from (select file_key, url, item_id * 10000000000 + pos * 1000000000 + part * 10000 + supp as sent, case when item_id % 3 = 0 then '' else concat('new', cast(item_id % 50 as string)) end as package from ids where file_key is not null) group by 1) select coalesce(d.file_key, b.file_key) as file_key, coalesce(d.url, b.url) as url, coalesce(d.state, 'sent') as state, coalesce(b.package, d.package) as package, coalesce(d.first_sent, b.first_sent) as first_sent, coalesce(b.last_seen, d.last_seen) as last_seen from fx_downloads d full outer join b on d.file_key = b.file_key")
@@ -383,12 +399,11 @@ def _(spark, d):
     return history.latest(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-@query("m9_changed_pages", "select page_id from pages where page_id % 3 = 0 or url in (select url from pages group by 1 having count(distinct html) > 1)")
+@query("m9_changed_pages", "with c as (select url, arg_min(html, page_id) as html from pages where page_id % 3 <> 0 group by 1) select page_id from pages p left join c on c.url = p.url where c.html is null or c.html <> p.html")
 def _(spark, d):
     pages = _pages(spark, d)
-    cache = pages.where("page_id % 3 <> 0").groupBy("url").agg(F.min(F.xxhash64("html")).alias("hash"))
-    changed = history.changed_pages(pages, cache).select("page_id")
-    return changed.union(pages.join(pages.groupBy("url").agg(F.count_distinct("html").alias("n")).where("n > 1"), "url", "left_semi").select("page_id")).union(pages.where("page_id % 3 = 0").select("page_id")).distinct()
+    cache = pages.where("page_id % 3 <> 0").groupBy("url").agg(F.xxhash64(F.min_by("html", "page_id")).alias("hash"))
+    return history.changed_pages(pages, cache).select("page_id")
 
 
 @query("m10_retry_states", "select p_partkey, case p_partkey % 3 when 0 then 'done' when 1 then 'queued' else case when p_partkey % 8 >= 6 or p_partkey % 500 in (404, 410) then 'failed' else 'queued' end end as state from part")
@@ -468,7 +483,7 @@ def _(spark, d):
 @query("t11_posts_in_window", sql("fx_posts") + " select topic_id, offs, count_if(day >= date '2024-01-16') as kept, min(day) as oldest, max(day) as newest from fx_posts group by 1, 2")
 def _(spark, d):
     since = F.lit("2024-01-16").cast("date")
-    return frame(spark, d, "fx_posts").groupBy("topic_id", "offs").agg(F.count_if(~dates.too_old(F.col("day"), since)).alias("kept"), F.min("day").alias("oldest"), F.max("day").alias("newest"))
+    return windows.posts_in_window(frame(spark, d, "fx_posts"), ["topic_id", "offs"], "day", since)
 
 
 @query("t12_cms_window", "with p as (select l_suppkey as blog, l_orderkey * 10 + l_linenumber as ordinal, case when l_linenumber = 4 then null else cast(l_shipdate as date) end as day, l_partkey from lineitem), s as (select blog, min(ordinal) as stop from p where day < date '1992-06-01' group by 1) select p.blog, ordinal, count(*) as n from p left join s on s.blog = p.blog where stop is null or ordinal < stop group by 1, 2")
@@ -576,9 +591,9 @@ def _(spark, d):
     return counts.per(frame(spark, d, "fx_queue"), "to_state")
 
 
-@query("a5_crawl_records", sql("fx_links", "fx_downloads") + _KEPT + " select item_id % 100 as crawl, count(distinct item_id) as items, count(*) as total, count_if(d.file_key is null) as fresh, count_if(d.file_key is not null) as already_sent from kept left join fx_downloads d on d.file_key = kept.file_key group by 1")
+@query("a5_crawl_records", sql("fx_links", "fx_downloads") + _KEPT + " select item_id % 100 as crawl, count(distinct item_id % 700) as pages, count(distinct item_id) as items, count(*) as total, count_if(d.file_key is null) as fresh, count_if(d.file_key is not null) as already_sent from kept left join fx_downloads d on d.file_key = kept.file_key group by 1")
 def _(spark, d):
-    seen = history.annotate(_kept(spark, d), frame(spark, d, "fx_downloads")).withColumn("crawl", F.col("item_id") % 100)
+    seen = history.annotate(_kept(spark, d), frame(spark, d, "fx_downloads")).withColumns({"crawl": F.col("item_id") % 100, "page_id": F.col("item_id") % 700})
     return counts.crawl_records(seen)
 
 
@@ -588,6 +603,15 @@ def _(spark, d):
     return rows.rollup("job", "form").agg(F.count("*").alias("links"), F.count_distinct("item_id").alias("items"))
 
 
+_CRAWLS = "select o_custkey % 50 as job, concat('u', cast(o_orderkey % 97 as string)) as url, o_orderkey % 7 as pages, o_orderkey % 5 as links, o_orderkey % 3 as fresh, o_orderkey % 2 as already_sent, o_orderkey % 1100 = 0 as caught_up, case when o_orderkey % 13 = 0 then 'no answer' when o_orderkey % 17 = 0 then '' end as error from orders"
+
+
+@query("a6_job_view", f"with c as ({_CRAWLS}) select job, cast(sum(pages) as bigint) as pages, cast(sum(links) as bigint) as links, cast(sum(fresh) as bigint) as fresh, cast(sum(already_sent) as bigint) as already_sent, bool_or(caught_up) as caught_up, coalesce(string_agg(case when error <> '' then concat(url, ': ', error) end, chr(10) order by concat(url, ': ', error)), '') as errors from c group by 1")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    return counts.job_rollup(rows.selectExpr(*_expressions(_CRAWLS)))
+
+
 @query("a7_trace_stages", sql("fx_trace") + " select stage, count(*) as n from fx_trace group by 1")
 def _(spark, d):
     return counts.per(frame(spark, d, "fx_trace"), "stage")
@@ -595,13 +619,18 @@ def _(spark, d):
 
 @query("a8_files_per_release", sql("fx_media") + " select post, count(distinct url) as files from fx_media group by 1")
 def _(spark, d):
-    return frame(spark, d, "fx_media").groupBy("post").agg(F.count_distinct("url").alias("files"))
+    return counts.files_per(frame(spark, d, "fx_media"), "post")
 
 
 @query("a9_distinct_files", sql("fx_links") + _LINKS + " select count(distinct file_key) as files, count(distinct host) as hosts from ids")
 def _(spark, d):
-    rows = _links(spark, d)
-    return rows.agg(F.count_distinct("file_key").alias("files"), F.count_distinct(urls.host_only(F.col("url"))).alias("hosts"))
+    return counts.distinct_files(_links(spark, d))
+
+
+@query("c9_checkable_hosts", sql("fx_links") + _LINKS + " select host, host in ('rapidgator.net', 'mega.nz', 'mega.co.nz', 'mediafire.com', 'swisstransfer.com') as checkable, count(*) as n from ids group by 1, 2")
+def _(spark, d):
+    u = F.col("url")
+    return frame(spark, d, "fx_links").groupBy(urls.host_only(u).alias("host"), formats.checkable(u).alias("checkable")).agg(F.count("*").alias("n"))
 
 
 # --- sorts and limits -------------------------------------------------------------------------------------------------
@@ -609,23 +638,28 @@ def _(spark, d):
 
 @query("l1_recent_history", sql("fx_downloads") + " select file_key, last_seen from fx_downloads order by last_seen desc, file_key limit 25")
 def _(spark, d):
-    return frame(spark, d, "fx_downloads").select("file_key", "last_seen").orderBy(F.desc("last_seen"), "file_key").limit(25)
+    return frame(spark, d, "fx_downloads").select("file_key", "last_seen").transform(history.newest_first, "last_seen", ["file_key"], 25)
 
 
-@query("l2_recent_failures", sql("fx_queue") + " select seq, queue_id from fx_queue where to_state = 'FAILED' order by seq desc limit 20")
+@query("l2_recent_failures", sql("fx_queue") + " select seq, queue_id from fx_queue where to_state = 'failed' order by seq desc limit 20")
 def _(spark, d):
-    return frame(spark, d, "fx_queue").where("to_state = 'FAILED'").select("seq", "queue_id").orderBy(F.desc("seq")).limit(20)
+    return history.newest_first(frame(spark, d, "fx_queue"), "seq", [], 20, "to_state = 'failed'").select("seq", "queue_id")
 
 
 @query("l3_pending_first", "select p_partkey, case when p_partkey % 10 = 0 then 'pending' else 'done' end as state from part order by case when p_partkey % 10 = 0 then 0 else 1 end, p_partkey limit 150")
 def _(spark, d):
     rows = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", "case when p_partkey % 10 = 0 then 'pending' else 'done' end as state")
-    return rows.orderBy(F.when(F.col("state") == "pending", 0).otherwise(1), "p_partkey").limit(150)
+    return history.pending_first(rows, "p_partkey", 150)
 
 
 @query("l4_trace_tail", sql("fx_trace") + " select n, stage from fx_trace where stage = 'click' and n > 100 order by n desc limit 30")
 def _(spark, d):
-    return frame(spark, d, "fx_trace").where("stage = 'click' and n > 100").select("n", "stage").orderBy(F.desc("n")).limit(30).orderBy("n")
+    return history.tail(frame(spark, d, "fx_trace").select("n", "stage"), "n", 30, "stage = 'click' and n > 100")
+
+
+@query("l6_watch_list", "select c_nationkey as store, c_name as name from customer order by 1, 2")
+def _(spark, d):
+    return history.watch_list(spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_nationkey as store", "c_name as name"))
 
 
 @query("l5_item_limit", sql("fx_items") + " select base_id, item_id from (select *, row_number() over (partition by base_id order by item_id) as n from fx_items) where n <= 3")
@@ -675,7 +709,7 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", naming.release_title(artists, F.col("p_name")).alias("title"))
 
 
-@query("n12_cover_names", "select p_partkey, case p_partkey % 4 when 0 then 'cover.jpg' else concat('artwork ', cast(p_partkey % 4 as string), ' - Img ', cast(p_partkey as string), '.JPEG') end as name from part")
+@query("n12_cover_names", "select p_partkey, case p_partkey % 4 when 0 then 'cover.jpg' else concat('artwork ', cast(p_partkey % 4 as string), ' - Img%20', cast(p_partkey as string), '.JPEG') end as name from part")
 def _(spark, d):
     u = F.expr("concat('https://c.example/Img%20', cast(p_partkey as string), '.JPEG')")
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", naming.cover_name(F.expr("p_partkey % 4"), u).alias("name"))
@@ -690,10 +724,25 @@ def _(spark, d):
 # --- hand-off ---------------------------------------------------------------------------------------------------------
 
 
-@query("k1_packages", sql("fx_links") + _LINKS + " select package, string_agg(canonical, chr(10) order by o, file_key) as urls from (select concat('p', cast(item_id % 1000 as string)) as package, file_key, min_by(canonical, item_id * 10000000000 + pos * 1000000000 + part * 10000 + supp) as canonical, min(item_id * 10000000000 + pos * 1000000000 + part * 10000 + supp) as o from ids where file_key is not null group by 1, 2) group by 1")
+_SENT = "item_id * 10000000000 + pos * 1000000000 + part * 10000 + supp"
+_JOBS = sql("fx_links") + _LINKS + f", one as (select concat('p', cast(item_id % 1000 as string)) as package, file_key, min_by(canonical, {_SENT}) as canonical, min({_SENT}) as o from ids where file_key is not null group by 1, 2)"
+_JOB = "'TRUE' as enabled, package as packageName, concat('/media/', package) as downloadFolder, 'TRUE' as autoStart, 'TRUE' as autoConfirm"
+
+
+def _packaged(spark, d):
+    return frame(spark, d, "fx_links").withColumn("package", F.expr("concat('p', cast(item_id % 1000 as string))")).withColumn("at", F.expr(_SENT))
+
+
+@query("k1_packages", _JOBS + f" select package, text, {_JOB}, files from (select package, string_agg(canonical, chr(10) order by o, file_key) as text, count(*) as files from one group by 1)")
+def _(spark, d):
+    return handoff.packages(_packaged(spark, d), "at", "/media/").withColumn("files", F.col("files").cast("long"))
+
+
+@query("k2_named_entries", _JOBS + f" select package, canonical as text, {_JOB}, case when contains(canonical, 'rapidgator') then concat('file ', regexp_extract(canonical, '/file/f([0-9]+)', 1)) end as filename from one")
 def _(spark, d):
-    rows = frame(spark, d, "fx_links").withColumn("package", F.expr("concat('p', cast(item_id % 1000 as string))")).withColumn("at", F.expr("item_id * 10000000000 + pos * 1000000000 + part * 10000 + supp"))
-    return handoff.packages(rows, "at").select("package", "urls")
+    rows = _packaged(spark, d)
+    names = dedupe.identified(rows).where("file_key like 'rapidgator:%'").select(F.col("canonical").alias("url"), F.concat(F.lit("file "), F.regexp_extract("canonical", "/file/f([0-9]+)", 1)).alias("filename")).distinct()
+    return handoff.named_entries(rows, names, "at", "/media").drop("at")
 
 
 @query("k3_rejected_links", sql("fx_links") + _LINKS + " select concat('p', cast(item_id % 1000 as string)) as package, count(*) as rejected from ids where file_key is null group by 1")

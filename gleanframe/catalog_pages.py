@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from .catalog import _pages, query
 from .functions import naming
 from .functions import recase as R
+from .operators import cms, detect, items
 from .operators import pages as P
+from .plans.cuts import cut
 from .plans.fixtures import frame, sql
 from .sources import html as H
+from .sources import tables as T
 from .streaming import harvest
 
 _ORIGIN = "regexp_extract(url, '^[^:/?#]+://[^/?#]*')"
@@ -42,21 +45,33 @@ def _(spark, d):
     return P.page_links(pages, H.page_nodes(pages)).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query("u27_absolute_links", f"select page_id, concat({_ORIGIN}, '/a/c') as joined from pages")
+_HREF = "case page_id % 6 when 0 then '/a/b/../c' when 1 then '//other.example/x' when 2 then 'https://whole.example/y' when 3 then '?q=1' when 4 then './d/./e' else '../up' end"
+_BARE = "regexp_extract(url, '^[^?#]*')"
+
+
+@query("u27_absolute_links", f"with p as (select page_id, {_ORIGIN} as o, {_BARE} as bare, regexp_extract({_BARE}, '^[^:/?#]+://[^/]*/(.*)$', 1) as path from pages) select page_id, case page_id % 6 when 0 then concat(o, '/a/c') when 1 then concat(regexp_extract(o, '^[^:]+:'), '//other.example/x') when 2 then 'https://whole.example/y' when 3 then concat(bare, '?q=1') when 4 then concat(o, '/', regexp_extract(path, '^(.*/)?[^/]*$', 1), 'd/e') else concat(o, '/', regexp_extract(path, '^((?:[^/]*/)*)[^/]*/[^/]*$', 1), 'up') end as joined from p")
 def _(spark, d):
-    return _pages(spark, d).select("page_id", H.absolute(F.col("url"), F.lit("/a/b/../c")).alias("joined"))
+    return _pages(spark, d).select("page_id", H.absolute(F.col("url"), F.expr(_HREF)).alias("joined"))
 
 
-@query("h1_unescape", "select page_id, concat('é & <b> ', chr(8212), ' ', cast(page_id as string)) as text from pages")
+@query("h1_unescape", "select page_id, concat(case page_id % 5 when 0 then 'é & <b> ' when 1 then concat(chr(8212), ' ') when 2 then 'A' when 3 then '€' else '&nosuch; ' end, cast(page_id as string)) as text from pages")
 def _(spark, d):
-    return _pages(spark, d).select("page_id", H.unescape(F.concat(F.lit("&eacute; &amp; &lt;b&gt; &mdash; "), F.col("page_id").cast("string"))).alias("text"))
+    text = F.expr("concat(case page_id % 5 when 0 then '&eacute; &amp; &lt;b&gt; ' when 1 then '&mdash; ' when 2 then '&#65;' when 3 then '&#x20AC;' else '&nosuch; ' end, cast(page_id as string))")
+    return _pages(spark, d).select("page_id", H.unescape(text).alias("text"))
+
+
+_BARE_HTML = "html"
+for _tag in ("nav", "header", "footer", "aside", "script", "style"):
+    _BARE_HTML = f"regexp_replace({_BARE_HTML}, '<{_tag}[\\s>].*?</{_tag}>', ' ', 'gs')"
 
 
-@query("h3_without_furniture")
+@query("h3_without_furniture", f"with k as (select page_id, {_BARE_HTML} as html from pages) select page_id, len(regexp_extract_all(html, '<a[\\s>]')) as anchors, len(regexp_extract_all(html, '<p[\\s>]')) as paragraphs from k")
 def _(spark, d):
-    """Words of each page outside navigation, footers and scripts."""
+    """Anchors and paragraphs of each page outside navigation, footers and scripts."""
     kept = P.without_furniture(H.page_nodes(_pages(spark, d)))
-    return kept.groupBy("page_id").agg(F.count("*").alias("nodes"), F.sum(F.length("text")).alias("chars"))
+    counted = kept.groupBy("page_id").agg(F.count_if(F.col("tag") == "a").alias("anchors"), F.count_if(F.col("tag") == "p").alias("paragraphs"))
+    none = F.lit(0).cast("long")
+    return _pages(spark, d).select("page_id").join(counted, "page_id", "left").select("page_id", F.coalesce("anchors", none).alias("anchors"), F.coalesce("paragraphs", none).alias("paragraphs"))
 
 
 @query("h4_outermost_posts", "select page_id, unnest(['a', 'b']) as id from pages")
@@ -70,10 +85,11 @@ def _(spark, d):
     return P.summaries(nodes, _posts(nodes)).select("page_id", "summary")
 
 
-@query("h6_titles", "select page_id, concat('Heading ', cast(page_id as string)) as title from pages")
+@query("h6_titles", r"select page_id, 'a' as id, concat('Heading ', cast(page_id as string)) as title from pages union all select page_id, 'b', replace(regexp_extract(html, '<title>\s*([^<]*?)\s*</title>', 1), '&amp;', '&') from pages")
 def _(spark, d):
     nodes = _nodes(spark, d)
-    return P.titles(nodes, _posts(nodes)).select("page_id", "title")
+    posts = _posts(nodes)
+    return P.titles(nodes, posts).join(posts.select("page_id", F.col("pre").alias("item"), "id"), ["page_id", "item"]).select("page_id", "id", F.coalesce("title", F.lit("")).alias("title"))
 
 
 @query("h13_captions", "select page_id, concat('/m/', cast(page_id as string), '.mp3') as url, concat('Caption ', cast(page_id as string)) as caption from pages union all select page_id, '/m/last.mp3', '' from pages")
@@ -86,8 +102,9 @@ def _(spark, d):
     return P.machine_dates(_nodes(spark, d))
 
 
-@query("t5_post_dates", "select page_id, cast(concat('2024-03-', cast(page_id % 20 + 10 as string)) as date) as day from pages union all select page_id, date '2023-05-04' from pages")
+@query("t5_post_dates", "select page_id, cast(concat('2024-03-', cast(page_id % 20 + 10 as string)) as date) as day from pages union all select page_id, null from pages")
 def _(spark, d):
+    """The second post has no header: the date that its text mentions isn't its own."""
     nodes = _nodes(spark, d)
     return P.post_dates(nodes, _posts(nodes), F.lit("2024-06-01").cast("date")).select("page_id", "day")
 
@@ -98,36 +115,137 @@ def _(spark, d):
     return P.feed_links(pages, H.page_nodes(pages))
 
 
-@query("d7_next_pages", f"select page_id, concat({_ORIGIN}, '/n', cast(page_id as string)) as next from pages where page_id % 3 < 2")
+@query("d7_next_pages", f"select page_id, case page_id % 3 when 2 then concat({_ORIGIN}, '/none?page=1&x=', cast(page_id as string)) else concat({_ORIGIN}, '/n', cast(page_id as string)) end as next from (select *, case when regexp_matches(url, '[?&]page=') or regexp_matches(lower(regexp_extract(url, '^[^?#]*')), '/(page[-/]?|p)\\d+(/|$)') then 1 else 0 end as numbered from pages) where page_id % 3 < 2")
 def _(spark, d):
+    """Pages of an odd kind link a page that is no later one: they have no next page."""
     pages = _extra(spark, d)
-    return P.next_pages(pages, H.page_nodes(pages)).where("page_id % 3 < 2")
+    return P.next_pages(pages, H.page_nodes(pages))
 
 
-@query("d8_probe", f"with l as (select page_id, {_ORIGIN} as origin, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) select page_id, regexp_replace(lower(regexp_extract(origin, '//(.*)$', 1)), '^www\\.', '') as host, count(distinct lower(rtrim(rtrim(concat(origin, replace(href, '&amp;', '&')), '.,;'), '/'))) as n from l group by 1, 2")
+_PROBED = "(select *, concat(html, case page_id % 3 when 0 then '<p>Members only</p>' else '' end, '<a href=\"https://rapidgator.net/file/f', cast(page_id as string), '\">get</a><a rel=\"next\" href=\"/next\">n</a>') as body from pages)"
+
+
+@query("d6_guest_walls", f"select page_id, regexp_matches(lower(body), 'sign in to (view|see|download)|you (do not|don.t) have permission|members only|to unlock|hidden (content|link)') as wall from {_PROBED}")
 def _(spark, d):
-    pages = _pages(spark, d)
-    return P.probe(pages, P.page_links(pages, H.page_nodes(pages)))
+    body = F.expr("concat(html, case page_id % 3 when 0 then '<p>Members only</p>' else '' end)")
+    return _pages(spark, d).select("page_id", detect.guest_wall(body).alias("wall"))
 
 
-@query("w4_queue_replay")
+@query("d8_probe", f"with l as (select page_id, {_ORIGIN} as origin, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages), n as (select page_id, regexp_replace(lower(regexp_extract(origin, '//(.*)$', 1)), '^www\\.', '') as host, count(distinct lower(rtrim(rtrim(concat(origin, replace(href, '&amp;', '&')), '.,;'), '/'))) + max(case when true then 1 else 0 end) as n from l group by 1, 2) select p.page_id, 1 + coalesce(n, 1) - case when exists (select 1 from l where l.page_id = p.page_id and lower(rtrim(l.href, '/')) = '/next') then 1 else 0 end as links, cast(1 as bigint) as downloads, concat({_ORIGIN}, '/next') as next, regexp_matches(lower(body), 'sign in to (view|see|download)|you (do not|don.t) have permission|members only|to unlock|hidden (content|link)') as guest_wall from {_PROBED} p left join n on n.page_id = p.page_id")
 def _(spark, d):
-    return harvest.replay_queue(frame(spark, d, "fx_queue"))
+    pages = _pages(spark, d).select("page_id", "url", F.expr("concat(html, case page_id % 3 when 0 then '<p>Members only</p>' else '' end, '<a href=\"https://rapidgator.net/file/f', cast(page_id as string), '\">get</a><a rel=\"next\" href=\"/next\">n</a>')").alias("html"))
+    nodes = H.page_nodes(pages)
+    none = spark.createDataFrame([], "page_id long, title string, place int")
+    return P.probe(pages, nodes, P.page_links(pages, nodes), detect.best(detect.software(pages)), none).select("page_id", "links", "downloads", "next", "guest_wall")
 
 
-@query("w5_stage_windows", sql("fx_trace") + " select date_trunc('hour', ts) as start, stage, count(*) as n from fx_trace group by 1, 2")
+# a board's topic for each customer, and a page of the board for each hundred of them
+_SMF_URL = "concat('https://mm.example/index.php?topic=', cast(c_custkey as string), '.15')"
+_SMF = """concat('<html><head><title>Board</title><link rel="next" href="/index.php?topic=', cast(c_custkey as string), '.0;prev_next=next"></head><body><div class="pagelinks"><a href="/index.php?topic=', cast(c_custkey as string), '.0">1</a> <a href="/index.php/topic,', cast(c_custkey as string), '.45.html">4</a> <a href="/index.php?topic=', cast(c_custkey as string), case c_custkey % 2 when 0 then '.30' else '.15' end, '">3</a> <a href="/index.php?topic=7000000.20">x</a></div>',
+ '<div class="keyinfo"><div class="smalltext">Respuesta #3 en: 1', cast(c_custkey % 9 as string), '/04/25, 20:35:08 pm</div></div><div class="post"><form data-role="tools"><blockquote><div class="topslice_quote">Cita de: x en 02/11/21, 21:52:07 pm</div>quoted</blockquote>', case c_custkey % 3 when 0 then 'https://www.discogs.com/es/release/259-Various-Dance-' else 'Own rip flac ' end, cast(c_custkey as string), ' <a href="https://mega.nz/folder/N', cast(c_custkey as string), '#k">label</a></form></div><div class="signature"><a href="https://mega.nz/file/SIG#k">sig</a></div>',
+ '<div class="post">no header ', cast(c_custkey as string), case c_custkey % 4 when 0 then ' <a href="/index.php?topic=5.0">thread</a>' else '' end, '</div><form action="/search2"><a href="https://mega.nz/file/FORM#k">f</a></form></body></html>')"""
+
+
+def _smf(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as page_id", f"{_SMF_URL} as url", f"{_SMF} as html")
+
+
+@query("d7_offset_pages", "select c_custkey as page_id, concat('https://mm.example/index.php?topic=', cast(c_custkey as string), case c_custkey % 2 when 0 then '.30' else '.45' end) as next from customer")
 def _(spark, d):
-    return harvest.stage_counts(frame(spark, d, "fx_trace"))
+    pages = _smf(spark, d)
+    return P.next_pages(pages, H.page_nodes(pages))
 
 
-@query("w2_once_in_window", sql("fx_links") + " select distinct case when contains(url, '...') then null else concat('rapidgator:', regexp_extract(url, '/file/([A-Za-z0-9]+)', 1)) end as file_key from fx_links where contains(url, 'rapidgator') and not contains(url, '...')")
+@query("t5_header_dates", "select c_custkey as page_id, cast(concat('2025-04-1', cast(c_custkey % 9 as string)) as date) as day from customer union all select c_custkey, cast(concat('2025-04-1', cast(c_custkey % 9 as string)) as date) from customer")
 def _(spark, d):
-    links = frame(spark, d, "fx_links").where("url like '%rapidgator%'").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    from .operators import dedupe
+    nodes = H.page_nodes(_smf(spark, d))
+    return P.post_dates(nodes, _posts(nodes), F.lit("2026-06-01").cast("date")).select("page_id", "day")
 
-    return dedupe.first_of(dedupe.identified(links).where("file_key is not null"), ["file_key"], ["item_id", "pos", "part", "supp"]).select("file_key")
+
+@query("h7_post_titles", "select c_custkey as page_id, case c_custkey % 3 when 0 then concat('Various Dance ', cast(c_custkey as string)) else concat('Own rip flac ', cast(c_custkey as string)) end as title from customer union all select c_custkey, concat('no header ', cast(c_custkey as string)) from customer")
+def _(spark, d):
+    nodes = P.without_furniture(H.page_nodes(_smf(spark, d)))
+    return P.post_titles(nodes, _posts(nodes)).select("page_id", "title")
+
+
+@query("h8_board_items", "select c_custkey as page_id, case c_custkey % 3 when 0 then concat('Various Dance ', cast(c_custkey as string)) else concat('Own rip flac ', cast(c_custkey as string)) end as title, cast(case c_custkey % 3 when 0 then 2 else 1 end as bigint) as links, cast(1 as bigint) as downloads from customer union all select c_custkey, concat('no header ', cast(c_custkey as string)), 1, 0 from customer where c_custkey % 4 = 0")
+def _(spark, d):
+    """Posts with a file or a thread; signatures and search forms hold none."""
+    return items.read_items(_smf(spark, d), "SMF").select("page_id", "title", "links", "downloads")
+
+
+_ROW = """concat('<tr><td></td><td><a href="/index.php?topic=', cast(o_orderkey as string), '.0">Topic name ', cast(o_orderkey as string), '</a></td><td><a href="/index.php?action=profile;u=', cast(o_custkey % 7 as string), '">member ', cast(o_custkey % 7 as string), '</a></td><td>', case when o_orderkey % 3 = 0 then '1.234' else '0' end, '</td><td>99</td></tr>')"""
 
 
+def _board(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey % 200 as page_id", "o_orderkey", f"{_ROW} as row")
+    body = F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", "row")))["row"], "")
+    return rows.groupBy("page_id").agg(F.concat(F.lit('<html><body><table class="table_grid"><tr><th>Subject</th></tr>'), body, F.lit("</table></body></html>")).alias("html")).withColumn("url", F.lit("https://mm.example/index.php?board=5.0"))
+
+
+@query("c6_row_starters", "select o_orderkey % 200 as page_id, concat('member ', cast(o_custkey % 7 as string)) as starter, case when o_orderkey % 3 = 0 then 1234 else 0 end as replies, count(*) as n from orders group by 1, 2, 3")
+def _(spark, d):
+    nodes = H.page_nodes(_board(spark, d))
+    rows = nodes.where("tag = 'tr'").select("page_id", "pre", "end")
+    return P.row_starters(nodes, rows).where("starter is not null").groupBy("page_id", "starter", "replies").agg(F.count("*").alias("n"))
+
+
+@query("h9_board_rows", "with r as (select o_orderkey % 200 as page_id, o_orderkey, o_custkey % 7 as starter, o_orderkey % 3 = 0 as answered from orders), z as (select *, sum(case when answered then 0 else 1 end) over (partition by page_id, starter) as zeros from r) select page_id, concat('Topic name ', cast(o_orderkey as string)) as title from z where answered or zeros < 6")
+def _(spark, d):
+    """A board's topics without bot floods."""
+    return items.read_items(_board(spark, d), "SMF-board", most=1_000_000).select("page_id", "title")
+
+
+# posts of a content system: players with captions, images, a shared file
+_POST = """concat('<p>YEAR: 19', cast(p_partkey % 9 + 90 as string), '</p><p>TAPE 1 (SIDE A) &#8211; SWAN-E</p><audio src="/music/pack', cast(p_partkey as string), '/Tape_1_(Side_A)_-_Swan-E.mp3"></audio><script>(adsbygoogle = 1)</script><p>SHY FX</p><figure><audio><source src="/music/pack', cast(p_partkey as string), '/Shy_FX.MP3"></audio></figure>',
+ case p_partkey % 5 when 0 then '<audio src="/music/pack' else '' end, case p_partkey % 5 when 0 then cast(p_partkey + 1 as string) else '' end, case p_partkey % 5 when 0 then '/Shy_FX.MP3"></audio>' else '' end,
+ '<a href="/wp-content/uploads/', cast(p_partkey as string), '-big.jpeg"><img src="/wp-content/uploads/small.jpg"></a><img src="/wp-content/uploads/', cast(p_partkey as string), '-2.png">')"""
+
+
+def _cms_posts(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey as id", "concat('https://cms.example/?p=', cast(p_partkey as string)) as link", "concat('PACK NO ', cast(p_partkey as string)) as title", f"{_POST} as content")
+
+
+_ENTRY = "select p_partkey as post, concat('Pack No ', cast(p_partkey as string), ' (19', cast(p_partkey % 9 + 90 as string), ')') as folder, {role} as role, cast({n} as bigint) as n, {name} as filename from part"
+
+
+@query("h12_named_entries", " union all ".join(_ENTRY.format(role=f"'{r}'", n=n, name=name) for r, n, name in (("track", 1, "'01 - Tape 1 (Side A) - Swan-E.mp3'"), ("track", 2, "'02 - Shy FX.mp3'"), ("image", 0, "'cover.jpg'"), ("image", 1, "concat('artwork 1 - ', cast(p_partkey as string), '-2.png')"))) + " union all " + _ENTRY.format(role="'track'", n=3, name="'03 - Shy FX.mp3'") + " where p_partkey % 5 = 0 and p_partkey = (select max(p_partkey) from part)")
+def _(spark, d):
+    """Posts to named tracks, covers and artwork; a file shown in two posts stays with its pack."""
+    return cms.named_entries(_cms_posts(spark, d)).select("post", "folder", "role", "n", "filename")
+
+
+@query("s2_feed_entries", "select concat('g', cast(c_custkey as string)) as id, concat('Item ', cast(c_custkey as string)) as name, concat('https://f.example/', cast(c_custkey as string)) as url, concat('text https://mega.nz/folder/F', cast(c_custkey as string), '#k') as summary, concat('https://f.example/', cast(c_custkey as string), ' https://mega.nz/folder/F', cast(c_custkey as string), '#k') as links from customer")
+def _(spark, d):
+    """RSS, RDF (items beside the channel) and Atom by turns."""
+    k = "cast(c_custkey as string)"
+    body = f"'&lt;p&gt;text https://mega.nz/folder/F', {k}, '#k&lt;/p&gt;'"
+    item = f"'<item><guid>g', {k}, '</guid><title>Item ', {k}, '</title><link>https://f.example/', {k}, '</link><description>', {body}, '</description></item>'"
+    entry = f"'<feed><entry><id>g', {k}, '</id><title>Item ', {k}, '</title><link href=\"https://f.example/', {k}, '\"/><summary>', {body}, '</summary></entry></feed>'"
+    xml = f"case c_custkey % 3 when 0 then concat('<rss><channel>', {item}, '</channel></rss>') when 1 then concat('<rdf><channel><title>t</title></channel>', {item}, '</rdf>') else concat({entry}) end"
+    feeds = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as feed_url", f"{xml} as xml")
+    return T.feed_entries(feeds).select("id", "name", "url", "summary", F.array_join("links", " ").alias("links"))
+
+
+_LAWFUL = " or ".join(f"(w.state = '{a}' and m.to_state in ({', '.join(repr(b) for b in to)}))" for a, to in harvest.MOVES.items() if to)
+
+
+@query("w4_queue_replay", sql("fx_queue") + f", m as (select *, row_number() over (partition by queue_id order by seq) as k from fx_queue), walk(queue_id, k, seq, from_state, to_state, legal, state, attempts) as (select queue_id, k, seq, 'new', to_state, to_state in ('queued', 'skipped_owned', 'cancelled'), case when to_state in ('queued', 'skipped_owned', 'cancelled') then to_state else 'new' end, 0 from m where k = 1 union all select m.queue_id, m.k, m.seq, w.state, m.to_state, {_LAWFUL}, case when {_LAWFUL} then m.to_state else w.state end, w.attempts + case when m.to_state = 'failed' and ({_LAWFUL}) then 1 else 0 end from walk w join m on m.queue_id = w.queue_id and m.k = w.k + 1) select queue_id, seq, from_state, to_state, legal, attempts from walk")
+def _(spark, d):
+    return harvest.replay_queue(frame(spark, d, "fx_queue"), 2_000)
+
+
+@query("w5_stage_windows", sql("fx_trace") + " select date_trunc('hour', ts) as start, stage, count(*) as n from fx_trace group by 1, 2")
+def _(spark, d):
+    return harvest.stage_counts(frame(spark, d, "fx_trace"))
+
+
+@query("w2_once_in_window", sql("fx_links") + r" select distinct case when contains(url, '#F!') then concat('mega:', regexp_extract(url, '#F!([^!]+)!', 1), '#', regexp_extract(url, '!([^!]+)$', 1)) when contains(url, 'mega') then concat('mega:', regexp_extract(url, 'folder/(.+)$', 1)) when contains(url, '?id=') then concat('gdrive:', regexp_extract(url, 'id=(.+)$', 1)) when contains(url, 'mediafire') then concat('mediafire.com:', lower(rtrim(url, '/'))) else concat('rapidgator:', regexp_extract(url, '/file/([A-Za-z0-9]+)', 1)) end as file_key from fx_links where not contains(url, '...') and not contains(url, 'swisstransfer') and not contains(url, 'github')")
+def _(spark, d):
+    """The stream's operator over all links of one moment: within the watermark each file once. It runs as a stream over
+    a table in the shared folder."""
+    rows = cut(frame(spark, d, "fx_links").withColumn("ts", F.lit("2024-01-01").cast("timestamp")), "links")
+    return harvest.run_once(harvest.bounded_once(spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])).select("file_key"), "once")
 
 
 _CAPTIONS = "concat('DJ SEDUCTION ', case p_partkey % 3 when 0 then 'AND THE RSR' when 1 then '(SIDE B)' else 'FX' end)"
@@ -152,4 +270,4 @@ def _(spark, d):
 def _(spark, d):
     title = F.expr("concat('RAVE ', cast(1990 + p_partkey % 9 as string))")
     year = F.expr("case when p_partkey % 2 = 0 then cast(1990 + p_partkey % 9 as string) else '1985' end")
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", naming.folder_name(R.recase(title, F.lit("")), year).alias("name"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", R.folder_name(title, year).alias("name"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import host_only
+
 # Words of formats and requests.
 LOSSLESS = r"(?i)(?<![a-z0-9])(?:flac|wav|wave|lossless|aiff?|alac|ape|wv|dsd)(?![a-z0-9])"
 LOSSY = r"(?i)(?<![a-z0-9])(?:lossy|mp3|aac|m4a|ogg|opus|\d{3}\s*kbps)(?![a-z0-9])"
@@ -40,3 +42,12 @@ def verdict(names: Column, text: Column) -> Column:
 def keep(alive: Column, verdict_: Column) -> Column:
     """Dropped is what a host proves to be dead, or by its files to be lossy."""
     return ~alive.eqNullSafe(False) & (verdict_ != "lossy")
+
+
+# Hosts whose links can be looked up.
+CHECKABLE = ("mega.nz", "mega.co.nz", "mediafire.com", "pixeldrain.com", "swisstransfer.com", "rapidgator.net", "rg.to")
+
+
+def checkable(url: Column) -> Column:
+    """Whether a link's host can tell if its file is there; all others stay unknown."""
+    return host_only(url).isin(*CHECKABLE)

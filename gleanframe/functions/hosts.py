@@ -70,9 +70,13 @@ def with_label(links: DataFrame, host: str = "host", bucket: str = "bucket") ->
     return links.join(F.broadcast(names), host, "left").withColumn("label", F.coalesce("_label", bucket)).drop("_label")
 
 
+def by_domain(field: str, keys: tuple[str, ...] | None = None) -> Column:
+    """A map of constants from each host's domains to a field of the host."""
+    at = {"label": 2, "premium": 3, "reducer": 4, "prefix": 5}[field]
+    pairs = [F.lit(x) for h in HOSTS if keys is None or h[0] in keys for d in h[1] for x in (d, h[at])]
+    return F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(None).cast("string"))
+
+
 def prefix_of(host: Column) -> Column:
     """The identity prefix of a host; null if it isn't known."""
-    out = F.lit(None).cast("string")
-    for h in HOSTS:
-        out = F.when(host.isin(*h[1]), F.lit(h[5])).otherwise(out)
-    return out
+    return by_domain("prefix")[host]

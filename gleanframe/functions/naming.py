@@ -32,9 +32,11 @@ def job_safe(name: Column) -> Column:
 
 
 def url_words(url: Column) -> Column:
-    """Words of the upload name."""
-    base = F.regexp_replace(F.substring_index(path(url), "/", -1), r"\.[A-Za-z0-9]{2,4}$", "")
-    return F.filter(F.split(decoded(base), r"[\s_()+\[\]]+"), lambda w: (w != "") & (w != "-"))
+    """Words of the upload name, entities and percent signs decoded, without its extension."""
+    base = unescape(decoded(F.substring_index(path(url), "/", -1)))
+    bare = F.when(F.contains(base, F.lit(".")), F.substring_index(base, ".", -1)).otherwise("")
+    base = F.left(base, F.length(base) - F.length(bare) - F.contains(base, F.lit(".")).cast("int"))
+    return F.filter(F.split(base, r"(?U)[\s_()\[\]]+|(?<!\w)-(?!\w)"), lambda w: w != "")
 
 
 def tape_of(text: Column) -> Column:
@@ -62,11 +64,10 @@ def release_title(artists: Column, name: Column) -> Column:
 
 
 def cover_name(i: Column, url: Column) -> Column:
-    """The first image is the cover; the others keep their name under a number."""
+    """The first image is the cover; the others keep their upload name, made safe, under a number."""
     base = F.substring_index(path(url), "/", -1)
     ext = F.lower(F.substring_index(base, ".", -1))
-    ext = F.when(ext == "jpeg", "jpg").otherwise(ext)
-    return F.when(i == 0, F.concat(F.lit("cover."), ext)).otherwise(F.concat(F.lit("artwork "), i.cast("string"), F.lit(" - "), decoded(base)))
+    return F.when(i == 0, F.concat(F.lit("cover."), F.when(ext == "jpeg", "jpg").otherwise(ext))).otherwise(safe_component(F.concat(F.lit("artwork "), i.cast("string"), F.lit(" - "), base)))
 
 
 def name_from_url(url: Column) -> Column:
@@ -75,7 +76,7 @@ def name_from_url(url: Column) -> Column:
 
 
 def labelled_year(text: Column) -> Column:
-    return F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)\byear\s*:?\s*((?:19|20)\d\d)\b", 1)
+    return F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)\byear\s*:\s*((?:19|20)\d\d)\b", 1)
 
 
 def target_path(folder: Column, name: Column) -> Column:

@@ -9,6 +9,7 @@ from . import hosts as H
 
 #: scheme, authority, path, query, fragment by RFC 3986; loose urls have parts too.
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?"
+_HOST = r"^(?:.*@)?(?:www\.)?([^:]*)"
 # What a link leads to, by its host, in order.
 BUCKETS = (
     ("source", r"(github\.com|gitlab\.com|bitbucket\.org|git\.sr\.ht|codeberg\.org)"),
@@ -22,6 +23,7 @@ ACTION_KEYS = ("eval", "p_vote", "vote", "watch", "unwatch", "mark", "logout", "
 TARGET_KEYS = ("url", "u", "target", "dest", "destination", "redirect", "redirect_url", "link", "download", "file", "href")
 WRAPPER_TOKENS = ("redirect", "goto", "out.php", "away.php", "link.php", "dl.php", "mirror", "filehost", "download.php", "/go/", "/link/", "/dl/")
 PAGE_KEYS = ("page", "p", "pagenum", "start", "st", "offset")
+SHORTENERS = r"(?i)https?://(?:bit\.ly|tinyurl\.com|goo\.gl|is\.gd|ow\.ly|cutt\.ly)/[A-Za-z0-9_-]+"
 MEDIA_EXTENSIONS = ("mp3", "flac", "wav", "aiff", "aif", "ogg", "m4a", "opus", "zip", "rar", "7z")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp")
 
@@ -42,10 +44,36 @@ def fragment(url: Column) -> Column:
     return _part(url, 5)
 
 
+def authority(url: Column) -> Column:
+    return F.lower(_part(url, 2))
+
+
 def host_only(url: Column) -> Column:
     """The host in lower case, without user, port and a leading www."""
-    host = F.lower(_part(url, 2))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":.*$", ""), r"^www\.", "")
+    return F.regexp_extract(F.lower(_part(url, 2)), _HOST, 1)
+
+
+def _host(authority: Column) -> Column:
+    name = F.substring_index(F.substring_index(F.lower(authority), "@", -1), ":", 1)
+    return F.when(F.startswith(name, F.lit("www.")), F.substring(name, 5, 1 << 20)).otherwise(name)
+
+
+def _behind(text: Column, before: Column, more: int) -> Column:
+    return F.substring(text, F.length(before) + more, F.length(text))
+
+
+#: Steps that take a url apart; each has names and functions of the columns so far. A url that begins with a scheme and
+#: a host needs no pattern.
+_SPLIT = (
+    {"url": lambda c: F.coalesce(c["url"], F.lit(""))},
+    {"bare": lambda c: F.substring_index(c["url"], "#", 1)},
+    {"front": lambda c: F.substring_index(c["bare"], "?", 1), "fragment": lambda c: _behind(c["url"], c["bare"], 2)},
+    {"query": lambda c: _behind(c["bare"], c["front"], 2), "at": lambda c: F.locate("://", c["front"])},
+    {"plain": lambda c: (c["at"] > 1) & (F.locate("/", c["front"]) == c["at"] + 1)},
+    {"rest": lambda c: F.when(c["plain"], F.substring(c["front"], c["at"] + 3, F.length(c["front"]))).otherwise(F.concat(_part(c["url"], 2), _part(c["url"], 3)))},
+    {"authority": lambda c: F.when(c["plain"], F.substring_index(c["rest"], "/", 1)).otherwise(_part(c["url"], 2))},
+    {"host": lambda c: _host(c["authority"]), "path": lambda c: _behind(c["rest"], c["authority"], 1)},
+)
 
 
 def query_keys(url: Column) -> Column:
@@ -114,76 +142,126 @@ def truncated(url: Column) -> Column:
 
 def names_a_file(url: Column) -> Column:
     """Something beyond a site's own pages: a query, a long fragment, or a path that isn't a locale or a site page."""
-    segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
-    first = F.lower(F.get(segments, F.lit(0)))
-    own = (F.size(segments) == 1) & (first.rlike("^[a-z]{2}(?:[-_][a-z]{2})?$") | first.isin(*SITE_PAGES))
-    return (query(url) != "") | (F.length(fragment(url)) > 3) | ((F.size(segments) > 0) & ~own)
-
-
-def _empty(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
-def _reduced(url: Column) -> tuple[dict[str, Column], dict[str, Column]]:
-    """identity and canonical url by kind of reducer; null where the url doesn't fit."""
-    part = lambda pattern, i: F.regexp_extract(url, pattern, i)
-    gator = r"(?i)^https?://(?:www\.)?rapidgator\.net/file/([A-Za-z0-9]+)(?:/([^?#]*))?"
-    gator_id, gator_name = _empty(part(gator, 1)), part(gator, 2)
-    old = r"(?i)^https?://(?:www\.)?mega(?:\.co)?\.nz/#(F?)!([A-Za-z0-9_-]+)!([A-Za-z0-9_-]+)"
-    new = r"(?i)^https?://(?:www\.)?mega(?:\.co)?\.nz/(folder|file)/([A-Za-z0-9_-]+)(#[A-Za-z0-9_-]+)"
-    is_old = part(old, 2) != ""
-    mega_kind = F.when(is_old, F.when(part(old, 1) != "", "folder").otherwise("file")).otherwise(part(new, 1))
-    mega_id = F.when(is_old, F.concat(part(old, 2), F.lit("#"), part(old, 3))).otherwise(_empty(F.concat(part(new, 2), part(new, 3))))
-    drive = _empty(part(r"(?:/(?:file/d|drive/(?:u/\d+/)?folders|folders)/|[?&]id=)([A-Za-z0-9_-]{10,})", 1))
-    plain = F.regexp_replace(F.substring_index(url, "#", 1), "/+$", "")
-    host, p = host_only(url), path(F.substring_index(url, "#", 1))
+    return _names_a_file({"path": path(url), "query": query(url), "fragment": fragment(url)})
+
+
+def _names_a_file(c: dict) -> Column:
+    whole = F.trim(c["path"], F.lit("/"))
+    own = ~F.contains(whole, F.lit("/")) & (F.lower(whole).rlike("^[a-z]{2}(?:[-_][a-z]{2})?$") | F.lower(whole).isin(*SITE_PAGES))
+    return (c["query"] != "") | (F.length(c["fragment"]) > 3) | ((whole != "") & ~own)
+
+
+# What the urls of files look like on hosts of their own kind.
+_WORD = r"^[A-Za-z0-9_-]+"
+_MEGA_PATH, _MEGA_OLD = r"(?i)^/(?:folder|file)/[A-Za-z0-9_-]+$", r"^F?![A-Za-z0-9_-]+![A-Za-z0-9_-]"
+_DRIVE = r"(?:/(?:file/d|drive/(?:u/\d+/)?folders|folders)/|[?&]id=)([A-Za-z0-9_-]{10,})"
+
+
+class Reducer:
+    """How the urls of a kind of host are reduced: functions of a url's parts; canonical sees the identity too."""
+
+    def __init__(self, identity, canonical):
+        self.identity, self.canonical = identity, canonical
+
+
+def _segment(c: dict, i: int) -> Column:
+    return F.get(c["segments"], F.lit(i))
+
+
+def _gator_id(c: dict) -> Column:
+    """/file/<key>, and a name behind it."""
+    key = F.regexp_extract(_segment(c, 2), "^[A-Za-z0-9]+", 0)
+    return F.when((F.lower(_segment(c, 1)) == "file") & (key != ""), F.concat(F.lit("rapidgator:"), key))
+
+
+def _gator_url(c: dict) -> Column:
+    named = (F.length(_segment(c, 2)) + F.length(F.lit("rapidgator:")) == F.length(c["identity"])) & (_segment(c, 3) != "")
+    return F.concat(F.lit("https://rapidgator.net/file/"), F.substring(c["identity"], 12, 1 << 20), F.when(named, F.concat(F.lit("/"), _segment(c, 3))).otherwise(""))
+
+
+def _mega_id(c: dict) -> Column:
+    """The key in the fragment belongs to the identity: with another key the folder holds another file."""
+    bang = lambda i: F.get(c["marks"], F.lit(i))
+    both = lambda number, key: F.concat(F.lit("mega:"), number, F.lit("#"), F.regexp_extract(key, _WORD, 0))
+    new = (c["query"] == "") & c["path"].rlike(_MEGA_PATH) & c["fragment"].rlike(_WORD)
+    return F.when(c["fragment"].rlike(_MEGA_OLD), both(bang(1), bang(2))).when(new, both(_segment(c, 2), c["fragment"]))
+
+
+def _mega_url(c: dict) -> Column:
+    kind = F.when(c["fragment"].startswith("F!"), "folder").when(c["fragment"].startswith("!"), "file").otherwise(F.lower(_segment(c, 1)))
+    return F.concat(F.lit("https://mega.nz/"), kind, F.lit("/"), F.substring(c["identity"], 6, 1 << 20))
+
+
+def _drive_id(c: dict) -> Column:
+    key = F.regexp_extract(c["url"], _DRIVE, 1)
+    return F.when(key != "", F.concat(F.lit("gdrive:"), key))
+
+
+def _drive_url(c: dict) -> Column:
+    start = F.when(F.contains(c["url"], F.lit("/folders/")), "https://drive.google.com/drive/folders/").otherwise("https://drive.google.com/file/d/")
+    return F.concat(start, F.substring(c["identity"], 8, 1 << 20))
+
+
+def _site_id(c: dict) -> Column:
     inside = F.lit(False)
-    for domain, dirs in H.SITE_DIRS.items():
-        for d in dirs:
-            inside = inside | ((host == domain) & F.lower(p).startswith(d))
-    site = F.when(inside & F.lower(F.substring_index(p, ".", -1)).isin(*H.SITE_EXTENSIONS), p)
-    prefix = H.prefix_of(host)
-    identity = {
-        "rapidgator": F.concat(F.lit("rapidgator:"), gator_id),
-        "mega": F.concat(F.lit("mega:"), mega_id),
-        "gdrive": F.concat(F.lit("gdrive:"), drive),
-        "plain": F.concat(prefix, F.lit(":"), F.lower(plain)),
-        "site": F.concat(prefix, F.lit(":"), F.lower(site)),
-    }
-    canonical = {
-        "rapidgator": F.concat(F.lit("https://rapidgator.net/file/"), gator_id, F.when(gator_name != "", F.concat(F.lit("/"), gator_name)).otherwise("")),
-        "mega": F.concat(F.lit("https://mega.nz/"), mega_kind, F.lit("/"), mega_id),
-        "gdrive": F.concat(F.when(F.contains(url, F.lit("/folders/")), "https://drive.google.com/drive/folders/").otherwise("https://drive.google.com/file/d/"), drive),
-        "plain": plain,
-        "site": F.concat(F.lit("https://www."), prefix, site),
-    }
-    return identity, canonical
+    for domain, folders in H.SITE_DIRS.items():
+        for folder in folders:
+            inside = inside | ((c["host"] == domain) & F.lower(c["path"]).startswith(folder))
+    mine = inside & F.lower(F.substring_index(c["path"], ".", -1)).isin(*H.SITE_EXTENSIONS)
+    return F.when(mine, F.concat(c["prefix"], F.lit(":"), F.lower(c["path"])))
+
+
+REDUCERS = {
+    "plain": Reducer(lambda c: F.concat(c["prefix"], F.lit(":"), F.lower(F.rtrim(c["bare"], F.lit("/")))), lambda c: F.rtrim(c["bare"], F.lit("/"))),
+    "rapidgator": Reducer(_gator_id, _gator_url),
+    "mega": Reducer(_mega_id, _mega_url),
+    "gdrive": Reducer(_drive_id, _drive_url),
+    "site": Reducer(_site_id, lambda c: F.concat(F.lit("https://www."), c["prefix"], c["path"])),
+}
+
+
+def _by_kind(c: dict, part: str) -> Column:
+    out = F.when(c["kind"].isNull(), None)
+    for name, reducer in REDUCERS.items():
+        out = out.when(c["kind"] == name, getattr(reducer, part)(c))
+    return out.cast("string")
+
+
+def reduce_steps(keys: tuple[str, ...]) -> tuple[dict, ...]:
+    """Steps from url to identity and canonical: it is taken apart, its host looked up, and that host's reducer runs."""
+    known = H.by_domain("reducer", keys)
+    return (
+        *_SPLIT,
+        {"segments": lambda c: F.split(c["path"], "/", 4), "marks": lambda c: F.split(c["fragment"], "!")},
+        {"kind": lambda c: F.when(~truncated(c["url"]) & _names_a_file(c), known[c["host"]]), "prefix": lambda c: H.prefix_of(c["host"])},
+        {"identity": lambda c: _by_kind(c, "identity")},
+        {"canonical": lambda c: F.when(c["identity"].isNotNull(), _by_kind(c, "canonical"))},
+    )
 
 
 def reduce(url: Column, keys: tuple[str, ...] = H.enabled_hosts("all"), custom: dict | None = None) -> Column:
     """struct(identity, canonical) of the file that a url names on one of the hosts; both null for all other urls.
 
     custom: host key -> function of a url column that gives (identity, canonical) columns, in place of the built-in one.
+    For whole tables see operators.dedupe.identified, which computes each step once.
     """
-    identity, canonical = _reduced(url)
-    one = two = F.lit(None).cast("string")
-    host = host_only(url)
-    kinds: dict[str, list[str]] = {}
-    for h in H.HOSTS:
-        if h[0] in keys and not (custom and h[0] in custom):
-            kinds.setdefault(h[4], []).extend(h[1])
-    for kind, names in kinds.items():
-        one, two = F.when(host.isin(*names), identity[kind]).otherwise(one), F.when(host.isin(*names), canonical[kind]).otherwise(two)
-    for h in H.HOSTS:
-        if custom and h[0] in custom and h[0] in keys:
-            own = custom[h[0]](url)
-            one, two = F.when(host.isin(*h[1]), own[0]).otherwise(one), F.when(host.isin(*h[1]), own[1]).otherwise(two)
-    fits = ~truncated(url) & names_a_file(url)
-    return F.struct(F.when(fits, one).alias("identity"), F.when(fits & one.isNotNull(), two).alias("canonical"))
+    c = {"url": url}
+    for step in reduce_steps(tuple(k for k in keys if k not in (custom or {}))):
+        c |= {name: f(c) for name, f in step.items()}
+    return with_custom(url, c["identity"], c["canonical"], keys, custom)
+
+
+def with_custom(url: Column, identity: Column, canonical: Column, keys: tuple[str, ...], custom: dict | None) -> Column:
+    for key, own in (custom or {}).items():
+        if key in keys:
+            mine = host_only(url).isin(*H.domains((key,))) & ~truncated(url) & names_a_file(url)
+            one, two = own(url)
+            identity, canonical = F.when(mine, one).otherwise(identity), F.when(mine & one.isNotNull(), two).otherwise(canonical)
+    return F.struct(identity.alias("identity"), canonical.alias("canonical"))
 
 
 def plain_key(url: Column) -> Column:
-    return F.lower(F.regexp_replace(url, "/+$", ""))
+    return F.lower(F.rtrim(url, F.lit("/")))
 
 
 def download_key(url: Column, keys: tuple[str, ...] = H.enabled_hosts("all")) -> Column:
@@ -210,7 +288,7 @@ def is_wrapper(url: Column, text: Column) -> Column:
 
 def short_links(text: Column) -> Column:
     """Distinct links of shorteners in a text, in order."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"""(?i)https?://(?:bit\.ly|tinyurl\.com|goo\.gl|is\.gd|ow\.ly|cutt\.ly)/[A-Za-z0-9_-]+"""), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SHORTENERS), F.lit(0)))
 
 
 def page_number(url: Column) -> Column:
@@ -218,9 +296,9 @@ def page_number(url: Column) -> Column:
     found = []
     for key in PAGE_KEYS:
         n = F.regexp_extract(query(url), rf"(?:^|&){key}=(\d{{1,9}})(?:&|$)", 1)
-        n = F.try_to_number(_empty(n), F.lit("999999999")).cast("long")
+        n = F.try_to_number(F.nullif(n, F.lit("")), F.lit("999999999")).cast("long")
         found.append(F.when(n > 0, 2).when(n == 0, 1).cast("long") if key in ("start", "offset") else n)
-    in_path = _empty(F.regexp_extract(path(url), r"(?i)/(?:page[-/]?|p)(\d{1,9})(?:/|$)", 1))
+    in_path = F.nullif(F.regexp_extract(path(url), r"(?i)/(?:page[-/]?|p)(\d{1,9})(?:/|$)", 1), F.lit(""))
     return F.coalesce(*found, in_path.cast("long"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..plans.cuts import cut
 
 
 def resolve_redirects(links: DataFrame, redirects: DataFrame, hops: int = 2) -> DataFrame:
@@ -22,13 +23,15 @@ def resolve_redirects(links: DataFrame, redirects: DataFrame, hops: int = 2) ->
 def page_chain(edges: DataFrame, starts: DataFrame, most: int = 500) -> DataFrame:
     """start, n, page: the walk from each start along (page, next_page), without coming back, at most so many pages.
 
-    Jumps of 1, 2, 4, ... edges reach any page in as many joins as the cap has bits.
+    Jumps of 1, 2, 4, ... edges reach any page in as many joins as the cap has bits. Every round is cut, so that its plan
+    has two joins whatever the cap; a page that a walk meets again keeps its first place.
     """
-    jump = edges.where("next_page is not null").groupBy("page").agg(F.min("next_page").alias("to"))
-    out, reach = starts.select(F.col("page").alias("start"), F.lit(0).cast("long").alias("n"), "page"), 1
+    jump = cut(edges.where("next_page is not null").groupBy("page").agg(F.min("next_page").alias("to")), "jump")
+    out, reach = cut(starts.select(F.col("page").alias("start"), F.lit(0).cast("long").alias("n"), "page").distinct(), "walk"), 1
     while reach < most:
-        further = out.join(jump, "page").select("start", (F.col("n") + reach).alias("n"), F.col("to").alias("page"))
-        out = out.union(further).where(F.col("n") < most)
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.page")).select(F.col("a.page").alias("page"), F.col("b.to").alias("to"))
+        further = out.where(F.col("n") + reach < most).join(jump, "page").select("start", (F.col("n") + reach).alias("n"), F.col("to").alias("page"))
+        out = cut(out.unionByName(further).groupBy("start", "page").agg(F.min("n").alias("n")), "walk")
         reach *= 2
-    return out.groupBy("start", "page").agg(F.min("n").alias("n"))
+        if reach < most:
+            jump = cut(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.page")).select(F.col("a.page").alias("page"), F.col("b.to").alias("to")), "jump")
+    return out.select("start", "page", "n")

@@ -25,5 +25,22 @@ def per_host(links: DataFrame, most: int) -> DataFrame:
 
 
 def crawl_records(seen: DataFrame) -> DataFrame:
-    """crawl, items, total, fresh, already_sent from annotated links."""
-    return seen.groupBy("crawl").agg(F.count_distinct("item_id").alias("items"), F.count("*").alias("total"), F.count_if(~F.col("seen_before")).alias("fresh"), F.count_if("seen_before").alias("already_sent"))
+    """crawl, pages, items, total, fresh, already_sent from annotated links (crawl, page_id, item_id, seen_before)."""
+    return seen.groupBy("crawl").agg(F.count_distinct("page_id").alias("pages"), F.count_distinct("item_id").alias("items"), F.count("*").alias("total"), F.count_if(~F.col("seen_before")).alias("fresh"), F.count_if("seen_before").alias("already_sent"))
+
+
+def job_rollup(crawls: DataFrame) -> DataFrame:
+    """Of crawls (job, url, pages, links, fresh, already_sent, caught_up, error) one row for each job: sums, whether any
+    has caught up, and the errors."""
+    sums = [F.sum(c).alias(c) for c in ("pages", "links", "fresh", "already_sent")]
+    errors = F.array_sort(F.collect_list(F.when(F.coalesce("error", F.lit("")) != "", F.concat_ws(": ", "url", "error"))))
+    return crawls.groupBy("job").agg(*sums, F.bool_or("caught_up").alias("caught_up"), F.array_join(errors, "\n").alias("errors"))
+
+
+def files_per(media: DataFrame, by: str, url: str = "url") -> DataFrame:
+    return media.groupBy(by).agg(F.count_distinct(url).alias("files"))
+
+
+def distinct_files(links: DataFrame) -> DataFrame:
+    """files, hosts: how many different ones there are."""
+    return links.agg(F.count_distinct("file_key").alias("files"), F.count_distinct(urls.host_only(F.col("url"))).alias("hosts"))

@@ -10,10 +10,23 @@ from ..functions import hosts as H
 from ..functions import urls as U
 
 
-def identified(links: DataFrame, keys: tuple[str, ...] = H.enabled_hosts("all")) -> DataFrame:
-    """links with file_key and canonical; null where the url names no file."""
-    found = U.reduce(F.col("url"), keys)
-    return links.withColumn("_r", found).withColumn("file_key", F.col("_r.identity")).withColumn("canonical", F.col("_r.canonical")).drop("_r")
+def identified(links: DataFrame, keys: tuple[str, ...] = H.enabled_hosts("all"), custom: dict | None = None) -> DataFrame:
+    """links with file_key and canonical; null where the url names no file.
+
+    Every step of the reduction is a projection of its own. The url's parts and the result go through generators of one
+    row, so that neither later steps nor filters on file_key compute them again, and so that generated methods stay
+    small enough for the compiler.
+    """
+    links = links.drop("file_key", "canonical")
+    rows, made = links.withColumn("_u_url", F.col("url")), {"url": "_u_url"}
+    for step in U.reduce_steps(tuple(k for k in keys if k not in (custom or {}))):
+        c = {name: F.col(held) for name, held in made.items()}
+        new = {f"_u_{name}": f(c) for name, f in step.items()}
+        kept = [F.col(f"`{n}`") for n in rows.columns if n not in new]
+        rows = rows.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in new.items()])))) if "host" in step else rows.withColumns(new)
+        made |= {name: f"_u_{name}" for name in step}
+    found = U.with_custom(F.col("url"), F.col("_u_identity"), F.col("_u_canonical"), keys, custom)
+    return rows.select(*[F.col(f"`{n}`") for n in links.columns], F.inline(F.array(found)).alias("file_key", "canonical"))
 
 
 def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:

@@ -18,7 +18,9 @@ SIGNATURES = (
     ("Invision Community", (("meta generator", _GENERATOR + "(?:invision|ips community)"), ("Invision asset", r"(?:/applications/core/interface/|/applications/forums/|/uploads/\w+/)"), ("Invision class", r"\b(?:ipslayout|ipstype_|ipsbutton|ipscomment)\b"))),
     ("Drupal", (("meta generator", _GENERATOR + "drupal"), ("Drupal asset", r"(?:/core/misc/drupal|/sites/default/files/|drupalsettings)"), ("Drupal marker", r"\b(?:drupalsettings|js-drupal-|node--\w+)\b"))),
 )
+# Marks of browser challenges, of a content system, and of pages that hide links from guests.
 CHALLENGE = ("cf-chl-", "cf-turnstile", "just a moment...", "checking your browser", "ddos-guard", "enable javascript and cookies to continue")
+GUEST_WALL = r"(?i)sign in to (?:view|see|download)|you (?:do not|don't) have permission|members only|to unlock|hidden (?:content|link)"
 SELF_HOSTED = r"(?i)<meta[^>]+generator[^>]+wordpress"
 
 
@@ -51,7 +53,8 @@ def is_challenge(html: Column) -> Column:
 
 
 def guest_wall(html: Column) -> Column:
-    return F.lower(F.coalesce(html, F.lit(""))).rlike(r"(?:you (?:must|need to) (?:be logged in|log ?in|register)|debes (?:iniciar|registrarte)|solo usuarios registrados|guests? (?:can(?:no|')t|may not))")
+    """The page says that guests don't see all of it."""
+    return F.coalesce(html, F.lit("")).rlike(GUEST_WALL)
 
 
 def reader(url: Column, html: Column, best_software: Column) -> Column:

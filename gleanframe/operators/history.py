@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from .dedupe import first_of, identified
 
 
 def annotate(links: DataFrame, history: DataFrame) -> DataFrame:
@@ -48,8 +49,8 @@ def caught_up(pages: DataFrame, direct: DataFrame, candidates: DataFrame, done:
 
 def snapshot_keys(snapshot: DataFrame) -> DataFrame:
     """file_key, offline of the snapshot's urls on known hosts; a file is offline if one of its entries says so."""
-    known = snapshot.where(U.is_known_file_host(F.col("url")))
-    return known.groupBy(U.download_key(F.col("url")).alias("file_key")).agg(F.bool_or(F.col("availability") == "OFFLINE").alias("offline"))
+    known = identified(snapshot.where(U.is_known_file_host(F.col("url"))))
+    return known.groupBy(F.coalesce("file_key", U.plain_key(F.col("url"))).alias("file_key")).agg(F.bool_or(F.col("availability") == "OFFLINE").alias("offline"))
 
 
 def reconcile(history: DataFrame, snapshot: DataFrame, newest: int | None = 5000) -> DataFrame:
@@ -69,7 +70,7 @@ def reconcile(history: DataFrame, snapshot: DataFrame, newest: int | None = 5000
 
 def remove_packages(snapshot: DataFrame, packages: DataFrame, names: DataFrame) -> DataFrame:
     """Links of the packages with the given names."""
-    return snapshot.join(packages.join(F.broadcast(names), "package", "left_semi"), "package_id", "left_semi")
+    return snapshot.join(packages.join(names, "package", "left_semi"), "package_id", "left_semi")
 
 
 def drop_offline(snapshot: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,12 +79,14 @@ def drop_offline(snapshot: DataFrame, history: DataFrame) -> tuple[DataFrame, Da
     return snapshot.where("availability is null or availability <> 'OFFLINE'"), history.join(dead, "file_key", "left_anti")
 
 
-def completeness(wanted: DataFrame, collected: DataFrame, age_s: int = 0, patience_s: int = 900) -> DataFrame:
-    """package, found, wanted, complete: all names of a package have come in, or it has been waited for long enough."""
+def completeness(wanted: DataFrame, collected: DataFrame, age_s: str | None = None, patience_s: int = 900) -> DataFrame:
+    """package, found, wanted, complete: all names of a package have come in, or it has been waited for long enough.
+
+    age_s: a column of wanted with the seconds that a package has been waited for."""
     came = collected.select(U.echo_key(F.col("url")).alias("key")).distinct().withColumn("came", F.lit(True))
     met = wanted.withColumn("key", U.echo_key(F.col("url"))).join(came, "key", "left")
-    out = met.groupBy("package").agg(F.count("came").alias("found"), F.count("*").alias("wanted"))
-    return out.withColumn("complete", (F.col("found") == F.col("wanted")) | F.lit(age_s >= patience_s))
+    out = met.groupBy("package").agg(F.count("came").alias("found"), F.count("*").alias("wanted"), F.max(F.col(age_s) if age_s else F.lit(0)).alias("_age"))
+    return out.withColumn("complete", (F.col("found") == F.col("wanted")) | F.coalesce(F.col("_age") >= patience_s, F.lit(False))).drop("_age")
 
 
 def record_sent(history: DataFrame, batch: DataFrame) -> DataFrame:
@@ -111,15 +114,15 @@ def forget(history: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     return history.where("false") if keys is None else history.join(keys, "file_key", "left_anti")
 
 
-def remember_releases(release_files: DataFrame, release: str = "release_url") -> DataFrame:
-    """release, keys: sorted distinct keys of each release; releases without keys are skipped."""
-    return release_files.where("file_key is not null").groupBy(F.col(release).alias("release")).agg(F.array_sort(F.collect_set("file_key")).alias("keys"))
+def remember_releases(release_files: DataFrame, release: str = "release_url", stored: DataFrame | None = None) -> DataFrame:
+    """release, keys: sorted distinct keys of each release; releases without keys are skipped. A release that is met again
+    replaces the stored one (release, keys)."""
+    new = release_files.where("file_key is not null").groupBy(F.col(release).alias("release")).agg(F.array_sort(F.collect_set("file_key")).alias("keys"))
+    return new if stored is None else stored.select("release", "keys").join(new, "release", "left_anti").unionByName(new)
 
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """existing, and of each key that it lacks the first new row."""
-    from .dedupe import first_of
-
     return existing.unionByName(first_of(new.join(existing, by, "left_anti"), by, order).select(existing.columns))
 
 
@@ -139,3 +142,35 @@ def changed_pages(pages: DataFrame, cache: DataFrame) -> DataFrame:
 def retry_state(outcome, code, tries):
     """The next state of a download: done, failed for good, or queued again."""
     return F.when(outcome == "ok", "done").when(outcome == "stopped", "queued").when((tries >= 6) | code.isin(404, 410), "failed").otherwise("queued")
+
+
+def without_files(items: DataFrame, links: DataFrame) -> DataFrame:
+    """Items none of whose links names a file."""
+    return items.join(links.where("file_key is not null"), "item_id", "left_anti")
+
+
+def participated(posts: DataFrame, author) -> DataFrame:
+    """topic_id of the topics that an author has posted in."""
+    return posts.where(F.col("author") == author).select("topic_id").distinct()
+
+
+def not_in_baseline(rows: DataFrame, baseline: DataFrame, by: list[str]) -> DataFrame:
+    return rows.join(baseline, by, "left_anti")
+
+
+def newest_first(rows: DataFrame, at: str, ties: list[str], most: int, where: str | None = None) -> DataFrame:
+    """The last `most` rows by `at`, newest first; no full sort."""
+    return (rows if where is None else rows.where(where)).orderBy(F.desc(at), *ties).limit(most)
+
+
+def tail(rows: DataFrame, at: str, most: int, where: str | None = None) -> DataFrame:
+    """The last `most` rows by `at`, oldest first."""
+    return newest_first(rows, at, [], most, where).orderBy(at)
+
+
+def pending_first(rows: DataFrame, ids: str, most: int) -> DataFrame:
+    return rows.orderBy(F.when(F.col("state") == "pending", 0).otherwise(1), ids).limit(most)
+
+
+def watch_list(watches: DataFrame) -> DataFrame:
+    return watches.orderBy("store", "name")

@@ -10,61 +10,120 @@ from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..sources.html import absolute, page_nodes
+from ..plans.cuts import cut
 from . import pages as P
+from .candidates import topic
+from .dedupe import identified
+from .windows import bot_floods
 
-# What posts of each kind of board are, as (attribute, value); tags are plain names.
+# What the items of each kind of board are. A selector is (tag, attribute, how it compares, value), or two
+# of these: an item, and what it lies in.
+_c = lambda value, tag="": (tag, "class", "is", value)
 SELECTORS = {
-    "XenForo": (("class", "message"), ("class", "structItem")),
-    "MyBB": (("class", "post"), ("class", "inline_row")),
-    "SMF": (("class", "post_wrapper"), ("class", "windowbg"), ("class", "windowbg2")),
-    "phpBB": (("class", "post"), ("class", "postbody"), ("class", "row")),
-    "vBulletin": (("class", "postbit"), ("class", "postcontainer"), ("class", "threadbit")),
-    "web": (("tag", "article"), ("class", "post"), ("class", "entry"), ("class", "hentry")),
+    "vBulletin": (("", "id", "starts", "post_message_"), _c("post_message"), _c("postbody"), _c("postcontent"), _c("postbit"), _c("postcontainer"), ("li", "id", "starts", "thread_"), _c("threadbit"), _c("discussion"), _c("tborder"), ("", "id", "is", "posts")),
+    "XenForo": (_c("structItem"), _c("structItemContainer"), _c("message--post"), _c("block--messages"), _c("message-cell--main"), _c("p-body-content")),
+    "MyBB": (_c("post_body"), _c("post_content"), _c("postbit-box"), _c("inline_row"), _c("forumdisplay_regular")),
+    "Forumotion": (_c("post"), _c("postbody"), (_c("row", "li"), _c("topiclist", "ul"))),
+    "phpBB": (_c("topiclist"), _c("topiclist_topics"), _c("post"), _c("postbody"), _c("forabg"), _c("forumbg")),
+    "SMF": (_c("post", "div"), _c("list_posts", "div")),
+    "SMF-board": ((("tr", "", "", ""), ("", "id", "is", "messageindex")), (("tr", "", "", ""), _c("table_grid", "table")), (("tr", "", "", ""), _c("bordercolor", "table"))),
+    "Invision Community": (_c("ipsDataItem"), _c("ipsComment"), _c("ipsType_richText"), _c("ipsLayout_container"), _c("cTopic"), _c("ipsAreaBackground_light")),
+    "web": (("article", "", "", ""), _c("post"), _c("entry"), _c("hentry")),
 }
+# Parts of paths of a board's threads.
+THREADS = ("/thread", "/threads/", "/showthread", "/viewtopic", "/topic/")
+DATA_LINKS = ("data-href", "data-url", "data-link", "data-download-url")
+
+
+def _simple(selector: tuple) -> Column:
+    tag, attribute, how, value = selector
+    out = F.col("tag") == tag if tag else F.lit(True)
+    if attribute == "class":
+        return out & F.array_contains("classes", value)
+    if attribute:
+        held = F.coalesce(F.col(attribute), F.lit(""))
+        return out & (held == value if how == "is" else held.startswith(value))
+    return out
 
 
-def matches(family: str) -> Column:
-    """Whether a node is an item of a family of pages."""
-    out = F.lit(False)
-    for kind, value in SELECTORS[family]:
-        out = out | (F.col("tag") == value if kind == "tag" else F.array_contains("classes", value))
-    return out
+def matching(nodes: DataFrame, family: str) -> DataFrame:
+    """nodes with `_item`: whether a selector of the family picks them."""
+    found = F.lit(False)
+    for i, selector in enumerate(SELECTORS[family]):
+        if isinstance(selector[0], tuple):
+            nodes = P.inside(nodes, _simple(selector[1]), f"_in{i}")
+            found = found | (_simple(selector[0]) & F.col(f"_in{i}"))
+        else:
+            found = found | _simple(selector)
+    return nodes.withColumn("_item", found)
 
 
 def item_links(pages: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """page_id, item, url: distinct anchors of each candidate."""
+    """page_id, item, url, thread: distinct links of each candidate, from anchors, data attributes and text; thread: to a
+    thread of the same site."""
     at = pages.select("page_id", F.col("url").alias("base"))
-    inside = P._owners(nodes, candidates).where("tag = 'a' and attrs['href'] is not null").join(at, "page_id")
-    found = inside.select("page_id", "item", urls.normalise(absolute(F.col("base"), F.col("attrs")["href"])).alias("url"))
-    return found.where(F.col("url").isNotNull() & ~urls.truncated(F.col("url"))).distinct()
+    a = F.col("attrs")
+    raw = F.concat(F.array(F.when(F.col("tag") == "a", a["href"]), *[a[k] for k in DATA_LINKS]), F.when(F.col("tag") != "a", urls.find_urls(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    inside = P._owners(nodes, candidates).join(at, "page_id").select("page_id", "item", "base", F.explode(F.array_compact(raw)).alias("href"))
+    found = inside.select("page_id", "item", "base", urls.normalise(absolute(F.col("base"), F.trim("href"))).alias("url")).where(F.col("url").isNotNull() & ~urls.truncated(F.col("url"))).distinct()
+    path, thread = F.lower(urls.path(F.col("url"))), topic(F.col("url")).isNotNull()
+    for part in THREADS:
+        thread = thread | F.contains(path, F.lit(part))
+    return found.select("page_id", "item", "url", (urls.same_site(F.col("url"), F.col("base")) & thread).alias("thread"))
 
 
 def score(chars: Column, links: Column, preferred: Column) -> Column:
     return F.least(chars, F.lit(10_000)) + 1000 * links + F.when(preferred, 5000).otherwise(0)
 
 
-def read_items(pages: DataFrame, family: str = "web", most: int = 100, least_chars: int = 30) -> DataFrame:
-    """page_id, item, title, summary, links, downloads, score of each page's items, best first by `place`.
+def main_parts(nodes: DataFrame) -> DataFrame:
+    """page_id, pre, end of each page's main part: main, or its role, or the content's id; else the body."""
+    rank = F.when((F.col("tag") == "main") | (F.col("attrs")["role"] == "main") | (F.col("id") == "content"), 0).when(F.col("tag") == "body", 1).when(F.col("parent").isNull(), 2)
+    return nodes.withColumn("_r", rank).where("_r is not null").groupBy("page_id").agg(F.min_by(F.struct("pre", "end"), F.struct("_r", "pre")).alias("m")).select("page_id", "m.*")
+
 
-    Kept are items with a link, or a text of some length. Items with the same title and links are one. A page without
-    an item is one item: its main part, or its body.
+def read_items(pages: DataFrame, family: str = "web", most: int = 100, least_chars: int = 30, nodes: DataFrame | None = None) -> DataFrame:
+    """page_id, item, title, summary, links, downloads, threads, score of each page's items, best first by `place`.
+
+    Of a board, kept are items with a file or a thread of the site; of other pages, items with a link or a text of some
+    length. Items with the same title and links are one. A page without a kept item is one item: its main part, if that
+    has a link (on other pages than boards: or a text). Pages are parsed once, into a table in the shared folder (or `nodes` says what they hold).
     """
-    whole = page_nodes(pages)
-    nodes = P.without_furniture(whole)
-    candidates = P.outermost(nodes, matches(family)).select("page_id", "pre", "end")
-    lonely = nodes.join(candidates, "page_id", "left_anti").where(F.col("tag").isin("main", "body", "html"))
-    main = lonely.groupBy("page_id").agg(F.min_by(F.struct("pre", "end"), F.struct(F.when(F.col("tag") == "main", 0).when(F.col("tag") == "body", 1).otherwise(2), "pre")).alias("m")).select("page_id", "m.*")
-    candidates = candidates.union(main)
-    texts, titles = P.summaries(nodes, candidates), P.titles(nodes, candidates)
-    links = item_links(pages, nodes, candidates)
-    counted = links.groupBy("page_id", "item").agg(F.count("*").alias("links"), F.count_if(urls.is_download(F.col("url"))).alias("downloads"), F.array_sort(F.collect_set(F.lower("url"))).alias("urls"))
-    items = texts.join(titles, ["page_id", "item"], "left").join(counted, ["page_id", "item"], "left")
-    items = items.withColumns({"links": F.coalesce("links", F.lit(0).cast("long")), "downloads": F.coalesce("downloads", F.lit(0).cast("long"))})
-    useful = items.where((F.col("links") > 0) | (F.col("chars") >= least_chars)).withColumn("score", score(F.col("chars"), F.col("links"), F.col("downloads") > 0))
+    nodes = cut(P.without_furniture(page_nodes(pages)), "nodes") if nodes is None else nodes
+    rows = matching(nodes, family)
+    candidates = P.outermost(rows, F.col("_item")).select("page_id", "pre", "end")
+    if family == "SMF-board":
+        candidates = board_rows(nodes, candidates)
+    found = _described(pages, nodes, candidates, family)
+    useful = (F.col("downloads") > 0) | (F.col("threads") > 0) if family != "web" else (F.col("links") > 0) | (F.col("chars") >= least_chars)
+    found = cut(found.where(useful), "items")
+    lonely = nodes.join(found.select("page_id").distinct(), "page_id", "left_anti")
+    found = found.unionByName(_described(pages, nodes, main_parts(lonely), family).where(useful if family == "web" else F.col("links") > 0))
+    found = found.withColumn("score", score(F.col("chars"), F.col("links"), F.col("downloads") > 0))
     same = Window.partitionBy("page_id", F.lower("title"), "urls").orderBy("item")
-    once = useful.withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    once = found.withColumn("_n", F.row_number().over(same)).where("_n = 1")
     place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "item"))
-    return once.withColumn("place", place).where(F.col("place") <= most).select("page_id", "item", "title", "summary", "links", "downloads", "score", "place")
+    return once.withColumn("place", place).where(F.col("place") <= most).select("page_id", "item", "title", "summary", "links", "downloads", "threads", "score", "place")
+
+
+def board_rows(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows that link a topic, without those that bots flood a board with."""
+    linked = P._owners(nodes, rows).where((F.col("tag") == "a") & F.col("attrs")["href"].rlike(r"topic[=,]\d+\.\d+")).select("page_id", F.col("item").alias("pre")).distinct()
+    rows = rows.join(linked, ["page_id", "pre"])
+    known = P.row_starters(nodes, rows).select("page_id", F.col("item").alias("pre"), "starter", "replies")
+    kept = bot_floods(rows.join(known, ["page_id", "pre"]).withColumn("page", F.col("page_id")))
+    return kept.select("page_id", "pre", "end")
+
+
+def _described(pages: DataFrame, nodes: DataFrame, candidates: DataFrame, family: str) -> DataFrame:
+    texts, titles = P.summaries(nodes, candidates), P.titles(nodes, candidates)
+    if family == "SMF":
+        own = P.post_titles(nodes, candidates).withColumnRenamed("title", "own")
+        titles = titles.join(own, ["page_id", "item"], "left").select("page_id", "item", F.coalesce("own", "title").alias("title"))
+    links = identified(item_links(pages, nodes, candidates))
+    counted = links.groupBy("page_id", "item").agg(F.count("*").alias("links"), F.count("file_key").alias("downloads"), F.count_if("thread").alias("threads"), F.array_sort(F.collect_set(urls.plain_key(F.col("url")))).alias("urls"))
+    items = texts.join(titles, ["page_id", "item"], "left").join(counted, ["page_id", "item"], "left")
+    return items.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("links", "downloads", "threads")})
 
 
 #: Readers by name: pages -> items. A reader of one's own is one more entry.

@@ -8,9 +8,24 @@ from pyspark.sql.window import Window
 
 from ..functions import dates, urls
 from ..sources.html import absolute
-from .dedupe import first_of
-
-FURNITURE_TAGS = ("nav", "footer", "aside", "form", "header", "script", "style", "template")
+from .dedupe import first_of, identified
+from .detect import guest_wall
+
+# Tags that hold no release; signatures under posts; holders of a post's date; labels of next pages.
+FURNITURE_TAGS = ("nav", "header", "footer", "aside", "script", "style", "noscript", "template", "svg")
+SIGNATURE_CLASSES = ("signature", "signaturecontainer", "postbit_signature", "sig", "signature-container", "message-signature", "cAuthorPane_signature", "ipsComment_signature")
+DATE_CLASSES = ("keyinfo", "post_date", "postdate", "author", "postdetails", "message-attribution", "date")
+DATE_BEFORE = r"keyinfo|postdetails|post_date|postdate|author"
+DATE_WITH_TIME = r"(?iu)\b\d{1,2}[/.-]\d{1,2}[/.-](?:\d{4}|\d{2}),?\s+\d{1,2}:\d\d|\b(?:hoy|ayer|today|yesterday)\b[^0-9]{0,12}\d{1,2}:\d\d|\b(?:19|20)\d\d-\d\d-\d\dT\d\d:\d\d"
+NEXT_TEXT = r"(?iu)^(?:next(?:\s*page)?|siguiente|suivant|weiter|volgende|próxima|›|>|→)\s*[›»>→]?$"
+NEXT_CLASS = r"(?i)(?:^|[-_ ])next(?:$|[-_ ])"
+TITLE_CLASSES = ("structItem-title", "p-title-value", "ipsType_pageTitle", "topic-title", "topictitle", "threadtitle")
+UI_WORDS = ("reply", "quote", "edit", "login")
+DISCOGS = r"discogs\.com/(?:\w\w/)?(?:release|master)/\d+-([^\s/?#\"'<>]+)"
+QUOTE_HEAD = r"(?iu)(?:Cita de|Quote from|Citation de|Zitat von):? .+? (?:en|on|le|am) \d\d?/\d\d?/\d\d(?:\d\d)?,? \d\d?:\d\d(?::\d\d)?(?: ?[ap]m)?"
+QUOTE_CLASSES = ("quoteheader", "quotefooter", "topslice_quote", "botslice_quote")
+PATH_OFFSET = r"^/([ft]\d+)(?:p(\d+))?-"
+PROFILE = r"(?i)action=profile;u=(\d+)|/profile/|member\.php\?u=|/members/"
 FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/rdf+xml")
 
 
@@ -25,8 +40,27 @@ def outside(nodes: DataFrame, banned: Column) -> DataFrame:
     return nodes.withColumn("_end", F.coalesce(end, F.lit(-1))).where(F.col("_end") < F.col("pre")).drop("_end")
 
 
-def without_furniture(nodes: DataFrame, classes: tuple[str, ...] = ("signature", "sidebar", "menu", "breadcrumb")) -> DataFrame:
-    return outside(nodes, F.col("tag").isin(*FURNITURE_TAGS) | F.arrays_overlap("classes", F.array(*map(F.lit, classes))))
+def _classes(*names: str) -> Column:
+    return F.arrays_overlap("classes", F.array(*map(F.lit, names)))
+
+
+def inside(nodes: DataFrame, holders: Column, name: str) -> DataFrame:
+    """nodes with `name`: whether a node is a holder or lies in one."""
+    end = F.max(F.when(holders, F.col("end"))).over(_page(Window.unboundedPreceding, 0))
+    return nodes.withColumn(name, F.coalesce(end >= F.col("pre"), F.lit(False)))
+
+
+def without_furniture(nodes: DataFrame) -> DataFrame:
+    """nodes without navigation, scripts, signatures, and forms for a login or a search.
+
+    Other forms stay: some boards wrap each post in one.
+    """
+    a = F.col("attrs")
+    said = F.lower(F.concat_ws(" ", F.array_join("classes", " "), a["action"]))
+    password = F.first(F.when((F.col("tag") == "input") & (F.lower(a["type"]) == "password"), F.col("pre")), ignorenulls=True).over(_page(1, Window.unboundedFollowing))
+    form = (F.col("tag") == "form") & ((F.coalesce(a["role"], F.lit("")) == "search") | F.contains(said, F.lit("search")) | F.coalesce(F.col("_password") <= F.col("end"), F.lit(False)))
+    signature = _classes(*SIGNATURE_CLASSES) | F.coalesce(F.col("id").rlike("^msg_.*_signature$"), F.lit(False))
+    return outside(nodes.withColumn("_password", password), F.col("tag").isin(*FURNITURE_TAGS) | form | signature).drop("_password")
 
 
 def outermost(nodes: DataFrame, matches: Column) -> DataFrame:
@@ -52,28 +86,79 @@ def summaries(nodes: DataFrame, candidates: DataFrame, most: int = 400) -> DataF
     return parts.groupBy("page_id", "item").agg(whole.alias("t")).select("page_id", "item", F.length("t").alias("chars"), F.left("t", F.lit(most)).alias("summary"))
 
 
+def texts(nodes: DataFrame, holders: DataFrame) -> DataFrame:
+    """page_id, item, t: the whole text of each holder (which don't overlap), in document order, single-spaced."""
+    parts = _owners(nodes, holders).where(~F.col("tag").isin("script", "style", "template"))
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("pre", "text")))["text"], " ")
+    return parts.groupBy("page_id", "item").agg(F.trim(F.regexp_replace(text, r"\s+", " ")).alias("t"))
+
+
 def titles(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """page_id, item, title: a heading, else a title class, else a longer anchor."""
-    parts = _owners(nodes, candidates).withColumn("t", F.trim(F.regexp_replace("text", r"\s+", " ")))
-    rank = F.when(F.col("tag").rlike("^h[1-6]$"), 0).when(F.exists("classes", lambda c: c.contains("title")), 1).when((F.col("tag") == "a") & (F.length("t") >= 5), 2)
-    ranked = parts.withColumn("_r", rank).where(F.col("_r").isNotNull() & (F.col("t") != ""))
-    return ranked.groupBy("page_id", "item").agg(F.min_by("t", F.struct("_r", "pre")).alias("title"))
+    """page_id, item, title: of the first heading or title class with three characters, else of the first anchor with
+    five that isn't a button, else the page's title."""
+    rank = F.when(F.col("tag").isin("h1", "h2", "h3"), F.substring("tag", 2, 1).cast("int")).when(_classes(*TITLE_CLASSES), 4).when(F.col("tag") == "a", 5)
+    inner = _owners(nodes, candidates).withColumn("_r", rank)
+    marks = outermost(inner, F.col("_r").isNotNull())
+    said = texts(nodes, marks.select("page_id", "pre", "end")).withColumnRenamed("item", "pre")
+    fits = F.when(F.col("_r") < 5, F.length("t") >= 3).otherwise((F.length("t") >= 5) & ~F.lower("t").isin(*UI_WORDS))
+    first = marks.select("page_id", "item", "pre", "_r").join(said, ["page_id", "pre"]).where(fits).groupBy("page_id", "item").agg(F.min_by("t", F.struct("_r", "pre")).alias("title"))
+    page = nodes.where("tag = 'title'").groupBy("page_id").agg(F.trim(F.regexp_replace(F.min_by("text", "pre"), r"\s+", " ")).alias("page_title"))
+    every = candidates.select("page_id", F.col("pre").alias("item")).join(first, ["page_id", "item"], "left").join(page, "page_id", "left")
+    return every.select("page_id", "item", F.coalesce("title", "page_title").alias("title"))
+
+
+def post_titles(nodes: DataFrame, posts: DataFrame) -> DataFrame:
+    """page_id, item, title: the release that a post links in a catalogue, else its first own words; quotes, labels of
+    links and urls left out."""
+    own = outside(_owners(nodes, posts), (F.col("tag") == "blockquote") | _classes(*QUOTE_CLASSES))
+    named = F.regexp_extract(F.concat_ws(" ", F.map_values("attrs"), F.col("text")), DISCOGS, 1)
+    slugs = own.withColumn("slug", named).where("slug <> ''").groupBy("page_id", "item").agg(F.min_by("slug", "pre").alias("slug"))
+    words = outside(own, F.col("tag") == "a").groupBy("page_id", "item").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pre", "text")))["text"], " ").alias("t"))
+    one = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    said = F.trim(one(F.substring_index(F.substring_index(F.regexp_replace(one(F.col("t")), QUOTE_HEAD, " "), "http://", 1), "https://", 1)), F.lit(" .:-"))
+    slug = one(F.replace(urls.decoded(F.col("slug")), F.lit("-"), F.lit(" ")))
+    met = posts.select("page_id", F.col("pre").alias("item")).join(slugs, ["page_id", "item"], "left").join(words, ["page_id", "item"], "left")
+    return met.select("page_id", "item", F.nullif(F.left(F.coalesce(slug, said), F.lit(100)), F.lit("")).alias("title"))
+
+
+def row_starters(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """page_id, item, starter, replies of a board's rows: the member of the first cell that links a profile and no topic,
+    and the first number in a later cell; null where there is none."""
+    tops = rows.select("page_id", F.col("pre").alias("item"))
+    cells = nodes.where("tag = 'td'").join(tops.withColumnRenamed("item", "parent"), ["page_id", "parent"]).select("page_id", "parent", "pre", "end")
+    said = texts(nodes, cells).withColumnRenamed("item", "pre")
+    href = F.coalesce(F.col("attrs")["href"], F.lit(""))
+    member = F.when(href.rlike(PROFILE), F.struct(F.trim("text").alias("name"), href.alias("href")))
+    found = _owners(nodes, cells).where("tag = 'a'").groupBy("page_id", F.col("item").alias("pre")).agg(F.min_by(member, F.when(href.rlike(PROFILE), F.col("pre"))).alias("m"), F.bool_or(href.rlike(r"topic[=,]\d+")).alias("topic"))
+    every = cells.join(said, ["page_id", "pre"], "left").join(found, ["page_id", "pre"], "left")
+    starts = F.col("m").isNotNull() & ~F.coalesce("topic", F.lit(False))
+    in_row = Window.partitionBy("page_id", "parent")
+    every = every.withColumn("_at", F.min(F.when(starts, F.col("pre"))).over(in_row))
+    number = F.regexp_replace("t", "[.,]", "")
+    number = F.when((F.col("pre") > F.col("_at")) & number.rlike(r"^\d{1,9}$"), number.cast("int"))
+    name = F.coalesce(F.nullif(F.col("m.name"), F.lit("")), F.col("m.href"))
+    by_row = every.groupBy("page_id", F.col("parent").alias("item")).agg(F.min_by(name, F.when(F.col("pre") == F.col("_at"), F.col("pre"))).alias("starter"), F.min_by(number, F.when(number.isNotNull(), F.col("pre"))).alias("replies"))
+    return tops.join(by_row, ["page_id", "item"], "left")
 
 
 def page_links(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """page_id, pos, url: hrefs, then urls in text outside anchors, in scripts, in other attributes, then decoded twins;
-    normalised, without truncated ones, first wins by case and closing slash."""
+    normalised, without truncated ones, first wins by case and closing slash.
+
+    Each node gives one array of what it holds, so that pages are parsed once."""
     at = pages.select("page_id", F.col("url").alias("base"))
-    hrefs = nodes.where("attrs['href'] is not null").join(at, "page_id").select("page_id", F.lit(0).alias("turn"), "pre", F.lit(0).alias("i"), absolute(F.col("base"), F.trim(F.col("attrs")["href"])).alias("url"))
     raw = F.col("tag").isin("script", "style", "template")
-    found = lambda rows, turn, text: rows.select("page_id", F.lit(turn).alias("turn"), "pre", F.posexplode(urls.find_urls(text)).alias("i", "url"))
-    text = found(nodes.where(~raw & (F.col("tag") != "a")), 1, F.col("text"))
-    scripts = found(nodes.where(raw), 2, F.col("text"))
     others = F.array_join(F.map_values(F.map_filter("attrs", lambda k, v: k != "href")), " ")
-    attributes = found(nodes, 3, others)
-    every = hrefs.union(text).union(scripts).union(attributes)
-    twins = every.withColumn("d", urls.decoded(F.col("url"))).where("d <> url").select("page_id", F.lit(4).alias("turn"), "pre", "i", F.col("d").alias("url"))
-    every = every.union(twins).withColumn("url", urls.normalise(F.col("url"))).where(F.col("url").isNotNull() & ~urls.truncated(F.col("url")))
+    href = F.when(F.col("attrs")["href"].isNotNull(), F.array(F.struct(F.lit(0).alias("turn"), F.lit(0).alias("i"), absolute(F.col("base"), F.trim(F.col("attrs")["href"])).alias("url"))))
+    listed = lambda turn, text: F.transform(urls.find_urls(text), lambda u, i: F.struct(F.lit(turn).alias("turn"), i.alias("i"), u.alias("url")))
+    none = F.array().cast("array<struct<turn:int,i:int,url:string>>")
+    text = F.when(raw, listed(2, F.col("text"))).when(F.col("tag") != "a", listed(1, F.col("text")))
+    kept = nodes.where(F.col("attrs")["href"].isNotNull() | F.contains("text", F.lit("//")) | F.contains(others, F.lit("//")))
+    found = kept.join(at, "page_id").select("page_id", "pre", F.explode(F.concat(F.coalesce(href, none), F.coalesce(text, none), listed(3, others))).alias("l")).select("page_id", "pre", "l.*")
+    twin = F.when(F.contains("url", F.lit("%")), urls.decoded(F.col("url")))
+    both = F.array_compact(F.array(F.struct("turn", "url"), F.when(twin != F.col("url"), F.struct(F.lit(4).alias("turn"), twin.alias("url")))))
+    every = found.select("page_id", "pre", "i", F.explode(both).alias("l")).select("page_id", "l.turn", "pre", "i", urls.normalise(F.col("l.url")).alias("url"))
+    every = every.where(F.col("url").isNotNull() & ~urls.truncated(F.col("url")))
     once = first_of(every.withColumn("key", urls.plain_key(F.col("url"))), ["page_id", "key"], ["turn", "pre", "i"])
     pos = F.row_number().over(Window.partitionBy("page_id").orderBy("turn", "pre", "i"))
     return once.select("page_id", pos.alias("pos"), "url")
@@ -96,42 +181,95 @@ def machine_dates(nodes: DataFrame) -> DataFrame:
 
 
 def post_dates(nodes: DataFrame, posts: DataFrame, as_of: Column) -> DataFrame:
-    """page_id, item, day: a machine date in the post, else the first date written in it outside quotes."""
-    parts = _owners(nodes, posts)
+    """page_id, item, day: the date that a post was written; null if nothing tells it.
+
+    In order: a machine date in the post; a holder of dates in it; the last holder before it; and the nearest date with a
+    time before it that stands in no post and has no other post behind it. Quotes never count, nor do dates that a member
+    merely writes.
+    """
+    post = F.array_contains("classes", "post") & (F.col("tag") == "div")
+    marked = inside(inside(nodes, F.col("tag") == "blockquote", "_quoted"), post, "_in_post")
+    holder = (F.col("tag") == "time") | _classes(*DATE_CLASSES)
+    holders = outermost(marked, (holder | F.exists("classes", lambda c: c.rlike(DATE_BEFORE))) & ~F.col("_quoted"))
+    said = texts(nodes, holders.select("page_id", "pre", "end")).select("page_id", F.col("item").alias("pre"), dates.parse_date(F.col("t"), as_of).alias("held"))
+    begins = posts.select("page_id", "pre", F.lit(True).alias("_begins"))
+    rows = marked.join(holders.select("page_id", "pre", F.lit(True).alias("_holds")), ["page_id", "pre"], "left").join(said, ["page_id", "pre"], "left").join(begins, ["page_id", "pre"], "left")
+    loose = F.when(~F.col("_quoted") & ~F.col("_in_post") & F.col("text").rlike(DATE_WITH_TIME), F.struct("pre", dates.parse_date(F.col("text"), as_of).alias("day")))
+    before = _page(Window.unboundedPreceding, -1)
+    prior = F.last(F.when(F.col("_holds") & F.exists("classes", lambda c: c.rlike(DATE_BEFORE)), F.struct("held")), ignorenulls=True).over(before)["held"]
+    rows = rows.withColumns({"_prior": prior, "_loose": F.last(loose, ignorenulls=True).over(before), "_last_post": F.max(F.when(post, F.col("pre"))).over(before)})
+    heads = rows.where("_begins").select("page_id", F.col("pre").alias("item"), "_prior", F.when(F.coalesce(F.col("_last_post") < F.col("_loose.pre"), F.lit(True)), F.col("_loose.day")).alias("_head"))
+    parts = _owners(rows, posts)
     own = machine_dates(parts.withColumnsRenamed({"page_id": "_p"}).withColumn("page_id", F.struct("_p", "item"))).select("page_id.*", F.col("day").alias("machine")).toDF("page_id", "item", "machine")
-    said = outside(parts, (F.col("tag") == "blockquote") | F.exists("classes", lambda c: c.contains("quote"))).withColumn("d", dates.parse_date(F.col("text"), as_of)).where("d is not null")
-    said = said.groupBy("page_id", "item").agg(F.min_by("d", "pre").alias("said"))
-    items = posts.select("page_id", F.col("pre").alias("item"))
-    return items.join(own, ["page_id", "item"], "left").join(said, ["page_id", "item"], "left").select("page_id", "item", F.coalesce("machine", "said").alias("day"))
+    held = parts.where("held is not null").groupBy("page_id", "item").agg(F.min_by("held", "pre").alias("held"))
+    out = heads.join(own, ["page_id", "item"], "left").join(held, ["page_id", "item"], "left")
+    return out.select("page_id", "item", F.coalesce("machine", "held", "_prior", "_head").alias("day"))
 
 
 def next_pages(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """page_id, next: rel=next, else an anchor labelled as next, else the page with the next number."""
+    """page_id, next: the page after each page that has one.
+
+    Boards that count by offsets have the last word on their own pages: the smallest larger offset of the same topic or
+    board. Elsewhere rel=next, a link labelled as next (unless it leads back), then the page with the next number.
+    """
     at = pages.select("page_id", F.col("url").alias("base"))
-    rows = nodes.where("tag in ('a', 'link') and attrs['href'] is not null").join(at, "page_id")
-    rows = rows.withColumn("to", absolute(F.col("base"), F.col("attrs")["href"])).where("to <> base").where(urls.same_site(F.col("to"), F.col("base")))
-    label = F.lower(F.trim(F.col("text")))
-    here = F.coalesce(urls.page_number(F.col("base")), F.lit(1))
-    rank = (
-        F.when(F.array_contains(F.split(F.lower(F.coalesce(F.col("attrs")["rel"], F.lit(""))), r"\s+"), "next"), 0)
-        .when(label.rlike(r"^(next( ›| »| >)?|siguiente|suivante?|weiter|»|›)$") | F.exists("classes", lambda c: c.rlike("^pager(__item--|-)next$")), 1)
-        .when((urls.page_number(F.col("to")) == here + 1) & (label == (here + 1).cast("string")), 2)
-        .when(urls.page_number(F.col("to")) == here + 1, 3)
+    anchors = nodes.where("tag = 'a' and attrs['href'] is not null")
+    said = texts(nodes, outermost(nodes, F.col("tag") == "a").select("page_id", "pre", "end")).select("page_id", F.col("item").alias("pre"), "t")
+    above = nodes.select("page_id", F.col("pre").alias("parent"), F.array_join("classes", " ").alias("_above"))
+    links = anchors.unionByName(nodes.where("tag = 'link' and attrs['href'] is not null")).join(at, "page_id").join(said, ["page_id", "pre"], "left").join(above, ["page_id", "parent"], "left")
+    a, base, to = F.col("attrs"), F.col("base"), F.col("to")
+    links = links.withColumn("to", absolute(base, a["href"])).withColumn("t", F.coalesce("t", F.lit("")))
+    anchor = (F.col("tag") == "a") & (urls.authority(to) == urls.authority(base))
+    bare = F.substring_index(to, "#", 1)
+    here, there = urls.board_id(base), urls.board_id(to)
+    smf = F.when(anchor & (here["kind"] == there["kind"]) & (here["id"] == there["id"]) & (there["at"] > here["at"]), there["at"])
+    offset = lambda u: F.coalesce(F.nullif(F.regexp_extract(urls.path(u), PATH_OFFSET, 2), F.lit("")).cast("long"), F.lit(0))
+    ident = lambda u: F.regexp_extract(urls.path(u), PATH_OFFSET, 1)
+    by_path = F.when(anchor & (urls.query(to) == "") & (ident(base) != "") & (ident(base) == ident(to)) & (offset(to) > offset(base)), offset(to))
+    rel = F.array_contains(F.split(F.lower(F.coalesce(a["rel"], F.lit(""))), r"\s+"), "next") & (F.rtrim(to, F.lit("/")) != F.rtrim(base, F.lit("/")))
+    kinds = F.concat_ws(" ", F.array_join("classes", " "), F.col("_above"))
+    label = anchor & (F.col("t").rlike(NEXT_TEXT) | F.contains(F.lower(F.coalesce(a["title"], a["aria-label"], F.lit(""))), F.lit("next page")) | (kinds.rlike(NEXT_CLASS) & ~F.col("t").rlike("(?i)last|prev")))
+    number, now = urls.page_number(to), urls.page_number(base)
+    counted = anchor & (number == F.coalesce(now, F.lit(1)) + 1)
+    first = lambda value, which, order: F.min_by(value, F.when(which, order))
+    got = links.groupBy("page_id", "base").agg(
+        F.min(smf).alias("smf"), first(to, rel, F.col("pre")).alias("rel"), F.min(F.when(by_path.isNotNull(), F.struct(by_path, "pre", bare.alias("to"))))["to"].alias("path"),
+        first(bare, label, F.col("pre")).alias("label"), first(to, counted, F.struct((F.col("t") != number.cast("string")).alias("other"), "pre")).alias("counted"),
     )
-    return rows.withColumn("_r", rank).where("_r is not null").groupBy("page_id").agg(F.min_by("to", F.struct("_r", "pre")).alias("next"))
-
-
-def probe(pages: DataFrame, links: DataFrame, most: int = 15) -> DataFrame:
-    """page_id, host, n: the most frequent hosts of each page."""
-    n = links.groupBy("page_id", urls.host_only(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("page_id").orderBy(F.desc("n"), "host")
-    return n.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k").join(pages.select("page_id"), "page_id", "left_semi")
+    other = lambda c: F.when(F.rtrim(F.col(c), F.lit("/")) != F.rtrim(base, F.lit("/")), F.col(c))
+    back = F.coalesce(urls.page_number(F.col("label")) <= now, F.lit(False))
+    smf_url = F.concat(F.substring_index(base, "/", 3), F.lit("/index.php?"), here["kind"], F.lit("="), here["id"].cast("string"), F.lit("."), F.col("smf").cast("string"))
+    plain = F.coalesce(F.when(~back, other("label")), other("counted"))
+    nxt = F.when(here.isNotNull(), smf_url).otherwise(F.coalesce("rel", F.when(ident(base) != "", F.col("path")).otherwise(plain)))
+    return got.select("page_id", nxt.alias("next")).where("next is not null")
+
+
+def probe(pages: DataFrame, nodes: DataFrame, links: DataFrame, best: DataFrame, items: DataFrame, most: int = 15) -> DataFrame:
+    """One row for each page: software, items, links, downloads, hosts (the most frequent, with counts), next,
+    guest_wall, titles (up to twelve). best: page_id, software; items: page_id, title, place."""
+    known = identified(links).select("page_id", urls.host_only(F.col("url")).alias("host"), "file_key")
+    by_host = known.groupBy("page_id", "host").agg(F.count("*").alias("n"), F.count("file_key").alias("files"))
+    listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "host"))), 1, most)
+    hosts = by_host.groupBy("page_id").agg(F.sum("n").alias("links"), F.sum("files").alias("downloads"), F.array_join(F.transform(listed, lambda x: F.concat_ws(" ", x["host"], (-x["less"]).cast("string"))), ", ").alias("hosts"))
+    named = items.groupBy("page_id").agg(F.count("*").alias("items"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", F.left("title", F.lit(90)).alias("title")))), lambda x: x["title"]), 1, 12), "; ").alias("titles"))
+    out = pages.select("page_id", guest_wall(F.col("html")).alias("guest_wall")).join(best.select("page_id", "software"), "page_id", "left").join(hosts, "page_id", "left").join(named, "page_id", "left").join(next_pages(pages, nodes), "page_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("page_id", "software", zero("items"), zero("links"), zero("downloads"), F.coalesce("hosts", F.lit("")).alias("hosts"), "next", "guest_wall", F.coalesce("titles", F.lit("")).alias("titles"))
 
 
 def captions(nodes: DataFrame, reach: int = 40) -> DataFrame:
-    """page_id, pre, url, caption: each player with the last paragraph or heading before it, unless a player comes between."""
-    player = F.col("tag").isin("audio", "source") & F.col("attrs")["src"].isNotNull()
-    words = F.trim(F.regexp_replace("text", r"\s+", " "))
-    mark = F.when(player, F.struct(F.lit("").alias("said"))).when(F.col("tag").rlike("^(p|h[1-6])$") & (words != ""), F.struct(words.alias("said")))
-    before = _page(-reach, -1)
-    return nodes.withColumn("_m", mark).withColumn("caption", F.coalesce(F.last("_m", ignorenulls=True).over(before)["said"], F.lit(""))).where(player).select("page_id", "pre", F.col("attrs")["src"].alias("url"), "caption")
+    """page_id, pre, url, caption of each player: the words of the last paragraph or heading before it that isn't an
+    advertisement's, unless another player comes between; of a link to a file, its own words."""
+    a = F.col("attrs")
+    src = F.when(F.col("tag").isin("audio", "source"), F.nullif(F.trim(a["src"]), F.lit(""))).when((F.col("tag") == "a") & urls.is_media(F.coalesce(a["href"], F.lit(""))), a["href"])
+    blocks = outermost(nodes, F.col("tag").rlike("^(p|h[1-6])$") | ((F.col("tag") == "a") & src.isNotNull()))
+    said = texts(nodes, blocks.select("page_id", "pre", "end")).select("page_id", F.col("item").alias("pre"), "t")
+    met = nodes.withColumn("src", src).join(said, ["page_id", "pre"], "left")
+    words = F.when(F.col("tag").rlike("^(p|h[1-6])$") & (F.col("t") != "") & ~F.contains("t", F.lit("adsbygoogle")), F.struct(F.col("t").alias("said")))
+    # a source's own audio element isn't another player
+    mark = F.when((F.col("tag") == "audio"), F.struct(F.lit("").alias("said"))).otherwise(words)
+    met = met.withColumn("_m", mark).withColumn("_b", F.last("_m", ignorenulls=True).over(_page(-reach, -1)))
+    up = met.select("page_id", F.col("pre").alias("parent"), F.when(F.col("tag") == "audio", F.struct("_b")).alias("_audio"))
+    met = met.where("src is not null").join(up, ["page_id", "parent"], "left")
+    held = F.when((F.col("tag") == "source") & F.col("_audio").isNotNull(), F.col("_audio._b.said")).otherwise(F.col("_b.said"))
+    return met.select("page_id", "pre", F.col("src").alias("url"), F.coalesce(F.when(F.col("tag") == "a", F.coalesce("t", F.trim("text"))).otherwise(held), F.lit("")).alias("caption"))

@@ -37,6 +37,12 @@ def high_water(read: DataFrame, by: str, at: str, page_size: int = 15) -> DataFr
 
 
 def bot_floods(rows: DataFrame, least: int = 6) -> DataFrame:
-    """rows (page, starter, replies) without the unanswered ones of starters who have so many on a page."""
-    flood = F.count_if(F.col("replies") == 0).over(Window.partitionBy("page", "starter")) >= least
+    """rows (page, starter, replies) without the unanswered ones of starters who have so many on a page. Rows
+    whose starter isn't known stay."""
+    flood = F.col("starter").isNotNull() & (F.count_if(F.col("replies") == 0).over(Window.partitionBy("page", "starter")) >= least)
     return rows.withColumn("_flood", flood).where(~(F.col("_flood") & F.col("replies").eqNullSafe(0))).drop("_flood")
+
+
+def posts_in_window(posts: DataFrame, by: list[str], day: str, since) -> DataFrame:
+    """by, kept, oldest, newest: posts of each page that aren't known to be older than the window, and its dates."""
+    return posts.groupBy(*by).agg(F.count_if(~F.coalesce(F.col(day) < since, F.lit(False))).alias("kept"), F.min(day).alias("oldest"), F.max(day).alias("newest"))

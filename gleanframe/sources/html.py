@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html as _html
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -93,18 +92,23 @@ def unescape(text: Column) -> Column:
     return F.pandas_udf(_unescaped, "string")(text)
 
 
-def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
-    def one(b, h):
-        try:
-            return urljoin(b or "", h) if h is not None else None
-        except ValueError:
-            return None
-
-    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
-
-
 def absolute(base: Column, href: Column) -> Column:
-    """An absolute url; whole urls and those from the root on need no Python."""
-    whole = href.rlike("(?i)^https?://[^/?#]+/[^.]*$")
-    root = href.rlike(r"^/[^/.][^.]*$") & base.rlike("(?i)^https?://[^/?#]+")
-    return F.when(whole, href).when(root, F.concat(F.regexp_extract(base, "(?i)^https?://[^/?#]+", 0), href)).otherwise(F.pandas_udf(_joined, "string")(base, href))
+    """An absolute url by RFC 3986, in expressions; only paths with dots between slashes are folded part by part."""
+    front = F.regexp_extract(base, "(?i)^[a-z][a-z0-9+.-]*://[^/?#]*", 0)
+    rest = F.substring(base, F.length(front) + 1, F.length(base))
+    bare = F.regexp_extract(rest, "^[^?#]*", 0)
+    path = F.regexp_extract(href, "^[^?#]*", 0)
+    tail = F.substring(href, F.length(path) + 1, F.length(href))
+    folder = F.when(F.contains(bare, F.lit("/")), F.regexp_extract(bare, "^(.*/)[^/]*$", 1)).otherwise("/")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    dotted = whole.rlike(r"(^|/)\.\.?(/|$)")
+    steps = F.aggregate(F.split(F.substring(whole, 2, 1 << 20), "/"), F.array().cast("array<string>"), lambda out, s: F.when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(s == ".", out).otherwise(F.array_append(out, s)))
+    ends = whole.rlike(r"/\.\.?$")
+    folded = F.concat(F.lit("/"), F.array_join(steps, "/"), F.when(ends & (F.size(steps) > 0), "/").otherwise(""))
+    return (
+        F.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "(?i)^[a-z][a-z0-9+.-]*:", 0), href))
+        .when(path == "", F.concat(front, F.when(tail.startswith("?"), bare).otherwise(F.regexp_extract(rest, "^[^#]*", 0)), tail))
+        .when(dotted, F.concat(front, folded, tail))
+        .otherwise(F.concat(front, whole, tail))
+    )

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import find_urls, normalise
+
 PAGES = "page_id long, url string, html string"
 POSTS = "id long, date string, link string, title struct<rendered:string>, content struct<rendered:string>, categories array<long>"
 MEDIA = "id long, post long, source_url string, mime_type string"
@@ -26,17 +28,20 @@ def stream_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:
-    """feeds (feed_url, xml) -> entries of RSS and Atom: id, name, url, author, published, summary (400 characters)."""
+    """feeds (feed_url, xml) -> entries of RSS, RDF and Atom: id, name, url, author, published, summary (400 characters),
+    links (its own url, then those in its text)."""
     item = "struct<guid:string,title:string,link:string,author:string,pubDate:string,description:string>"
     entry = "struct<id:string,title:string,link:array<struct<_href:string,_rel:string>>,author:struct<name:string>,published:string,updated:string,summary:string,content:string>"
     clean = F.regexp_replace("xml", r"(?s)^\s*<\?xml.*?\?>", "")
-    rss = feeds.where(F.col("xml").rlike("(?i)<rss|<rdf")).withColumn("r", F.from_xml(clean, f"channel struct<item:array<{item}>>")).select("feed_url", F.posexplode("r.channel.item").alias("pos", "e"))
+    rss = feeds.where(F.col("xml").rlike("(?i)<rss|<rdf")).withColumn("r", F.from_xml(clean, f"channel struct<item:array<{item}>>, item array<{item}>")).select("feed_url", F.posexplode(F.coalesce("r.channel.item", "r.item")).alias("pos", "e"))
     rss = rss.select("feed_url", "pos", F.coalesce("e.guid", "e.link").alias("id"), F.col("e.title").alias("name"), F.col("e.link").alias("url"), F.col("e.author").alias("author"), F.col("e.pubDate").alias("published"), F.col("e.description").alias("summary"))
     atom = feeds.where(F.col("xml").rlike("(?i)<feed")).withColumn("r", F.from_xml(clean, f"entry array<{entry}>")).select("feed_url", F.posexplode("r.entry").alias("pos", "e"))
     href = F.get(F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
     atom = atom.select("feed_url", "pos", F.coalesce(F.col("e.id"), href).alias("id"), F.col("e.title").alias("name"), href.alias("url"), F.col("e.author.name").alias("author"), F.coalesce("e.published", "e.updated").alias("published"), F.coalesce("e.summary", "e.content").alias("summary"))
     text = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("summary", F.lit("")), "<[^>]*>", " "), r"\s+", " "))
-    return rss.union(atom).withColumn("summary", F.left(text, F.lit(400)))
+    said = F.regexp_replace(F.coalesce("summary", F.lit("")), "<[^>]*>", " ")
+    links = F.array_distinct(F.array_compact(F.transform(F.concat(F.array("url"), find_urls(said)), normalise)))
+    return rss.union(atom).withColumns({"links": links, "summary": F.left(text, F.lit(400))})
 
 
 def read_cms(spark: SparkSession, posts: str, media: str, categories: str) -> tuple[DataFrame, DataFrame, DataFrame]:

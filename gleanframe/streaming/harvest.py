@@ -11,9 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import dedupe, history
-
-# The moves that a queue entry may make.
-MOVES = {("NEW", "QUEUED"), ("QUEUED", "CLAIMED"), ("CLAIMED", "DONE"), ("CLAIMED", "FAILED"), ("CLAIMED", "QUEUED"), ("FAILED", "QUEUED")}
+from ..plans.cuts import new_path
+
+# From each state of a queue entry the states that it may move to.
+MOVES = {
+    "new": ("queued", "skipped_owned", "cancelled"),
+    "queued": ("claimed", "cancelled", "failed"),
+    "claimed": ("downloading", "queued", "failed", "cancelled"),
+    "downloading": ("verified", "failed", "quarantined"),
+    "verified": ("filed", "failed"),
+    "filed": (),
+    "skipped_owned": ("queued",),
+    "failed": ("queued",),
+    "quarantined": ("queued",),
+    "cancelled": ("queued",),
+}
 
 
 class Table:
@@ -76,6 +88,14 @@ def bounded_once(links: DataFrame, at: str = "ts", delay: str = "1 day") -> Data
     return dedupe.identified(links).where("file_key is not null").withWatermark(at, delay).dropDuplicatesWithinWatermark(["file_key"])
 
 
+def run_once(stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream gives of what is there now, as a table in the shared folder (out of append mode)."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 def stage_counts(events: DataFrame, length: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events by stage and window of time."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -84,27 +104,57 @@ def stage_counts(events: DataFrame, length: str = "1 hour", delay: str = "10 min
 
 def _fold(state: str, attempts: int, moves: Iterator[tuple[int, str]]):
     for seq, to in moves:
-        legal = (state, to) in MOVES
-        attempts += legal and to == "FAILED"
+        legal = to in MOVES[state]
+        attempts += legal and to == "failed"
         yield seq, state, to, legal, attempts
         state = to if legal else state
 
 
 _AUDIT = "queue_id long, seq long, from_state string, to_state string, legal boolean, attempts int"
-
-
-def replay_queue(moves: DataFrame) -> DataFrame:
-    """moves (queue_id, seq, to_state) judged in order: a move counts from the state that the lawful ones before it left.
-
-    A queue entry's moves are few; the fold is by entry.
+#: Numbers of moves (seq) that a task replays at a time.
+RANGE = 100_000
+
+
+def _effects(key, group: pd.DataFrame) -> pd.DataFrame:
+    """What a range of moves makes of each state that an entry could be in before it."""
+    moves, rows = list(group.sort_values("seq").to_state), []
+    for start in MOVES:
+        state, fails = start, 0
+        for to in moves:
+            if to in MOVES[state]:
+                state, fails = to, fails + (to == "failed")
+        rows.append((*key, start, state, fails))
+    return pd.DataFrame(rows, columns=["queue_id", "part", "start", "state", "fails"])
+
+
+def _starts(key, group: pd.DataFrame) -> pd.DataFrame:
+    """The state and attempts with which an entry comes into each of its ranges."""
+    state, attempts, rows = "new", 0, []
+    for part, found in group.sort_values("part").groupby("part"):
+        rows.append((key[0], part, state, attempts))
+        effect = found[found.start == state].iloc[0]
+        state, attempts = effect.state, attempts + int(effect.fails)
+    return pd.DataFrame(rows, columns=["queue_id", "part", "state", "attempts"])
+
+
+def replay_queue(moves: DataFrame, span: int = RANGE) -> DataFrame:
+    """moves (queue_id, seq, to_state) judged in order of seq: a move counts from the state that the lawful ones before
+    it left, beginning with new.
+
+    An entry with many moves is cut into ranges of seq. What a range makes of each possible state is found for all
+    ranges side by side, then folded over the ranges of an entry, then all ranges are replayed from their own start.
     """
+    rows = moves.select("queue_id", "seq", "to_state", F.floor(F.col("seq") / span).alias("part"))
+    by = ["queue_id", "part"]
+    effects = rows.groupBy(*by).applyInPandas(_effects, "queue_id long, part long, start string, state string, fails int")
+    starts = effects.groupBy("queue_id").applyInPandas(_starts, "queue_id long, part long, state string, attempts int")
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("seq")
-        rows = [(key[0], *r) for r in _fold("NEW", 0, zip(group.seq, group.to_state))]
-        return pd.DataFrame(rows, columns=["queue_id", "seq", "from_state", "to_state", "legal", "attempts"])
+        found = [(key[0], *r) for r in _fold(group.state.iloc[0], int(group.attempts.iloc[0]), zip(group.seq, group.to_state))]
+        return pd.DataFrame(found, columns=["queue_id", "seq", "from_state", "to_state", "legal", "attempts"])
 
-    return moves.select("queue_id", "seq", "to_state").groupBy("queue_id").applyInPandas(run, _AUDIT)
+    return rows.join(starts, by).groupBy(*by).applyInPandas(run, _AUDIT)
 
 
 class QueueMoves(StatefulProcessor):
@@ -115,7 +165,7 @@ class QueueMoves(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         moves = pd.concat(list(rows)).sort_values("seq")
-        state, attempts = self.state.get() if self.state.exists() else ("NEW", 0)
+        state, attempts = self.state.get() if self.state.exists() else ("new", 0)
         out = [(key[0], *r) for r in _fold(state, attempts, zip(moves.seq, moves.to_state))]
         last = out[-1]
         self.state.update((last[3] if last[4] else last[2], int(last[5])))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gleanframe.functions import naming
 from gleanframe.functions import dates, urls
 from gleanframe.functions import hosts as H
 from gleanframe.functions import recase as R
@@ -24,13 +25,39 @@ def test_items(spark):
     "text, upload, want",
     [("DJ SWAN-E AND THE MC", ["Swan-E"], "DJ Swan-E and the MC"), ("THE RSR (SIDE A)", [], "The RSR (Side A)"), ("PIlgrim at night", [], "Pilgrim at night"), ("SS - THE END", [], "SS - The End"), ("FX", ["FX", "mix"], "FX"), ("", [], ""), ("123", [], "123")],
 )
-def test_recased(text, upload, want):
-    assert R.recased(text, upload) == want
+def test_recased(spark, text, upload, want):
+    row = spark.createDataFrame([(text, upload)], "text string, upload array<string>")
+    assert row.select(R.recased(F.col("text"), F.col("upload"))).first()[0] == want
 
 
-def test_differences():
-    assert R.differences("tape 2 side a", "tape 3 side 1") == "tape 2 vs upload tape 3"
-    assert R.differences("swan (live) e tape 1", "tape 1 swan") == ""
+_M = "https://c.example/m/"
+TITLES = [
+    ("TAPE 7 (SIDE A) – R-TYPE B2B PLAYA", "Tape_7_(Side_A)_-_R-Type_B2B_Playa.mp3", "Tape 7 (Side A) - R-Type B2B Playa"),
+    ("SHY FX", "Shy_FX.mp3", "Shy FX"),
+    ("JASON KAYE (SIDE A)", "jk.mp3", "Jason Kaye (Side A)"),
+    ("SIDE 7 – ECHO / KROME", "s7.mp3", "Side 7 - Echo & Krome"),
+    ("Jumping Jack Frost (Side B)", "Tape_5_(Side_B)_-_Jumping_Jack_Frost.mp3", "Tape 5 - Jumping Jack Frost (Side B)"),
+    ("TAPE 6 – BILLY HUNTER & MR HYDE", "Tape_6_-_Billy_Bunter_&_Mr_Hyde.mp3", "Tape 6 - Billy Bunter & Mr Hyde"),
+    ("PIlgrim & Donovan Badboy Smith", "p.mp3", "Pilgrim & Donovan Badboy Smith"),
+    ("", "Side_1_-_Hype%20&amp;_X.mp3", "Side 1 - Hype & X"),
+]
+
+
+def test_names_of_tracks_and_folders(spark):
+    rows = spark.createDataFrame([(c, _M + u, w) for c, u, w in TITLES], "caption string, url string, want string")
+    got = rows.select("want", R.track_title(F.col("caption"), F.col("url")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    folders = [("Hysteria 9", "1995", "Hysteria 9 (1995)"), ("Amnesia House @ The Edge NYE 1993", "1993", "Amnesia House @ The Edge NYE 1993"), ("ACCELERATED CULTURE 17 &#8211; ENERGY FLUX", "2004", "Accelerated Culture 17 - Energy Flux (2004)")]
+    rows = spark.createDataFrame(folders, "title string, year string, want string").withColumn("title", F.replace("title", F.lit("&#8211;"), F.lit("–")))
+    assert [r[0] for r in rows.select(R.folder_name(F.col("title"), F.col("year"))).collect()] == [f[2] for f in folders]
+    years = spark.createDataFrame([("YEAR: 1994",), ("year 1994",), ("Year : 2002 x",), (None,)], "t string")
+    assert [r[0] for r in years.select(naming.labelled_year(F.col("t"))).collect()] == ["1994", "", "2002", ""]
+
+
+def test_disagreements(spark):
+    rows = [("Andy C (Side A)", "Andy_C_(Side_1).mp3", ""), ("Andy C (Side A)", "Andy_C_(Side_2).mp3", "side a vs upload side 2"), ("tape 2 side a", "tape_3_side_1.mp3", "tape 2 vs upload tape 3"), ("swan (live) e tape 1", "tape_1_swan.mp3", ""), ("Grooverider", "x.mp3", "caption words not in upload name: grooverider")]
+    got = spark.createDataFrame([(c, _M + u, w) for c, u, w in rows], "c string, u string, w string").select("w", R.disagreement(F.col("c"), F.col("u")).alias("got")).collect()
+    assert [r.got for r in got] == [r.w for r in got]
 
 
 def _values(spark, column, rows, schema="url string"):

@@ -110,15 +110,16 @@ def test_baseline_is_silent(spark, tmp_path):
     assert [r.release_id for r in spark.read.parquet(str(tmp_path / "new")).collect()] == [3]
 
 
-def test_queue_moves(spark, tmp_path):
-    got = catalog.queries()["w4_queue_replay"](spark, SF).collect()
-    states: dict = {}
-    for r in sorted(got, key=lambda r: (r.queue_id, r.seq)):
-        state, tries = states.get(r.queue_id, ("NEW", 0))
-        legal = (state, r.to_state) in harvest.MOVES
-        assert (r.from_state, r.legal) == (state, legal)
-        states[r.queue_id] = (r.to_state if legal else state, tries)
-    assert any(r.legal for r in got)
+#: Moves by hand: to_state, lawful, state and attempts afterwards.
+STORY = [("filed", False, "new", 0), ("queued", True, "queued", 0), ("failed", True, "failed", 1), ("claimed", False, "failed", 1), ("queued", True, "queued", 1), ("claimed", True, "claimed", 1), ("downloading", True, "downloading", 1), ("quarantined", True, "quarantined", 1), ("queued", True, "queued", 1), ("claimed", True, "claimed", 1), ("downloading", True, "downloading", 1), ("verified", True, "verified", 1), ("failed", True, "failed", 2), ("queued", True, "queued", 2), ("cancelled", True, "cancelled", 2), ("filed", False, "cancelled", 2)]
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_queue_moves(spark, span):
+    moves = spark.createDataFrame([(q, i, s[0]) for q in (1, 2) for i, s in enumerate(STORY)], "queue_id long, seq long, to_state string")
+    got = sorted(harvest.replay_queue(moves, span).collect(), key=lambda r: (r.queue_id, r.seq))
+    assert [(r.legal, r.attempts) for r in got] == [(s[1], s[3]) for s in STORY] * 2
+    assert [r.from_state for r in got] == ["new", *(s[2] for s in STORY[:-1])] * 2
 
 
 @pytest.mark.parametrize("delay", ["10 minutes"])
