@@ -1,26 +1,36 @@
 """Personal data in whole texts: fixed patterns, and a skip-chain conditional random field over what looks like data.
 
 The patterns decide emails, IP addresses, payment cards and phone numbers. The field then labels every token that holds
-a digit or an at sign: neighbouring tokens share a potential, and so do distant ones that repeat each other or look
-alike, so that a token takes over the label which its likes have in the document. Loopy message passing gives the
-marginals of all labels; tokens that are personal data by them add spans where the patterns have none.
+a digit or an at sign: neighbouring tokens share a potential, and so do distant ones that repeat each other (long numbers
+by their digits, whatever stands between and before them) or look alike, through one hub for all that are alike, so that
+distance in a document costs nothing. Loopy message passing, until it settles, gives the marginals of all labels; tokens
+that are personal data by them add spans where the patterns have none: a number that was once given with its country code
+and then without, for one.
+
+Labels for training are the patterns' hits and, as evidence that the patterns don't see, all repeats of a hit.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 #: In the order in which spans that start together are listed; label 0 is none of them.
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is trained on (on average, drawn by a hash of doc_id), of their tokens at most so many each;
-#: rounds of messages; probability from which a token is personal data.
-SAMPLE, ROUNDS, SURE = 4000, 8, 0.9
+#: Documents that the field is trained on (on average, drawn by a hash of doc_id); rounds of messages at most, and the
+#: largest change of a message with which they have settled; probability from which a token is personal data.
+SAMPLE, ROUNDS, SETTLED, SURE = 4000, 300, 1e-4, 0.9
+#: Digits from which a token without letters is known by its digits alone.
+NUMBER = 7
 STEPS, RATE = 200, 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -75,52 +85,63 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 FEATURES = 20
 
 
+_EDGE_SIGNS = ".,;:!?\"'()<>[]{}#*$%&"
+
+
 def _nodes(text: str, base: list[tuple[int, int, int]]):
-    """Tokens with a digit or an at sign: spans, features, normal forms, shapes, and labels by the patterns (0: none)."""
-    spans, rows, forms, shapes, labels, at = [], [], [], [], [], 0
+    """Tokens with a digit or an at sign: spans without the signs around them, features, normal forms, shapes, and labels
+    by the patterns (0: none)."""
+    spans, rows, forms, shapes = [], [], [], []
     end_before, last = -9, ""
     for m in _TOKEN.finditer(text):
         token = m[0]
         if not _SIGN.search(token):
             last = token
             continue
-        a, b = m.start(), m.end()
-        core = token.strip(".,;:!?\"'()<>[]{}#*$%&")
-        digits = len(_DIGIT.findall(core))
-        dots, n = core.count("."), len(core)
-        has_at = "@" in core
-        rows.append((1, has_at, has_at and "." in core.rpartition("@")[2], core[:1] == "+", digits == 0, digits < 4, 4 <= digits < 9, 9 <= digits < 12, 12 <= digits < 20, digits >= 20, digits == n, dots == 3, dots > 0, "-" in core, "(" in token, digits < n and any(c.isalpha() for c in core), n > 30, a - end_before < 3, last[-1:] in ":=", core[:1].isdigit()))
-        while at < len(base) and base[at][2] <= a:
-            at += 1
-        label = 0
-        for start, kind, end in base[at : at + 8]:
-            if start < b and end > a:
-                label = kind + 1
-                break
-        spans.append((a, b))
-        forms.append(core.lower())
-        shapes.append(re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", core))[:24] + f"/{digits}")
-        labels.append(label)
-        end_before, last = b, token
+        core = token.strip(_EDGE_SIGNS)
+        a = m.start() + len(token) - len(token.lstrip(_EDGE_SIGNS))
+        found = _DIGIT.findall(core)
+        digits, dots, n = len(found), core.count("."), len(core)
+        has_at, letters = "@" in core, any(c.isalpha() for c in core)
+        rows.append((1, has_at, has_at and "." in core.rpartition("@")[2], core[:1] == "+", digits == 0, digits < 4, 4 <= digits < 9, 9 <= digits < 12, 12 <= digits < 20, digits >= 20, digits == n, dots == 3, dots > 0, "-" in core, "(" in token, digits < n and letters, n > 30, a - end_before < 3, last[-1:] in ":=", core[:1].isdigit()))
+        spans.append((a, a + n))
+        forms.append("".join(found) if digits >= NUMBER and not letters and not has_at else core.lower())
+        shapes.append(re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", core)) + f"/{digits}")
+        end_before, last = a + n, token
+    labels, ends, tokens = [0] * len(spans), [b for _, b in spans], len(spans)
+    for start, kind, end in base:
+        i = bisect_right(ends, start)
+        while i < tokens and spans[i][0] < end:
+            labels[i] = labels[i] or kind + 1
+            i += 1
+        digits = "".join(_DIGIT.findall(text[start:end])) if kind > 1 else ""
+        if len(digits) >= NUMBER:  # what is written in groups is a node as a whole, too, which its repeats can meet
+            spans.append((start, end))
+            rows.append((0,) * FEATURES)
+            forms.append(digits)
+            shapes.append("")
+            labels.append(kind + 1)
     return spans, rows, forms, shapes, labels
 
 
-def _edges(spans, forms, shapes) -> tuple[np.ndarray, np.ndarray]:
-    """(from, to) and kind of edge: 0 neighbours, 1 repeats, 2 look-alikes (each with the one before it of its like)."""
-    out, kinds, by_form, by_shape = [], [], {}, {}
-    for i, (span, form, shape) in enumerate(zip(spans, forms, shapes)):
-        near = i - 1 if i and span[0] - spans[i - 1][1] < 3 else None
-        if near is not None:
-            out.append((i - 1, i))
-            kinds.append(0)
-        if form in by_form and by_form[form] != near:
-            out.append((by_form[form], i))
-            kinds.append(1)
-        elif shape in by_shape and by_shape[shape] != near:
-            out.append((by_shape[shape], i))
-            kinds.append(2)
-        by_form[form] = by_shape[shape] = i
-    return np.array(out, np.int64).reshape(-1, 2), np.array(kinds, np.int64)
+def _edges(spans, forms, shapes) -> tuple[np.ndarray, np.ndarray, int]:
+    """(from, to), kind of edge (0 neighbours, 1 repeats, 2 look-alikes), and the number of hubs, which come after the
+    tokens: one for each form, and each shape of several forms, that occurs more than once."""
+    out = [(i - 1, i) for i in range(1, len(spans)) if 0 <= spans[i][0] - spans[i - 1][1] < 3]
+    kinds, hub = [0] * len(out), len(spans)
+    by_form: dict[str, list[int]] = {}
+    by_shape: dict[str, dict[str, int]] = {}
+    for i, (form, shape) in enumerate(zip(forms, shapes)):
+        by_form.setdefault(form, []).append(i)
+        if shape:
+            by_shape.setdefault(shape, {}).setdefault(form, i)
+    for kind, groups in ((1, by_form.values()), (2, (list(g.values()) for g in by_shape.values()))):
+        for members in groups:
+            if len(members) > 1:
+                out += [(i, hub) for i in members]
+                kinds += [kind] * len(members)
+                hub += 1
+    return np.array(out, np.int64).reshape(-1, 2), np.array(kinds, np.int64), hub - len(spans)
 
 
 class Field:
@@ -129,9 +150,10 @@ class Field:
     def __init__(self, unary: np.ndarray, pair: np.ndarray):
         self.unary, self.pair = unary, pair
 
-    def marginals(self, x: np.ndarray, edges: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """Loopy max-normalised sum-product on all nodes and edges at once, damped by half."""
-        local = x @ self.unary.T
+    def marginals(self, x: np.ndarray, edges: np.ndarray, kinds: np.ndarray, hubs: int = 0) -> np.ndarray:
+        """Loopy max-normalised sum-product on all nodes and edges at once, damped by half, until it settles. The last
+        nodes are hubs, of which nothing is known."""
+        local = np.concatenate([x @ self.unary.T, np.zeros((hubs, len(self.unary)))])
         if len(edges):
             ends = np.concatenate([edges, edges[:, ::-1]])
             psi = np.concatenate([self.pair[kinds], self.pair[kinds].transpose(0, 2, 1)])
@@ -143,24 +165,29 @@ class Field:
                 out = (belief[ends[:, 0]] - sent[back])[:, :, None] + psi
                 top = out.max(1)
                 out = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-                sent = 0.5 * sent + 0.5 * (out - out.max(1, keepdims=True))
+                new = 0.5 * sent + 0.5 * (out - out.max(1, keepdims=True))
+                done, sent = np.abs(new - sent).max() < SETTLED, new
+                if done:
+                    break
             np.add.at(local, ends[:, 1], sent)
         p = np.exp(local - local.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, pairs: np.ndarray) -> Field:
-    """Piecewise training: softmax regression for the tokens, log odds of label pairs against chance for each kind of edge."""
-    n, k = max(1, len(x)), len(KINDS) + 1
+def train(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, weight: np.ndarray | None = None) -> Field:
+    """Piecewise training: softmax regression for the tokens (weighted rows), and for each kind of edge how often labels
+    meet, against how often each occurs: 0 where a label always meets itself."""
+    k, weight = len(KINDS) + 1, np.ones(len(x)) if weight is None else weight
+    n = max(1.0, weight.sum())
     w, speed, goal = np.zeros((k, FEATURES)), np.zeros((k, FEATURES)), np.eye(k)[y]
     for _ in range(STEPS if len(x) else 0):
         s = x @ w.T
         p = np.exp(s - s.max(1, keepdims=True))
-        speed = 0.9 * speed - RATE * (((p / p.sum(1, keepdims=True)) - goal).T @ x / n + 1e-4 * w)
+        speed = 0.9 * speed - RATE * (((p / p.sum(1, keepdims=True)) - goal).T @ (x * weight[:, None]) / n + 1e-4 * w)
         w = w + speed
     seen = pairs + pairs.transpose(0, 2, 1) + 0.5
-    seen = seen / seen.sum((1, 2), keepdims=True)
-    return Field(w, np.clip(np.log(seen / (seen.sum(2, keepdims=True) * seen.sum(1, keepdims=True))), -3, 3))
+    each = seen.sum(2)
+    return Field(w, np.clip(np.log(seen / np.sqrt(each[:, :, None] * each[:, None, :])), -6, 0))
 
 
 def _sampled(batches):
@@ -171,10 +198,14 @@ def _sampled(batches):
             spans, rows, forms, shapes, labels = _nodes(text, base)
             if not rows:
                 continue
-            y = np.array(labels)
-            edges, kinds = _edges(spans, forms, shapes)
+            known = {form: label for form, label in zip(forms, labels) if label}
+            y = np.array([known.get(form, 0) for form in forms])
+            edges, kinds, hubs = _edges(spans, forms, shapes)
+            first = np.zeros(len(y) + hubs, np.int64)  # of a hub: the label of its first member
+            first[edges[::-1, 1]] = y[edges[::-1, 0]]
+            first[: len(y)] = y
             pairs = np.zeros((3, len(KINDS) + 1, len(KINDS) + 1), np.int64)
-            np.add.at(pairs, (kinds, y[edges[:, 0]], y[edges[:, 1]]), 1)
+            np.add.at(pairs, (kinds, y[edges[:, 0]], first[edges[:, 1]]), 1)
             # tokens with the same features and label are told by their number
             code = np.array(rows, np.int64) @ (1 << np.arange(FEATURES)) * 8 + y
             found, n = np.unique(code, return_counts=True)
@@ -183,41 +214,40 @@ def _sampled(batches):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Learned from the patterns' own labels. To the driver come counts by distinct features (about a million kinds exist
-    in theory; a few hundred occur)."""
+    """Learned from the patterns' hits and their repeats. To the driver come counts by distinct features and label (five
+    million could occur; a few hundred do); rows that occur n times weigh the root of n."""
     rows = docs.where("text is not null")
     rate = min(1.0, sample / max(1, rows.count()))
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000)).select(F.col("text").cast("string").alias("text"))
-    got = drawn.mapInArrow(_sampled, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(100_000).toPandas()
+    got = drawn.mapInArrow(_sampled, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").toPandas()
     tokens, pairs = got[got.code >= 0], got[got.code < 0]
     x = (tokens.code.to_numpy()[:, None] // 8 >> np.arange(FEATURES) & 1).astype(float)
-    y, n = tokens.code.to_numpy() % 8, tokens.n.to_numpy()
-    times = np.minimum(n, 50)  # common tokens count more, but don't drown the others
     counts = np.zeros(3 * (len(KINDS) + 1) ** 2)
     counts[-1 - pairs.code.to_numpy()] = pairs.n.to_numpy()
-    return train(np.repeat(x, times, 0), np.repeat(y, times), counts.reshape(3, len(KINDS) + 1, len(KINDS) + 1))
+    return train(x, tokens.code.to_numpy() % 8, counts.reshape(3, len(KINDS) + 1, len(KINDS) + 1), np.sqrt(tokens.n.to_numpy()))
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
-    """base and the spans that the field adds: tokens that overlap none of base."""
+    """base and the spans that the field adds: tokens that overlap none of base, without the signs around them."""
     spans, rows, forms, shapes, labels = _nodes(text, base)
     if not rows or all(labels):
         return base
-    x = np.array(rows, float)
-    edges, kinds = _edges(spans, forms, shapes)
-    held = np.array(labels)
-    p = field.marginals(x + 0.0, edges, kinds) if not held.any() else _clamped(field, x, edges, kinds, held)
+    edges, kinds, hubs = _edges(spans, forms, shapes)
+    held, times = np.array(labels), Counter(forms)
+    # what repeats look like is one piece of evidence, however many there are
+    x = np.array(rows, float) / np.array([times[form] for form in forms])[:, None]
+    p = _clamped(field, x, edges, kinds, hubs, held)[: len(spans)]
     best = p.argmax(1)
     more = [(spans[i][0], int(best[i]) - 1, spans[i][1]) for i in np.flatnonzero((held == 0) & (best > 0) & (p.max(1) >= SURE))]
     return sorted(base + more)
 
 
-def _clamped(field: Field, x: np.ndarray, edges: np.ndarray, kinds: np.ndarray, held: np.ndarray) -> np.ndarray:
+def _clamped(field: Field, x: np.ndarray, edges: np.ndarray, kinds: np.ndarray, hubs: int, held: np.ndarray) -> np.ndarray:
     """Marginals where the patterns' tokens have their label for certain, by one more feature that only they have."""
     k = field.unary.shape[0]
     sure = np.concatenate([np.zeros((1, k - 1)), np.eye(k - 1)]) * 50
     wide = Field(np.concatenate([field.unary, sure], 1), field.pair)
-    return wide.marginals(np.concatenate([x, np.eye(k)[held][:, 1:]], 1), edges, kinds)
+    return wide.marginals(np.concatenate([x, np.eye(k)[held][:, 1:]], 1), edges, kinds, hubs)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -228,7 +258,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added: one row for each row of docs (doc_id, text).
 
     Counts and hash are of the patterns' spans, spans also has those that the field adds; offsets are code points, ends
-    exclusive. Null texts count as empty.
+    exclusive. Null texts count as empty; texts of any length are read whole; rows that repeat a doc_id are each judged by
+    their own text; other columns are left out; no rows, no result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
@@ -248,4 +279,4 @@ def personal_data(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(hashes, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return in_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

@@ -38,11 +38,11 @@ def test_marginals_are_exact_on_a_tree():
         s = sum(field.unary[y[i]] @ x[i] for i in range(n)) + sum(field.pair[e, y[a], y[b]] for (a, b), e in zip(edges, kinds))
         for i in range(n):
             want[i, y[i]] += np.exp(s)
-    rounds, P.ROUNDS = P.ROUNDS, 60
+    settled, P.SETTLED = P.SETTLED, 1e-9
     try:
         assert np.allclose(field.marginals(x, edges, kinds), want / want.sum(1, keepdims=True), atol=1e-6)
     finally:
-        P.ROUNDS = rounds
+        P.SETTLED = settled
 
 
 def test_repeats_take_over_a_label():
@@ -59,6 +59,38 @@ def test_repeats_take_over_a_label():
     assert [s[1] for s in base] == [2] and [text[a:b] for a, k, b in added] == ["4111111111111112"]
 
 
+def _planted(rng, n):
+    """Texts in which a number is given once with its country code and later without, at any distance, beside numbers of
+    the same length that nothing says are phones; the spans that should be added."""
+    for _ in range(n):
+        number = lambda: "".join(rng.choices("123456789", k=11))
+        mine, words = number(), [rng.choice(["then", "of", "item", "was"]) for _ in range(400)]
+        words[0] = f"+{mine[0]} {mine[1:4]} {mine[4:7]} {mine[7:]}" if rng.random() < 0.3 else "+" + mine
+        at = sorted(rng.sample(range(3, 400, 3), 25))
+        for i in at[:20]:
+            words[i] = mine + rng.choice(["", ",", ".", ")"])
+        for i in at[20:]:
+            words[i] = number()
+        rng.shuffle(rest := words[1:])
+        text = " ".join([words[0], *rest])
+        yield text, {(m.start(), 3, m.end()) for m in re.finditer(rf"(?<![+0-9]){mine}(?![0-9])", text)}
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """A number is told by its repeats, however far: written with its code as one word or in groups."""
+    rng = random.Random(7)
+    train, held = (list(_planted(rng, 150)) for _ in range(2))
+    field = P.fit(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(train)], "doc_id long, text string"))
+    hit = wrong = missed = 0
+    for text, want in held:
+        base = P.base_spans(text)
+        added = set(P.all_spans(text, base, field)) - set(base)
+        assert all(b <= c or a >= d for a, _, b in added for c, _, d in base)
+        hit, wrong, missed = hit + len(added & want), wrong + len(added - want), missed + len(want - added)
+    print("added spans: precision", hit / max(1, hit + wrong), "recall", hit / max(1, hit + missed))
+    assert hit and hit / (hit + wrong) > 0.9 and hit / (hit + missed) > 0.9
+
+
 def test_whole_table_and_odd_rows(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     rows = [(5000, None), (5001, ""), (5002, "a" * 300_000 + "@" + "1" * 300_000), (None, "x@y.zz 1.2.3.4"), (1, "+1 555 123 4567"), (5003, "\U0001f600 é x@y.zz")]
