@@ -89,7 +89,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no test text is found."""
-    found = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked_id"), F.col("text_hash").alias("_leaked_text")).distinct(), "leaked")
-    same = docs["doc_id"].eqNullSafe(F.col("_leaked_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_leaked_text"))
-    return docs.join(small_or_not(found), same, "left_anti")
+    """The rows of docs in which no test text is found. Columns of any name stay; null and empty texts are clean."""
+    found = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaked")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("_row.text").cast("string")) == F.col("_hash"))
+    return rows.join(small_or_not(found), same, "left_anti").select("_row.*")

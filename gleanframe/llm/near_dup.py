@@ -197,9 +197,12 @@ def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> Dat
     doc_id all stay."""
     found = near_duplicates(docs, words, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
     found = cut(found.where("not kept or n > 1"), "dropped")
-    out = docs.join(small_or_not(found.where("not kept").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(small_or_not(found.where("not kept").select("doc_id")), "doc_id", "left_anti").select(every)
     again = found.where("kept").select("doc_id")
     if again.limit(1).count():
-        once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(again, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+        # of rows that repeat a doc_id, the first text in order stays
+        rows = out.join(again, "doc_id", "left_semi").select(F.struct(every).alias("_row"))
+        once = rows.groupBy(F.col("_row.doc_id")).agg(F.min_by("_row", F.struct(F.col("_row.text").isNull(), F.col("_row.text"))).alias("_row")).select("_row.*")
+        out = out.join(again, "doc_id", "left_anti").select(every).union(once)
     return out

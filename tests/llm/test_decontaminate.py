@@ -69,3 +69,13 @@ def test_odd_rows(spark):
     assert got == [(0, True, 14), (1, False, 0), (2, False, 0), (3, True, 14), (4, False, 0), (4, True, 14), (4, True, 14), (5, False, 0)]
     assert D.decontaminate(df.where("false"), bench).count() == 0
     assert {r.contaminated for r in D.decontaminate(df, bench.where("false")).collect()} == {False}
+
+
+def test_clean_rows_keep_odd_columns(spark):
+    from gleanframe.llm.decontaminate import clean
+
+    words = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"x {words} y", 1, "p"), (1, "fine", 2, "q"), (None, words, 3, "r"), (2, None, 4, "s"), (3, "", 5, "t")], "doc_id long, text string, `a.b` int, item string")
+    got = clean(docs, spark.createDataFrame([(7, words)], "item_id long, text string"))
+    assert got.columns == docs.columns
+    assert sorted(r["a.b"] for r in got.collect()) == [2, 4, 5]

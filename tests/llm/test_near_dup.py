@@ -1,6 +1,6 @@
 import random
 
-from gleanframe.llm.near_dup import near_duplicates
+from gleanframe.llm.near_dup import deduplicated, near_duplicates
 
 
 def _brute(rows, words, percent):
@@ -78,3 +78,12 @@ def test_nulls_empties_ties_and_odd_columns(spark):
     assert got[(None, 1)] == (None, True)
     assert got[(8, 1)] == (8, True) and got[(9, 1)] == (9, True) and got[(10, 1)] == (10, True)
     assert near_duplicates(df.where("false"), 5).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_the_columns(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (3, None), (3, "x"), (3, "w"), (None, "a b c d e"), (None, None)]
+    df = spark.createDataFrame([(*r, i, "q") for i, r in enumerate(rows)], "doc_id long, text string, `a.b` int, kept string")
+    got = deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == [(-1, ""), (-1, "a b c d e"), (1, "a b c d e"), (3, "w")]
+    assert deduplicated(df.where("false")).count() == 0
