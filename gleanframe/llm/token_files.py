@@ -26,7 +26,7 @@ from .common import cut, in_batches, new_folder, parts
 #: Ids after which a file ends (with the document that reaches it).
 FILE_IDS = 4_000_000
 #: Parts whose ids a Python worker remembers, from one task to the next of a stage (the next stage forgets them).
-_MAX_WORDS, _MAX_BYTES = 400_000, 8_000_000
+_MAX_WORDS, _MAX_BYTES = 300_000, 6_000_000
 _CHUNK = "part int, chunk int, before long, nulls long, doc_ids array<long>, lengths array<long>, ids binary, symbols array<int>, counts array<long>"
 
 
@@ -62,9 +62,9 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        steps = json.loads(self.tokenizer.to_str())
-        kinds = lambda k, n: [x["type"] for x in (steps.get(k) or {}).get(n, [])]
-        self.by_part = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+        # the states of these two alone: the whole tokenizer as text is large
+        kinds = lambda step, n: [x["type"] for x in json.loads(step.__getstate__() if step is not None else "{}").get(n, [])]
+        self.by_part = kinds(self.tokenizer.normalizer, "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds(self.tokenizer.pre_tokenizer, "pretokenizers") == ["Split", "ByteLevel"]
         self.model = self.tokenizer.model
         self._forget()
 
