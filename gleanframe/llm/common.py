@@ -44,7 +44,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it back: its plan ends there, and a lost executor loses nothing."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete what cut() wrote for exactly this frame: only where nothing that reads it is still to run."""
+    spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

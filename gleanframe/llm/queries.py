@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, matroska, mixing, near_dup, pii, secrets, token_files, toxicity, wordpiece
+from . import bounds, decontaminate, language, matroska, mixing, near_dup, pii, ppm, secrets, threshold, token_files, toxicity, wordpiece
 from .common import table
 
 
@@ -65,6 +65,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounds.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
