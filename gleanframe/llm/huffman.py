@@ -7,8 +7,9 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block. Blocks are decoded side by side, each from its own bit offset.
+#: Ids of a block. Blocks are decoded side by side, each from its own bit offset. Ids packed at a time: whole blocks.
 BLOCK = 1024
+SLICE = 256 * BLOCK
 _HEAD = struct.Struct("<4sIQQQQQIQI")  # magic, block, start, documents, those of them (the first) without an id, ids, symbols, bytes of lengths, bytes of bits, crc
 _MAGIC = b"HUF2"
 
@@ -53,15 +54,25 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits, and the bit offset of every block."""
-    size = lengths[ids].astype(np.int64)
-    at = np.cumsum(size) - size
-    total = int(at[-1] + size[-1]) if len(ids) else 0
-    value = codes[ids].astype(np.uint64) << (64 - size - (at & 31)).astype(np.uint64)
-    word = at >> 5
-    words = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), minlength=total // 32 + 2)
-    words[1:] += np.bincount(word, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total // 32 + 2)[:-1]
-    return words.astype(np.uint32).astype(">u4").tobytes(), at[::BLOCK].astype(np.uint64)
+    """The bits, and the bit offset of every block. SLICE ids at a time are in wide numbers."""
+    sizes = lengths.astype(np.int64)
+    total = sum(int(sizes[ids[a : a + SLICE]].sum()) for a in range(0, len(ids), SLICE))
+    words, offsets, begin = np.zeros(total // 32 + 2, np.uint32), [], 0
+    for a in range(0, len(ids), SLICE):
+        some = ids[a : a + SLICE]
+        size = sizes[some]
+        at = np.cumsum(size)
+        end = begin + int(at[-1])
+        at += begin - size
+        offsets.append(at[::BLOCK].astype(np.uint64))
+        first = begin >> 5
+        value = codes[some].astype(np.uint64) << (64 - size - (at & 31)).astype(np.uint64)
+        word, n = (at >> 5) - first, (end >> 5) - first + 2
+        high = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), minlength=n)
+        high[1:] += np.bincount(word, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)[: n - 1]
+        words[first : first + n] += high[: len(words) - first].astype(np.uint32)  # bits don't overlap
+        begin = end
+    return words.astype(">u4").tobytes(), np.concatenate([np.empty(0, np.uint64), *offsets])
 
 
 def write(start: int, doc_ids: np.ndarray, doc_lengths: np.ndarray, ids: np.ndarray, lengths: np.ndarray, nulls: int = 0) -> bytes:

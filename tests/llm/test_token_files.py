@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from gleanframe.llm import huffman
@@ -66,3 +67,13 @@ def test_files_hold_all_documents(spark):
     nulls = lambda rows: sorted((r[0], r[2], r[3]) for r in rows if r[0] is None)
     assert got[2:] == want[2:] and nulls(got[:2]) == nulls(want[:2]) and got[0][1] == 0  # two nulls, in the order of their hashes
     assert token_files(df.where("false"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 5000])
+def test_packed_in_slices_alike(monkeypatch, n):
+    ids = np.random.default_rng(n).geometric(0.05, n).astype(np.uint16)
+    lengths = huffman.code_lengths(np.bincount(ids, minlength=2))
+    whole = huffman.write(7, np.array([1]), np.array([n]), ids, lengths)
+    monkeypatch.setattr(huffman, "SLICE", huffman.BLOCK)
+    assert huffman.write(7, np.array([1]), np.array([n]), ids, lengths) == whole
+    assert n == 0 or (huffman.File(whole).ids() == ids).all()
