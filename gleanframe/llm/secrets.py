@@ -1,8 +1,9 @@
 """Secrets in whole texts, told from copied examples by who owns them; DataFrame functions only.
 
 Fixed patterns find candidates; their hashes are counted over the whole corpus by distinct repositories and owners. A
-value that several owners or several repositories hold is a copied example; one that a single repository has looks
-live. Long mixed strings outside the patterns become spans of their own if they look live.
+value that several owners hold is a copied example; one that a single owner has looks live, in however many of its
+repositories it stands, and the number of these says how widely it is spread. Long mixed strings outside the patterns
+become spans of their own if they look live.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
 #: The method's own kind: strings of this length and more that mix letters and digits.
 MIXED = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS, LEAST = ("assign", "access", "hex", "mixed"), (6, 20, 24, 20)
-#: A value that more owners or more repositories than this hold is a copied example.
-OWNERS, REPOS = 1, 1
+#: A value that more owners than this hold is a copied example.
+OWNERS = 1
 
 
 def _matches(text: Column, kind: int) -> Column:
@@ -59,8 +60,10 @@ def candidates(scanned: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_repos, n_owners, n_seen over the whole corpus; summed up by owner first."""
-    by_repo = found.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
+    """hash, n_repos, n_owners, n_seen over the whole corpus; summed up by owner first. Where the owner isn't known, each
+    repository counts as one's own."""
+    known = F.when(F.col("owner") == "", F.concat(F.lit("?"), "repo")).otherwise(F.col("owner"))
+    by_repo = found.withColumn("owner", known).groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n_seen"))
 
@@ -70,14 +73,15 @@ def secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None =
 
     with_holders: holders too, repositories:owners of each span's value in the order of spans.
 
-    Counts and hash are of the patterns' spans; spans also has mixed strings of a single repository that overlap none of these.
-    n_live and n_copied tell values of a single repository from copied ones among all spans. Offsets are code points, ends
-    exclusive. Null texts count as empty; unknown owners and repositories are one.
+    Counts and hash are of the patterns' spans; spans also has mixed strings of a single owner that overlap none of these.
+    n_live and n_copied tell values of a single owner from copied ones among all spans. Offsets are code points, ends
+    exclusive. Null texts count as empty, texts of any length are read whole, repeated rows are rows of their own; unknown
+    repositories are one; columns of docs but doc_id, text and those in repo and owner are left out. No rows, no result.
     """
     repo, owner = F.col("source") if repo is None else repo, F.col("source") if owner is None else owner
     scanned = _scanned(docs, repo, owner)
     found = cut(candidates(scanned), "candidates")
-    held = found.join(ownership(found).select("hash", "n_repos", "n_owners", ((F.col("n_owners") <= OWNERS) & (F.col("n_repos") <= REPOS)).alias("live")), "hash")
+    held = found.join(ownership(found).select("hash", "n_repos", "n_owners", (F.col("n_owners") <= OWNERS).alias("live")), "hash")
     base = F.col("kind") < 3
     order = Window.partitionBy("row").orderBy("start", "kind")
     left = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -57,10 +57,11 @@ def test_whole_table(spark):
     _compare(spark, [(r.doc_id, r.text, r.source) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()])
 
 
-def test_examples_copied_inside_one_source_or_without_one(spark):
+def test_values_of_one_owner_of_several_and_of_unknown_ones(spark):
     mixed = "zz9" * 8
-    rows = [(1, "token=copied1", "s", "en"), (2, f"token=copied1 {mixed}", "s", "de"), (3, mixed, "s", "en"), (4, "token=single1", "s", "en"), (5, "token=single1", "s", "en"), (6, "token=nobody1", None, "en"), (7, "token=nobody1", None, "de")]
+    rows = [(1, "token=copied1", "s", "en"), (2, f"token=copied1 {mixed}", "s", "de"), (3, mixed, "s", "en"), (4, "token=single1", "s", "en"), (5, "token=single1", "s", "en"), (6, "token=nobody1", None, "en"), (7, "token=nobody1", None, "de"), (8, "token=placeh1", "s", "en"), (9, "token=placeh1", "t", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     got = {r.doc_id: (r.spans, r.n_live, r.n_copied, r.holders) for r in S.secrets(df, F.concat_ws("/", "source", "lang"), F.col("source"), with_holders=True).collect()}
-    copied = ("assign:0:13", 0, 1, "2:1")
-    assert got == {1: copied, 2: copied, 3: ("", 0, 0, ""), 4: ("assign:0:13", 1, 0, "1:1"), 5: ("assign:0:13", 1, 0, "1:1"), 6: copied, 7: copied}
+    one, two = ("assign:0:13", 1, 0, "2:1"), ("assign:0:13,mixed:14:38", 2, 0, "2:1,2:1")
+    shared = ("assign:0:13", 0, 1, "2:2")
+    assert got == {1: one, 2: two, 3: ("mixed:0:24", 1, 0, "2:1"), 4: ("assign:0:13", 1, 0, "1:1"), 5: ("assign:0:13", 1, 0, "1:1"), 6: shared, 7: shared, 8: ("assign:0:13", 0, 1, "2:2"), 9: ("assign:0:13", 0, 1, "2:2")}
