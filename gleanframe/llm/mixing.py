@@ -87,8 +87,9 @@ def fit_rates(groups: DataFrame, targets: list[float], steps: int = STEPS) -> Da
     that comes to the driver.
     """
     n, spark = len(targets), groups.sparkSession
-    p = [F.col(f"q{i}") / GRID for i in range(n)]
     m = [F.col(f"m{i}") for i in range(n)]
+    # the posteriors of a cell are those of its tokens, so that this is the gradient of the very problem
+    p = [F.coalesce(x / F.nullif("tokens", F.lit(0)), F.col(f"q{i}") / GRID) for i, x in enumerate(m)]
     mass = groups.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *[F.coalesce(F.sum(x), F.lit(0.0)) for x in m]).first()
     total = float(mass[0]) or 1.0
     share = [max(m / total, 1e-9) for m in mass[1:]]
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: fl
     targets are token shares of the mixture by domain, total its tokens (None: as many as docs have). copies is the
     rate rounded up or down by a hash of the document, so that it is rate on average. Null and empty texts have no
     tokens, get the priors, and a rate like all others with these posteriors; texts of any length are read whole. labels:
-    doc_id, domain. No rows, no result.
+    doc_id, domain. Columns of docs but doc_id and text are left out. No rows, no result.
     """
     domains = sorted(targets)
     model, priors = train(docs, labels, domains)

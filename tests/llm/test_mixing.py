@@ -24,10 +24,13 @@ def test_rates_are_the_least_squares_solution(spark):
     q = np.unique(np.concatenate([q, [[64, 0, 0], [0, 64, 0], [0, 10, 54]]]), axis=0)
     tokens = rng.integers(10, 1000, len(q))
     target = tokens.sum() * np.array([0.5, 0.1, 0.4])
-    groups = spark.createDataFrame([(*map(int, r), int(t), *(float(t * x / M.GRID) for x in r)) for r, t in zip(q, tokens)], "q0 int, q1 int, q2 int, tokens long, m0 double, m1 double, m2 double")
+    # the documents of a cell have posteriors of their own near its rounded ones
+    p = np.maximum(0, q / M.GRID + rng.uniform(-0.5, 0.5, q.shape) / M.GRID)
+    p /= p.sum(axis=1, keepdims=True)
+    groups = spark.createDataFrame([(*map(int, r), int(t), *map(float, t * x)) for r, t, x in zip(q, tokens, p)], "q0 int, q1 int, q2 int, tokens long, m0 double, m1 double, m2 double")
     rows = M.fit_rates(groups, target.tolist(), 120).toPandas()
     got = rows.rate.to_numpy()
-    p, w = rows[["q0", "q1", "q2"]].to_numpy() / M.GRID, rows.tokens.to_numpy() / rows.tokens.sum()
+    p, w = rows[["m0", "m1", "m2"]].to_numpy() / rows[["tokens"]].to_numpy(), rows.tokens.to_numpy() / rows.tokens.sum()
     mass = w @ p
     cost = lambda r: (((w * r) @ p - target / tokens.sum()) ** 2 / mass).sum() + M.CLOSENESS * (w * (r - 1) ** 2).sum()
     want = np.ones(len(got))
