@@ -69,7 +69,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for i in range(blocks):  # each block's seeds and the test texts they lie in have a bounded size
         mine = lambda df: df.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i) if blocks > 1 else df
         hits = looked.join(F.broadcast(mine(seeds)), "seed").join(F.broadcast(mine(tests)), "item")
-        found.append(hits.where(_agrees("doc", "test", "p", "q")).select("doc_id", "text_hash", "item", (F.col("p") - F.col("q")).alias("shift"), "p", (F.col("p") + F.col("width")).alias("end")))
+        sure = hits.where(_agrees("doc", "test", "p", "q")).select("doc_id", "text_hash", "item", (F.col("p") - F.col("q")).alias("shift"), "p", (F.col("p") + F.col("width")).alias("end"))
+        # several blocks: each is written before the next one's seeds are sent out, and then forgotten
+        found.append(cut(sure, "hits") if blocks > 1 else sure)
     every = reduce(DataFrame.union, found)
     return every.groupBy("doc_id", "text_hash", "item", "shift").agg(F.min("p").alias("first"), F.max("end").alias("last"))
 
@@ -78,7 +80,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, overlap_tokens, item_ids: one row for each row of docs.
 
     overlap_tokens spans the hits of the longest alignment; item_ids are the smallest ids of the test texts met, in
-    order. Null and empty texts are clean; rows that repeat a doc_id are judged each by its own text.
+    order. Null and empty texts are clean; texts of any length are searched whole; rows that repeat a doc_id are judged each
+    by its own text; columns but doc_id and text are left out. No rows, no result; an empty benchmark leaves all clean.
     """
     by_doc = leaks(docs, benchmark).groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set("item")).alias("item_ids"), F.max(F.col("last") - F.col("first")).cast("long").alias("overlap_tokens")
