@@ -168,10 +168,31 @@ def _(spark, d):
     return P.post_titles(nodes, _posts(nodes)).select("page_id", "title")
 
 
-@query("h8_board_items", "select c_custkey as page_id, case c_custkey % 3 when 0 then concat('Various Dance ', cast(c_custkey as string)) else concat('Own rip flac ', cast(c_custkey as string)) end as title, cast(case c_custkey % 3 when 0 then 2 else 1 end as bigint) as links, cast(1 as bigint) as downloads from customer union all select c_custkey, concat('no header ', cast(c_custkey as string)), 1, 0 from customer where c_custkey % 4 = 0")
+# what the posts of a topic say, single-spaced: a node's own text comes before those of the nodes in it
+_SAID_A = "concat(case c_custkey % 3 when 0 then 'https://www.discogs.com/es/release/259-Various-Dance-' else 'Own rip flac ' end, cast(c_custkey as string), ' quoted Cita de: x en 02/11/21, 21:52:07 pm label')"
+_SAID_B = "concat('no header ', cast(c_custkey as string), case c_custkey % 4 when 0 then ' thread' else '' end)"
+
+
+@query("h8_board_items", f"with a as (select c_custkey as page_id, case c_custkey % 3 when 0 then concat('Various Dance ', cast(c_custkey as string)) else concat('Own rip flac ', cast(c_custkey as string)) end as title, {_SAID_A} as summary, cast(case c_custkey % 3 when 0 then 2 else 1 end as bigint) as links, cast(1 as bigint) as downloads, cast(0 as bigint) as threads, 1 as place from customer union all select c_custkey, concat('no header ', cast(c_custkey as string)), {_SAID_B}, 1, 0, 1, 2 from customer where c_custkey % 4 = 0) select *, len(summary) + 1000 * links + 5000 * downloads as score, false as main from a")
 def _(spark, d):
     """Posts with a file or a thread; signatures and search forms hold none."""
-    return items.read_items(_smf(spark, d), "SMF").select("page_id", "title", "links", "downloads")
+    return items.read_items(_smf(spark, d), "SMF").drop("item")
+
+
+# pages with repeated posts, with nothing but small talk beside a linked file, and with a text alone
+_ITEM = "'<div class=\"post\"><h2>Pack ', {k}, '</h2><a href=\"https://mega.nz/folder/{n}', {k}, '#k\">get</a></div>'"
+_ONE, _TWO, _UPPER = (_ITEM.format(k="cast(p_partkey as string)", n=n) for n in "ABa")
+_PILE = f"""concat('<html><head><title> Site ', cast(p_partkey as string), '</title></head><body><nav><a href="/x">menu</a></nav><div id="content">', case p_partkey % 3
+ when 0 then concat({_TWO}, {_ONE}, {_UPPER}, {_ONE}, '<div class="post">hi</div>')
+ when 1 then concat('<div class="post">hi</div><a href="/own">', p_name, '</a>') else concat('<p>words of some length ', p_name, '</p>') end, '</div></body></html>')"""
+_SITE = "concat('Site ', cast(p_partkey as string))"
+
+
+@query("h10_items_once_h11_main_parts", f"with a as (select p_partkey as page_id, cast(case n when 0 then 1 else 2 end as int) as place, concat('Pack ', cast(p_partkey as string)) as title, concat('Pack ', cast(p_partkey as string), ' get') as summary, cast(1 as bigint) as links, cast(1 as bigint) as downloads, false as main from part, (values (0), (1)) v(n) where p_partkey % 3 = 0 union all select p_partkey, 1, case when p_partkey % 3 = 1 and len(p_name) >= 5 then p_name else {_SITE} end, case p_partkey % 3 when 1 then concat('hi ', p_name) else concat('words of some length ', p_name) end, case p_partkey % 3 when 1 then 1 else 0 end, 0, true from part where p_partkey % 3 > 0) select *, len(summary) + 1000 * links + 5000 * downloads as score, cast(0 as bigint) as threads from a where links > 0 or len(summary) >= 30")
+def _(spark, d):
+    """Of posts with the same title and links one stays; a page without a useful post is read as a whole."""
+    pages = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey as page_id", "'https://site.example/a' as url", f"{_PILE} as html")
+    return items.read_items(pages, "web").drop("item")
 
 
 _ROW = """concat('<tr><td></td><td><a href="/index.php?topic=', cast(o_orderkey as string), '.0">Topic name ', cast(o_orderkey as string), '</a></td><td><a href="/index.php?action=profile;u=', cast(o_custkey % 7 as string), '">member ', cast(o_custkey % 7 as string), '</a></td><td>', case when o_orderkey % 3 = 0 then '1.234' else '0' end, '</td><td>99</td></tr>')"""

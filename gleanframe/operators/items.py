@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
-from ..sources.html import absolute, page_nodes
-from ..plans.cuts import cut
+from ..sources.fold import Rules, page_items
+from ..sources.html import absolute
 from . import pages as P
-from .candidates import topic
 from .dedupe import identified
 from .windows import bot_floods
 
@@ -35,95 +34,66 @@ THREADS = ("/thread", "/threads/", "/showthread", "/viewtopic", "/topic/")
 DATA_LINKS = ("data-href", "data-url", "data-link", "data-download-url")
 
 
-def _simple(selector: tuple) -> Column:
-    tag, attribute, how, value = selector
-    out = F.col("tag") == tag if tag else F.lit(True)
-    if attribute == "class":
-        return out & F.array_contains("classes", value)
-    if attribute:
-        held = F.coalesce(F.col(attribute), F.lit(""))
-        return out & (held == value if how == "is" else held.startswith(value))
-    return out
-
-
-def matching(nodes: DataFrame, family: str) -> DataFrame:
-    """nodes with `_item`: whether a selector of the family picks them."""
-    found = F.lit(False)
-    for i, selector in enumerate(SELECTORS[family]):
-        if isinstance(selector[0], tuple):
-            nodes = P.inside(nodes, _simple(selector[1]), f"_in{i}")
-            found = found | (_simple(selector[0]) & F.col(f"_in{i}"))
-        else:
-            found = found | _simple(selector)
-    return nodes.withColumn("_item", found)
-
-
-def item_links(pages: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """page_id, item, url, thread: distinct links of each candidate, from anchors, data attributes and text; thread: to a
-    thread of the same site."""
-    at = pages.select("page_id", F.col("url").alias("base"))
-    a = F.col("attrs")
-    raw = F.concat(F.array(F.when(F.col("tag") == "a", a["href"]), *[a[k] for k in DATA_LINKS]), F.when(F.col("tag") != "a", urls.find_urls(F.col("text"))).otherwise(F.array().cast("array<string>")))
-    inside = P._owners(nodes, candidates).join(at, "page_id").select("page_id", "item", "base", F.explode(F.array_compact(raw)).alias("href"))
-    found = inside.select("page_id", "item", "base", urls.normalise(absolute(F.col("base"), F.trim("href"))).alias("url")).where(F.col("url").isNotNull() & ~urls.truncated(F.col("url"))).distinct()
-    path, thread = F.lower(urls.path(F.col("url"))), topic(F.col("url")).isNotNull()
+def _rules(family: str) -> Rules:
+    return Rules(SELECTORS[family], P.FURNITURE_TAGS, P.SIGNATURE_CLASSES, P.TITLE_CLASSES, P.UI_WORDS, P.QUOTE_CLASSES, P.DISCOGS, DATA_LINKS, family == "SMF-board", P.PROFILE, r"topic[=,]\d+\.\d+")
+
+
+def _links(rows: DataFrame) -> DataFrame:
+    """Items as they are, each followed by rows of its links: (page_id, item, url, thread, file_key), dealt by page_id."""
+    what = [c for c in rows.columns if c not in ("page_id", "base", "item", "hrefs")]
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in what]
+    item = F.struct(F.lit(None).cast("string").alias("href"), *what)
+    parts = rows.select("page_id", "base", "item", F.inline(F.concat(F.array(item), F.transform(F.array_distinct("hrefs"), lambda h: F.struct(h.alias("href"), *none)))))
+    # a given number: rows that are small and dear to work on aren't gathered in fewer tasks
+    parts = parts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    # generators of one row, so that later steps and filters repeat nothing
+    once = lambda df, *new: df.select("*", F.inline(F.array(F.struct(*new))))
+    parts = once(once(parts, absolute(F.col("base"), F.trim("href")).alias("_to")), urls.normalise(F.col("_to")).alias("url")).drop("_to")
+    parts = parts.where(F.col("href").isNull() | (F.col("url").isNotNull() & ~urls.truncated(F.col("url"))))
+    parts = once(parts, F.lower(urls.path(F.col("url"))).alias("_path"), urls.board_id(F.col("url"))["kind"].alias("_kind"), urls.same_site(F.col("url"), F.col("base")).alias("_same"))
+    path, thread = F.col("_path"), F.col("_kind").eqNullSafe("topic")
     for part in THREADS:
         thread = thread | F.contains(path, F.lit(part))
-    return found.select("page_id", "item", "url", (urls.same_site(F.col("url"), F.col("base")) & thread).alias("thread"))
+    thread = thread | (F.when(path.rlike("^/t[0-9]+(p[0-9]+)?-"), urls.board_topic(F.col("url"))).isNotNull())
+    return identified(parts.withColumn("thread", F.col("_same") & thread).drop("_path", "_kind", "_same"))
 
 
 def score(chars: Column, links: Column, preferred: Column) -> Column:
     return F.least(chars, F.lit(10_000)) + 1000 * links + F.when(preferred, 5000).otherwise(0)
 
 
-def main_parts(nodes: DataFrame) -> DataFrame:
-    """page_id, pre, end of each page's main part: main, or its role, or the content's id; else the body."""
-    rank = F.when((F.col("tag") == "main") | (F.col("attrs")["role"] == "main") | (F.col("id") == "content"), 0).when(F.col("tag") == "body", 1).when(F.col("parent").isNull(), 2)
-    return nodes.withColumn("_r", rank).where("_r is not null").groupBy("page_id").agg(F.min_by(F.struct("pre", "end"), F.struct("_r", "pre")).alias("m")).select("page_id", "m.*")
-
-
-def read_items(pages: DataFrame, family: str = "web", most: int = 100, least_chars: int = 30, nodes: DataFrame | None = None) -> DataFrame:
-    """page_id, item, title, summary, links, downloads, threads, score of each page's items, best first by `place`.
+def read_items(pages: DataFrame, family: str = "web", most: int = 100, least_chars: int = 30) -> DataFrame:
+    """page_id, item, title, summary, links, downloads, threads, score, place, main of each page's items, best first by
+    `place`.
 
     Of a board, kept are items with a file or a thread of the site; of other pages, items with a link or a text of some
-    length. Items with the same title and links are one. A page without a kept item is one item: its main part, if that
-    has a link (on other pages than boards: or a text). Pages are parsed once, into a table in the shared folder (or `nodes` says what they hold).
+    length. Items with the same title and links are one. A page without a kept item is one item (main): its main part, if
+    that has a link (on other pages than boards: or a text). A page is parsed once, where it is; its items and links meet
+    in one exchange by page.
     """
-    nodes = cut(P.without_furniture(page_nodes(pages)), "nodes") if nodes is None else nodes
-    rows = matching(nodes, family)
-    candidates = P.outermost(rows, F.col("_item")).select("page_id", "pre", "end")
+    found = page_items(pages, _rules(family))
+    title = F.coalesce("title", "page_title")
+    if family == "SMF":
+        title = F.coalesce(P.post_title(F.col("slug"), F.col("words")), title)
+    hrefs = F.concat("hrefs", F.flatten(F.transform("said", urls.find_urls)))
+    found = found.select("page_id", F.col("url").alias("base"), "item", "main", title.alias("title"), "chars", "summary", "starter", "replies", hrefs.alias("hrefs"))
+    parts = _links(found).drop("base", "href")
+    link = F.when(F.col("main").isNull(), F.struct("url", F.col("file_key").isNotNull().alias("file"), "thread", urls.plain_key(F.col("url")).alias("plain")))
+    first = [F.max(c).alias(c) for c in ("main", "title", "chars", "summary", "starter", "replies")]
+    each = parts.groupBy("page_id", "item").agg(*first, F.collect_set(link).alias("l"))
+    number = lambda which: F.size(F.filter("l", which) if which else F.col("l")).cast("long")
+    each = each.select("page_id", "item", "main", "title", "chars", "summary", "starter", "replies", number(None).alias("links"), number(lambda x: x["file"]).alias("downloads"), number(lambda x: F.coalesce(x["thread"], F.lit(False))).alias("threads"), F.array_sort(F.array_distinct("l.plain")).alias("urls"))
     if family == "SMF-board":
-        candidates = board_rows(nodes, candidates)
-    found = _described(pages, nodes, candidates, family)
+        each = bot_floods(each.withColumn("page", F.col("page_id"))).drop("page")
     useful = (F.col("downloads") > 0) | (F.col("threads") > 0) if family != "web" else (F.col("links") > 0) | (F.col("chars") >= least_chars)
-    found = cut(found.where(useful), "items")
-    lonely = nodes.join(found.select("page_id").distinct(), "page_id", "left_anti")
-    found = found.unionByName(_described(pages, nodes, main_parts(lonely), family).where(useful if family == "web" else F.col("links") > 0))
-    found = found.withColumn("score", score(F.col("chars"), F.col("links"), F.col("downloads") > 0))
+    fallback = useful if family == "web" else F.col("links") > 0
+    by_page = Window.partitionBy("page_id")
+    each = each.withColumn("_any", F.bool_or(~F.col("main") & useful).over(by_page)).where(F.when(F.col("main"), ~F.col("_any") & fallback).otherwise(useful))
+    each = each.withColumn("score", score(F.col("chars"), F.col("links"), F.col("downloads") > 0))
     same = Window.partitionBy("page_id", F.lower("title"), "urls").orderBy("item")
-    once = found.withColumn("_n", F.row_number().over(same)).where("_n = 1")
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "item"))
-    return once.withColumn("place", place).where(F.col("place") <= most).select("page_id", "item", "title", "summary", "links", "downloads", "threads", "score", "place")
-
-
-def board_rows(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows that link a topic, without those that bots flood a board with."""
-    linked = P._owners(nodes, rows).where((F.col("tag") == "a") & F.col("attrs")["href"].rlike(r"topic[=,]\d+\.\d+")).select("page_id", F.col("item").alias("pre")).distinct()
-    rows = rows.join(linked, ["page_id", "pre"])
-    known = P.row_starters(nodes, rows).select("page_id", F.col("item").alias("pre"), "starter", "replies")
-    kept = bot_floods(rows.join(known, ["page_id", "pre"]).withColumn("page", F.col("page_id")))
-    return kept.select("page_id", "pre", "end")
-
-
-def _described(pages: DataFrame, nodes: DataFrame, candidates: DataFrame, family: str) -> DataFrame:
-    texts, titles = P.summaries(nodes, candidates), P.titles(nodes, candidates)
-    if family == "SMF":
-        own = P.post_titles(nodes, candidates).withColumnRenamed("title", "own")
-        titles = titles.join(own, ["page_id", "item"], "left").select("page_id", "item", F.coalesce("own", "title").alias("title"))
-    links = identified(item_links(pages, nodes, candidates))
-    counted = links.groupBy("page_id", "item").agg(F.count("*").alias("links"), F.count("file_key").alias("downloads"), F.count_if("thread").alias("threads"), F.array_sort(F.collect_set(urls.plain_key(F.col("url")))).alias("urls"))
-    items = texts.join(titles, ["page_id", "item"], "left").join(counted, ["page_id", "item"], "left")
-    return items.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("links", "downloads", "threads")})
+    once = each.withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    place = F.row_number().over(by_page.orderBy(F.desc("score"), "item"))
+    return once.withColumn("place", place).where(F.col("place") <= most).select("page_id", "item", "title", "summary", "links", "downloads", "threads", "score", "place", "main")
 
 
 #: Readers by name: pages -> items. A reader of one's own is one more entry.

@@ -114,11 +114,16 @@ def post_titles(nodes: DataFrame, posts: DataFrame) -> DataFrame:
     named = F.regexp_extract(F.concat_ws(" ", F.map_values("attrs"), F.col("text")), DISCOGS, 1)
     slugs = own.withColumn("slug", named).where("slug <> ''").groupBy("page_id", "item").agg(F.min_by("slug", "pre").alias("slug"))
     words = outside(own, F.col("tag") == "a").groupBy("page_id", "item").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pre", "text")))["text"], " ").alias("t"))
-    one = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    said = F.trim(one(F.substring_index(F.substring_index(F.regexp_replace(one(F.col("t")), QUOTE_HEAD, " "), "http://", 1), "https://", 1)), F.lit(" .:-"))
-    slug = one(F.replace(urls.decoded(F.col("slug")), F.lit("-"), F.lit(" ")))
     met = posts.select("page_id", F.col("pre").alias("item")).join(slugs, ["page_id", "item"], "left").join(words, ["page_id", "item"], "left")
-    return met.select("page_id", "item", F.nullif(F.left(F.coalesce(slug, said), F.lit(100)), F.lit("")).alias("title"))
+    return met.select("page_id", "item", post_title(F.col("slug"), F.col("t")).alias("title"))
+
+
+def post_title(slug: Column, words: Column) -> Column:
+    """A post's title from the name in a catalogue's url, else from its own words: 100 characters, null if there is none."""
+    one = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    said = F.trim(one(F.substring_index(F.substring_index(F.regexp_replace(one(words), QUOTE_HEAD, " "), "http://", 1), "https://", 1)), F.lit(" .:-"))
+    named = one(F.replace(urls.decoded(slug), F.lit("-"), F.lit(" ")))
+    return F.nullif(F.left(F.coalesce(named, said), F.lit(100)), F.lit(""))
 
 
 def row_starters(nodes: DataFrame, rows: DataFrame) -> DataFrame:

@@ -17,6 +17,9 @@ def test_items(spark):
     pages = spark.createDataFrame([(1, "https://a.example/t", PAGE), (2, "https://a.example/u", "<body><p>no item here but some text that is long enough</p></body>"), (3, None, None)], "page_id long, url string, html string")
     got = I.READERS["web"](pages).orderBy("page_id", "place").collect()
     assert [(r.page_id, r.title, r.links, r.downloads) for r in got] == [(1, "First release", 1, 1), (2, None, 0, 0)]
+    assert [(r.page_id, r.main, r.place) for r in got] == [(1, False, 1), (2, True, 1)]
+    plan = I.READERS["SMF-board"](pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 3 and plan.count("MapInArrow") == 1
     report = {r.name: (r.ok, r.detail) for r in I.preflight(pages).collect()}
     assert report["pages"] == (True, "3") and report["urls"] == (False, "1") and report["contents"][0] is False
 
