@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _pages, query
+from .catalog import _ID, _pages, query
 from .functions import naming
 from .functions import recase as R
 from .operators import cms, detect, items
 from .operators import pages as P
-from .plans.cuts import cut
+from .plans.cuts import cut, new_path
 from .plans.fixtures import frame, sql
 from .sources import html as H
 from .sources import tables as T
@@ -269,6 +269,36 @@ def _(spark, d):
     return harvest.run_once(harvest.bounded_once(spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])).select("file_key"), "once")
 
 
+def _in_batches(links, run, by, batches):
+    for n in range(batches):
+        run(links.where(F.col(by) % batches == n), n)
+
+
+_SENT = sql("fx_links") + f", ids as (select *, item_id % 3 as batch, item_id % 3 * 1000000000 + item_id as sent, {_ID} as file_key from fx_links)"
+
+
+@query("w1_bucketed_history", _SENT + ", known as (select * from ids where file_key is not null) select file_key, 'sent' as state, min(sent) as first_sent, max(sent) as last_seen, concat('p', cast(max(sent) % 1000000000 % 20 as string)) as package, min(batch) as batch from known group by 1")
+def _(spark, d):
+    """All links in three batches through the dispatch, the second one twice: the history, and the batch in which a file
+    went out."""
+    links = cut(frame(spark, d, "fx_links").selectExpr("item_id", "pos", "url", "concat('p', item_id % 20) as package", "item_id % 3 as batch", "item_id % 3 * 1000000000 + item_id as sent"), "links")
+    path = new_path(spark, "harvest")
+    run = harvest.never_twice(spark, f"{path}/history", f"{path}/out", buckets=64)
+    _in_batches(links, run, "item_id", 3)
+    run(links.where("item_id % 3 = 1"), 1)
+    out = harvest.sent_links(spark, f"{path}/out").select("file_key", F.col("batch").cast("long"))
+    return harvest.sent_files(spark, f"{path}/history", 64).read().join(out, "file_key").select("file_key", "state", "first_sent", "last_seen", "package", "batch")
+
+
+@query("w3_after_baseline", "select 1 + min(o_orderkey % 3) as batch, o_custkey % 50 as store, o_custkey as release_id from orders group by 2, 3 having min(o_orderkey % 3) > 0")
+def _(spark, d):
+    """Releases of three batches: what the first one shows is the silent baseline."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey % 50 as store", "o_custkey as release_id", "o_orderkey")
+    path = new_path(spark, "watch")
+    _in_batches(orders, harvest.after_baseline(spark, f"{path}/seen", f"{path}/out", 64), "o_orderkey", 3)
+    return harvest.sent_links(spark, f"{path}/out", "new").select((F.col("batch") + 1).cast("long").alias("batch"), "store", "release_id")
+
+
 _CAPTIONS = "concat('DJ SEDUCTION ', case p_partkey % 3 when 0 then 'AND THE RSR' when 1 then '(SIDE B)' else 'FX' end)"
 _UPLOAD = "concat('https://c.example/m/Tape_', cast(p_partkey % 5 as string), '_-_DJ_SeDuction_Side_B.mp3')"
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import dedupe, history
+from ..operators import dedupe, handoff, history
 from ..plans.cuts import new_path
+from .store import BUCKETS, Buckets, Steps
 
 # From each state of a queue entry the states that it may move to.
 MOVES = {
@@ -28,57 +29,60 @@ MOVES = {
 }
 
 
-class Table:
-    """A snapshot in a shared folder, rewritten by version; a batch that runs again writes its version again."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest version, or the newest below `before`."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = [int(n[1:]) for n in names if n[:1] == "v" and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        found = [v for v in done if before is None or v < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{max(found)}") if found else self.spark.createDataFrame([], self.schema)
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+HISTORY = "file_key string, url string, state string, package string, first_sent long, last_seen long"
 
 
-HISTORY = "file_key string, url string, state string, package string, first_sent long, last_seen long"
+def sent_files(spark: SparkSession, table: str, buckets: int = BUCKETS) -> Buckets:
+    return Buckets(spark, table, HISTORY, ["file_key"], buckets)
 
 
-def never_twice(spark: SparkSession, table: str, out: str, on_batch: Callable[[DataFrame, int], None] | None = None):
+def never_twice(spark: SparkSession, table: str, out: str, on_batch: Callable[[DataFrame, int], None] | None = None, checks: Callable[[DataFrame], DataFrame] | None = None, order: str = "sent", buckets: int = BUCKETS):
     """A foreachBatch function for links (item_id, pos, url, package, sent): only files that the history lacks go out,
-    the history then has them. Running a batch again changes nothing."""
-    memory = Table(spark, table, HISTORY)
+    as packages; the history then has all of the batch.
+
+    Steps of a batch are kept in out/batch=<number>: links, fresh, checked (checks: links -> those to keep), packages,
+    told (on_batch has had the packages) and done. A batch that runs again goes on behind its last whole step, so that it
+    makes nothing twice; on_batch alone may be called again, with the same packages and number, if it or the driver failed
+    before `told` was written. A batch that is done does nothing.
+    """
+    memory = sent_files(spark, table, buckets)
 
     def run(batch: DataFrame, version: int) -> None:
-        past = memory.read(version)
-        links = dedupe.first_of(dedupe.identified(batch).where("file_key is not null"), ["file_key"], ["sent", "item_id", "pos"])
-        new = history.fresh(links, past)
-        new.write.mode("overwrite").parquet(f"{out}/batch={version}")
-        memory.write(history.record_sent(past, links.select("file_key", "url", "package", "sent")), version)
-        if on_batch is not None:
-            on_batch(spark.read.parquet(f"{out}/batch={version}"), version)
+        steps = Steps(spark, f"{out}/batch={version}")
+        if steps.has("done"):
+            return
+        links = steps.step("links", lambda: dedupe.identified(batch).where("file_key is not null"))
+        new = steps.step("fresh", lambda: dedupe.first_of(history.fresh(links, memory.read(links)), ["file_key"], [order, "item_id", "pos"]))
+        kept = steps.step("checked", lambda: new if checks is None else checks(new))
+        jobs = steps.step("packages", lambda: handoff.packages(kept, order))
+        if not steps.has("told"):
+            if on_batch is not None:
+                on_batch(jobs, version)
+            steps.mark("told")
+        memory.merge(links.select("file_key", "url", "package", F.col(order).alias("sent")), history.record_sent)
+        steps.mark("done")
 
     return run
 
 
-def after_baseline(spark: SparkSession, table: str, out: str):
+def sent_links(spark: SparkSession, out: str, step: str = "fresh") -> DataFrame:
+    """All rows of a step over all batches, with their batch."""
+    return spark.read.option("basePath", out).parquet(f"{out}/batch=*/{step}")
+
+
+def after_baseline(spark: SparkSession, table: str, out: str, buckets: int = BUCKETS):
     """A foreachBatch function for releases (store, release_id): the first batch is the silent baseline, later ones tell
-    what is new."""
-    memory = Table(spark, table, "store long, release_id long")
+    what is new, in out/batch=<number>/new."""
+    memory = Buckets(spark, table, "store long, release_id long", ["store", "release_id"], buckets)
 
     def run(batch: DataFrame, version: int) -> None:
-        seen = memory.read(version)
-        new = batch.select("store", "release_id").distinct().join(seen, ["store", "release_id"], "left_anti")
-        if version > 0:
-            new.write.mode("overwrite").parquet(f"{out}/batch={version}")
-        memory.write(seen.union(new), version)
+        steps = Steps(spark, f"{out}/batch={version}")
+        if steps.has("done"):
+            return
+        seen = lambda: history.not_in_baseline(batch.select("store", "release_id").distinct(), memory.read(batch), ["store", "release_id"])
+        new = steps.step("new" if version else "baseline", seen)
+        memory.merge(new, lambda past, rows: past.union(rows).distinct())
+        steps.mark("done")
 
     return run
 

@@ -12,7 +12,7 @@ from gleanframe.operators import pages as P
 from gleanframe.plans.fixtures import frame
 from gleanframe.sources import html as H
 from gleanframe.sources import tables as T
-from gleanframe.streaming import harvest
+from gleanframe.streaming import harvest, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,25 +89,92 @@ def _stream(spark, tmp_path, df, parts, run, name):
 
 
 def test_never_twice_is_the_batch_result(spark, tmp_path):
-    links = frame(spark, SF, "fx_links").where("item_id % 5 = 0").selectExpr("item_id", "pos", "url", "'p' as package", "item_id * 10 + pos as sent")
-    run = harvest.never_twice(spark, str(tmp_path / "memory"), str(tmp_path / "out"))
+    links = frame(spark, SF, "fx_links").where("item_id % 5 = 0").selectExpr("item_id", "pos", "url", "concat('p', item_id % 3) as package", "item_id * 10 + pos as sent")
+    table, out, told = str(tmp_path / "memory"), str(tmp_path / "out"), []
+    run = harvest.never_twice(spark, table, out, lambda jobs, n: told.append((n, {r.package for r in jobs.collect()})), buckets=16)
     _stream(spark, tmp_path, links, 3, run, "a")
-    out = spark.read.parquet(str(tmp_path / "out"))
-    keys = [r.file_key for r in out.collect()]
+    keys = [r.file_key for r in harvest.sent_links(spark, out).collect()]
     from gleanframe.operators import dedupe
 
     want = {r.file_key for r in dedupe.identified(links).where("file_key is not null").collect()}
     assert len(keys) == len(set(keys)) and set(keys) == want
+    assert [n for n, _ in told] == [0, 1, 2] and told[0][1] == {"p0", "p1", "p2"}
+    before = sorted(harvest.sent_files(spark, table, 16).read().collect())
     run(links, 2)  # a batch that runs again
-    assert harvest.Table(spark, str(tmp_path / "memory"), harvest.HISTORY).read().count() == len(want)
+    assert sorted(harvest.sent_files(spark, table, 16).read().collect()) == before and len(before) == len(want) and len(told) == 3
+
+
+@pytest.mark.parametrize("fails", ["checked", "packages", "told", "merge"])
+def test_a_batch_cut_short_goes_on(spark, tmp_path, monkeypatch, fails):
+    """The driver fails between two sinks, and runs the batch again."""
+    rows = [(1, 0, "https://mega.nz/folder/A#k", "p", 1), (1, 1, "https://mega.nz/folder/B#k", "p", 2), (2, 0, "https://mega.nz/folder/A#k", "q", 3), (2, 1, "https://mega.nz/folder/C#k", "q", 4)]
+    links = spark.createDataFrame(rows, "item_id long, pos int, url string, package string, sent long")
+    told, table, out = [], str(tmp_path / "memory"), str(tmp_path / "out")
+    run = harvest.never_twice(spark, table, out, lambda jobs, n: told.append([r.text for r in jobs.collect()]), lambda new: new.where("url not like '%B#k'"), buckets=8)
+
+    def broken(*_):
+        raise OSError("lost")
+
+    whole_step, whole_mark, whole_merge = store.Steps.step, store.Steps.mark, store.Buckets.merge
+    with monkeypatch.context() as m:
+        m.setattr(store.Steps, "step", lambda self, name, make: broken() if name == fails else whole_step(self, name, make))
+        m.setattr(store.Steps, "mark", lambda self, name: broken() if name == fails else whole_mark(self, name))
+        m.setattr(store.Buckets, "merge", broken if fails == "merge" else whole_merge)
+        with pytest.raises(OSError):
+            run(links, 0)
+    run(links, 0)
+    run(links, 0)
+    want = ["https://mega.nz/folder/A#k", "https://mega.nz/folder/C#k"]
+    assert all(sorted(t) == want for t in told) and len(told) == (2 if fails == "told" else 1)
+    assert sorted((r.file_key, r.first_sent, r.last_seen) for r in harvest.sent_files(spark, table, 8).read().collect()) == [("mega:A#k", 1, 3), ("mega:B#k", 2, 2), ("mega:C#k", 4, 4)]
+
+
+def test_a_merge_rewrites_what_it_touches(spark, tmp_path):
+    path = tmp_path / "t"
+    table = store.Buckets(spark, str(path), "k long, v string", ["k"], 512)
+    whole = lambda past, rows: past.join(rows, "k", "left_anti").unionByName(rows)
+    table.merge(spark.range(20_000).selectExpr("id as k", "'old' as v"), whole)
+    files = lambda: {(f, f.stat().st_mtime_ns) for f in path.glob("bucket=*/*.parquet")}
+    before = files()
+    batch = spark.range(19_990, 20_030).selectExpr("id as k", "'new' as v")
+    assert table.merge(batch, whole) <= 40
+    after = files()
+    assert 0 < len(before - after) <= 40 < len(before) // 10  # keys of a batch over folders bound what is rewritten
+    assert table.read().groupBy("v").count().orderBy("v").collect() == [("new", 40), ("old", 19_990)]
+    table.merge(batch, whole)
+    assert table.read().groupBy("v").count().orderBy("v").collect() == [("new", 40), ("old", 19_990)]
+    assert table.read(batch).count() < 3_000
+
+
+def test_a_merge_cut_short_is_put_in_place(spark, tmp_path, monkeypatch):
+    table = store.Buckets(spark, str(tmp_path / "t"), "k long, v string", ["k"], 4)
+    union = lambda past, rows: past.unionByName(rows).distinct()
+    table.merge(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), union)
+    put = store.Buckets._put
+
+    def lost(self):
+        if (tmp_path / "t/_new/_SUCCESS").exists():
+            raise OSError("lost")
+        put(self)
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Buckets, "_put", lost)
+        with pytest.raises(OSError):
+            table.merge(spark.createDataFrame([(3, "c")], "k long, v string"), union)
+    assert sorted(table.read().collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    (tmp_path / "t/_new/bucket=0").mkdir(parents=True)  # not whole: dropped
+    assert table.read().count() == 3 and not (tmp_path / "t/_new").exists()
+    assert table.merge(spark.createDataFrame([], "k long, v string"), union) == 0
 
 
 def test_baseline_is_silent(spark, tmp_path):
-    run = harvest.after_baseline(spark, str(tmp_path / "seen"), str(tmp_path / "new"))
+    run = harvest.after_baseline(spark, str(tmp_path / "seen"), str(tmp_path / "new"), 8)
     rows = lambda *ids: spark.createDataFrame([(1, i) for i in ids], "store long, release_id long")
     run(rows(1, 2), 0)
     run(rows(2, 3, 3), 1)
-    assert [r.release_id for r in spark.read.parquet(str(tmp_path / "new")).collect()] == [3]
+    run(rows(2, 3, 3), 1)
+    run(rows(3, 4), 2)
+    assert sorted((r.batch, r.release_id) for r in harvest.sent_links(spark, str(tmp_path / "new"), "new").collect()) == [(1, 3), (2, 4)]
 
 
 #: Moves by hand: to_state, lawful, state and attempts afterwards.
