@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .catalog import _ID, _pages, query
 from .functions import naming
@@ -12,6 +19,7 @@ from .operators import pages as P
 from .plans.cuts import cut, new_path
 from .plans.fixtures import frame, sql
 from .sources import html as H
+from .sources import readers
 from .sources import tables as T
 from .streaming import harvest
 
@@ -176,7 +184,7 @@ _SAID_B = "concat('no header ', cast(c_custkey as string), case c_custkey % 4 wh
 @query("h8_board_items", f"with a as (select c_custkey as page_id, case c_custkey % 3 when 0 then concat('Various Dance ', cast(c_custkey as string)) else concat('Own rip flac ', cast(c_custkey as string)) end as title, {_SAID_A} as summary, cast(case c_custkey % 3 when 0 then 2 else 1 end as bigint) as links, cast(1 as bigint) as downloads, cast(0 as bigint) as threads, 1 as place from customer union all select c_custkey, concat('no header ', cast(c_custkey as string)), {_SAID_B}, 1, 0, 1, 2 from customer where c_custkey % 4 = 0) select *, len(summary) + 1000 * links + 5000 * downloads as score, false as main from a")
 def _(spark, d):
     """Posts with a file or a thread; signatures and search forms hold none."""
-    return items.read_items(_smf(spark, d), "SMF").drop("item")
+    return items.read_items(_smf(spark, d), "SMF").drop("item", "urls")
 
 
 # pages with repeated posts, with nothing but small talk beside a linked file, and with a text alone
@@ -192,7 +200,7 @@ _SITE = "concat('Site ', cast(p_partkey as string))"
 def _(spark, d):
     """Of posts with the same title and links one stays; a page without a useful post is read as a whole."""
     pages = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey as page_id", "'https://site.example/a' as url", f"{_PILE} as html")
-    return items.read_items(pages, "web").drop("item")
+    return items.read_items(pages, "web").drop("item", "urls")
 
 
 _ROW = """concat('<tr><td></td><td><a href="/index.php?topic=', cast(o_orderkey as string), '.0">Topic name ', cast(o_orderkey as string), '</a></td><td><a href="/index.php?action=profile;u=', cast(o_custkey % 7 as string), '">member ', cast(o_custkey % 7 as string), '</a></td><td>', case when o_orderkey % 3 = 0 then '1.234' else '0' end, '</td><td>99</td></tr>')"""
@@ -322,3 +330,122 @@ def _(spark, d):
     title = F.expr("concat('RAVE ', cast(1990 + p_partkey % 9 as string))")
     year = F.expr("case when p_partkey % 2 = 0 then cast(1990 + p_partkey % 9 as string) else '1985' end")
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", R.folder_name(title, year).alias("name"))
+
+
+def _files(rows, by, text, name):
+    """One file for each value of `by`, whose content is text."""
+    path = new_path(rows.sparkSession, name)
+    rows.select(by, text.alias("value")).repartition(by).write.partitionBy(by).text(path)
+    return path
+
+
+def _cms_files(spark, d):
+    day = "concat('2024-', lpad(cast(p_partkey * 7 % 12 + 1 as string), 2, '0'), '-', lpad(cast(p_partkey * 5 % 28 + 1 as string), 2, '0'), 'T08:00:00')"
+    post = F.struct(F.col("p_partkey").alias("id"), F.expr(day).alias("date"), F.expr("concat('https://cms.example/?p=', p_partkey)").alias("link"), F.struct(F.col("p_name").alias("rendered")).alias("title"), F.struct(F.expr("concat('<p>Say <b>', p_brand, '</b></p> <p>https://mega.nz/folder/C', p_partkey, '#k</p>')").alias("rendered")).alias("content"), F.array((F.col("p_partkey") % 5).alias("c")).alias("categories"))
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.floor(F.col("p_partkey") / 100).alias("page"), F.to_json(post).alias("post"))
+    return _files(rows.groupBy("page").agg(F.concat(F.lit("["), F.array_join(F.collect_list("post"), ","), F.lit("]")).alias("t")), "page", F.col("t"), "cms")
+
+
+_DAY = "concat('2024-', lpad(cast(p_partkey * 7 % 12 + 1 as varchar), 2, '0'), '-', lpad(cast(p_partkey * 5 % 28 + 1 as varchar), 2, '0'), 'T08:00:00')"
+
+
+@query("s4_cms_posts", f"select p_partkey % 5 as category, p_partkey as id, {_DAY} as date, p_name as title, row_number() over (partition by p_partkey % 5 order by {_DAY} desc, p_partkey desc) as pos from part")
+def _(spark, d):
+    """Posts of each category, newest first, from files of a content system's pages."""
+    posts = readers.registered(spark).read.format("cms_posts").load(_cms_files(spark, d)).withColumn("category", F.get("categories", F.lit(0)))
+    pos = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("date"), F.desc("id")))
+    return posts.select("category", "id", "date", "title", pos.alias("pos"))
+
+
+def _list_files(spark, d):
+    release = F.struct(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("Release "), "c_custkey").alias("name"), F.array("c_name", F.lit("B")).alias("artists"), F.concat(F.lit("https://label.example/"), "c_custkey").alias("url"), F.lit(9).alias("track_count"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.floor(F.col("c_custkey") / 200).alias("label"), "c_custkey", F.to_json(release).alias("release"))
+    lists = rows.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "release"))), lambda x: x["release"]), ",").alias("t"))
+    head = F.concat(F.lit('{"label": "L'), F.col("label"), F.lit('", "revealed": '), 20 + F.col("label"), F.lit(', "releases": ['), "t", F.lit("]}"))
+    return _files(lists, "label", head, "lists")
+
+
+@query("s7_revealed_releases", "select * from (select concat('L', cast(c_custkey // 200 as varchar)) as label, cast(row_number() over (partition by c_custkey // 200 order by c_custkey) - 1 as int) as pos, cast(c_custkey as varchar) as id, concat('Release ', cast(c_custkey as varchar)) as name, c_custkey // 200 as list from customer) where pos < 20 + list")
+def _(spark, d):
+    lists = readers.registered(spark).read.format("release_lists").load(_list_files(spark, d))
+    return lists.select("label", "pos", "id", "name", F.substring("label", 2, 9).cast("long").alias("list"))
+
+
+def _feed_files(spark, d):
+    k = "cast(c_custkey as string)"
+    item = f"concat('<item><guid>g', {k}, '</guid><title>Item ', {k}, '</title><link>https://f.example/', {k}, '</link><description>see https://mega.nz/folder/F', {k}, '#k</description></item>')"
+    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey div 500 as feed", f"{item} as item").groupBy("feed").agg(F.array_join(F.collect_list("item"), "").alias("t"))
+    return _files(rows, "feed", F.concat(F.lit("<rss><channel>"), "t", F.lit("</channel></rss>")), "feeds")
+
+
+def _read_all(spark, d):
+    pages = cut(_smf(spark, d), "pages")
+    paths = {"cms": _cms_files(spark, d), "list": _list_files(spark, d), "feed": _feed_files(spark, d), "SMF": pages.inputFiles()[0].rsplit("/", 1)[0]}
+    watched = [readers.Watched(spark, name, path) for name, path in paths.items()]
+    return [(w, cut(w.items, "items")) for w in watched]
+
+
+_READ = "select 'cms' as reader, cast(p_partkey as varchar) as id, p_name as name, concat('Say ', p_brand, ' https://mega.nz/folder/C', cast(p_partkey as varchar), '#k') as summary, 2 as links from part union all select 'list', cast(c_custkey as varchar), concat(c_name, ', B - Release ', cast(c_custkey as varchar)), '', 1 from (select *, row_number() over (partition by c_custkey // 200 order by c_custkey) as n from customer) where n <= 20 + c_custkey // 200 union all select 'feed', concat('g', cast(c_custkey as varchar)), concat('Item ', cast(c_custkey as varchar)), concat('see https://mega.nz/folder/F', cast(c_custkey as varchar), '#k'), 2 from customer"
+
+
+@query("x2_items_of_all_readers", _READ + f" union all select 'SMF', null, case c_custkey % 3 when 0 then concat('Various Dance ', cast(c_custkey as varchar)) else concat('Own rip flac ', cast(c_custkey as varchar)) end, {_SAID_A}, case c_custkey % 3 when 0 then 2 else 1 end from customer union all select 'SMF', null, concat('no header ', cast(c_custkey as varchar)), {_SAID_B}, 1 from customer where c_custkey % 4 = 0")
+def _(spark, d):
+    """A content system, release lists, feeds and a board, by one registry."""
+    parts = [df for _, df in _read_all(spark, d)]
+    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return every.select("reader", F.when(F.col("reader") != "SMF", F.col("id")).alias("id"), "name", "summary", F.size("links").alias("links"))
+
+
+@query("x3_preflight", f"with r as ({_READ} union all select 'SMF', 'x', 'x', 'x', 1 from customer union all select 'SMF', 'x', 'x', 'x', 1 from customer where c_custkey % 4 = 0) select reader, 'items' as name, true as ok, cast(count(*) as varchar) as detail from r group by 1 union all select distinct reader, unnest(['without name', 'without id', 'without link']), true, '0' from r")
+def _(spark, d):
+    """What is said of each reader's items in the pass that writes them."""
+    reports = [w.report() for w, _ in _read_all(spark, d)]
+    return reports[0].union(reports[1]).union(reports[2]).union(reports[3])
+
+
+def _zip(batches):
+    """kind, n, rows of (key, name) -> the archive's bytes; of another kind what is no archive."""
+    for batch in batches:
+        out = []
+        for kind, n, rows in zip(batch.kind, batch.n, batch.rows):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                for i, r in enumerate(rows):
+                    z.writestr(f"{i}", json.dumps({"name": r["p_name"], "downloadFolder": f"/d/{r['p_partkey']}"}))
+                    z.writestr(f"{i}_0", json.dumps({"downloadLink": {"url": f"https://a.example/{r['p_partkey']}"}, "more": [[{"url": f"https://deep.example/{r['p_partkey']}"}]]}))
+                z.writestr("extraInfo", "no json")
+            out.append((f"{kind}{n}.zip", held.getvalue() if n % 3 < 2 or kind != "downloadList" else b"cut short"))
+        yield pd.DataFrame(out, columns=["name", "content"])
+
+
+def _put_files(folder):
+    def run(batches):
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.name, batch.content):
+                with system.open_output_stream(f"{root}/{name}") as f:
+                    f.write(content)
+            yield batch[["name"]]
+
+    return run
+
+
+def _archives(spark, d):
+    """Archives of 250 parts each, of two kinds; every third of the one kind is no archive."""
+    folder = new_path(spark, "archives")
+    system, root = fs.FileSystem.from_uri(folder)
+    system.create_dir(root, recursive=True)
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.floor(F.col("p_partkey") / 250).alias("n"), F.struct("p_partkey", "p_name").alias("r")).groupBy("n").agg(F.collect_list("r").alias("rows"))
+    rows = rows.select(F.explode(F.array(F.lit("linkcollector"), F.lit("downloadList"))).alias("kind"), "n", "rows")
+    rows.mapInPandas(_zip, "name string, content binary").mapInPandas(_put_files(folder), "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+_NEWEST = "with a as (select p_partkey, p_name, unnest(['linkcollector', 'downloadList']) as kind, p_partkey // 250 as n from part), z as (select * from a where n = (select max(n) from a) and (n % 3 < 2 or kind <> 'downloadList'))"
+
+
+@query("s5_s6_newest_archives", _NEWEST + " select kind, unnest([concat('https://a.example/', cast(p_partkey as varchar)), concat('https://deep.example/', cast(p_partkey as varchar))]) as url, null as name, null as folder from z union all select kind, null, p_name, concat('/d/', cast(p_partkey as varchar)) from z")
+def _(spark, d):
+    """Urls at any depth and package rows of the newest archive of each kind."""
+    kind = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^([A-Za-z]+)", 1)
+    return T.read_archives(spark, _archives(spark, d)).select(kind.alias("kind"), "url", "name", "folder")

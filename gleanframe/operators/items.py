@@ -63,8 +63,8 @@ def score(chars: Column, links: Column, preferred: Column) -> Column:
 
 
 def read_items(pages: DataFrame, family: str = "web", most: int = 100, least_chars: int = 30) -> DataFrame:
-    """page_id, item, title, summary, links, downloads, threads, score, place, main of each page's items, best first by
-    `place`.
+    """page_id, item, title, summary, links, downloads, threads, score, place, main, urls of each page's items, best first
+    by `place`.
 
     Of a board, kept are items with a file or a thread of the site; of other pages, items with a link or a text of some
     length. Items with the same title and links are one. A page without a kept item is one item (main): its main part, if
@@ -93,7 +93,7 @@ def read_items(pages: DataFrame, family: str = "web", most: int = 100, least_cha
     same = Window.partitionBy("page_id", F.lower("title"), "urls").orderBy("item")
     once = each.withColumn("_n", F.row_number().over(same)).where("_n = 1")
     place = F.row_number().over(by_page.orderBy(F.desc("score"), "item"))
-    return once.withColumn("place", place).where(F.col("place") <= most).select("page_id", "item", "title", "summary", "links", "downloads", "threads", "score", "place", "main")
+    return once.withColumn("place", place).where(F.col("place") <= most).select("page_id", "item", "title", "summary", "links", "downloads", "threads", "score", "place", "main", "urls")
 
 
 #: Readers by name: pages -> items. A reader of one's own is one more entry.

@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import find_urls, normalise
@@ -57,10 +58,17 @@ def read_releases(spark: SparkSession, path: str, most: int | None = None) -> Da
     return (rows if most is None else rows.where(F.col("pos") < most)).select("label", "pos", "r.*")
 
 
-def newest_archives(files: DataFrame, kind: Column) -> DataFrame:
-    """Of each kind the archive with the highest number in its name."""
-    number = F.regexp_extract("path", r"(\d+)\.zip$", 1).cast("long")
-    return files.groupBy(kind.alias("kind")).agg(F.max_by(F.struct("path", "content"), number).alias("f")).select("kind", "f.*")
+#: Kinds of archives, by the beginnings of their names.
+ARCHIVES = ("linkcollector", "downloadList")
+
+
+def newest_archives(paths: DataFrame, kinds: tuple[str, ...] = ARCHIVES) -> DataFrame:
+    """kind, path: of each kind the archive with the highest number in its name; of equal ones the last by path. Contents
+    are not looked at."""
+    name = F.element_at(F.split("path", "/"), -1)
+    number = F.regexp_extract(name, r"(\d+)\.zip$", 1)
+    rows = paths.select("path", F.regexp_extract(name, "^([A-Za-z]+)", 1).alias("kind"), F.when(number != "", number.cast("decimal(38,0)")).alias("number"))
+    return rows.where(F.col("kind").isin(*kinds)).groupBy("kind").agg(F.max_by("path", F.struct("number", "path")).alias("path"))
 
 
 def _walk(value, out: list[str]):
@@ -74,33 +82,44 @@ def _walk(value, out: list[str]):
             stack += reversed(v)
 
 
+def _members(path: str, content: bytes) -> Iterator[tuple]:
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    for member in archive.namelist():
+        if member.startswith("extraInfo"):
+            continue
+        data = json.loads(archive.read(member))
+        found: list[str] = []
+        _walk(data, found)
+        yield from ((path, member, u, None, None) for u in found)
+        if "_" not in member and isinstance(data, dict) and data.get("name"):
+            yield path, member, None, data["name"], data.get("downloadFolder")
+
+
 def archive_rows(files: DataFrame) -> DataFrame:
     """files (path, content) -> path, member, url, name, folder: each url at any depth, and package rows of members
-    without a suffix. What isn't a zip has no rows."""
+    without a suffix. What isn't a zip of JSON has no rows from there on."""
+    columns = ["path", "member", "url", "name", "folder"]
 
     def run(batches):
         for batch in batches:
-            rows = []
             for path, content in zip(batch.path, batch.content):
+                rows: list[tuple] = []
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    for member in archive.namelist():
-                        if member.startswith("extraInfo"):
-                            continue
-                        data = json.loads(archive.read(member))
-                        found: list[str] = []
-                        _walk(data, found)
-                        rows += [(path, member, u, None, None) for u in found]
-                        if "_" not in member and isinstance(data, dict) and data.get("name"):
-                            rows.append((path, member, None, data["name"], data.get("downloadFolder")))
+                    for row in _members(path, content):
+                        rows.append(row)
+                        if len(rows) == 10_000:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
                 except (zipfile.BadZipFile, ValueError, OSError):
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "member", "url", "name", "folder"])
+                    pass
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, "path string, member string, url string, name string, folder string")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ARCHIVES) -> DataFrame:
+    """Rows of the newest archive of each kind. Names alone are compared; only what is chosen is read, where it lies."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
-    kind = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^([A-Za-z]+)", 1)
-    return archive_rows(newest_archives(files, kind))
+    chosen = newest_archives(files.select("path"), kinds)  # a row for each of the kinds
+    return archive_rows(files.select("path", "content").join(F.broadcast(chosen.select("path")), "path", "left_semi"))
