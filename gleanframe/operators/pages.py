@@ -211,6 +211,33 @@ def post_dates(nodes: DataFrame, posts: DataFrame, as_of: Column) -> DataFrame:
     return out.select("page_id", "item", F.coalesce("machine", "held", "_prior", "_head").alias("day"))
 
 
+def topic_pages(pages: DataFrame, nodes: DataFrame, posts: DataFrame, as_of: Column, since: Column) -> DataFrame:
+    """page_id, topic_id, offs, pager, has_old of a board's topic pages: where a page stands, what other pages of its topic
+    it links, and whether it holds a post older than since."""
+    at = pages.withColumn("here", urls.board_id(F.col("url"))).where("here.kind = 'topic'").select("page_id", "url", F.col("here.id").alias("topic_id"), F.col("here.at").alias("offs"))
+    to = nodes.where("tag = 'a' and attrs['href'] is not null").select("page_id", F.col("attrs")["href"].alias("href")).join(at, "page_id").select("page_id", "topic_id", urls.board_id(absolute(F.col("url"), F.col("href"))).alias("there"))
+    linked = to.where("there.kind = 'topic' and there.id = topic_id").groupBy("page_id").agg(F.array_sort(F.collect_set("there.at")).alias("pager"))
+    old = post_dates(nodes, posts, as_of).groupBy("page_id").agg(F.coalesce(F.bool_or(F.col("day") < since), F.lit(False)).alias("has_old"))
+    met = at.join(linked, "page_id", "left").join(old, "page_id", "left")
+    return met.select("page_id", "topic_id", "offs", "pager", F.coalesce("has_old", F.lit(False)).alias("has_old"))
+
+
+def authors(nodes: DataFrame, posts: DataFrame) -> DataFrame:
+    """page_id, item, author, author_id of each post: the first link to a member's profile between it and the post before,
+    else the first behind it and before the next. Those in posts, quotes and signatures are no author's."""
+    profile = F.col("attrs")["href"].rlike(PROFILE)
+    number = F.nullif(F.regexp_extract(F.col("attrs")["href"], r"(?i)(?:u=|/members/(?:[^/]*\.)?|/profile/)(\d+)", 1), F.lit("")).cast("long")
+    begins = posts.select("page_id", "pre", F.struct(F.col("pre").alias("item"), F.col("end").alias("till")).alias("_post"))
+    rows = outside(nodes, _classes(*SIGNATURE_CLASSES) | (F.col("tag") == "blockquote")).join(begins, ["page_id", "pre"], "left")
+    held = F.last("_post", ignorenulls=True).over(_page(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_held", held).withColumn("_member", F.when((F.col("tag") == "a") & profile & ~F.coalesce(F.col("pre") <= F.col("_held.till"), F.lit(False)), F.struct(F.trim("text").alias("author"), number.alias("author_id"))))
+    # each post with what stands in the interval before it, and in the one behind it
+    by_gap = rows.groupBy("page_id", F.coalesce("_held.item", F.lit(-1)).alias("gap")).agg(F.min_by("_member", F.when(F.col("_member").isNotNull(), F.col("pre"))).alias("_m"))
+    order = Window.partitionBy("page_id").orderBy("gap")
+    near = by_gap.withColumns({"_before": F.lag("_m").over(order)})
+    return near.where("gap >= 0").select("page_id", F.col("gap").alias("item"), F.coalesce("_before", "_m").alias("_a")).select("page_id", "item", "_a.author", "_a.author_id")
+
+
 def next_pages(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """page_id, next: the page after each page that has one.
 

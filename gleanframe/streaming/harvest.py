@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import dedupe, handoff, history
+from ..operators import dedupe, handoff, history, windows
 from ..plans.cuts import new_path
 from .store import BUCKETS, Buckets, Steps
 
@@ -87,6 +87,28 @@ def after_baseline(spark: SparkSession, table: str, out: str, buckets: int = BUC
     return run
 
 
+def thread_marks(spark: SparkSession, table: str, buckets: int = BUCKETS) -> Buckets:
+    return Buckets(spark, table, "topic_id long, mark long", ["topic_id"], buckets)
+
+
+def resumed_walks(spark: SparkSession, table: str, out: str, pager: str | None = None, most: int = 500, buckets: int = BUCKETS):
+    """A foreachBatch function for the pages of topics (topic_id, offs, has_old, a pager) as they are stored: the pages to
+    read go to out/batch=<number>/read, beginning where the last walk stopped. A walk that comes to its end moves its
+    topic's mark; one that is cut short leaves it, so that the next one reads on."""
+    marks = thread_marks(spark, table, buckets)
+
+    def run(batch: DataFrame, version: int) -> None:
+        steps = Steps(spark, f"{out}/batch={version}")
+        if steps.has("done"):
+            return
+        read = steps.step("read", lambda: windows.thread_walks(batch, marks.read(batch), pager, most))
+        ended = read.where("complete").groupBy("topic_id").agg(F.max("newest").alias("mark"))
+        marks.merge(ended, lambda past, new: past.join(new, "topic_id", "left_anti").unionByName(new))
+        steps.mark("done")
+
+    return run
+
+
 def bounded_once(links: DataFrame, at: str = "ts", delay: str = "1 day") -> DataFrame:
     """Within the watermark each file once: state is bounded, unlike with a history."""
     return dedupe.identified(links).where("file_key is not null").withWatermark(at, delay).dropDuplicatesWithinWatermark(["file_key"])
@@ -167,6 +189,10 @@ class QueueMoves(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "state string, attempts int")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """The entry as a snapshot has it: state and attempts."""
+        self.state.update((str(initialState.state.iloc[0]), int(initialState.attempts.iloc[0])))
+
     def handleInputRows(self, key, rows, timerValues):
         moves = pd.concat(list(rows)).sort_values("seq")
         state, attempts = self.state.get() if self.state.exists() else ("new", 0)
@@ -179,8 +205,16 @@ class QueueMoves(StatefulProcessor):
         pass
 
 
-def stream_queue(moves: DataFrame) -> DataFrame:
-    return moves.groupBy("queue_id").transformWithStateInPandas(QueueMoves(), _AUDIT, "Append", "None")
+def stream_queue(moves: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """snapshot: queue_id, state, attempts of entries that are known when the stream begins; others begin as new."""
+    known = snapshot.groupBy("queue_id") if snapshot is not None else None
+    return moves.groupBy("queue_id").transformWithStateInPandas(QueueMoves(), _AUDIT, "Append", "None", known)
+
+
+def queue_snapshot(audit: DataFrame) -> DataFrame:
+    """queue_id, state, attempts that the moves of an audit leave behind."""
+    after = F.when(F.col("legal"), F.col("to_state")).otherwise(F.col("from_state"))
+    return audit.groupBy("queue_id").agg(F.max_by(after, "seq").alias("state"), F.max_by("attempts", "seq").alias("attempts"))
 
 
 _PACKAGE = "package string, found int, wanted int, complete boolean"

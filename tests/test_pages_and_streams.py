@@ -210,3 +210,116 @@ def test_windows_over_a_stream(spark, tmp_path, delay):
     q.processAllAvailable()
     q.stop()
     assert spark.table("stage_windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+def _topic_page(topic, at, pager, day):
+    links = "".join(f'<a href="/index.php?topic={topic}.{o}">{o}</a>' for o in pager)
+    post = f'<div class="keyinfo">{day}, 11:30</div><div class="post">text</div>'
+    return f"https://b.invalid/index.php?topic={topic}.{at}", f"<html><body>{links}<p><a href='/index.php?topic=9.5'>x</a></p>{post}</body></html>"
+
+
+def test_walks_resume_where_the_last_one_stopped(spark, tmp_path):
+    """A topic that grows, one that is pruned, one with a page missing, one with an old post; page sizes differ."""
+    new, old = "2026-04-02", "2019-04-02"
+    grow = lambda topic, size, last, skip=(), age=None: [_topic_page(topic, o, [p for p in (size, last) if 0 < p <= last], old if o == age else new) for o in range(0, last + 1, size) if o not in skip]
+    batches = [
+        grow(1, 20, 80) + grow(2, 10, 50) + grow(3, 15, 60, skip=(30,)) + grow(4, 25, 100, age=50) + grow(5, 15, 0),
+        grow(1, 20, 120) + grow(2, 10, 20) + grow(3, 15, 75) + grow(4, 25, 100, age=50) + grow(5, 15, 30),
+        grow(3, 15, 90),
+    ]
+    run = harvest.resumed_walks(spark, str(tmp_path / "marks"), str(tmp_path / "out"), "pager", buckets=4)
+    since, as_of = (F.lit(d).cast("date") for d in ("2025-01-01", "2026-06-01"))
+
+    def read(batch, version):
+        nodes = H.page_nodes(batch)
+        posts = P.outermost(nodes, F.array_contains("classes", "post")).select("page_id", "pre", "end")
+        run(P.topic_pages(batch, nodes, posts, as_of, since), version)
+
+    source = tmp_path / "in"
+    stream = spark.readStream.schema(T.PAGES).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    for n, made in enumerate(batches):
+        spark.createDataFrame([(i, *r) for i, r in enumerate(made)], T.PAGES).coalesce(1).write.parquet(f"{source}/b={n}")
+        stream.writeStream.foreachBatch(read).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {}
+    for r in harvest.sent_links(spark, str(tmp_path / "out"), "read").orderBy(F.desc("offs")).collect():
+        got.setdefault((r.batch, r.topic_id), []).append(r.offs)
+    assert got == {
+        (0, 1): [80, 60, 40, 20, 0], (0, 2): [50, 40, 30, 20, 10, 0], (0, 3): [60, 45], (0, 4): [100, 75, 50], (0, 5): [0],
+        (1, 1): [120, 100, 80], (1, 2): [20, 10, 0], (1, 3): [75, 60, 45, 30, 15, 0], (1, 4): [100], (1, 5): [30, 15, 0],
+        (2, 3): [90, 75],
+    }
+    marks = harvest.thread_marks(spark, str(tmp_path / "marks"), 4).read()
+    assert sorted(map(tuple, marks.collect())) == [(1, 120), (2, 20), (3, 90), (4, 100), (5, 30)]
+
+
+def test_authors_by_their_place(spark):
+    """Before or behind a post, never in it, its quotes or signatures."""
+    who = lambda n: f'<a href="/index.php?action=profile;u={n}">m{n}</a>'
+    left = f"<div>{who(1)}</div><div class=post>a {who(9)}</div><div class=signature>{who(8)}</div><div>{who(2)}</div><div class=post><blockquote>{who(7)}</blockquote></div>"
+    right = f"<div class=post>a</div><div>{who(3)}</div>"
+    nobody = "<div class=post>x</div>"
+    nodes = H.page_nodes(spark.createDataFrame([(1, "", left), (2, "", right), (3, "", nobody)], T.PAGES))
+    posts = P.outermost(nodes, F.array_contains("classes", "post"))
+    got = [(r.page_id, r.author, r.author_id) for r in P.authors(nodes, posts).orderBy("page_id", "item").collect()]
+    assert got == [(1, "m1", 1), (1, "m2", 2), (2, "m3", 3), (3, None, None)]
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def test_a_queue_stream_begun_from_a_snapshot(spark, tmp_path, rocks):
+    moves = frame(spark, SF, "fx_queue").where("queue_id < 12")
+    whole = sorted(map(tuple, harvest.replay_queue(moves).collect()))
+    third = moves.selectExpr("percentile(seq, array(0.3, 0.6, 0.8))").first()[0]
+    early = harvest.queue_snapshot(harvest.replay_queue(moves.where(F.col("seq") <= third[0])))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        source = tmp_path / "in"
+        stream = harvest.stream_queue(spark.readStream.schema(moves.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*"), early)
+        for n, (a, b) in enumerate(zip(third, [*third[1:], 1e18])):
+            moves.where((F.col("seq") > a) & (F.col("seq") <= b)).coalesce(1).write.parquet(f"{source}/b={n}")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [r for r in whole if r[1] > third[0]] and len(got) > 50
+
+
+def test_packages_by_names_and_by_time(spark, tmp_path, rocks):
+    """One that completes, one whose time is over, one that stays open, whose state is read back."""
+    import time
+
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    source, kind = tmp_path / "in", "package string, name string, came boolean"
+    put = lambda n, *rows: spark.createDataFrame(list(rows), kind).coalesce(1).write.parquet(f"{source}/b={n}")
+    put(0, ("whole", "a", False), ("whole", "b", False), ("late", "a", False), ("late", "c", False))
+    query = harvest.watch_packages(spark.readStream.schema(kind).parquet(f"{source}/*"), 15).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    out = lambda: sorted(map(tuple, spark.read.schema("package string, found int, wanted int, complete boolean").parquet(str(tmp_path / "out")).collect())) if (tmp_path / "out").exists() else []
+
+    def wait(n):
+        end = time.time() + 60
+        while len(out()) < n and time.time() < end:
+            time.sleep(0.5)
+        return out()
+
+    try:
+        put(1, ("whole", "a", True), ("whole", "b", True), ("late", "c", True))
+        assert wait(1)[-1] == ("whole", 2, 2, True)
+        assert wait(2) == [("late", 1, 2, False), ("whole", 2, 2, True)]
+        # in one batch a package begins, and stays open while the query is stopped
+        put(2, ("open", "x", False), ("open", "y", True), ("whole", "a", False))
+        end = time.time() + 60  # batches go on for the timers' sake: a stream of this kind never has all done
+        while sum(p["numInputRows"] for p in query.recentProgress) < 10 and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    state = spark.read.format("statestore").option("stateVarName", "wanted").load(str(tmp_path / "cp"))
+    held = {(r.key.package, r.user_map_key.name, r.user_map_value.came) for r in state.select("key", "user_map_key", "user_map_value").collect()}
+    assert {h for h in held if h[0] == "open"} == {("open", "x", False), ("open", "y", True)}
+    assert len(out()) == 2
