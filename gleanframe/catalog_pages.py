@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .catalog import _ID, _pages, query
-from .functions import naming
+from .functions import naming, urls
 from .functions import recase as R
-from .operators import cms, detect, items
+from .operators import cms, counts, dedupe, detect, history, items
 from .operators import pages as P
 from .plans.cuts import cut, new_path
 from .plans.fixtures import frame, sql
@@ -256,14 +256,32 @@ def _(spark, d):
     return T.feed_entries(feeds).select("id", "name", "url", "summary", F.array_join("links", " ").alias("links"))
 
 
-_LAWFUL = " or ".join(f"(w.state = '{a}' and m.to_state in ({', '.join(repr(b) for b in to)}))" for a, to in harvest.MOVES.items() if to)
+# lawful moves, spelled for SQL on its own
+_LAWFUL = "concat(w.state, '>', m.to_state) in ('new>queued', 'new>skipped_owned', 'new>cancelled', 'queued>claimed', 'queued>cancelled', 'queued>failed', 'claimed>downloading', 'claimed>queued', 'claimed>failed', 'claimed>cancelled', 'downloading>verified', 'downloading>failed', 'downloading>quarantined', 'verified>filed', 'verified>failed', 'skipped_owned>queued', 'failed>queued', 'quarantined>queued', 'cancelled>queued')"
+_WALK = sql("fx_queue") + f", m as (select *, row_number() over (partition by queue_id order by seq) as k from fx_queue), walk(queue_id, k, seq, from_state, to_state, legal, state, attempts) as (select queue_id, k, seq, 'new', to_state, to_state in ('queued', 'skipped_owned', 'cancelled'), case when to_state in ('queued', 'skipped_owned', 'cancelled') then to_state else 'new' end, 0 from m where k = 1 union all select m.queue_id, m.k, m.seq, w.state, m.to_state, {_LAWFUL}, case when {_LAWFUL} then m.to_state else w.state end, w.attempts + case when m.to_state = 'failed' and ({_LAWFUL}) then 1 else 0 end from walk w join m on m.queue_id = w.queue_id and m.k = w.k + 1) select queue_id, seq, from_state, to_state, legal, attempts from walk"
 
 
-@query("w4_queue_replay", sql("fx_queue") + f", m as (select *, row_number() over (partition by queue_id order by seq) as k from fx_queue), walk(queue_id, k, seq, from_state, to_state, legal, state, attempts) as (select queue_id, k, seq, 'new', to_state, to_state in ('queued', 'skipped_owned', 'cancelled'), case when to_state in ('queued', 'skipped_owned', 'cancelled') then to_state else 'new' end, 0 from m where k = 1 union all select m.queue_id, m.k, m.seq, w.state, m.to_state, {_LAWFUL}, case when {_LAWFUL} then m.to_state else w.state end, w.attempts + case when m.to_state = 'failed' and ({_LAWFUL}) then 1 else 0 end from walk w join m on m.queue_id = w.queue_id and m.k = w.k + 1) select queue_id, seq, from_state, to_state, legal, attempts from walk")
+@query("w4_queue_replay", _WALK)
 def _(spark, d):
     return harvest.replay_queue(frame(spark, d, "fx_queue"), 2_000)
 
 
+@query("w4_queue_stream", _WALK + " where seq % 4 > 0 or seq > 400")
+def _(spark, d):
+    """A snapshot of what the first moves left behind, and the rest as a stream of three batches: the audit of all but
+    those first moves that the snapshot stands for."""
+    moves = frame(spark, d, "fx_queue")
+    early = harvest.replay_queue(moves.where("seq <= 400"), 2_000)
+    path = new_path(spark, "queue")
+    bounds = moves.where("seq > 400").selectExpr("percentile(seq, array(0.3, 0.7))").first()[0]
+    for n, where in enumerate((F.col("seq").between(401, bounds[0]), (F.col("seq") > bounds[0]) & (F.col("seq") <= bounds[1]), F.col("seq") > bounds[1])):
+        moves.where(where & (F.col("seq") > 400)).coalesce(1).write.parquet(f"{path}/in/b={n}")
+    stream = spark.readStream.schema(moves.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    with harvest.keyed_state(spark):
+        rest = harvest.run_once(harvest.stream_queue(stream, harvest.queue_snapshot(early)), "audit")
+    return early.where("seq % 4 > 0").union(rest)
+
+
 @query("w5_stage_windows", sql("fx_trace") + " select date_trunc('hour', ts) as start, stage, count(*) as n from fx_trace group by 1, 2")
 def _(spark, d):
     return harvest.stage_counts(frame(spark, d, "fx_trace"))
@@ -307,6 +325,67 @@ def _(spark, d):
     return harvest.sent_links(spark, f"{path}/out", "new").select((F.col("batch") + 1).cast("long").alias("batch"), "store", "release_id")
 
 
+# pages of topics in three turns: the older half, all but a page of some, all without the newest of others
+_TURNS = ("offs * 2 <= top", "not (topic_id % 5 = 0 and offs = top div 30 * 15)", "not (topic_id % 7 = 0 and offs * 2 > top)")
+_TOPIC = "pg as (select topic_id, offs, max(case when day < date '2024-01-04' and topic_id % 3 = 0 then 1 else 0 end) = 1 as has_old, max(max(offs)) over (partition by topic_id) as top from fx_posts group by 1, 2)"
+
+
+def _turn(n, where):
+    """A turn's reading and the marks after it, in SQL."""
+    where = where.replace(" div ", " // ")
+    return f""", z{n} as (select topic_id, coalesce(min(offs) filter (where offs > 0), 15) as size, max(offs) as most from pg where {where} group by 1),
+ r{n} as (select p.topic_id, p.offs, p.has_old, size, most // size * size as newest, case when mark <= most // size * size then mark end as floor, row_number() over (partition by p.topic_id order by p.offs desc) as n from (select * from pg where {where}) p join z{n} z on z.topic_id = p.topic_id left join m{n} m on m.topic_id = p.topic_id where p.offs % size = 0),
+ c{n} as (select * from r{n} where offs = newest - (n - 1) * size and n <= 500),
+ e{n} as (select topic_id, max(offs) as stop from c{n} where offs = 0 or has_old or offs <= floor or n = 500 group by 1),
+ o{n} as (select c.*, stop is not null as complete from c{n} c left join e{n} e on e.topic_id = c.topic_id where stop is null or offs >= stop),
+ m{n + 1} as (select topic_id, max(newest) as mark from o{n} where complete group by 1 union all select topic_id, mark from m{n} where topic_id not in (select topic_id from o{n} where complete))"""
+
+
+@query("w7_resumed_walks", sql("fx_posts") + f", {_TOPIC}, m0 as (select topic_id, offs as mark from pg where false)" + "".join(_turn(n, w) for n, w in enumerate(_TURNS)) + " select turn, topic_id, offs, complete, mark from (" + " union all ".join(f"select {n} as turn, topic_id, offs, complete from o{n}" for n in range(3)) + ") left join (select topic_id as t, mark from m3) on t = topic_id")
+def _(spark, d):
+    """What three readings of growing, gappy and pruned topics read, and the marks at the end."""
+    posts = frame(spark, d, "fx_posts").withColumn("old", (F.col("day") < F.lit("2024-01-04").cast("date")) & (F.col("topic_id") % 3 == 0))
+    pages = posts.groupBy("topic_id", "offs").agg(F.bool_or("old").alias("has_old"))
+    pages = cut(pages.withColumn("top", F.max("offs").over(Window.partitionBy("topic_id"))), "pages")
+    path = new_path(spark, "walks")
+    run = harvest.resumed_walks(spark, f"{path}/marks", f"{path}/out", buckets=16)
+    for n, where in enumerate(_TURNS):
+        run(pages.where(where).drop("top"), n)
+    marks = harvest.thread_marks(spark, f"{path}/marks", 16).read()
+    return harvest.sent_links(spark, f"{path}/out", "read").join(marks, "topic_id", "left").select(F.col("batch").alias("turn"), "topic_id", "offs", "complete", "mark")
+
+
+_MEMBER = "'<div class=\"poster\"><a href=\"/index.php?action=profile;u=', cast(c_custkey % {m} as string), '\">member ', cast(c_custkey % {m} as string), '</a></div>'"
+_SIGNED = f"""concat('<body>', {_MEMBER.format(m=40)}, '<div class="post">thanks <a href="/index.php?action=profile;u=7">member 7</a></div><div class="signature"><a href="/index.php?action=profile;u=7">7</a></div>', {_MEMBER.format(m=9)}, '<div class="post"><blockquote><a href="/index.php?action=profile;u=7">member 7</a> wrote</blockquote>x</div></body>')"""
+
+
+@query("j15_topics_by_author", "select c_custkey as topic_id, unnest([c_custkey % 40, c_custkey % 9]) as author_id from customer")
+def _(spark, d):
+    """Who wrote the posts of each topic's page: neither who is quoted nor who is named in a text or a signature."""
+    pages = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as page_id", f"{_SMF_URL} as url", f"{_SIGNED} as html")
+    nodes = H.page_nodes(pages)
+    found = P.authors(nodes, _posts(nodes)).join(pages.select("page_id", urls.board_id(F.col("url"))["id"].alias("topic_id")), "page_id")
+    return found.select("topic_id", "author_id")
+
+
+@query("j15_participated_from_pages", "select c_custkey as topic_id from customer where c_custkey % 40 = 7 or c_custkey % 9 = 7")
+def _(spark, d):
+    pages = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as page_id", f"{_SMF_URL} as url", f"{_SIGNED} as html")
+    nodes = H.page_nodes(pages)
+    posts = P.authors(nodes, _posts(nodes)).select(F.col("page_id").alias("topic_id"), F.col("author_id").alias("author"))
+    return history.participated(posts, 7)
+
+
+@query("a9_mergeable_counts", _SENT + ", hosts as (select file_key, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') as host from ids where file_key is not null) select host, count(distinct file_key) as files, true as near from hosts group by 1")
+def _(spark, d):
+    """Distinct files of each host from sketches of three batches, merged; near: within two hundredths of the exact count."""
+    links = dedupe.identified(frame(spark, d, "fx_links")).where("file_key is not null").withColumn("host", urls.host_only(F.col("url")))
+    stored = cut(counts.file_sketches(links, "host", F.col("item_id") % 3), "sketches")
+    exact = links.groupBy("host").agg(F.count_distinct("file_key").alias("files"))
+    near = F.abs(F.col("estimate") - F.col("files")) <= F.greatest(F.lit(1.0), F.col("files") * 0.02)
+    return counts.merged_files(stored, "host").join(exact, "host").select("host", "files", near.alias("near"))
+
+
 _CAPTIONS = "concat('DJ SEDUCTION ', case p_partkey % 3 when 0 then 'AND THE RSR' when 1 then '(SIDE B)' else 'FX' end)"
 _UPLOAD = "concat('https://c.example/m/Tape_', cast(p_partkey % 5 as string), '_-_DJ_SeDuction_Side_B.mp3')"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -44,3 +44,14 @@ def files_per(media: DataFrame, by: str, url: str = "url") -> DataFrame:
 def distinct_files(links: DataFrame) -> DataFrame:
     """files, hosts: how many different ones there are."""
     return links.agg(F.count_distinct("file_key").alias("files"), F.count_distinct(urls.host_only(F.col("url"))).alias("hosts"))
+
+
+def file_sketches(links: DataFrame, by: str, batch: Column, bits: int = 14) -> DataFrame:
+    """by, batch, sketch of the distinct files: a row that can be stored for each batch and merged later, of a size that
+    the number of files doesn't change."""
+    return links.groupBy(by, batch.alias("batch")).agg(F.hll_sketch_agg("file_key", F.lit(bits)).alias("sketch"))
+
+
+def merged_files(sketches: DataFrame, by: str) -> DataFrame:
+    """by, estimate: distinct files over all batches, each counted once."""
+    return sketches.groupBy(by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))

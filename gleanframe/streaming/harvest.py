@@ -4,6 +4,7 @@ package completeness with a time limit."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -205,6 +206,19 @@ class QueueMoves(StatefulProcessor):
         pass
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams that are started inside keep their state by key in RocksDB, as the operators with state of their own need
+    it; the session's own choice comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stream_queue(moves: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     """snapshot: queue_id, state, attempts of entries that are known when the stream begins; others begin as new."""
     known = snapshot.groupBy("queue_id") if snapshot is not None else None
