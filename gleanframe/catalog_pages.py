@@ -386,6 +386,49 @@ def _(spark, d):
     return counts.merged_files(stored, "host").join(exact, "host").select("host", "files", near.alias("near"))
 
 
+_VALIDATED = "case p_partkey % 4 when 0 then 'e1' when 1 then '' else 'e2' end"
+
+
+@query("m9_validated_pages", f"select p_partkey as page_id from part where case when p_partkey % 4 = 0 then false when p_partkey % 4 > 1 then true when p_partkey % 3 = 0 then p_partkey % 2 = 0 else p_partkey % 5 = 0 end")
+def _(spark, d):
+    """An etag decides, else the date, else the content."""
+    rows = spark.read.parquet(f"{d}/part.parquet").withColumn("url", F.concat(F.lit("https://v.example/"), "p_partkey"))
+    pages = rows.select(F.col("p_partkey").alias("page_id"), "url", F.col("p_name").alias("html"), F.expr(_VALIDATED).alias("etag"), F.expr("case when p_partkey % 3 = 0 then concat('day ', p_partkey % 2) end").alias("last_modified"))
+    cache = rows.select("url", F.xxhash64(F.expr("case when p_partkey % 5 = 0 then 'older' else p_name end")).alias("hash"), F.when(F.col("p_partkey") % 4 != 1, "e1").alias("etag"), F.lit("day 1").alias("last_modified"))
+    return history.changed_pages(pages, cache).select("page_id")
+
+
+@query("m10_retry_failed", "select p_partkey, case when p_partkey % 3 = 0 then 'queued' else 'done' end as state, case when p_partkey % 3 = 0 then 0 else p_partkey % 7 end as tries, case when p_partkey % 3 = 0 then '' else 'why' end as error from part")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", "case when p_partkey % 3 = 0 then 'failed' else 'done' end as state", "p_partkey % 7 as tries", "'why' as error")
+    return history.retry_failed(rows)
+
+
+_OWN_SITE = "concat(case p_partkey % 2 when 0 then 'https://www.' else 'http://' end, 'ravetapepacks.com/', case p_partkey % 4 when 0 then 'music/Pack' when 1 then 'wp-content/uploads/Pack' when 2 then 'about/Pack' else 'music/Pack' end, cast(p_partkey as varchar(20)), case p_partkey % 5 when 0 then '.html' when 1 then '.MP3' else '.jpeg' end)"
+
+
+@query("u16_own_sites", f"select p_partkey, case when p_partkey % 4 <> 2 and p_partkey % 5 > 0 then concat('ravetapepacks.com:', case p_partkey % 4 when 1 then '/wp-content/uploads/pack' else '/music/pack' end, cast(p_partkey as varchar), case p_partkey % 5 when 1 then '.mp3' else '.jpeg' end) end as file_key from part")
+def _(spark, d):
+    """Files of sites that host their own: by folder and extension, whatever the scheme, www and case."""
+    rows = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", f"{_OWN_SITE} as url")
+    return dedupe.identified(rows).select("p_partkey", "file_key")
+
+
+@query("x1_own_reducer", sql("fx_links") + " select item_id, pos, part, supp, case when contains(url, 'mediafire') then concat('own:', cast(part % 700 as varchar)) end as file_key from fx_links where contains(url, 'mediafire') or contains(url, 'github')")
+def _(spark, d):
+    """A reducer of one's own in place of the library's."""
+    own = {"mediafire": lambda u: (F.concat(F.lit("own:"), F.regexp_extract(u, "/file/F([0-9]+)", 1)), u)}
+    links = frame(spark, d, "fx_links").where(F.col("url").contains("mediafire") | F.col("url").contains("github"))
+    return dedupe.identified(links, custom=own).select("item_id", "pos", "part", "supp", "file_key")
+
+
+@query("s1_stored_pages", "select count(*) as pages, count(distinct url) as urls, sum(len(html)) as chars from pages")
+def _(spark, d):
+    """The page table, read as a stream and written again."""
+    stored = harvest.run_once(T.stream_pages(spark, f"{d}/pages.parquet*"), "pages")
+    return stored.agg(F.count("*").alias("pages"), F.count_distinct("url").alias("urls"), F.sum(F.length("html")).alias("chars"))
+
+
 _CAPTIONS = "concat('DJ SEDUCTION ', case p_partkey % 3 when 0 then 'AND THE RSR' when 1 then '(SIDE B)' else 'FX' end)"
 _UPLOAD = "concat('https://c.example/m/Tape_', cast(p_partkey % 5 as string), '_-_DJ_SeDuction_Side_B.mp3')"
 

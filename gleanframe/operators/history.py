@@ -133,10 +133,15 @@ def latest(rows: DataFrame, by: str, at: str) -> DataFrame:
 
 
 def changed_pages(pages: DataFrame, cache: DataFrame) -> DataFrame:
-    """pages whose content hash isn't the cached one."""
-    past = cache.select("url", F.col("hash").alias("_hash"))
+    """pages that aren't as the cache (url, hash, maybe etag and last_modified) has them.
+
+    Validators decide where page and cache both have one, the etag before the date; the content's hash does elsewhere.
+    """
+    validators = [c for c in ("etag", "last_modified") if c in pages.columns and c in cache.columns]
+    past = cache.select("url", F.col("hash").alias("_hash"), *[F.nullif(F.col(c), F.lit("")).alias(f"_{c}") for c in validators])
     now = pages.withColumn("hash", F.xxhash64("html"))
-    return now.join(past, "url", "left").where(~F.col("hash").eqNullSafe(F.col("_hash"))).drop("_hash")
+    same = F.coalesce(*[F.nullif(F.col(c), F.lit("")) == F.col(f"_{c}") for c in validators], F.col("hash").eqNullSafe(F.col("_hash")))
+    return now.join(past, "url", "left").where(~same).drop("_hash", *[f"_{c}" for c in validators])
 
 
 def retry_state(outcome, code, tries):
@@ -144,6 +149,12 @@ def retry_state(outcome, code, tries):
     return F.when(outcome == "ok", "done").when(outcome == "stopped", "queued").when((tries >= 6) | code.isin(404, 410), "failed").otherwise("queued")
 
 
+def retry_failed(downloads: DataFrame) -> DataFrame:
+    """downloads (state, tries, error, whatever else) with the failed ones queued as if never tried."""
+    failed = F.col("state").eqNullSafe("failed")
+    return downloads.withColumns({"tries": F.when(failed, 0).otherwise(F.col("tries")), "error": F.when(failed, "").otherwise(F.col("error")), "state": F.when(failed, "queued").otherwise(F.col("state"))})
+
+
 def without_files(items: DataFrame, links: DataFrame) -> DataFrame:
     """Items none of whose links names a file."""
     return items.join(links.where("file_key is not null"), "item_id", "left_anti")

@@ -185,14 +185,15 @@ def machine_dates(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("day", day).where("day is not null").groupBy("page_id").agg(F.min_by("day", "pre").alias("day"))
 
 
-def post_dates(nodes: DataFrame, posts: DataFrame, as_of: Column) -> DataFrame:
-    """page_id, item, day: the date that a post was written; null if nothing tells it.
+def post_dates(nodes: DataFrame, posts: DataFrame, as_of: Column, post: Column | None = None) -> DataFrame:
+    """page_id, item, day: the date that a post was written; null if nothing tells it. post: which nodes are posts, of the
+    given ones or not (None: div.post).
 
     In order: a machine date in the post; a holder of dates in it; the last holder before it; and the nearest date with a
     time before it that stands in no post and has no other post behind it. Quotes never count, nor do dates that a member
     merely writes.
     """
-    post = F.array_contains("classes", "post") & (F.col("tag") == "div")
+    post = F.array_contains("classes", "post") & (F.col("tag") == "div") if post is None else post
     marked = inside(inside(nodes, F.col("tag") == "blockquote", "_quoted"), post, "_in_post")
     holder = (F.col("tag") == "time") | _classes(*DATE_CLASSES)
     holders = outermost(marked, (holder | F.exists("classes", lambda c: c.rlike(DATE_BEFORE))) & ~F.col("_quoted"))
