@@ -199,8 +199,28 @@ _SITE = "concat('Site ', cast(p_partkey as string))"
 @query("h10_items_once_h11_main_parts", f"with a as (select p_partkey as page_id, cast(case n when 0 then 1 else 2 end as int) as place, concat('Pack ', cast(p_partkey as string)) as title, concat('Pack ', cast(p_partkey as string), ' get') as summary, cast(1 as bigint) as links, cast(1 as bigint) as downloads, false as main from part, (values (0), (1)) v(n) where p_partkey % 3 = 0 union all select p_partkey, 1, case when p_partkey % 3 = 1 and len(p_name) >= 5 then p_name else {_SITE} end, case p_partkey % 3 when 1 then concat('hi ', p_name) else concat('words of some length ', p_name) end, case p_partkey % 3 when 1 then 1 else 0 end, 0, true from part where p_partkey % 3 > 0) select *, len(summary) + 1000 * links + 5000 * downloads as score, cast(0 as bigint) as threads from a where links > 0 or len(summary) >= 30")
 def _(spark, d):
     """Of posts with the same title and links one stays; a page without a useful post is read as a whole."""
-    pages = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey as page_id", "'https://site.example/a' as url", f"{_PILE} as html")
-    return items.read_items(pages, "web").drop("item", "urls")
+    return items.read_items(_piles(spark, d), "web").drop("item", "urls")
+
+
+def _piles(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey as page_id", "'https://site.example/a' as url", f"{_PILE} as html")
+
+
+@query("h2_link_urls", "select p_partkey as page_id, n as pos, case n when 1 then 'https://site.example/x' when 2 then case p_partkey % 3 when 0 then concat('https://mega.nz/folder/B', cast(p_partkey as varchar), '#k') else 'https://site.example/own' end else concat('https://mega.nz/folder/A', cast(p_partkey as varchar), '#k') end as url from part, (values (1), (2), (3)) v(n) where n <= case p_partkey % 3 when 0 then 3 when 1 then 2 else 1 end")
+def _(spark, d):
+    """Urls of pages in their order, those alike but for case once."""
+    pages = _piles(spark, d)
+    return P.page_links(pages, H.page_nodes(pages)).select("page_id", "pos", "url")
+
+
+@query("d8_probe_items", f"select p_partkey as page_id, case p_partkey % 3 when 0 then 2 when 1 then 1 else case when len(p_name) >= 9 then 1 else 0 end end as items, case p_partkey % 3 when 0 then 3 when 1 then 2 else 1 end as links, case p_partkey % 3 when 0 then 2 else 0 end as downloads, case p_partkey % 3 when 0 then 'mega.nz 2, site.example 1' when 1 then 'site.example 2' else 'site.example 1' end as hosts, case p_partkey % 3 when 0 then concat('Pack ', cast(p_partkey as varchar), '; Pack ', cast(p_partkey as varchar)) when 1 then case when len(p_name) >= 5 then p_name else {_SITE} end else case when len(p_name) >= 9 then {_SITE} else '' end end as titles from part")
+def _(spark, d):
+    """What a look at each page says: its items, links, hosts and titles."""
+    pages = cut(_piles(spark, d), "pages")
+    nodes = cut(H.page_nodes(pages), "nodes")
+    found = items.read_items(pages, "web").select("page_id", "title", "place")
+    report = P.probe(pages, nodes, P.page_links(pages, nodes), detect.best(detect.software(pages)), found)
+    return report.select("page_id", "items", "links", "downloads", "hosts", "titles")
 
 
 _ROW = """concat('<tr><td></td><td><a href="/index.php?topic=', cast(o_orderkey as string), '.0">Topic name ', cast(o_orderkey as string), '</a></td><td><a href="/index.php?action=profile;u=', cast(o_custkey % 7 as string), '">member ', cast(o_custkey % 7 as string), '</a></td><td>', case when o_orderkey % 3 = 0 then '1.234' else '0' end, '</td><td>99</td></tr>')"""
