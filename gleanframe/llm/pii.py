@@ -29,8 +29,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is trained on (on average, drawn by a hash of doc_id); rounds of messages at most, and the
 #: largest change of a message with which they have settled; probability from which a token is personal data.
 SAMPLE, ROUNDS, SETTLED, SURE = 4000, 300, 1e-4, 0.9
-#: Digits from which a token without letters is known by its digits alone.
-NUMBER = 7
+#: Digits from which a token without letters is known by its digits alone, and that a span added as a number has at least;
+#: digits at most of a number written in groups, by kind (as in the patterns).
+NUMBER, DIGITS = 7, {2: 19, 3: 15}
 STEPS, RATE = 200, 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -228,7 +229,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
-    """base and the spans that the field adds: tokens that overlap none of base, without the signs around them."""
+    """base and the spans that the field adds: runs of tokens that overlap none of base, without the signs around them."""
     spans, rows, forms, shapes, labels = _nodes(text, base)
     if not rows or all(labels):
         return base
@@ -238,8 +239,23 @@ def all_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list
     x = np.array(rows, float) / np.array([times[form] for form in forms])[:, None]
     p = _clamped(field, x, edges, kinds, hubs, held)[: len(spans)]
     best = p.argmax(1)
-    more = [(spans[i][0], int(best[i]) - 1, spans[i][1]) for i in np.flatnonzero((held == 0) & (best > 0) & (p.max(1) >= SURE))]
-    return sorted(base + more)
+    sure = np.flatnonzero((held == 0) & (best > 0) & (p.max(1) >= SURE))
+    return sorted(base + _runs([(*spans[i], int(best[i]) - 1, len(_DIGIT.findall(text[slice(*spans[i])]))) for i in sure]))
+
+
+def _runs(tokens: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of tokens (start, end, kind, digits), in order: what is written in groups is one number.
+
+    Neighbours of one kind belong together as long as the kind's digits suffice for all; a number of fewer than NUMBER
+    digits is a shard and none. Emails and addresses stand for themselves.
+    """
+    out: list[list[int]] = []
+    for start, end, kind, digits in tokens:
+        if out and kind in DIGITS and out[-1][1] == kind and 0 <= start - out[-1][2] < 3 and out[-1][3] + digits <= DIGITS[kind]:
+            out[-1][2:] = end, out[-1][3] + digits
+        else:
+            out.append([start, kind, end, digits])
+    return [(a, k, b) for a, k, b, digits in out if k not in DIGITS or digits >= NUMBER]
 
 
 def _clamped(field: Field, x: np.ndarray, edges: np.ndarray, kinds: np.ndarray, hubs: int, held: np.ndarray) -> np.ndarray:
