@@ -8,6 +8,7 @@ shares at least a given part of its sketches, so that each document is listed on
 filter), by which a passage that many documents share lists almost nobody. And a list is compared with its leader, not
 with itself: members that the leader gathers into its component need no comparison with each other. Only pairs that
 still lie in different components after a few leaders are compared one by one, so no link between components is lost.
+Long lists are spread over parts by how many hold their value; what one row says of a list is sent to each of its parts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SKETCH = 96
 SHARED = 0.6
 #: Rounds in which lists choose a leader, before what is left is compared pair by pair.
 LEADERS = 3
+#: Holders of a value from which its list is split over so many parts of this size.
+PART = 1000
 
 
 def _lists(of: list[np.ndarray]) -> pa.ListArray:
@@ -72,7 +75,7 @@ def _similar(a: Column, b: Column, threshold: float) -> Column:
 
 
 def _prefixes(sketches: DataFrame) -> DataFrame:
-    """node, n, central, values: the rarest values under which a node must be listed, values of its own left out.
+    """node, n, central, held: the rarest values, with their holders, under which a node must be listed; own ones left out.
 
     Nodes that share too little with all others together are gone.
     """
@@ -80,7 +83,7 @@ def _prefixes(sketches: DataFrame) -> DataFrame:
     common = kept.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     held = kept.join(common, "value").groupBy("node", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum(F.log2("df")).alias("central"))
     must = F.ceil(F.col("m") * F.lit(SHARED))  # so many are shared with a similar document
-    return held.where(F.size("held") >= must).select("node", "n", "central", F.slice("held.value", F.lit(1), (F.size("held") - must + 1).cast("int")).alias("values"))
+    return held.where(F.size("held") >= must).select("node", "n", "central", F.slice("held", F.lit(1), (F.size("held") - must + 1).cast("int")).alias("held"))
 
 
 class _Verifier:
@@ -104,10 +107,22 @@ class _Verifier:
         return pairs.join(x, "a").join(y, "b")
 
 
+def _in_parts(lists: DataFrame) -> DataFrame:
+    """lists (value, df, node, ...) with the parts of each list, by how many hold its value, and the part of each row."""
+    lists = lists.withColumn("parts", F.floor(F.col("df") / PART) + 1)
+    return lists.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("df")
+
+
+def _join_parts(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """lists with known (value, parts, ...), which has one row of a value: each part of a list meets a row of its own."""
+    each = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return lists.join(each, ["value", "part"])
+
+
 def _split(lists: DataFrame) -> DataFrame:
-    """Of lists (value, node, component, ...) the rows of those that still hold two components."""
-    split = lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-    return lists.join(split, "value")
+    """Of lists (value, parts, part, node, component, ...) the rows of those that still hold two components."""
+    split = lists.groupBy("value").agg(F.max("parts").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return _join_parts(lists, split.where("low < high").select("value", "parts"))
 
 
 def _labelled(listed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -122,8 +137,8 @@ def _with_leaders(lists: DataFrame, turn: int, threshold: float) -> DataFrame:
     likes of a small group, then any: no more pairs than nodes in a turn.
     """
     rank = F.struct(*(["central"] if turn < 2 else [F.xxhash64("value", "node", F.lit(turn)).alias("draw")]), "node", "n", "component")
-    leaders = lists.groupBy("value").agg(F.max(rank).alias("lead"), F.count("*").alias("members")).select("value", "members", F.col("lead").getField("central" if turn < 2 else "draw").alias("rank"), F.col("lead.node").alias("node_2"), F.col("lead.n").alias("n_2"), F.col("lead.component").alias("component_2"))
-    met = lists.join(leaders, "value").where(F.col("component") != F.col("component_2")).where(_similar(F.col("n"), F.col("n_2"), threshold))
+    leaders = lists.groupBy("value").agg(F.max(rank).alias("lead"), F.max("parts").alias("parts"), F.count("*").alias("members")).select("value", "parts", "members", F.col("lead").getField("central" if turn < 2 else "draw").alias("rank"), F.col("lead.node").alias("node_2"), F.col("lead.n").alias("n_2"), F.col("lead.component").alias("component_2"))
+    met = _join_parts(lists, leaders).where(F.col("component") != F.col("component_2")).where(_similar(F.col("n"), F.col("n_2"), threshold))
     first = F.struct(F.col("rank") if turn == 0 else -F.col("members") if turn == 1 else F.xxhash64("value", F.lit("turn")), "node_2")
     met = met.groupBy("node").agg(F.max_by("node_2", first).alias("node_2"))
     return met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
@@ -143,14 +158,16 @@ def _left_over(lists: DataFrame, full: DataFrame, threshold: float) -> DataFrame
     rare = held.where(F.size("held") >= must).select("node", "component", "n", F.size("held").alias("shared"), F.posexplode(F.slice("held", F.lit(1), (F.size("held") - must + 1).cast("int"))).alias("i", "v"))
     # what a set has for itself comes first in its order, so that `left` values of it are not before this one
     rare = rare.select("node", "component", "n", "shared", (F.col("shared") - F.col("i")).alias("left"), "v.df", "v.value")
-    rare = cut(_split(rare), "rare")
-    own = rare.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value")))["value"].alias("own"))
-    x = rare.drop("df").join(own, "node")
-    y = x.select(*[F.col(c).alias(f"{c}_2") for c in ("value", "node", "component", "n", "shared", "left", "own")])
+    rare = cut(_split(_in_parts(rare.withColumn("order", F.struct("df", "value")))), "rare")
+    own = rare.groupBy("node").agg(F.array_sort(F.collect_list("order"))["value"].alias("own"))
+    x = rare.drop("order").join(own, "node")
+    # one side is spread over a list's parts, the other meets each of them
+    y = x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    y = y.select(*[F.col(c).alias(f"{c}_2") for c in ("value", "part", "node", "component", "n", "shared", "left", "own")])
     # of the lists that a pair shares, the first names it; what both share lies in it or behind it
     here = F.get(F.array_intersect("own", "own_2"), F.lit(0)) == F.col("value")
     fits = (F.least("left", "left_2") * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent) & _similar(F.col("n"), F.col("n_2"), threshold)
-    met = x.join(y, (F.col("value") == F.col("value_2")) & (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & fits & here)
+    met = x.join(y, (F.col("value") == F.col("value_2")) & (F.col("part") == F.col("part_2")) & (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & fits & here)
     return met.select(F.col("node").alias("a"), F.col("node_2").alias("b"))
 
 
@@ -167,9 +184,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     classes = cut(sets.where("n_shingles > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("node")), "classes")
     firsts = sets.join(classes.withColumnRenamed("node", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates([*key, "doc_id"])
     sketches = cut(firsts.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "hashes"), "sketches")
-    listed = _prefixes(sketches).select("node", "n", "central", F.explode("values").alias("value"))
-    met = listed.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value")
-    listed = cut(listed.join(met, "value"), "listed")
+    listed = _in_parts(_prefixes(sketches).select("node", "n", "central", F.inline("held")))
+    met = listed.groupBy("value").agg(F.max("parts").alias("parts"), F.count("*").alias("members")).where("members > 1").select("value", "parts")
+    listed = cut(_join_parts(listed, met), "listed")
 
     asked = small_or_not(cut(listed.select(F.col("node").alias("doc_id")).distinct(), "asked"))
     full = cut(document_sets(docs.join(asked, "doc_id", "left_semi"), words, None).select(F.col("doc_id").alias("node"), "hashes").distinct(), "full")

@@ -1,5 +1,6 @@
 import random
 
+from gleanframe.llm import near_dup
 from gleanframe.llm.near_dup import deduplicated, near_duplicates
 
 
@@ -55,6 +56,14 @@ def test_same_components_as_all_pairs(spark):
     assert got == _brute(rows, 4, 80)
 
 
+def test_lists_in_parts(spark, monkeypatch):
+    """Parts of two holders change nothing."""
+    monkeypatch.setattr(near_dup, "PART", 2)
+    rows = _corpus(11, 60)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == _brute(rows, 4, 80)
+
+
 def test_contained_copies_of_100_to_200_shingles_at_the_threshold(spark):
     rng, rows = random.Random(5), []
     for i in range(80):
