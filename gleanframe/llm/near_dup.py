@@ -110,7 +110,7 @@ class _Verifier:
 def _in_parts(lists: DataFrame) -> DataFrame:
     """lists (value, df, node, ...) with the parts of each list, by how many hold its value, and the part of each row."""
     lists = lists.withColumn("parts", F.floor(F.col("df") / PART) + 1)
-    return lists.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("df")
+    return lists.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
 
 
 def _join_parts(lists: DataFrame, known: DataFrame) -> DataFrame:
@@ -158,9 +158,9 @@ def _left_over(lists: DataFrame, full: DataFrame, threshold: float) -> DataFrame
     rare = held.where(F.size("held") >= must).select("node", "component", "n", F.size("held").alias("shared"), F.posexplode(F.slice("held", F.lit(1), (F.size("held") - must + 1).cast("int"))).alias("i", "v"))
     # what a set has for itself comes first in its order, so that `left` values of it are not before this one
     rare = rare.select("node", "component", "n", "shared", (F.col("shared") - F.col("i")).alias("left"), "v.df", "v.value")
-    rare = cut(_split(_in_parts(rare.withColumn("order", F.struct("df", "value")))), "rare")
-    own = rare.groupBy("node").agg(F.array_sort(F.collect_list("order"))["value"].alias("own"))
-    x = rare.drop("order").join(own, "node")
+    rare = cut(_split(_in_parts(rare)), "rare")
+    own = rare.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value")))["value"].alias("own"))
+    x = rare.drop("df").join(own, "node")
     # one side is spread over a list's parts, the other meets each of them
     y = x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     y = y.select(*[F.col(c).alias(f"{c}_2") for c in ("value", "part", "node", "component", "n", "shared", "left", "own")])
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     classes = cut(sets.where("n_shingles > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("node")), "classes")
     firsts = sets.join(classes.withColumnRenamed("node", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates([*key, "doc_id"])
     sketches = cut(firsts.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "hashes"), "sketches")
-    listed = _in_parts(_prefixes(sketches).select("node", "n", "central", F.inline("held")))
+    listed = _in_parts(_prefixes(sketches).select("node", "n", "central", F.inline("held"))).drop("df")
     met = listed.groupBy("value").agg(F.max("parts").alias("parts"), F.count("*").alias("members")).where("members > 1").select("value", "parts")
     listed = cut(_join_parts(listed, met), "listed")
 
