@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import html as _html
+from collections.abc import Iterator
 from html.parser import HTMLParser
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cuts import cut
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "template", "textarea", "title"))
 # a start tag of the first closes an open one of the second
@@ -18,31 +23,39 @@ _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer for
 NODES = "page_id long, pre int, end int, parent int, tag string, id string, classes array<string>, attrs map<string,string>, text string"
 
 
+_ARROW = pa.schema([("page_id", pa.int64()), ("pre", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
+#: Characters of a page that are parsed, and nodes that are held, before nodes go out.
+PIECE, ROWS = 1 << 18, 4096
+
+
 class _Tree(HTMLParser):
-    """Nodes in document order; `end` is the last number in a node's subtree, text its own text."""
+    """Nodes as they end; `end` is the last number in a node's subtree, text its own text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = []
-        self.open: list[int] = []
+        self.count = 0
+        self.open: list[list] = []
+        self.closed: list[list] = []
 
     def _pop(self, to: int):
         while len(self.open) > to:
-            self.nodes[self.open.pop()][1] = len(self.nodes) - 1
+            node = self.open.pop()
+            node[1] = self.count - 1
+            self.closed.append(node)
 
     def handle_starttag(self, tag, attrs):
         closes = ("p",) if tag in _BLOCKS else _CLOSES.get(tag, ())
         for depth in range(len(self.open) - 1, -1, -1):
-            kind = self.nodes[self.open[depth]][3]
+            kind = self.open[depth][3]
             if kind in closes:
                 self._pop(depth)
                 break
             if kind in ("table", "ul", "ol", "dl", "div", "body", "select", "article", "section") and kind != tag:
                 break
         known = {k: v or "" for k, v in attrs}
-        self.nodes.append([len(self.nodes), len(self.nodes), self.open[-1] if self.open else None, tag, known.get("id"), known.get("class", "").split(), known, []])
-        if tag not in _VOID:
-            self.open.append(len(self.nodes) - 1)
+        node = [self.count, self.count, self.open[-1][0] if self.open else None, tag, known.get("id"), known.get("class", "").split(), known, []]
+        self.count += 1
+        (self.closed if tag in _VOID else self.open).append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -51,36 +64,73 @@ class _Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]][3] == tag:
+            if self.open[depth][3] == tag:
                 self._pop(depth)
                 break
 
     def handle_data(self, data):
         if self.open:
-            self.nodes[self.open[-1]][7].append(data)
+            self.open[-1][7].append(data)
+
+
+def ended(page: str | None, piece: int = PIECE) -> Iterator[list[list]]:
+    """Lists of nodes in the order in which they end; the page is parsed piece by piece, cut before a tag."""
+    tree, at, page = _Tree(), 0, page or ""
+    while at < len(page):
+        to = page.find("<", at + piece)
+        to = len(page) if to < 0 else to
+        tree.feed(page[at:to])
+        at = to
+        yield tree.closed
+        tree.closed = []
+    tree.close()
+    tree._pop(0)
+    yield tree.closed
 
 
 def parse(page: str | None) -> list[list]:
-    tree = _Tree()
-    tree.feed(page or "")
-    tree.close()
-    tree._pop(0)
-    return tree.nodes
+    """Nodes in document order."""
+    return sorted((n for found in ended(page) for n in found), key=itemgetter(0))
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
-    """pages (page_id, html) -> nodes; a node holds another if pre < other.pre <= end. No shuffle."""
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    page, pre, end, parent, tag, ident, classes, attrs, text = zip(*((p, *n) for p, n in rows))
+    ends = lambda parts: pa.array([0, *pd.Series(list(map(len, parts))).cumsum()], pa.int32())
+    listed = pa.ListArray.from_arrays(ends(classes), pa.array([c for cs in classes for c in cs], pa.string()))
+    mapped = pa.MapArray.from_arrays(ends(attrs), pa.array([k for a in attrs for k in a], pa.string()), pa.array([v for a in attrs for v in a.values()], pa.string()))
+    plain = [pa.array(c, f.type) for c, f in zip((page, pre, end, parent, tag, ident), _ARROW)]
+    return pa.RecordBatch.from_arrays([*plain, listed, mapped, pa.array(["".join(t) for t in text], pa.string())], schema=_ARROW)
+
+
+def page_nodes(pages: DataFrame, rows_at_a_time: int = ROWS) -> DataFrame:
+    """pages (page_id, html) -> nodes; a node holds another if pre < other.pre <= end. No shuffle.
+
+    Nodes go out as they end, so that of a page of any length only a piece and the nodes that are open are held.
+    """
 
     def run(batches):
+        held: list[tuple] = []
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                rows = [(page, *n[:7], "".join(n[7])) for page, text in zip(part.page_id, part.html) for n in parse(text)]
-                out = pd.DataFrame(rows, columns=["page_id", "pre", "end", "parent", "tag", "id", "classes", "attrs", "text"])
-                out["parent"] = out["parent"].astype("Int32")
-                yield out
-
-    return pages.select("page_id", "html").mapInPandas(run, NODES)
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for found in ended(text.as_py()):
+                    held += [(page, n) for n in found]
+                    while len(held) >= rows_at_a_time:
+                        yield _batch(held[:rows_at_a_time])
+                        held = held[rows_at_a_time:]
+        if held:
+            yield _batch(held)
+
+    return pages.selectExpr("cast(page_id as long) as page_id", "html").mapInArrow(run, NODES)
+
+
+def stored_nodes(pages: DataFrame) -> DataFrame:
+    """page_nodes, parsed once into the shared folder and dealt by page_id: what joins and windows by page make of them
+    needs no other exchange, since partitions by a given number are kept."""
+    return by_page(cut(page_nodes(pages), "nodes"))
+
+
+def by_page(rows: DataFrame) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
 
 
 def _unescaped(text: pd.Series) -> pd.Series:
