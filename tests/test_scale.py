@@ -1,6 +1,7 @@
 """What must not grow with a table: nodes held of a page, moves by group, parses of a page, exchanges."""
 
 from gleanframe.sources import html as H
+from gleanframe.streaming import harvest
 
 
 def test_nodes_of_a_long_page_go_out_as_they_end():
@@ -17,3 +18,24 @@ def test_pieces_of_any_size_give_the_same_nodes():
         for piece in (1, 3, 10):
             got = sorted((n for part in H.ended(page, piece) for n in part), key=lambda n: n[0])
             assert [(*n[:7], "".join(n[7])) for n in got] == whole
+
+
+def _walk(moves):
+    out, state, attempts = [], "new", 0
+    for queue, seq, to in sorted(moves):
+        legal = to in harvest.MOVES[state]
+        attempts += legal and to == "failed"
+        out.append((queue, seq, state, to, legal, attempts))
+        state = to if legal else state
+    return out
+
+
+def test_ranges_of_a_queue_hold_many_moves_however_far_their_numbers_lie_apart(spark):
+    names = list(harvest.MOVES)
+    moves = [(q, i * 1_000_003 + q, names[(i * 7 + q + i // 5) % len(names)]) for q, n in ((1, 500), (2, 3), (3, 41)) for i in range(n)]
+    df = spark.createDataFrame(moves, "queue_id long, seq long, to_state string")
+    want = sorted(r for q in (1, 2, 3) for r in _walk([m for m in moves if m[0] == q]))
+    for span in (1, 40, 1000):
+        assert sorted(map(tuple, harvest.replay_queue(df, span).collect())) == want
+    plan = harvest.replay_queue(df)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
