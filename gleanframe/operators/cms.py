@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import naming, recase, urls
 from ..plans.cuts import cut
-from ..sources.html import absolute, page_nodes
+from ..sources.html import absolute, stored_nodes
 from . import pages as P
 from .dedupe import first_of
 
@@ -62,7 +62,7 @@ def named_entries(posts: DataFrame, attached: DataFrame | None = None, prefix: s
     Posts without a track of their own have no entries. check tells what a caption and an upload name disagree in.
     """
     pages = posts.select(F.col("id").alias("page_id"), F.col("link").alias("url"), F.col("content").alias("html"))
-    nodes = cut(page_nodes(pages), "nodes")
+    nodes = stored_nodes(pages)
     base = pages.select("page_id", F.col("url").alias("base"))
     media = P.captions(nodes).join(base, "page_id").withColumn("url", absolute(F.col("base"), F.trim("url"))).where(urls.is_media(F.col("url")))
     media = first_of(media, ["page_id", "url"], ["pre"]).select(F.col("page_id").alias("post"), F.col("pre").alias("ordinal"), F.lower(F.regexp_replace(urls.path(F.col("url")), "/[^/]*$", "")).alias("dir"), "url", "caption")

@@ -1,4 +1,7 @@
-"""Links, candidates, dates and next pages out of node tables. Windows are by page; containment is by intervals."""
+"""Links, candidates, dates and next pages out of node tables. Windows are by page; containment is by intervals.
+
+Joins are merges: their sides are as long as the pages, and none is sent to all tasks. Of nodes that are dealt by page
+(html.stored_nodes) they need no exchange."""
 
 from __future__ import annotations
 
@@ -73,7 +76,7 @@ def outermost(nodes: DataFrame, matches: Column) -> DataFrame:
 def _owners(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     """nodes with `item`, the candidate that they lie in; candidates don't overlap."""
     marks = candidates.select("page_id", "pre", F.struct(F.col("pre").alias("item"), F.col("end").alias("till")).alias("_c"))
-    met = nodes.join(marks, ["page_id", "pre"], "left")
+    met = nodes.join(marks.hint("merge"), ["page_id", "pre"], "left")
     held = F.last("_c", ignorenulls=True).over(_page(Window.unboundedPreceding, 0))
     return met.withColumn("_h", held).where(F.col("_h").isNotNull() & (F.col("pre") <= F.col("_h.till"))).withColumn("item", F.col("_h.item")).drop("_h", "_c")
 
@@ -101,9 +104,9 @@ def titles(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     marks = outermost(inner, F.col("_r").isNotNull())
     said = texts(nodes, marks.select("page_id", "pre", "end")).withColumnRenamed("item", "pre")
     fits = F.when(F.col("_r") < 5, F.length("t") >= 3).otherwise((F.length("t") >= 5) & ~F.lower("t").isin(*UI_WORDS))
-    first = marks.select("page_id", "item", "pre", "_r").join(said, ["page_id", "pre"]).where(fits).groupBy("page_id", "item").agg(F.min_by("t", F.struct("_r", "pre")).alias("title"))
+    first = marks.select("page_id", "item", "pre", "_r").join(said.hint("merge"), ["page_id", "pre"]).where(fits).groupBy("page_id", "item").agg(F.min_by("t", F.struct("_r", "pre")).alias("title"))
     page = nodes.where("tag = 'title'").groupBy("page_id").agg(F.trim(F.regexp_replace(F.min_by("text", "pre"), r"\s+", " ")).alias("page_title"))
-    every = candidates.select("page_id", F.col("pre").alias("item")).join(first, ["page_id", "item"], "left").join(page, "page_id", "left")
+    every = candidates.select("page_id", F.col("pre").alias("item")).join(first.hint("merge"), ["page_id", "item"], "left").join(page.hint("merge"), "page_id", "left")
     return every.select("page_id", "item", F.coalesce("title", "page_title").alias("title"))
 
 
@@ -114,7 +117,7 @@ def post_titles(nodes: DataFrame, posts: DataFrame) -> DataFrame:
     named = F.regexp_extract(F.concat_ws(" ", F.map_values("attrs"), F.col("text")), DISCOGS, 1)
     slugs = own.withColumn("slug", named).where("slug <> ''").groupBy("page_id", "item").agg(F.min_by("slug", "pre").alias("slug"))
     words = outside(own, F.col("tag") == "a").groupBy("page_id", "item").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pre", "text")))["text"], " ").alias("t"))
-    met = posts.select("page_id", F.col("pre").alias("item")).join(slugs, ["page_id", "item"], "left").join(words, ["page_id", "item"], "left")
+    met = posts.select("page_id", F.col("pre").alias("item")).join(slugs.hint("merge"), ["page_id", "item"], "left").join(words.hint("merge"), ["page_id", "item"], "left")
     return met.select("page_id", "item", post_title(F.col("slug"), F.col("t")).alias("title"))
 
 
@@ -135,7 +138,7 @@ def row_starters(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     href = F.coalesce(F.col("attrs")["href"], F.lit(""))
     member = F.when(href.rlike(PROFILE), F.struct(F.trim("text").alias("name"), href.alias("href")))
     found = _owners(nodes, cells).where("tag = 'a'").groupBy("page_id", F.col("item").alias("pre")).agg(F.min_by(member, F.when(href.rlike(PROFILE), F.col("pre"))).alias("m"), F.bool_or(href.rlike(r"topic[=,]\d+")).alias("topic"))
-    every = cells.join(said, ["page_id", "pre"], "left").join(found, ["page_id", "pre"], "left")
+    every = cells.join(said.hint("merge"), ["page_id", "pre"], "left").join(found.hint("merge"), ["page_id", "pre"], "left")
     starts = F.col("m").isNotNull() & ~F.coalesce("topic", F.lit(False))
     in_row = Window.partitionBy("page_id", "parent")
     every = every.withColumn("_at", F.min(F.when(starts, F.col("pre"))).over(in_row))
@@ -143,7 +146,7 @@ def row_starters(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     number = F.when((F.col("pre") > F.col("_at")) & number.rlike(r"^\d{1,9}$"), number.cast("int"))
     name = F.coalesce(F.nullif(F.col("m.name"), F.lit("")), F.col("m.href"))
     by_row = every.groupBy("page_id", F.col("parent").alias("item")).agg(F.min_by(name, F.when(F.col("pre") == F.col("_at"), F.col("pre"))).alias("starter"), F.min_by(number, F.when(number.isNotNull(), F.col("pre"))).alias("replies"))
-    return tops.join(by_row, ["page_id", "item"], "left")
+    return tops.join(by_row.hint("merge"), ["page_id", "item"], "left")
 
 
 def page_links(pages: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -159,7 +162,7 @@ def page_links(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<turn:int,i:int,url:string>>")
     text = F.when(raw, listed(2, F.col("text"))).when(F.col("tag") != "a", listed(1, F.col("text")))
     kept = nodes.where(F.col("attrs")["href"].isNotNull() | F.contains("text", F.lit("//")) | F.contains(others, F.lit("//")))
-    found = kept.join(at, "page_id").select("page_id", "pre", F.explode(F.concat(F.coalesce(href, none), F.coalesce(text, none), listed(3, others))).alias("l")).select("page_id", "pre", "l.*")
+    found = kept.join(at.hint("merge"), "page_id").select("page_id", "pre", F.explode(F.concat(F.coalesce(href, none), F.coalesce(text, none), listed(3, others))).alias("l")).select("page_id", "pre", "l.*")
     twin = F.when(F.contains("url", F.lit("%")), urls.decoded(F.col("url")))
     both = F.array_compact(F.array(F.struct("turn", "url"), F.when(twin != F.col("url"), F.struct(F.lit(4).alias("turn"), twin.alias("url")))))
     every = found.select("page_id", "pre", "i", F.explode(both).alias("l")).select("page_id", "l.turn", "pre", "i", urls.normalise(F.col("l.url")).alias("url"))
@@ -199,7 +202,7 @@ def post_dates(nodes: DataFrame, posts: DataFrame, as_of: Column, post: Column |
     holders = outermost(marked, (holder | F.exists("classes", lambda c: c.rlike(DATE_BEFORE))) & ~F.col("_quoted"))
     said = texts(nodes, holders.select("page_id", "pre", "end")).select("page_id", F.col("item").alias("pre"), dates.parse_date(F.col("t"), as_of).alias("held"))
     begins = posts.select("page_id", "pre", F.lit(True).alias("_begins"))
-    rows = marked.join(holders.select("page_id", "pre", F.lit(True).alias("_holds")), ["page_id", "pre"], "left").join(said, ["page_id", "pre"], "left").join(begins, ["page_id", "pre"], "left")
+    rows = marked.join(holders.select("page_id", "pre", F.lit(True).alias("_holds")), ["page_id", "pre"], "left").join(said.hint("merge"), ["page_id", "pre"], "left").join(begins.hint("merge"), ["page_id", "pre"], "left")
     loose = F.when(~F.col("_quoted") & ~F.col("_in_post") & F.col("text").rlike(DATE_WITH_TIME), F.struct("pre", dates.parse_date(F.col("text"), as_of).alias("day")))
     before = _page(Window.unboundedPreceding, -1)
     prior = F.last(F.when(F.col("_holds") & F.exists("classes", lambda c: c.rlike(DATE_BEFORE)), F.struct("held")), ignorenulls=True).over(before)["held"]
@@ -208,7 +211,7 @@ def post_dates(nodes: DataFrame, posts: DataFrame, as_of: Column, post: Column |
     parts = _owners(rows, posts)
     own = machine_dates(parts.withColumnsRenamed({"page_id": "_p"}).withColumn("page_id", F.struct("_p", "item"))).select("page_id.*", F.col("day").alias("machine")).toDF("page_id", "item", "machine")
     held = parts.where("held is not null").groupBy("page_id", "item").agg(F.min_by("held", "pre").alias("held"))
-    out = heads.join(own, ["page_id", "item"], "left").join(held, ["page_id", "item"], "left")
+    out = heads.join(own.hint("merge"), ["page_id", "item"], "left").join(held.hint("merge"), ["page_id", "item"], "left")
     return out.select("page_id", "item", F.coalesce("machine", "held", "_prior", "_head").alias("day"))
 
 
@@ -216,10 +219,10 @@ def topic_pages(pages: DataFrame, nodes: DataFrame, posts: DataFrame, as_of: Col
     """page_id, topic_id, offs, pager, has_old of a board's topic pages: where a page stands, what other pages of its topic
     it links, and whether it holds a post older than since."""
     at = pages.withColumn("here", urls.board_id(F.col("url"))).where("here.kind = 'topic'").select("page_id", "url", F.col("here.id").alias("topic_id"), F.col("here.at").alias("offs"))
-    to = nodes.where("tag = 'a' and attrs['href'] is not null").select("page_id", F.col("attrs")["href"].alias("href")).join(at, "page_id").select("page_id", "topic_id", urls.board_id(absolute(F.col("url"), F.col("href"))).alias("there"))
+    to = nodes.where("tag = 'a' and attrs['href'] is not null").select("page_id", F.col("attrs")["href"].alias("href")).join(at.hint("merge"), "page_id").select("page_id", "topic_id", urls.board_id(absolute(F.col("url"), F.col("href"))).alias("there"))
     linked = to.where("there.kind = 'topic' and there.id = topic_id").groupBy("page_id").agg(F.array_sort(F.collect_set("there.at")).alias("pager"))
     old = post_dates(nodes, posts, as_of).groupBy("page_id").agg(F.coalesce(F.bool_or(F.col("day") < since), F.lit(False)).alias("has_old"))
-    met = at.join(linked, "page_id", "left").join(old, "page_id", "left")
+    met = at.join(linked.hint("merge"), "page_id", "left").join(old.hint("merge"), "page_id", "left")
     return met.select("page_id", "topic_id", "offs", "pager", F.coalesce("has_old", F.lit(False)).alias("has_old"))
 
 
@@ -229,7 +232,7 @@ def authors(nodes: DataFrame, posts: DataFrame) -> DataFrame:
     profile = F.col("attrs")["href"].rlike(PROFILE)
     number = F.nullif(F.regexp_extract(F.col("attrs")["href"], r"(?i)(?:u=|/members/(?:[^/]*\.)?|/profile/)(\d+)", 1), F.lit("")).cast("long")
     begins = posts.select("page_id", "pre", F.struct(F.col("pre").alias("item"), F.col("end").alias("till")).alias("_post"))
-    rows = outside(nodes, _classes(*SIGNATURE_CLASSES) | (F.col("tag") == "blockquote")).join(begins, ["page_id", "pre"], "left")
+    rows = outside(nodes, _classes(*SIGNATURE_CLASSES) | (F.col("tag") == "blockquote")).join(begins.hint("merge"), ["page_id", "pre"], "left")
     held = F.last("_post", ignorenulls=True).over(_page(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_held", held).withColumn("_member", F.when((F.col("tag") == "a") & profile & ~F.coalesce(F.col("pre") <= F.col("_held.till"), F.lit(False)), F.struct(F.trim("text").alias("author"), number.alias("author_id"))))
     # each post with what stands in the interval before it, and in the one behind it
@@ -246,10 +249,10 @@ def next_pages(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     board. Elsewhere rel=next, a link labelled as next (unless it leads back), then the page with the next number.
     """
     at = pages.select("page_id", F.col("url").alias("base"))
-    anchors = nodes.where("tag = 'a' and attrs['href'] is not null")
     said = texts(nodes, outermost(nodes, F.col("tag") == "a").select("page_id", "pre", "end")).select("page_id", F.col("item").alias("pre"), "t")
     above = nodes.select("page_id", F.col("pre").alias("parent"), F.array_join("classes", " ").alias("_above"))
-    links = anchors.unionByName(nodes.where("tag = 'link' and attrs['href'] is not null")).join(at, "page_id").join(said, ["page_id", "pre"], "left").join(above, ["page_id", "parent"], "left")
+    links = nodes.where("tag in ('a', 'link') and attrs['href'] is not null").join(at.hint("merge"), "page_id")
+    links = links.join(said.hint("merge"), ["page_id", "pre"], "left").join(above.hint("merge"), ["page_id", "parent"], "left")
     a, base, to = F.col("attrs"), F.col("base"), F.col("to")
     links = links.withColumn("to", absolute(base, a["href"])).withColumn("t", F.coalesce("t", F.lit("")))
     anchor = (F.col("tag") == "a") & (urls.authority(to) == urls.authority(base))
@@ -285,7 +288,7 @@ def probe(pages: DataFrame, nodes: DataFrame, links: DataFrame, best: DataFrame,
     listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "host"))), 1, most)
     hosts = by_host.groupBy("page_id").agg(F.sum("n").alias("links"), F.sum("files").alias("downloads"), F.array_join(F.transform(listed, lambda x: F.concat_ws(" ", x["host"], (-x["less"]).cast("string"))), ", ").alias("hosts"))
     named = items.groupBy("page_id").agg(F.count("*").alias("items"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", F.left("title", F.lit(90)).alias("title")))), lambda x: x["title"]), 1, 12), "; ").alias("titles"))
-    out = pages.select("page_id", guest_wall(F.col("html")).alias("guest_wall")).join(best.select("page_id", "software"), "page_id", "left").join(hosts, "page_id", "left").join(named, "page_id", "left").join(next_pages(pages, nodes), "page_id", "left")
+    out = pages.select("page_id", guest_wall(F.col("html")).alias("guest_wall")).join(best.select("page_id", "software"), "page_id", "left").join(hosts.hint("merge"), "page_id", "left").join(named.hint("merge"), "page_id", "left").join(next_pages(pages, nodes), "page_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("page_id", "software", zero("items"), zero("links"), zero("downloads"), F.coalesce("hosts", F.lit("")).alias("hosts"), "next", "guest_wall", F.coalesce("titles", F.lit("")).alias("titles"))
 
@@ -297,12 +300,12 @@ def captions(nodes: DataFrame, reach: int = 40) -> DataFrame:
     src = F.when(F.col("tag").isin("audio", "source"), F.nullif(F.trim(a["src"]), F.lit(""))).when((F.col("tag") == "a") & urls.is_media(F.coalesce(a["href"], F.lit(""))), a["href"])
     blocks = outermost(nodes, F.col("tag").rlike("^(p|h[1-6])$") | ((F.col("tag") == "a") & src.isNotNull()))
     said = texts(nodes, blocks.select("page_id", "pre", "end")).select("page_id", F.col("item").alias("pre"), "t")
-    met = nodes.withColumn("src", src).join(said, ["page_id", "pre"], "left")
+    met = nodes.withColumn("src", src).join(said.hint("merge"), ["page_id", "pre"], "left")
     words = F.when(F.col("tag").rlike("^(p|h[1-6])$") & (F.col("t") != "") & ~F.contains("t", F.lit("adsbygoogle")), F.struct(F.col("t").alias("said")))
     # a source's own audio element isn't another player
     mark = F.when((F.col("tag") == "audio"), F.struct(F.lit("").alias("said"))).otherwise(words)
     met = met.withColumn("_m", mark).withColumn("_b", F.last("_m", ignorenulls=True).over(_page(-reach, -1)))
     up = met.select("page_id", F.col("pre").alias("parent"), F.when(F.col("tag") == "audio", F.struct("_b")).alias("_audio"))
-    met = met.where("src is not null").join(up, ["page_id", "parent"], "left")
+    met = met.where("src is not null").join(up.hint("merge"), ["page_id", "parent"], "left")
     held = F.when((F.col("tag") == "source") & F.col("_audio").isNotNull(), F.col("_audio._b.said")).otherwise(F.col("_b.said"))
     return met.select("page_id", "pre", F.col("src").alias("url"), F.coalesce(F.when(F.col("tag") == "a", F.coalesce("t", F.trim("text"))).otherwise(held), F.lit("")).alias("caption"))
