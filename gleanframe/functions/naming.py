@@ -54,8 +54,10 @@ def file_name(i: Column, total: Column, title: Column, extension: Column) -> Col
 
 
 def folder_name(title: Column, year: Column) -> Column:
+    """The title with the year behind it, unless it names that year: digits inside a longer number name none."""
     name = safe_component(title)
-    return F.when((F.coalesce(year, F.lit("")) == "") | F.contains(name, year), name).otherwise(F.concat(name, F.lit(" ("), year, F.lit(")")))
+    named = F.contains(F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(name, F.lit(r"\d+"), F.lit(0)), " "), F.lit(" ")), F.concat(F.lit(" "), year, F.lit(" ")))
+    return F.when((F.coalesce(year, F.lit("")) == "") | named, name).otherwise(F.concat(name, F.lit(" ("), year, F.lit(")")))
 
 
 def release_title(artists: Column, name: Column) -> Column:
