@@ -96,16 +96,18 @@ def texts(nodes: DataFrame, holders: DataFrame) -> DataFrame:
     return parts.groupBy("page_id", "item").agg(F.trim(F.regexp_replace(text, r"\s+", " ")).alias("t"))
 
 
-def titles(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+def titles(nodes: DataFrame, candidates: DataFrame, page: DataFrame | None = None) -> DataFrame:
     """page_id, item, title: of the first heading or title class with three characters, else of the first anchor with
-    five that isn't a button, else the page's title."""
+    five that isn't a button, else the page's title. page: page_id, page_title, if it is to be spelled otherwise than the
+    nodes have it, such as in the letters of the source."""
     rank = F.when(F.col("tag").isin("h1", "h2", "h3"), F.substring("tag", 2, 1).cast("int")).when(_classes(*TITLE_CLASSES), 4).when(F.col("tag") == "a", 5)
     inner = _owners(nodes, candidates).withColumn("_r", rank)
     marks = outermost(inner, F.col("_r").isNotNull())
     said = texts(nodes, marks.select("page_id", "pre", "end")).withColumnRenamed("item", "pre")
     fits = F.when(F.col("_r") < 5, F.length("t") >= 3).otherwise((F.length("t") >= 5) & ~F.lower("t").isin(*UI_WORDS))
     first = marks.select("page_id", "item", "pre", "_r").join(said.hint("merge"), ["page_id", "pre"]).where(fits).groupBy("page_id", "item").agg(F.min_by("t", F.struct("_r", "pre")).alias("title"))
-    page = nodes.where("tag = 'title'").groupBy("page_id").agg(F.trim(F.regexp_replace(F.min_by("text", "pre"), r"\s+", " ")).alias("page_title"))
+    if page is None:
+        page = nodes.where("tag = 'title'").groupBy("page_id").agg(F.trim(F.regexp_replace(F.min_by("text", "pre"), r"\s+", " ")).alias("page_title"))
     every = candidates.select("page_id", F.col("pre").alias("item")).join(first.hint("merge"), ["page_id", "item"], "left").join(page.hint("merge"), "page_id", "left")
     return every.select("page_id", "item", F.coalesce("title", "page_title").alias("title"))
 

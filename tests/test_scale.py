@@ -1,5 +1,9 @@
 """What must not grow with a table: nodes held of a page, moves by group, parses of a page, exchanges."""
 
+from pyspark.sql import functions as F
+
+from gleanframe.functions import naming
+from gleanframe.operators import pages as P
 from gleanframe.sources import html as H
 from gleanframe.streaming import harvest
 
@@ -39,3 +43,18 @@ def test_ranges_of_a_queue_hold_many_moves_however_far_their_numbers_lie_apart(s
         assert sorted(map(tuple, harvest.replay_queue(df, span).collect())) == want
     plan = harvest.replay_queue(df)._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_a_year_inside_a_longer_number_is_no_year_of_the_title(spark):
+    rows = [("Pack No 19908", "1990", "Pack No 19908 (1990)"), ("Rave 1990", "1990", "Rave 1990"), ("1990-91", "1990", "1990-91"), ("x", None, "x"), ("x", "", "x")]
+    df = spark.createDataFrame(rows, "title string, year string, want string")
+    assert all(r.got == r.want for r in df.select("want", naming.folder_name(df.title, df.year).alias("got")).collect())
+
+
+def test_page_titles_in_the_letters_of_the_source(spark):
+    pages = spark.createDataFrame([(1, '<title>a &amp; &quot;b&quot; &amp</title><div class="post">x</div>')], "page_id long, html string")
+    nodes = H.page_nodes(pages)
+    posts = P.outermost(nodes, F.array_contains("classes", "post"))
+    given = spark.createDataFrame([(1, "a & &quot;b&quot; &amp")], "page_id long, page_title string")
+    assert P.titles(nodes, posts).first().title == 'a & "b" &'
+    assert P.titles(nodes, posts, given).first().title == "a & &quot;b&quot; &amp"
