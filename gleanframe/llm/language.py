@@ -23,8 +23,6 @@ from .shingles import mix
 GRAM = 3
 #: n-grams that a language keeps, slots of the table, slots that an n-gram sets.
 KEEP, SLOTS, HASHES = 3000, 1 << 18, 2
-#: Training documents of a language (on average; drawn by a hash of doc_id).
-SAMPLE = 3000
 UNKNOWN = "und"
 #: A text is like none of a language below that part of the score which this quantile of its training documents has.
 PART, LOW = 0.75, 0.05
@@ -104,28 +102,22 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
 
-def _drawn(docs: DataFrame, sample: int) -> tuple[list, DataFrame]:
-    """Sizes of the training fold's languages, and about `sample` documents of each (doc_id, text, lang)."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = known.groupBy("lang").count().collect()  # as many rows as languages
-    if not sizes:
-        return sizes, known
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, sample / n)])
-    return sizes, known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
+def _known(docs: DataFrame) -> DataFrame:
+    """The training fold (doc_id, text, lang)."""
+    return docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
+def fit(docs: DataFrame) -> Filters:
     """Filters of all languages that training documents of docs (doc_id, text, lang) are labelled with.
 
-    About `sample` documents of a language count; to the driver come KEEP n-grams for each language.
+    Every training document counts; to the driver come KEEP n-grams for each language.
     """
-    sizes, drawn = _drawn(docs, sample)
-    if not sizes:
-        return Filters([], {})
-    counted = in_batches(drawn).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    known = _known(docs)
+    counted = in_batches(known).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best: dict[str, list[int]] = {lang: [] for lang, _ in sizes}
-    for lang, gram in counted.withColumn("place", first).where(F.col("place") <= KEEP).select("lang", "gram").collect():
+    # as many rows as languages: one may have documents, but no n-gram
+    best: dict[str, list[int]] = {r.lang: [] for r in known.select("lang").distinct().collect()}
+    for lang, gram in counted.withColumn("place", first).where(F.col("place") <= KEEP).select("lang", "gram").collect() if best else []:
         best[lang].append(gram)
     return Filters(sorted(best), {k: np.array(sorted(v), np.int64) for k, v in best.items()})
 
@@ -165,16 +157,20 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), fit(docs))
 
 
-def thresholds(docs: DataFrame, least: float = 0.1, sample: int = SAMPLE) -> dict[str, float]:
-    """Language -> the score below which a text is like none of it: from the scores that one half of the training fold
-    has by filters learned from the other half.
+def thresholds(docs: DataFrame, least: float = 0.1) -> dict[str, float]:
+    """Language -> the score below which a text is like none of it: from the scores that all of one half of the training
+    fold has by filters learned from all of the other half.
 
     A language without such scores takes the lowest threshold of the others.
     """
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
-    sizes, scored = _drawn(docs.where(~half), sample)
-    found = predict(scored, fit(docs.where(half), sample)).where("lang_pred = lang").groupBy("lang").agg(F.percentile_approx("score", LOW, 10_000).alias("low")) if sizes else None
-    out = {r.lang: max(least, PART * r.low) for r in (found.collect() if found is not None else [])}
+    scored = predict(_known(docs.where(~half)), fit(docs.where(half))).where("lang_pred = lang")
+    # scores to six digits, counted: the quantile is of every score, and a language's counts are bounded
+    each = scored.groupBy("lang", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
+    by_lang = Window.partitionBy("lang")
+    ranked = each.select("lang", "score", F.sum("n").over(by_lang.orderBy("score")).alias("upto"), F.sum("n").over(by_lang).alias("all"))
+    found = ranked.where(F.col("upto") >= F.ceil(F.col("all") * F.lit(LOW))).groupBy("lang").agg(F.min("score").alias("low"))
+    out = {r.lang: max(least, PART * r.low) for r in found.collect()}
     return {"": min(out.values(), default=least), **out}
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleanframe.functions import naming
+from gleanframe.llm import language
 from gleanframe.operators import pages as P
 from gleanframe.sources import html as H
 from gleanframe.streaming import harvest
@@ -58,3 +59,13 @@ def test_page_titles_in_the_letters_of_the_source(spark):
     given = spark.createDataFrame([(1, "a & &quot;b&quot; &amp")], "page_id long, page_title string")
     assert P.titles(nodes, posts).first().title == 'a & "b" &'
     assert P.titles(nodes, posts, given).first().title == "a & &quot;b&quot; &amp"
+
+
+def test_filters_learn_from_every_training_document(spark):
+    common = spark.range(12_000).selectExpr("id as doc_id", "'aaa' as text", "'x' as lang")
+    words = [chr(97 + i) * 3 for i in range(1, 26)]
+    rare = spark.createDataFrame([(20_000 + 4 * i + j, w, "x") for i, w in enumerate(words) for j in range(4)], common.schema)
+    trained = rare.where(~language.held_out()).select("text").distinct()
+    f = language.fit(common.union(rare))
+    scores, _ = f.scores([r.text for r in trained.collect()])
+    assert len(scores) > 20 and (scores > 0.99).all()
