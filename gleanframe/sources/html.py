@@ -28,6 +28,11 @@ _ARROW = pa.schema([("page_id", pa.int64()), ("pre", pa.int32()), ("end", pa.int
 PIECE, ROWS = 1 << 18, 4096
 
 
+# shared by all nodes without, and never changed
+_NO_ATTRS: dict[str, str] = {}
+_NO_CLASSES: list[str] = []
+
+
 class _Tree(HTMLParser):
     """Nodes as they end; `end` is the last number in a node's subtree, text its own text."""
 
@@ -41,6 +46,8 @@ class _Tree(HTMLParser):
         while len(self.open) > to:
             node = self.open.pop()
             node[1] = self.count - 1
+            if isinstance(node[7], list):
+                node[7] = "".join(node[7])
             self.closed.append(node)
 
     def handle_starttag(self, tag, attrs):
@@ -52,8 +59,9 @@ class _Tree(HTMLParser):
                 break
             if kind in ("table", "ul", "ol", "dl", "div", "body", "select", "article", "section") and kind != tag:
                 break
-        known = {k: v or "" for k, v in attrs}
-        node = [self.count, self.count, self.open[-1][0] if self.open else None, tag, known.get("id"), known.get("class", "").split(), known, []]
+        known = {k: v or "" for k, v in attrs} if attrs else _NO_ATTRS
+        said = known.get("class")
+        node = [self.count, self.count, self.open[-1][0] if self.open else None, tag, known.get("id"), said.split() if said else _NO_CLASSES, known, ""]
         self.count += 1
         (self.closed if tag in _VOID else self.open).append(node)
 
@@ -70,7 +78,11 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if self.open:
-            self.open[-1][7].append(data)
+            node = self.open[-1]
+            if isinstance(node[7], list):
+                node[7].append(data)
+            else:
+                node[7] = [node[7], data] if node[7] else data
 
 
 def ended(page: str | None, piece: int = PIECE) -> Iterator[list[list]]:
@@ -90,7 +102,11 @@ def ended(page: str | None, piece: int = PIECE) -> Iterator[list[list]]:
 
 def parse(page: str | None) -> list[list]:
     """Nodes in document order."""
-    return sorted((n for found in ended(page) for n in found), key=itemgetter(0))
+    nodes: list[list] = []
+    for found in ended(page):
+        nodes += found
+    nodes.sort(key=itemgetter(0))
+    return nodes
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -99,7 +115,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     listed = pa.ListArray.from_arrays(ends(classes), pa.array([c for cs in classes for c in cs], pa.string()))
     mapped = pa.MapArray.from_arrays(ends(attrs), pa.array([k for a in attrs for k in a], pa.string()), pa.array([v for a in attrs for v in a.values()], pa.string()))
     plain = [pa.array(c, f.type) for c, f in zip((page, pre, end, parent, tag, ident), _ARROW)]
-    return pa.RecordBatch.from_arrays([*plain, listed, mapped, pa.array(["".join(t) for t in text], pa.string())], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([*plain, listed, mapped, pa.array(text, pa.string())], schema=_ARROW)
 
 
 def page_nodes(pages: DataFrame, rows_at_a_time: int = ROWS) -> DataFrame:
