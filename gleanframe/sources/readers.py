@@ -1,4 +1,4 @@
-"""Readers by name. Exports of content systems and release lists are data sources of Spark, one partition for each file;
+"""Readers by name. Exports of content systems and release lists are data sources of Spark;
 HTML families, feeds and these give items of one shape, counted on the way."""
 
 from __future__ import annotations
@@ -21,8 +21,25 @@ RELEASES = "label string, pos int, id string, name string, artists array<string>
 ITEMS = ("reader", "id", "name", "url", "published", "summary", "links")
 
 
+#: Files and bytes of a partition at most; fewer files while there are few partitions.
+FILES, BYTES, PARTITIONS = 256, 64 << 20, 64
+
+
+def packed(sizes: list[tuple[str, int]], files: int = FILES, most: int = BYTES, partitions: int = PARTITIONS) -> list[list[str]]:
+    """(path, bytes) of files -> the paths of each partition."""
+    out: list[list[str]] = []
+    held, files = 0, max(1, min(files, len(sizes) // partitions))
+    for path, size in sizes:
+        if not out or len(out[-1]) == files or held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += size
+    return out
+
+
 class _Files(DataSourceReader):
-    """Each file of the folder is a partition. What isn't JSON of the right shape gives no rows."""
+    """Files of the folder, many small ones in one partition. What isn't JSON of the right shape gives no rows."""
 
     def __init__(self, path: str, rows: Callable[[object, str], Iterator[tuple]]):
         self.path, self.rows = path, rows
@@ -31,18 +48,19 @@ class _Files(DataSourceReader):
         system, root = fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
         info = system.get_file_info(root)
         every = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
-        return [InputPartition(f.path) for f in every if f.is_file and f.base_name[0] not in "._"]
+        return [InputPartition(p) for p in packed([(f.path, f.size or 0) for f in every if f.is_file and f.base_name[0] not in "._"])]
 
     def read(self, partition):
         if partition is None:  # an empty folder
             return
         system, _ = fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
-        with system.open_input_stream(partition.value) as f:
-            text = f.read().decode("utf-8", "replace")
-        try:
-            yield from self.rows(json.loads(text), partition.value)
-        except ValueError:
-            return
+        for path in partition.value:
+            with system.open_input_stream(path) as f:
+                text = f.read().decode("utf-8", "replace")
+            try:
+                yield from self.rows(json.loads(text), path)
+            except ValueError:
+                continue
 
 
 def _text(value) -> str | None:

@@ -1,10 +1,13 @@
 """What must not grow with a table: nodes held of a page, moves by group, parses of a page, exchanges."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleanframe.functions import naming
 from gleanframe.llm import language
+from gleanframe.operators import items
 from gleanframe.operators import pages as P
+from gleanframe.sources import fold, readers
 from gleanframe.sources import html as H
 from gleanframe.streaming import harvest
 
@@ -69,3 +72,18 @@ def test_filters_learn_from_every_training_document(spark):
     f = language.fit(common.union(rare))
     scores, _ = f.scores([r.text for r in trained.collect()])
     assert len(scores) > 20 and (scores > 0.99).all()
+
+
+def test_small_files_share_partitions():
+    assert len(readers.packed([(str(i), 100) for i in range(50_000)])) == 196
+    assert readers.packed([("a", 1), ("b", 1)]) == [["a"], ["b"]]
+    big = readers.packed([(str(i), readers.BYTES) for i in range(1000)])
+    assert len(big) == 1000 and readers.packed([]) == []
+
+
+def test_rows_of_a_long_board_go_out_in_bounded_batches():
+    row = '<tr><td><a href="/index.php?topic={0}.0">Topic name {0}</a></td><td><a href="/index.php?action=profile;u=1">m</a></td><td>1</td></tr>'
+    page = '<table class="table_grid">' + "".join(row.format(i) for i in range(2_500)) + "</table>"
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 2], "url": ["https://b.example/index.php?board=5.0"] * 2, "html": [page, page]})
+    sizes = [b.num_rows for b in fold.in_rows([batch], items._rules("SMF-board"), 1000)]
+    assert max(sizes) == 1000 and sum(sizes) == 2 * 2_501
