@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from gleanframe import catalog_pages
 from gleanframe.functions import naming
 from gleanframe.llm import language
 from gleanframe.operators import items
@@ -87,3 +88,9 @@ def test_rows_of_a_long_board_go_out_in_bounded_batches():
     batch = pa.RecordBatch.from_pydict({"page_id": [1, 2], "url": ["https://b.example/index.php?board=5.0"] * 2, "html": [page, page]})
     sizes = [b.num_rows for b in fold.in_rows([batch], items._rules("SMF-board"), 1000)]
     assert max(sizes) == 1000 and sum(sizes) == 2 * 2_501
+
+
+def test_archives_are_made_one_at_a_time():
+    kind, rows = ["linkcollector", "downloadList"], [[{"p_partkey": 1, "p_name": "a"}]] * 2
+    made = catalog_pages._zip([pa.RecordBatch.from_pydict({"kind": kind, "n": [2, 2], "rows": rows})])
+    assert next(made)[0] == "linkcollector2.zip" and next(made) == ("downloadList2.zip", b"cut short")
