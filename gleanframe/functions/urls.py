@@ -89,17 +89,28 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def normalise(url: Column) -> Column:
-    """An absolute http(s) url without edge punctuation, or null."""
-    u = F.replace(F.trim(unescape(url)), F.lit("\\/"), F.lit("/"))
-    u = F.regexp_replace(u, "^[ \\t\\r\\n'\"<>\\[\\]{}.,;]+|[ \\t\\r\\n'\"<>\\[\\]{}.,;]+$", "")
-    u = F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u)
-    u = F.regexp_replace(u, "[.,;]+$", "")
-    # closing brackets at the end that have no opening one
+def _unspared(u: Column) -> Column:
+    """Without closing brackets at the end that have no opening one."""
     spare = F.length(F.replace(u, F.lit("("), F.lit(""))) - F.length(F.replace(u, F.lit(")"), F.lit("")))
     tail = F.length(u) - F.length(F.regexp_replace(u, r"\)+$", ""))
-    u = F.substring(u, F.lit(1), F.length(u) - F.greatest(F.lit(0), F.least(spare, tail)))
-    return F.when(u.rlike("(?i)^https?://[^/?#]"), u)
+    return F.substring(u, F.lit(1), F.length(u) - F.greatest(F.lit(0), F.least(spare, tail)))
+
+
+#: Steps of normalise, each a function of what the one before gave.
+NORMAL = (
+    lambda u: F.regexp_replace(F.replace(F.trim(unescape(u)), F.lit("\\/"), F.lit("/")), "^[ \\t\\r\\n'\"<>\\[\\]{}.,;]+|[ \\t\\r\\n'\"<>\\[\\]{}.,;]+$", ""),
+    lambda u: F.regexp_replace(F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u), "[.,;]+$", ""),
+    _unspared,
+    lambda u: F.when(u.rlike("(?i)^https?://[^/?#]"), u),
+)
+
+
+def normalise(url: Column) -> Column:
+    """An absolute http(s) url without edge punctuation, or null. For whole tables see operators.dedupe.normalised, which
+    computes each step once."""
+    for step in NORMAL:
+        url = step(url)
+    return url
 
 
 def find_urls(text: Column) -> Column:

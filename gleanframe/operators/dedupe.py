@@ -29,6 +29,22 @@ def identified(links: DataFrame, keys: tuple[str, ...] = H.enabled_hosts("all"),
     return rows.select(*[F.col(f"`{n}`") for n in links.columns], F.inline(F.array(found)).alias("file_key", "canonical"))
 
 
+def stepwise(rows: DataFrame, steps: tuple, name: str, **given: str) -> DataFrame:
+    """rows with `name`, the last of steps, each of which has names and functions of the columns so far. A step is a
+    projection of its own and the last one a generator of one row: neither later steps nor filters compute one again."""
+    kept, made = [F.col(f"`{n}`") for n in rows.columns if n != name], dict(given)
+    for step in steps:
+        c = {k: F.col(f"`{held}`") for k, held in made.items()}
+        rows = rows.withColumns({f"_s_{k}": f(c) for k, f in step.items()})
+        made |= {k: f"_s_{k}" for k in step}
+    return rows.select(*kept, F.inline(F.array(F.struct(F.col(f"_s_{next(iter(steps[-1]))}").alias(name)))))
+
+
+def normalised(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the urls in a column normalised."""
+    return stepwise(rows, tuple({"url": lambda c, f=f: f(c["url"])} for f in U.NORMAL), name, url=name)
+
+
 def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each group, by an order without ties."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")

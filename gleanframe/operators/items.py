@@ -10,9 +10,9 @@ from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..sources.fold import Rules, page_items
-from ..sources.html import absolute
+from ..sources.html import ABSOLUTE
 from . import pages as P
-from .dedupe import identified
+from .dedupe import identified, normalised, stepwise
 from .windows import bot_floods
 
 # What the items of each kind of board are. A selector is (tag, attribute, how it compares, value), or two
@@ -48,7 +48,8 @@ def _links(rows: DataFrame) -> DataFrame:
     parts = parts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
     # generators of one row, so that later steps and filters repeat nothing
     once = lambda df, *new: df.select("*", F.inline(F.array(F.struct(*new))))
-    parts = once(once(parts, absolute(F.col("base"), F.trim("href")).alias("_to")), urls.normalise(F.col("_to")).alias("url")).drop("_to")
+    parts = stepwise(parts.withColumn("_href", F.trim("href")), ABSOLUTE, "url", base="base", href="_href").drop("_href")
+    parts = normalised(parts, "url")
     parts = parts.where(F.col("href").isNull() | (F.col("url").isNotNull() & ~urls.truncated(F.col("url"))))
     parts = once(parts, F.lower(urls.path(F.col("url"))).alias("_path"), urls.board_id(F.col("url"))["kind"].alias("_kind"), urls.same_site(F.col("url"), F.col("base")).alias("_same"))
     path, thread = F.col("_path"), F.col("_kind").eqNullSafe("topic")

@@ -158,23 +158,35 @@ def unescape(text: Column) -> Column:
     return F.pandas_udf(_unescaped, "string")(text)
 
 
-def absolute(base: Column, href: Column) -> Column:
-    """An absolute url by RFC 3986, in expressions; only paths with dots between slashes are folded part by part."""
-    front = F.regexp_extract(base, "(?i)^[a-z][a-z0-9+.-]*://[^/?#]*", 0)
-    rest = F.substring(base, F.length(front) + 1, F.length(base))
-    bare = F.regexp_extract(rest, "^[^?#]*", 0)
-    path = F.regexp_extract(href, "^[^?#]*", 0)
-    tail = F.substring(href, F.length(path) + 1, F.length(href))
-    folder = F.when(F.contains(bare, F.lit("/")), F.regexp_extract(bare, "^(.*/)[^/]*$", 1)).otherwise("/")
-    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
-    dotted = whole.rlike(r"(^|/)\.\.?(/|$)")
-    steps = F.aggregate(F.split(F.substring(whole, 2, 1 << 20), "/"), F.array().cast("array<string>"), lambda out, s: F.when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(s == ".", out).otherwise(F.array_append(out, s)))
-    ends = whole.rlike(r"/\.\.?$")
-    folded = F.concat(F.lit("/"), F.array_join(steps, "/"), F.when(ends & (F.size(steps) > 0), "/").otherwise(""))
+def _joined(c: dict) -> Column:
+    folded = F.concat(F.lit("/"), F.array_join(c["steps"], "/"), F.when(c["whole"].rlike(r"/\.\.?$") & (F.size(c["steps"]) > 0), "/").otherwise(""))
+    href, path, tail = c["href"], c["path"], c["tail"]
     return (
         F.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "(?i)^[a-z][a-z0-9+.-]*:", 0), href))
-        .when(path == "", F.concat(front, F.when(tail.startswith("?"), bare).otherwise(F.regexp_extract(rest, "^[^#]*", 0)), tail))
-        .when(dotted, F.concat(front, folded, tail))
-        .otherwise(F.concat(front, whole, tail))
+        .when(href.startswith("//"), F.concat(F.regexp_extract(c["base"], "(?i)^[a-z][a-z0-9+.-]*:", 0), href))
+        .when(path == "", F.concat(c["front"], F.when(tail.startswith("?"), c["bare"]).otherwise(F.regexp_extract(c["rest"], "^[^#]*", 0)), tail))
+        .when(c["dotted"], F.concat(c["front"], folded, tail))
+        .otherwise(F.concat(c["front"], c["whole"], tail))
     )
+
+
+_FOLDED = lambda whole: F.aggregate(F.split(F.substring(whole, 2, 1 << 20), "/"), F.array().cast("array<string>"), lambda out, s: F.when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(s == ".", out).otherwise(F.array_append(out, s)))
+#: Steps of absolute; each has names and functions of the columns so far.
+ABSOLUTE = (
+    {"front": lambda c: F.regexp_extract(c["base"], "(?i)^[a-z][a-z0-9+.-]*://[^/?#]*", 0), "path": lambda c: F.regexp_extract(c["href"], "^[^?#]*", 0)},
+    {"rest": lambda c: F.substring(c["base"], F.length(c["front"]) + 1, F.length(c["base"])), "tail": lambda c: F.substring(c["href"], F.length(c["path"]) + 1, F.length(c["href"]))},
+    {"bare": lambda c: F.regexp_extract(c["rest"], "^[^?#]*", 0)},
+    {"whole": lambda c: F.when(c["path"].startswith("/"), c["path"]).otherwise(F.concat(F.when(F.contains(c["bare"], F.lit("/")), F.regexp_extract(c["bare"], "^(.*/)[^/]*$", 1)).otherwise("/"), c["path"]))},
+    {"dotted": lambda c: c["whole"].rlike(r"(^|/)\.\.?(/|$)")},
+    {"steps": lambda c: F.when(c["dotted"], _FOLDED(c["whole"]))},
+    {"to": _joined},
+)
+
+
+def absolute(base: Column, href: Column) -> Column:
+    """An absolute url by RFC 3986, in expressions; only paths with dots between slashes are folded part by part. For whole
+    tables see operators.dedupe.stepwise with ABSOLUTE, which computes each step once."""
+    c = {"base": base, "href": href}
+    for step in ABSOLUTE:
+        c |= {name: f(c) for name, f in step.items()}
+    return c["to"]

@@ -94,3 +94,12 @@ def test_archives_are_made_one_at_a_time():
     kind, rows = ["linkcollector", "downloadList"], [[{"p_partkey": 1, "p_name": "a"}]] * 2
     made = catalog_pages._zip([pa.RecordBatch.from_pydict({"kind": kind, "n": [2, 2], "rows": rows})])
     assert next(made)[0] == "linkcollector2.zip" and next(made) == ("downloadList2.zip", b"cut short")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_link_of_an_item_is_normalised_once(spark):
+    pages = spark.createDataFrame([(1, "https://s.example/a", "<p>x</p>")], "page_id long, url string, html string")
+    assert _plan(items.read_items(pages, "SMF")).count("&nbsp;") == 1
