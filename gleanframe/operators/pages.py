@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dates, urls
-from ..sources.html import absolute
-from .dedupe import first_of, identified
+from ..sources.html import ABSOLUTE, absolute
+from .dedupe import first_of, identified, normalised, stepwise
 from .detect import guest_wall
 
 # Tags that hold no release; signatures under posts; holders of a post's date; labels of next pages.
@@ -159,15 +159,18 @@ def page_links(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     at = pages.select("page_id", F.col("url").alias("base"))
     raw = F.col("tag").isin("script", "style", "template")
     others = F.array_join(F.map_values(F.map_filter("attrs", lambda k, v: k != "href")), " ")
-    href = F.when(F.col("attrs")["href"].isNotNull(), F.array(F.struct(F.lit(0).alias("turn"), F.lit(0).alias("i"), absolute(F.col("base"), F.trim(F.col("attrs")["href"])).alias("url"))))
     listed = lambda turn, text: F.transform(urls.find_urls(text), lambda u, i: F.struct(F.lit(turn).alias("turn"), i.alias("i"), u.alias("url")))
     none = F.array().cast("array<struct<turn:int,i:int,url:string>>")
     text = F.when(raw, listed(2, F.col("text"))).when(F.col("tag") != "a", listed(1, F.col("text")))
     kept = nodes.where(F.col("attrs")["href"].isNotNull() | F.contains("text", F.lit("//")) | F.contains(others, F.lit("//")))
-    found = kept.join(at.hint("merge"), "page_id").select("page_id", "pre", F.explode(F.concat(F.coalesce(href, none), F.coalesce(text, none), listed(3, others))).alias("l")).select("page_id", "pre", "l.*")
+    met = stepwise(kept.join(at.hint("merge"), "page_id").withColumn("_href", F.trim(F.col("attrs")["href"])), ABSOLUTE, "_to", base="base", href="_href")
+    href = F.when(F.col("_href").isNotNull(), F.array(F.struct(F.lit(0).alias("turn"), F.lit(0).alias("i"), F.col("_to").alias("url"))))
+    # outer generators: of others the optimizer makes filters that compute the whole array again
+    found = met.select("page_id", "pre", F.explode_outer(F.concat(F.coalesce(href, none), F.coalesce(text, none), listed(3, others))).alias("l")).where("l is not null").select("page_id", "pre", "l.*")
     twin = F.when(F.contains("url", F.lit("%")), urls.decoded(F.col("url")))
     both = F.array_compact(F.array(F.struct("turn", "url"), F.when(twin != F.col("url"), F.struct(F.lit(4).alias("turn"), twin.alias("url")))))
-    every = found.select("page_id", "pre", "i", F.explode(both).alias("l")).select("page_id", "l.turn", "pre", "i", urls.normalise(F.col("l.url")).alias("url"))
+    every = found.select("page_id", "pre", "i", F.explode_outer(both).alias("l")).select("page_id", "l.turn", "pre", "i", "l.url")
+    every = normalised(every, "url")
     every = every.where(F.col("url").isNotNull() & ~urls.truncated(F.col("url")))
     once = first_of(every.withColumn("key", urls.plain_key(F.col("url"))), ["page_id", "key"], ["turn", "pre", "i"])
     pos = F.row_number().over(Window.partitionBy("page_id").orderBy("turn", "pre", "i"))
@@ -290,7 +293,7 @@ def probe(pages: DataFrame, nodes: DataFrame, links: DataFrame, best: DataFrame,
     listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "host"))), 1, most)
     hosts = by_host.groupBy("page_id").agg(F.sum("n").alias("links"), F.sum("files").alias("downloads"), F.array_join(F.transform(listed, lambda x: F.concat_ws(" ", x["host"], (-x["less"]).cast("string"))), ", ").alias("hosts"))
     named = items.groupBy("page_id").agg(F.count("*").alias("items"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", F.left("title", F.lit(90)).alias("title")))), lambda x: x["title"]), 1, 12), "; ").alias("titles"))
-    out = pages.select("page_id", guest_wall(F.col("html")).alias("guest_wall")).join(best.select("page_id", "software"), "page_id", "left").join(hosts.hint("merge"), "page_id", "left").join(named.hint("merge"), "page_id", "left").join(next_pages(pages, nodes), "page_id", "left")
+    out = pages.select("page_id", guest_wall(F.col("html")).alias("guest_wall")).join(best.select("page_id", "software").hint("merge"), "page_id", "left").join(hosts.hint("merge"), "page_id", "left").join(named.hint("merge"), "page_id", "left").join(next_pages(pages, nodes).hint("merge"), "page_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("page_id", "software", zero("items"), zero("links"), zero("downloads"), F.coalesce("hosts", F.lit("")).alias("hosts"), "next", "guest_wall", F.coalesce("titles", F.lit("")).alias("titles"))
 

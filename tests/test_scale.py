@@ -103,3 +103,8 @@ def _plan(df):
 def test_each_link_of_an_item_is_normalised_once(spark):
     pages = spark.createDataFrame([(1, "https://s.example/a", "<p>x</p>")], "page_id long, url string, html string")
     assert _plan(items.read_items(pages, "SMF")).count("&nbsp;") == 1
+
+
+def test_each_link_of_a_page_is_normalised_once(spark):
+    pages = spark.createDataFrame([(1, "https://s.example/a", "<p>x</p>")], "page_id long, url string, html string")
+    assert _plan(P.page_links(pages, H.page_nodes(pages))).count("&nbsp;") == 1
