@@ -108,3 +108,12 @@ def test_each_link_of_an_item_is_normalised_once(spark):
 def test_each_link_of_a_page_is_normalised_once(spark):
     pages = spark.createDataFrame([(1, "https://s.example/a", "<p>x</p>")], "page_id long, url string, html string")
     assert _plan(P.page_links(pages, H.page_nodes(pages))).count("&nbsp;") == 1
+
+
+def test_a_page_is_searched_once_and_tasks_share_the_pages_of_a_small_file(spark):
+    from gleanframe import catalog
+    from gleanframe.operators import detect
+
+    marked = catalog._marked(spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression" in _plan(marked)
+    assert _plan(detect.software(marked)).count("RLIKE") == sum(len(marks) for _, marks in detect.SIGNATURES)
