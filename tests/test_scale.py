@@ -117,3 +117,17 @@ def test_a_page_is_searched_once_and_tasks_share_the_pages_of_a_small_file(spark
     marked = catalog._marked(spark, "/root/testdata/sf0.001")
     assert "RepartitionByExpression" in _plan(marked)
     assert _plan(detect.software(marked)).count("RLIKE") == sum(len(marks) for _, marks in detect.SIGNATURES)
+
+
+def test_a_stream_goes_on_behind_what_it_has_had(spark, tmp_path):
+    for n in range(2):
+        spark.range(1000 * n, 1000 * n + 1000, 1, 4).write.parquet(f"{tmp_path}/in/b={n}")
+        got = harvest.resumed(spark.readStream.schema("id long").parquet(f"{tmp_path}/in/*"), f"{tmp_path}/at")
+        assert got.count() == got.distinct().count() == 1000 * n + 1000
+
+
+def test_moves_of_a_queue_stream_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog_pages, "new_path", lambda s, name: str(tmp_path / name))
+    monkeypatch.setattr(catalog_pages, "frame", lambda *a: spark.range(300, 2300, 1, 4).selectExpr("id % 40 as queue_id", "id as seq", "case id % 3 when 0 then 'queued' else 'claimed' end as to_state"))
+    catalog_pages.query.__globals__["_QUERIES"]["w4_queue_stream"](spark, "")
+    assert len(list((tmp_path / "queue" / "in" / "b=1").glob("part-*"))) > 1
