@@ -131,3 +131,7 @@ def test_moves_of_a_queue_stream_are_read_by_many_tasks(spark, tmp_path, monkeyp
     monkeypatch.setattr(catalog_pages, "frame", lambda *a: spark.range(300, 2300, 1, 4).selectExpr("id % 40 as queue_id", "id as seq", "case id % 3 when 0 then 'queued' else 'claimed' end as to_state"))
     catalog_pages.query.__globals__["_QUERIES"]["w4_queue_stream"](spark, "")
     assert len(list((tmp_path / "queue" / "in" / "b=1").glob("part-*"))) > 1
+
+
+def test_pages_of_a_small_file_are_dealt_before_they_are_parsed(spark):
+    assert "RepartitionByExpression" in _plan(catalog_pages._extra(spark, "/root/testdata/sf0.001"))
