@@ -53,17 +53,24 @@ def inside(nodes: DataFrame, holders: Column, name: str) -> DataFrame:
     return nodes.withColumn(name, F.coalesce(end >= F.col("pre"), F.lit(False)))
 
 
-def without_furniture(nodes: DataFrame) -> DataFrame:
-    """nodes without navigation, scripts, signatures, and forms for a login or a search.
+def without_furniture(nodes: DataFrame, kept: list | None = None) -> DataFrame:
+    """nodes without navigation, scripts, signatures, and forms for a login or a search; kept: the columns to go on with,
+    with page_id, pre and end (None: all).
 
-    Other forms stay: some boards wrap each post in one.
+    Other forms stay: some boards wrap each post in one. What tells furniture is worked out before the windows, so that
+    these sort narrow rows.
     """
     a = F.col("attrs")
+    form, kept = F.col("tag") == "form", kept or nodes.columns
     said = F.lower(F.concat_ws(" ", F.array_join("classes", " "), a["action"]))
-    password = F.first(F.when((F.col("tag") == "input") & (F.lower(a["type"]) == "password"), F.col("pre")), ignorenulls=True).over(_page(1, Window.unboundedFollowing))
-    form = (F.col("tag") == "form") & ((F.coalesce(a["role"], F.lit("")) == "search") | F.contains(said, F.lit("search")) | F.coalesce(F.col("_password") <= F.col("end"), F.lit(False)))
+    search = form & ((F.coalesce(a["role"], F.lit("")) == "search") | F.contains(said, F.lit("search")))
     signature = _classes(*SIGNATURE_CLASSES) | F.coalesce(F.col("id").rlike("^msg_.*_signature$"), F.lit(False))
-    return outside(nodes.withColumn("_password", password), F.col("tag").isin(*FURNITURE_TAGS) | form | signature).drop("_password")
+    password = F.when((F.col("tag") == "input") & (F.lower(a["type"]) == "password"), F.col("pre"))
+    rows = nodes.select(*kept, (F.col("tag").isin(*FURNITURE_TAGS) | search | signature).alias("_banned"), form.alias("_form"), password.alias("_password"))
+    names = [c for c in rows.columns if c not in ("_banned", "_form", "_password")]
+    rows = rows.withColumn("_passwords", F.collect_list("_password").over(Window.partitionBy("page_id")))
+    login = F.col("_form") & F.exists("_passwords", lambda p: (p > F.col("pre")) & (p <= F.col("end")))
+    return outside(rows, F.col("_banned") | login).select(*names)
 
 
 def outermost(nodes: DataFrame, matches: Column) -> DataFrame:
@@ -81,6 +88,26 @@ def _owners(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     return met.withColumn("_h", held).where(F.col("_h").isNotNull() & (F.col("pre") <= F.col("_h.till"))).withColumn("item", F.col("_h.item")).drop("_h", "_c")
 
 
+def _with_posts(nodes: DataFrame, posts: DataFrame | Column) -> tuple[DataFrame, Column]:
+    """nodes, and which of them are posts. Posts by a condition need no join; rows of posts are met with their nodes."""
+    if isinstance(posts, Column):
+        return nodes, posts
+    marks = posts.select("page_id", "pre", F.lit(True).alias("_is_post"))
+    return nodes.join(marks.hint("merge"), ["page_id", "pre"], "left"), F.coalesce("_is_post", F.lit(False))
+
+
+def _holder(matches: Column) -> Column:
+    """pre of the outermost matching node that a node is or lies in: of those begun so far, the one with the farthest end."""
+    far = F.max(F.when(matches, F.struct("end", (-F.col("pre")).alias("less")))).over(_page(Window.unboundedPreceding, 0))
+    return F.when(far["end"] >= F.col("pre"), -far["less"])
+
+
+def _ended(matches: Column) -> Column:
+    """Whether a node is or lies in a matching one."""
+    end = F.max(F.when(matches, F.col("end"))).over(_page(Window.unboundedPreceding, 0))
+    return F.coalesce(end >= F.col("pre"), F.lit(False))
+
+
 def summaries(nodes: DataFrame, candidates: DataFrame, most: int = 400) -> DataFrame:
     """page_id, item, chars, summary: the text of each candidate in document order, without scripts."""
     parts = _owners(nodes, candidates).where(~F.col("tag").isin("script", "style", "template"))
@@ -112,14 +139,22 @@ def titles(nodes: DataFrame, candidates: DataFrame, page: DataFrame | None = Non
     return every.select("page_id", "item", F.coalesce("title", "page_title").alias("title"))
 
 
-def post_titles(nodes: DataFrame, posts: DataFrame) -> DataFrame:
+def post_titles(nodes: DataFrame, posts: DataFrame | Column, furniture: bool = True) -> DataFrame:
     """page_id, item, title: the release that a post links in a catalogue, else its first own words; quotes, labels of
-    links and urls left out."""
-    own = outside(_owners(nodes, posts), (F.col("tag") == "blockquote") | _classes(*QUOTE_CLASSES))
-    named = F.regexp_extract(F.concat_ws(" ", F.map_values("attrs"), F.col("text")), DISCOGS, 1)
-    slugs = own.withColumn("slug", named).where("slug <> ''").groupBy("page_id", "item").agg(F.min_by("slug", "pre").alias("slug"))
-    words = outside(own, F.col("tag") == "a").groupBy("page_id", "item").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pre", "text")))["text"], " ").alias("t"))
-    met = posts.select("page_id", F.col("pre").alias("item")).join(slugs.hint("merge"), ["page_id", "item"], "left").join(words.hint("merge"), ["page_id", "item"], "left")
+    links and urls left out. posts: rows of posts, or which nodes are posts; furniture: False leaves it out first.
+
+    Every part of a post is told on narrow rows before they are dealt by page, once: all windows share one sort."""
+    nodes, post = _with_posts(nodes, posts)
+    said = F.concat_ws(" ", F.map_values("attrs"), F.col("text"))
+    slug = F.when(F.contains(said, F.lit("discogs.com/")), F.nullif(F.regexp_extract(said, DISCOGS, 1), F.lit("")))
+    quote = (F.col("tag") == "blockquote") | _classes(*QUOTE_CLASSES)
+    parts = [F.col("page_id"), F.col("pre"), F.col("end"), F.col("text"), slug.alias("slug"), quote.alias("_quote"), (F.col("tag") == "a").alias("_link"), post.alias("_post")]
+    rows = nodes.select(*parts) if furniture else without_furniture(nodes, parts)
+    rows = rows.withColumn("item", _holder(F.col("_post"))).where("item is not null")
+    rows = rows.withColumns({"_quoted": _ended(F.col("_quote")), "_linked": _ended(F.col("_link"))})
+    own = ~F.col("_quoted")
+    words = F.collect_list(F.when(own & ~F.col("_linked") & (F.col("text") != ""), F.struct("pre", "text")))
+    met = rows.groupBy("page_id", "item").agg(F.min_by("slug", F.when(own & F.col("slug").isNotNull(), F.col("pre"))).alias("slug"), F.array_join(F.array_sort(words)["text"], " ").alias("t"))
     return met.select("page_id", "item", post_title(F.col("slug"), F.col("t")).alias("title"))
 
 

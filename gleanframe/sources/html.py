@@ -42,6 +42,9 @@ class _Tree(HTMLParser):
         self.open: list[list] = []
         self.closed: list[list] = []
 
+    def updatepos(self, i, j):
+        return j  # lines and columns tell nothing here
+
     def _pop(self, to: int):
         while len(self.open) > to:
             node = self.open.pop()

@@ -135,3 +135,20 @@ def test_moves_of_a_queue_stream_are_read_by_many_tasks(spark, tmp_path, monkeyp
 
 def test_pages_of_a_small_file_are_dealt_before_they_are_parsed(spark):
     assert "RepartitionByExpression" in _plan(catalog_pages._extra(spark, "/root/testdata/sf0.001"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_titles_of_posts_take_one_exchange_of_nodes(spark):
+    board = '''<nav>n<div class="post">menu</div></nav><form id="f"><div class="post">log in</div><p><input type="password"></p></form><form><div class="post">one<div class="post"> inner</div>
+        <blockquote>said</blockquote> <a href="/x">label</a></div></form><input type="password"><blockquote><div class="post">quoted</div></blockquote><div class="post"><a href="https://www.discogs.com/release/1-Some-Name">d</a></div><div class="post"></div>'''
+    nodes = H.page_nodes(spark.createDataFrame([(1, board), (2, '<div class="post">two</div>')], "page_id long, html string"))
+    found = P.post_titles(nodes, F.array_contains("classes", "post"), furniture=False)
+    assert _plan(found).count("Exchange hashpartitioning") == 1 and "Join" not in _plan(found)
+    want = [(1, "one inner"), (1, "quoted"), (1, "Some Name"), (1, None), (2, "two")]
+    assert [(r.page_id, r.title) for r in found.orderBy("page_id", "item").collect()] == want
+    kept = P.without_furniture(nodes)
+    posts = P.outermost(kept, F.array_contains("classes", "post"))
+    assert sorted(map(tuple, P.post_titles(kept, posts).collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
