@@ -266,15 +266,21 @@ def topic_pages(pages: DataFrame, nodes: DataFrame, posts: DataFrame, as_of: Col
     return met.select("page_id", "topic_id", "offs", "pager", F.coalesce("has_old", F.lit(False)).alias("has_old"))
 
 
-def authors(nodes: DataFrame, posts: DataFrame) -> DataFrame:
+def authors(nodes: DataFrame, posts: DataFrame | Column) -> DataFrame:
     """page_id, item, author, author_id of each post: the first link to a member's profile between it and the post before,
-    else the first behind it and before the next. Those in posts, quotes and signatures are no author's."""
-    profile = F.col("attrs")["href"].rlike(PROFILE)
-    number = F.nullif(F.regexp_extract(F.col("attrs")["href"], r"(?i)(?:u=|/members/(?:[^/]*\.)?|/profile/)(\d+)", 1), F.lit("")).cast("long")
-    begins = posts.select("page_id", "pre", F.struct(F.col("pre").alias("item"), F.col("end").alias("till")).alias("_post"))
-    rows = outside(nodes, _classes(*SIGNATURE_CLASSES) | (F.col("tag") == "blockquote")).join(begins.hint("merge"), ["page_id", "pre"], "left")
-    held = F.last("_post", ignorenulls=True).over(_page(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_held", held).withColumn("_member", F.when((F.col("tag") == "a") & profile & ~F.coalesce(F.col("pre") <= F.col("_held.till"), F.lit(False)), F.struct(F.trim("text").alias("author"), number.alias("author_id"))))
+    else the first behind it and before the next. Those in posts, quotes and signatures are no author's. posts: rows of
+    posts, or which nodes are posts. Only posts, links to members, quotes and signatures are dealt by page, once."""
+    nodes, post = _with_posts(nodes, posts)
+    href = F.col("attrs")["href"]
+    number = F.nullif(F.regexp_extract(href, r"(?i)(?:u=|/members/(?:[^/]*\.)?|/profile/)(\d+)", 1), F.lit("")).cast("long")
+    member = F.when((F.col("tag") == "a") & href.rlike(PROFILE), F.struct(F.trim("text").alias("author"), number.alias("author_id")))
+    silent = _classes(*SIGNATURE_CLASSES) | (F.col("tag") == "blockquote")
+    rows = nodes.select("page_id", "pre", "end", post.alias("_post"), silent.alias("_silent"), member.alias("_member"))
+    rows = rows.where(F.col("_post") | F.col("_silent") | F.col("_member").isNotNull())
+    rows = rows.withColumns({"_top": _holder(F.col("_post")), "_out": _ended(F.col("_silent"))}).where(~F.col("_out"))
+    begun = F.when(F.col("_post") & (F.col("_top") == F.col("pre")), F.struct(F.col("pre").alias("item"), F.col("end").alias("till")))
+    rows = rows.withColumn("_held", F.last(begun, ignorenulls=True).over(_page(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_member", F.when(~F.coalesce(F.col("pre") <= F.col("_held.till"), F.lit(False)), F.col("_member")))
     # each post with what stands in the interval before it, and in the one behind it
     by_gap = rows.groupBy("page_id", F.coalesce("_held.item", F.lit(-1)).alias("gap")).agg(F.min_by("_member", F.when(F.col("_member").isNotNull(), F.col("pre"))).alias("_m"))
     order = Window.partitionBy("page_id").orderBy("gap")

@@ -152,3 +152,16 @@ def test_titles_of_posts_take_one_exchange_of_nodes(spark):
     kept = P.without_furniture(nodes)
     posts = P.outermost(kept, F.array_contains("classes", "post"))
     assert sorted(map(tuple, P.post_titles(kept, posts).collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
+
+
+def test_authors_of_posts_take_one_exchange_of_marks(spark):
+    by = lambda n: f'<a href="/index.php?action=profile;u={n}"> m{n} </a>'
+    board = f'{by(1)}<div class="post">{by(9)}<div class="post">in</div></div><div class="sig">{by(8)}</div><div class="post">b</div>{by(2)}<blockquote>{by(7)}<div class="post">q</div></blockquote><div class="post">c</div>'
+    pages = spark.createDataFrame([(1, board), (2, '<div class="post">none</div>')], "page_id long, html string")
+    nodes = H.page_nodes(pages)
+    found = P.authors(nodes, F.array_contains("classes", "post"))
+    assert _plan(found).count("Exchange hashpartitioning") == 1 and "Join" not in _plan(found)
+    got = [(r.page_id, r.author, r.author_id) for r in found.orderBy("page_id", "item").collect()]
+    assert got == [(1, "m1", 1), (1, "m2", 2), (1, "m2", 2), (2, None, None)]
+    by_rows = P.authors(nodes, P.outermost(nodes, F.array_contains("classes", "post")))
+    assert sorted(map(tuple, by_rows.collect())) == sorted(map(tuple, found.collect()))
