@@ -219,40 +219,60 @@ def feed_links(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.join(pages.select("page_id", "url"), "page_id").select("page_id", absolute(F.col("url"), F.col("href")).alias("feed"))
 
 
-def machine_dates(nodes: DataFrame) -> DataFrame:
-    """page_id, day: the first datetime attribute, or epoch seconds in one of three attributes (UTC)."""
-    a = F.col("attrs")
+def machine_day(a: Column) -> Column:
+    """The day that attributes tell to machines: a datetime, or epoch seconds in one of three attributes (UTC)."""
     iso = F.try_to_date(F.left(a["datetime"], F.lit(10)), "yyyy-MM-dd")
     epoch = F.coalesce(a["data-time"], a["data-timestamp"], a["data-date"])
-    day = F.coalesce(iso, F.timestamp_seconds(F.when(epoch.rlike("^[0-9]{9,10}$"), epoch).cast("long")).cast("date"))
-    return nodes.withColumn("day", day).where("day is not null").groupBy("page_id").agg(F.min_by("day", "pre").alias("day"))
+    return F.coalesce(iso, F.timestamp_seconds(F.when(epoch.rlike("^[0-9]{9,10}$"), epoch).cast("long")).cast("date"))
 
 
-def post_dates(nodes: DataFrame, posts: DataFrame, as_of: Column, post: Column | None = None) -> DataFrame:
-    """page_id, item, day: the date that a post was written; null if nothing tells it. post: which nodes are posts, of the
-    given ones or not (None: div.post).
+def machine_dates(nodes: DataFrame) -> DataFrame:
+    """page_id, day: the first day told to machines."""
+    return nodes.withColumn("day", machine_day(F.col("attrs"))).where("day is not null").groupBy("page_id").agg(F.min_by("day", "pre").alias("day"))
+
+
+def post_dates(nodes: DataFrame, posts: DataFrame | Column, as_of: Column, post: Column | None = None) -> DataFrame:
+    """page_id, item, day: the date that a post was written; null if nothing tells it. posts: rows of posts, or which nodes
+    are posts; post: the same of all that count as posts, of the given ones or not (None: div.post).
 
     In order: a machine date in the post; a holder of dates in it; the last holder before it; and the nearest date with a
     time before it that stands in no post and has no other post behind it. Quotes never count, nor do dates that a member
     merely writes.
+
+    Marks are told on narrow rows before they are dealt by page, once; a holder's text is gathered where its marks are, so
+    that nothing is joined.
     """
+    nodes, begins = _with_posts(nodes, posts)
     post = F.array_contains("classes", "post") & (F.col("tag") == "div") if post is None else post
-    marked = inside(inside(nodes, F.col("tag") == "blockquote", "_quoted"), post, "_in_post")
-    holder = (F.col("tag") == "time") | _classes(*DATE_CLASSES)
-    holders = outermost(marked, (holder | F.exists("classes", lambda c: c.rlike(DATE_BEFORE))) & ~F.col("_quoted"))
-    said = texts(nodes, holders.select("page_id", "pre", "end")).select("page_id", F.col("item").alias("pre"), dates.parse_date(F.col("t"), as_of).alias("held"))
-    begins = posts.select("page_id", "pre", F.lit(True).alias("_begins"))
-    rows = marked.join(holders.select("page_id", "pre", F.lit(True).alias("_holds")), ["page_id", "pre"], "left").join(said.hint("merge"), ["page_id", "pre"], "left").join(begins.hint("merge"), ["page_id", "pre"], "left")
-    loose = F.when(~F.col("_quoted") & ~F.col("_in_post") & F.col("text").rlike(DATE_WITH_TIME), F.struct("pre", dates.parse_date(F.col("text"), as_of).alias("day")))
+    dated = F.array_join("classes", " ").rlike(DATE_BEFORE)
+    holder = (F.col("tag") == "time") | _classes(*DATE_CLASSES) | dated
+    rows = nodes.select(
+        "page_id", "pre", "end", (F.col("tag") == "blockquote").alias("_quote"), post.alias("_post"), begins.alias("_begins"), holder.alias("_holder"), dated.alias("_dated"),
+        machine_day(F.col("attrs")).alias("machine"), F.when(F.col("text") != "", F.col("text")).alias("text"), F.col("tag").isin("script", "style", "template").alias("_raw"), F.col("text").rlike(DATE_WITH_TIME).alias("_timed"),
+    )
+    rows = rows.where(F.col("_quote") | F.col("_post") | F.col("_begins") | F.col("_holder") | F.col("machine").isNotNull() | F.col("text").isNotNull())
+    rows = rows.withColumns({"_quoted": _ended(F.col("_quote")), "_in_post": _ended(F.col("_post")), "item": _holder(F.col("_begins"))})
+    rows = rows.withColumn("_at", _holder(F.col("_holder") & ~F.col("_quoted")))
+    # what is dear to tell stands in no filter
+    rows = rows.withColumn("_timed", F.col("_timed") & ~F.col("_quoted") & ~F.col("_in_post")).withColumn("_holds", F.coalesce(F.col("_at") == F.col("pre"), F.lit(False)))
+    first = F.col("_begins") & (F.col("item") == F.col("pre"))
+    rows = rows.withColumn("_first", F.coalesce(first, F.lit(False)))
+    told = F.col("_first") | F.col("_post") | F.col("_holds") | F.col("machine").isNotNull() | F.col("_timed")
+    mark = F.struct("pre", "item", "_first", "_post", "_dated", "machine", "_holds", F.when(F.col("_timed"), F.col("text")).alias("_late"))
+    # each holder with the marks in it; other marks on their own
+    words = F.collect_list(F.when(F.col("_at").isNotNull() & F.col("text").isNotNull() & ~F.col("_raw"), F.struct("pre", "text")))
+    gathered = rows.where(told | F.col("_at").isNotNull()).groupBy("page_id", F.coalesce("_at", "pre").alias("_at")).agg(words.alias("_words"), F.collect_list(F.when(told, mark)).alias("_marks"))
+    said = F.trim(F.regexp_replace(F.array_join(F.array_sort("_words")["text"], " "), r"\s+", " "))
+    rows = gathered.select("page_id", said.alias("_said"), F.inline("_marks"))
+    rows = rows.withColumn("held", F.when(F.col("_holds"), dates.parse_date(F.col("_said"), as_of)))
+    rows = rows.withColumn("_here", F.when(F.col("_late").isNotNull(), F.struct("pre", dates.parse_date(F.col("_late"), as_of).alias("day"))))
     before = _page(Window.unboundedPreceding, -1)
-    prior = F.last(F.when(F.col("_holds") & F.exists("classes", lambda c: c.rlike(DATE_BEFORE)), F.struct("held")), ignorenulls=True).over(before)["held"]
-    rows = rows.withColumns({"_prior": prior, "_loose": F.last(loose, ignorenulls=True).over(before), "_last_post": F.max(F.when(post, F.col("pre"))).over(before)})
-    heads = rows.where("_begins").select("page_id", F.col("pre").alias("item"), "_prior", F.when(F.coalesce(F.col("_last_post") < F.col("_loose.pre"), F.lit(True)), F.col("_loose.day")).alias("_head"))
-    parts = _owners(rows, posts)
-    own = machine_dates(parts.withColumnsRenamed({"page_id": "_p"}).withColumn("page_id", F.struct("_p", "item"))).select("page_id.*", F.col("day").alias("machine")).toDF("page_id", "item", "machine")
-    held = parts.where("held is not null").groupBy("page_id", "item").agg(F.min_by("held", "pre").alias("held"))
-    out = heads.join(own.hint("merge"), ["page_id", "item"], "left").join(held.hint("merge"), ["page_id", "item"], "left")
-    return out.select("page_id", "item", F.coalesce("machine", "held", "_prior", "_head").alias("day"))
+    prior = F.last(F.when(F.col("_holds") & F.col("_dated"), F.struct("held")), ignorenulls=True).over(before)["held"]
+    rows = rows.withColumns({"_prior": prior, "_loose": F.last("_here", ignorenulls=True).over(before), "_last_post": F.max(F.when(F.col("_post"), F.col("pre"))).over(before)})
+    ahead = F.when(F.coalesce(F.col("_last_post") < F.col("_loose.pre"), F.lit(True)), F.col("_loose.day"))
+    nearest = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pre")))
+    out = rows.where("item is not null").groupBy("page_id", "item").agg(nearest("machine").alias("machine"), nearest("held").alias("held"), F.max(F.when(F.col("_first"), F.coalesce("_prior", ahead))).alias("_head"))
+    return out.select("page_id", "item", F.coalesce("machine", "held", "_head").alias("day"))
 
 
 def topic_pages(pages: DataFrame, nodes: DataFrame, posts: DataFrame, as_of: Column, since: Column) -> DataFrame:

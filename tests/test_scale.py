@@ -165,3 +165,17 @@ def test_authors_of_posts_take_one_exchange_of_marks(spark):
     assert got == [(1, "m1", 1), (1, "m2", 2), (1, "m2", 2), (2, None, None)]
     by_rows = P.authors(nodes, P.outermost(nodes, F.array_contains("classes", "post")))
     assert sorted(map(tuple, by_rows.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_dates_of_posts_take_one_exchange_of_nodes(spark):
+    board = \
+        '<div class="keyinfo">on <b>11/04/25</b>, 10:00<script>1/1/01, 1:00</script></div><div class="post">a <div class="post">1/2/03, 1:00</div></div>' \
+        '<p>12/04/25, 11:00</p><div class="post">b<blockquote><div class="keyinfo">2/2/02, 2:00</div></blockquote></div>' \
+        '<div class="post"><div class="date">13/04/25</div>c<time datetime="2025-04-14">x</time></div><div class="date">no day</div><div class="post"><div class="date">15/04/25</div></div>'
+    nodes = H.page_nodes(spark.createDataFrame([(1, board), (2, '<div class="post">1/2/03, 1:00</div>')], "page_id long, html string"))
+    found = P.post_dates(nodes, F.array_contains("classes", "post"), F.lit("2026-06-01").cast("date"))
+    assert _plan(found).count("Exchange hashpartitioning") == 1 and "Join" not in _plan(found)
+    got = [(r.page_id, r.day and f"{r.day:%d}") for r in found.orderBy("page_id", "item").collect()]
+    assert got == [(1, "11"), (1, "11"), (1, "14"), (1, "15"), (2, None)]
+    by_rows = P.post_dates(nodes, P.outermost(nodes, F.array_contains("classes", "post")), F.lit("2026-06-01").cast("date"))
+    assert sorted(map(tuple, by_rows.collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
