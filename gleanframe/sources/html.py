@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as _html
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from operator import itemgetter
@@ -20,6 +21,11 @@ _RAW = frozenset(("script", "style", "template", "textarea", "title"))
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
+# tags that need none of the parser's care: attributes in double quotes without entities, a name that begins no raw text
+_PLAIN = re.compile(r'<(?!(?:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)[ >])([a-z][a-z0-9]*)((?: [a-z][a-z-]*="[^"&<>]*")*)>')
+_PAIR = re.compile(r' ([a-z-]+)="([^"]*)"')
+_PLAIN_END = re.compile("</([a-z][a-z0-9]*)>")
+
 NODES = "page_id long, pre int, end int, parent int, tag string, id string, classes array<string>, attrs map<string,string>, text string"
 
 
@@ -53,6 +59,20 @@ class _Tree(HTMLParser):
                 node[7] = "".join(node[7])
             self.closed.append(node)
 
+    def parse_starttag(self, i):
+        found = _PLAIN.match(self.rawdata, i)
+        if found is None:
+            return super().parse_starttag(i)
+        self.handle_starttag(found[1], _PAIR.findall(found[2]))
+        return found.end()
+
+    def parse_endtag(self, i):
+        found = _PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if found is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(found[1])
+        return found.end()
+
     def handle_starttag(self, tag, attrs):
         closes = ("p",) if tag in _BLOCKS else _CLOSES.get(tag, ())
         for depth in range(len(self.open) - 1, -1, -1):

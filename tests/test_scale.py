@@ -179,3 +179,17 @@ def test_dates_of_posts_take_one_exchange_of_nodes(spark):
     assert got == [(1, "11"), (1, "11"), (1, "14"), (1, "15"), (2, None)]
     by_rows = P.post_dates(nodes, P.outermost(nodes, F.array_contains("classes", "post")), F.lit("2026-06-01").cast("date"))
     assert sorted(map(tuple, by_rows.collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
+
+
+def test_plain_tags_are_read_as_the_parser_reads_them(monkeypatch):
+    odd = ['<a href="/x" class="a b">', "<a href='y'>", '<A HREF="/Q">', '<a href="1&amp;2">', '<a href="1>2">', '<a href="x""y">', '<a a="1" a="2">', "<script>", "</script>", "<title>", "</title>", "<titles>", "</p >", "<br/>", "<div\n>", "</", "</a>", "x", "&lt;<b>", "<p"]
+    pages = [a + b + c for a in odd for b in odd for c in ("", "</b>", '<i id="q">z')]
+    fast = [H.parse(p) for p in pages]
+    for name in ("parse_starttag", "parse_endtag"):
+        monkeypatch.setattr(H._Tree, name, getattr(H.HTMLParser, name))
+    assert fast == [H.parse(p) for p in pages]
+    called = []
+    monkeypatch.undo()
+    monkeypatch.setattr(H.HTMLParser, "parse_starttag", lambda self, i: called.append(i) or len(self.rawdata))
+    H.parse('<div class="post"><a href="/x">y</a></div>')
+    assert not called
