@@ -8,6 +8,7 @@ their bit offsets.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -32,6 +33,8 @@ _CHUNK = "part int, chunk int, before long, nulls long, doc_ids array<long>, len
 
 @lru_cache(2)
 def _tokenizer(path: str):
+    # tasks fill the cores: threads of one task's own would only take time from the others
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -87,13 +90,25 @@ class WordIds:
                 return None
         return [t.id for t in self.model.tokenize(part.lower().decode("latin-1").translate(_BYTES))]
 
+    def _known(self, part: bytes) -> list[int] | None:
+        """Ids of a part that is remembered from earlier texts."""
+        n = self.index.get(part)
+        return self.flat[self.starts[n] : self.starts[n] + self.sizes[n]].tolist() if n is not None and n < len(self.sizes) else None
+
     def _parts(self, fresh: list[bytes]) -> list[list[int]]:
         """Ids of new parts."""
         stop, comma = self._encoded([".", ","])
         found: list = []
+        tokenize, plain = self.model.tokenize, {}
         for part in fresh:
             end = stop if part[-1] == 46 else comma if part[-1] == 44 else None
-            ids = self._letters(part[:-1] if end and len(part) > 1 else part)
+            bare = part[:-1] if end and len(part) > 1 else part
+            if bare.isalpha():  # ASCII letters stand for themselves; with and without a sign behind they are met once
+                ids = plain.get(bare)
+                if ids is None:
+                    ids = plain[bare] = self._known(bare) or [t.id for t in tokenize(bare.lower().decode())]
+            else:
+                ids = self._letters(bare)
             found.append(ids if ids is None or not end or len(part) == 1 else ids + end)
         slow = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(slow, self._encoded([fresh[i].decode("utf-8", "replace") for i in slow])):

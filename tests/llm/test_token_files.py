@@ -77,3 +77,19 @@ def test_packed_in_slices_alike(monkeypatch, n):
     monkeypatch.setattr(huffman, "SLICE", huffman.BLOCK)
     assert huffman.write(7, np.array([1]), np.array([n]), ids, lengths) == whole
     assert n == 0 or (huffman.File(whole).ids() == ids).all()
+
+
+def test_letters_with_a_sign_behind_are_tokenised_once():
+    words, met = WordIds(PATH), []
+    plain = words.model
+
+    class Model:
+        def tokenize(self, text):
+            met.append(text)
+            return plain.tokenize(text)
+
+    words.model = Model()
+    for texts in (["Lorem lorem. lorem, ipsum."], ["ipsum ipsum, lorem LOREM. dolor"]):
+        ids, _ = words.ids(texts)
+        assert ids.tolist() == words.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert sorted(met) == ["dolor", "ipsum", "ipsum", "lorem"]
