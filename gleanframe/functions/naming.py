@@ -22,7 +22,7 @@ def safe_component(name: Column) -> Column:
     n = F.replace(F.replace(clean_text(name), F.lit(":"), F.lit(" -")), F.lit('"'), F.lit("'"))
     n = F.regexp_replace(n, r'[<>"/\\|?*\x00-\x1f]', "")
     n = F.regexp_replace(F.trim(F.regexp_replace(n, r"\s+", " ")), "[. ]+$", "")
-    return F.when(n == "", "untitled").otherwise(n)
+    return F.regexp_replace(n, r"\A\z", "untitled")  # not by cases of n, which would compute it twice
 
 
 def job_safe(name: Column) -> Column:
@@ -31,12 +31,19 @@ def job_safe(name: Column) -> Column:
     return F.when(n == "", "release").otherwise(n)
 
 
+def upload_name(url: Column) -> Column:
+    return F.substring_index(path(url), "/", -1)
+
+
+def upload_words(name: Column) -> Column:
+    """Words of an upload name, entities and percent signs decoded, without its extension."""
+    base = F.regexp_replace(unescape(decoded(name)), r"\.[^.]*\z", "")
+    parted = F.regexp_replace(base, r"(?U)[\s_()\[\]]+|(?<!\w)-(?!\w)", "_")  # split compiles longer patterns for each row
+    return F.array_remove(F.split(parted, "_"), "")
+
+
 def url_words(url: Column) -> Column:
-    """Words of the upload name, entities and percent signs decoded, without its extension."""
-    base = unescape(decoded(F.substring_index(path(url), "/", -1)))
-    bare = F.when(F.contains(base, F.lit(".")), F.substring_index(base, ".", -1)).otherwise("")
-    base = F.left(base, F.length(base) - F.length(bare) - F.contains(base, F.lit(".")).cast("int"))
-    return F.filter(F.split(base, r"(?U)[\s_()\[\]]+|(?<!\w)-(?!\w)"), lambda w: w != "")
+    return upload_words(upload_name(url))
 
 
 def tape_of(text: Column) -> Column:

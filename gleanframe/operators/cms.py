@@ -10,7 +10,7 @@ from ..functions import naming, recase, urls
 from ..plans.cuts import cut
 from ..sources.html import absolute, stored_nodes
 from . import pages as P
-from .dedupe import first_of
+from .dedupe import first_of, stepwise
 
 #: Categories and group ids that are broadcast at most.
 SMALL = 100_000
@@ -86,6 +86,7 @@ def named_entries(posts: DataFrame, attached: DataFrame | None = None, prefix: s
     folders = heads.select("post", F.array_join(F.array_append(parts, name), "/").alias("folder"))
 
     u, said = F.col("url"), F.col("caption")
-    files = tracks.select("post", F.lit("track").alias("role"), F.col("track").cast("long").alias("n"), "url", "caption", naming.file_name(F.col("track"), F.col("total"), recase.track_title(said, u), urls.extension(u)).alias("filename"), recase.disagreement(said, u).alias("check"))
+    titled = stepwise(tracks, recase.TITLE, "title", caption="caption", url="url")
+    files = titled.select("post", F.lit("track").alias("role"), F.col("track").cast("long").alias("n"), "url", "caption", naming.file_name(F.col("track"), F.col("total"), F.col("title"), urls.extension(u)).alias("filename"), recase.disagreement(said, u).alias("check"))
     art = images.select("post", F.lit("image").alias("role"), F.col("j").cast("long").alias("n"), "url", F.lit("").alias("caption"), naming.cover_name(F.col("j"), u).alias("filename"), F.lit("").alias("check"))
     return files.union(art).join(folders, "post").select("post", "role", "n", "url", "caption", "filename", "folder", "check")

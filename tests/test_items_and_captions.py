@@ -5,6 +5,7 @@ from gleanframe.functions import naming
 from gleanframe.functions import dates, urls
 from gleanframe.functions import hosts as H
 from gleanframe.functions import recase as R
+from gleanframe.operators import dedupe
 from gleanframe.operators import items as I
 
 PAGE = """<html><body><nav><a href="/x">menu</a></nav>
@@ -57,6 +58,17 @@ def test_names_of_tracks_and_folders(spark):
     assert [r[0] for r in years.select(naming.labelled_year(F.col("t"))).collect()] == ["1994", "", "2002", ""]
 
 
+def test_titles_in_steps(spark):
+    rows = spark.createDataFrame([(c, _M + u if u else u, w) for c, u, w in [*TITLES, (None, None, "untitled"), ("...", "", "untitled"), ("THE (END", "x.y.mp3", "The (End")]], "caption string, url string, want string")
+    got = dedupe.stepwise(rows, R.TITLE, "got", caption="caption", url="url").withColumn("alike", R.track_title(F.col("caption"), F.col("url")))
+    assert all(r.got == r.want == r.alike for r in got.collect())
+
+
+def test_no_word_is_lost_at_a_line_end(spark):
+    row = spark.createDataFrame([("(SIDE\nB) X", [])], "text string, upload array<string>")
+    assert row.select(R.recased(F.col("text"), F.col("upload"))).first()[0] == "(Side\nb) X"
+
+
 def test_disagreements(spark):
     rows = [("Andy C (Side A)", "Andy_C_(Side_1).mp3", ""), ("Andy C (Side A)", "Andy_C_(Side_2).mp3", "side a vs upload side 2"), ("tape 2 side a", "tape_3_side_1.mp3", "tape 2 vs upload tape 3"), ("swan (live) e tape 1", "tape_1_swan.mp3", ""), ("Grooverider", "x.mp3", "caption words not in upload name: grooverider")]
     got = spark.createDataFrame([(c, _M + u, w) for c, u, w in rows], "c string, u string, w string").select("w", R.disagreement(F.col("c"), F.col("u")).alias("got")).collect()

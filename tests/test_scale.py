@@ -1,9 +1,10 @@
 """What must not grow with a table: nodes held of a page, moves by group, parses of a page, exchanges."""
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from gleanframe import catalog_pages
+from gleanframe import catalog, catalog_pages
 from gleanframe.functions import naming
 from gleanframe.llm import language
 from gleanframe.operators import items
@@ -193,3 +194,11 @@ def test_plain_tags_are_read_as_the_parser_reads_them(monkeypatch):
     monkeypatch.setattr(H.HTMLParser, "parse_starttag", lambda self, i: called.append(i) or len(self.rawdata))
     H.parse('<div class="post"><a href="/x">y</a></div>')
     assert not called
+
+
+def test_titles_of_a_file_of_one_row_group_are_made_by_many_tasks_each_step_once(spark, tmp_path):
+    pq.write_table(pa.table({"p_partkey": pa.array(range(1000), pa.int64())}), tmp_path / "part.parquet")
+    for name in ("n7_track_titles", "n8_disagreements", "n10_folder_names"):
+        assert catalog.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = catalog.queries()["n7_track_titles"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[–—‒]") == 2 and plan.count("UrlCodec.decode") == 1
