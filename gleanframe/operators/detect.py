@@ -44,7 +44,8 @@ def best(found: DataFrame) -> DataFrame:
 
 
 def is_cms(html: Column) -> Column:
-    b = F.left(F.coalesce(html, F.lit("")), F.lit(200_000))
+    """Marks of a content system anywhere in the page."""
+    b = F.coalesce(html, F.lit(""))
     has = lambda s: F.contains(b, F.lit(s))
     return b.rlike(SELF_HOSTED) | has("/wp-json/") | has("rest_route=") | (has("/wp-content/") & has("/wp-includes/"))
 

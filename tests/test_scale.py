@@ -202,3 +202,16 @@ def test_titles_of_a_file_of_one_row_group_are_made_by_many_tasks_each_step_once
         assert catalog.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = catalog.queries()["n7_track_titles"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[–—‒]") == 2 and plan.count("UrlCodec.decode") == 1
+
+
+def test_marks_of_a_content_system_count_wherever_they_stand_in_a_page(spark, tmp_path):
+    import duckdb
+
+    rows = [(n, "https://x.example/a", ("<p>words</p>" * 20_000 if n % 2 else "") + end) for n, end in enumerate(("", "<i>", "", "<p>", "", "<b>", "", "", "<u>"))] + [(11, "https://x.example/", "y" * 250_000), (14, "https://x.example/", "y" * 250_000)]
+    pq.write_table(pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}), tmp_path / "pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    for name in ("d4_readers", "d3_page_flags"):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(db.execute(catalog.oracle_sql()[name]).fetchall())
+    assert dict(map(tuple, catalog.queries()["d4_readers"](spark, str(tmp_path)).collect()))["cms"] == 3
