@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Link every node's larger (or smaller) neighbours with the smallest node around."""
+def _star(links: DataFrame, large: bool, few: bool = False) -> DataFrame:
+    """Link every node's larger (or smaller) neighbours with the smallest node around. few: whether Spark may choose the
+    join by the size of the links' files, which is many times smaller than the links."""
+    chosen = lambda df: df if few else df.hint("merge")
     if large:
         both = links.union(links.select("b", "a")).toDF("u", "v")
         lowest = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        out = both.where("v > u").join(lowest, "u").select(F.col("low").alias("a"), F.col("v").alias("b"))
+        out = both.where("v > u").join(chosen(lowest), "u").select(F.col("low").alias("a"), F.col("v").alias("b"))
     else:
         lowest = links.groupBy("b").agg(F.min("a").alias("low"))
-        near = links.join(lowest, "b")
+        near = links.join(chosen(lowest), "b")
         out = near.where("a > low").select(F.col("low").alias("a"), F.col("a").alias("b")).union(lowest.select("low", "b"))
     return out.where("a < b").distinct()
 
@@ -31,7 +33,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
-        before, links = now, cut(_star(_star(links, True), False), "links")
+        few = now[0] * 2 <= BROADCAST_ROWS
+        before, links = now, cut(_star(_star(links, True, few), False, few), "links")
     else:
         raise RuntimeError("components did not settle")
     return links.select(F.col("b").alias("node"), F.col("a").alias("component")).union(links.select("a", "a").distinct())

@@ -9,6 +9,9 @@ filter), by which a passage that many documents share lists almost nobody. And a
 with itself: members that the leader gathers into its component need no comparison with each other. Only pairs that
 still lie in different components after a few leaders are compared one by one, so no link between components is lost.
 Long lists are spread over parts by how many hold their value; what one row says of a list is sent to each of its parts.
+
+Joins of what grows with the documents are merge joins: by the size of files, or behind an explode, Spark takes tables for
+small that are not, and would send them to the driver.
 """
 
 from __future__ import annotations
@@ -81,7 +84,7 @@ def _prefixes(sketches: DataFrame) -> DataFrame:
     """
     kept = sketches.select("node", "n", F.size("hashes").alias("m"), F.explode("hashes").alias("value"))
     common = kept.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = kept.join(common, "value").groupBy("node", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum(F.log2("df")).alias("central"))
+    held = kept.join(common.hint("merge"), "value").groupBy("node", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum(F.log2("df")).alias("central"))
     must = F.ceil(F.col("m") * F.lit(SHARED))  # so many are shared with a similar document
     return held.where(F.size("held") >= must).select("node", "n", "central", F.slice("held", F.lit(1), (F.size("held") - must + 1).cast("int")).alias("held"))
 
@@ -97,7 +100,7 @@ class _Verifier:
         shared = F.size(F.array_intersect(F.array_intersect(union, F.col("x")), F.col("y")))
         near = cut(near.where(shared >= F.size(union) * F.lit(SHARED)).select("a", "b"), "near")
         both = F.size(F.array_intersect("x", "y"))
-        sure = self._with(near, self.full).where(both * 100 >= (F.size("x") + F.size("y") - both) * self.percent)
+        sure = self._with(small_or_not(near), self.full).where(both * 100 >= (F.size("x") + F.size("y") - both) * self.percent)
         return sure.select("a", "b").distinct()
 
     @staticmethod
@@ -116,7 +119,7 @@ def _in_parts(lists: DataFrame) -> DataFrame:
 def _join_parts(lists: DataFrame, known: DataFrame) -> DataFrame:
     """lists with known (value, parts, ...), which has one row of a value: each part of a list meets a row of its own."""
     each = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    return lists.join(each, ["value", "part"])
+    return lists.join(each.hint("merge"), ["value", "part"])
 
 
 def _split(lists: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def _split(lists: DataFrame) -> DataFrame:
 
 
 def _labelled(listed: DataFrame, labels: DataFrame) -> DataFrame:
-    return listed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return listed.join(small_or_not(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _with_leaders(lists: DataFrame, turn: int, threshold: float) -> DataFrame:
@@ -153,22 +156,19 @@ def _left_over(lists: DataFrame, full: DataFrame, threshold: float) -> DataFrame
     percent = round(threshold * 100)
     held = full.join(lists.select("node", "component").distinct(), "node").select("node", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
     common = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = held.join(common, "value").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
+    held = held.join(common.hint("merge"), "value").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
     must = F.ceil(F.col("n") * percent / 100)
     rare = held.where(F.size("held") >= must).select("node", "component", "n", F.size("held").alias("shared"), F.posexplode(F.slice("held", F.lit(1), (F.size("held") - must + 1).cast("int"))).alias("i", "v"))
     # what a set has for itself comes first in its order, so that `left` values of it are not before this one
     rare = rare.select("node", "component", "n", "shared", (F.col("shared") - F.col("i")).alias("left"), "v.df", "v.value")
-    rare = cut(_split(_in_parts(rare)), "rare")
-    own = rare.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value")))["value"].alias("own"))
-    x = rare.drop("df").join(own, "node")
+    x = cut(_split(_in_parts(rare)).drop("df"), "rare")
     # one side is spread over a list's parts, the other meets each of them
     y = x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    y = y.select(*[F.col(c).alias(f"{c}_2") for c in ("value", "part", "node", "component", "n", "shared", "left", "own")])
-    # of the lists that a pair shares, the first names it; what both share lies in it or behind it
-    here = F.get(F.array_intersect("own", "own_2"), F.lit(0)) == F.col("value")
+    y = y.select(*[F.col(c).alias(f"{c}_2") for c in ("value", "part", "node", "component", "n", "left")])
+    # of the lists that a pair shares, the first has most of both in it or behind it: a pair that fits in any fits there
     fits = (F.least("left", "left_2") * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent) & _similar(F.col("n"), F.col("n_2"), threshold)
-    met = x.join(y, (F.col("value") == F.col("value_2")) & (F.col("part") == F.col("part_2")) & (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & fits & here)
-    return met.select(F.col("node").alias("a"), F.col("node_2").alias("b"))
+    met = x.join(y.hint("merge"), (F.col("value") == F.col("value_2")) & (F.col("part") == F.col("part_2")) & (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & fits)
+    return met.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     sets = cut(document_sets(docs, words, SKETCH), "sets")
     key = ["set_a", "set_b", "n_shingles"]
     classes = cut(sets.where("n_shingles > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("node")), "classes")
-    firsts = sets.join(classes.withColumnRenamed("node", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates([*key, "doc_id"])
+    firsts = sets.join(classes.withColumnRenamed("node", "doc_id").hint("merge"), [*key, "doc_id"], "left_semi").dropDuplicates([*key, "doc_id"])
     sketches = cut(firsts.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "hashes"), "sketches")
     listed = _in_parts(_prefixes(sketches).select("node", "n", "central", F.inline("held"))).drop("df")
     met = listed.groupBy("value").agg(F.max("parts").alias("parts"), F.count("*").alias("members")).where("members > 1").select("value", "parts")
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     verifier, labels = _Verifier(sketches, full, threshold), None
     # rows that repeat a doc_id: their classes belong together
     again = sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count_distinct("set_a", "set_b").alias("sets")).where("sets > 1").select("doc_id")
-    links = sets.join(again, "doc_id").join(classes, key).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
+    links = sets.join(again, "doc_id").join(classes.hint("merge"), key).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
     for turn in range(LEADERS + 1):
         lists = _split(_labelled(listed, labels)) if labels is not None else listed.withColumn("component", F.col("node"))
         lists = cut(lists, "lists") if turn == LEADERS else lists
@@ -202,8 +202,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
         labels = cut(components(links), "labels")
         links = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
-    classes = classes.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
-    out = sets.select("doc_id", *key).join(classes, key, "left")
+    classes = classes.join(small_or_not(labels), "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
+    out = sets.select("doc_id", *key).join(classes.hint("merge"), key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -96,3 +96,21 @@ def test_one_row_of_each_group_stays_whatever_the_columns(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == [(-1, ""), (-1, "a b c d e"), (1, "a b c d e"), (3, "w")]
     assert deduplicated(df.where("false")).count() == 0
+
+
+def test_what_is_left_over_is_joined_narrow_and_never_broadcast(spark):
+    rng = random.Random(7)
+    sets = []
+    for _ in range(40):
+        base = rng.sample(range(1000), 60)
+        sets += [sorted({*rng.sample(base, rng.choice([52, 56, 58, 60])), *rng.sample(range(1000), rng.choice([0, 2, 8]))}) for _ in range(4)]
+    component = [rng.choice([n, n - n % 4]) for n in range(len(sets))]
+    full = spark.createDataFrame(list(enumerate(sets)), "node long, hashes array<long>")
+    lists = spark.createDataFrame([(v, n, component[n]) for n in range(len(sets)) for v in (1, 2)], "value long, node long, component long")
+    left = near_dup._left_over(lists, full, 0.8)
+    got = [tuple(r) for r in left.collect()]
+    similar = {(i, j) for j in range(len(sets)) for i in range(j) if component[i] != component[j] and len({*sets[i]} & {*sets[j]}) * 100 >= 80 * len({*sets[i]} | {*sets[j]})}
+    assert len(got) == len(set(got)) and similar <= set(got) and len(similar) > 20
+    assert all(component[a] != component[b] for a, b in got)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "own" not in plan
