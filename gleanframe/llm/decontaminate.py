@@ -3,6 +3,9 @@
 A mask looks at some of eight neighbouring tokens and ignores the others. Hashes of the looked-at tokens of the test
 texts, at every position and for every mask, are joined with those of the documents; around each hit the aligned tokens
 are compared. The masks are chosen so that no window of WINDOW tokens with up to SUBSTITUTIONS changed ones escapes all.
+
+Generated code holds all that joins make of one row before it hands on the first. Documents are therefore joined in
+stretches, and a hit holds the tokens around it, not its document: a text of any length with any number of hits does.
 """
 
 from __future__ import annotations
@@ -22,29 +25,55 @@ SPAN = 8
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Seeds of the test texts that are broadcast at a time (some 50 bytes each). More are joined in blocks.
 SEEDS = 500_000
+#: Words of a document that are hashed and joined at a time, with as many before and behind as a window around a hit holds.
+STRETCH, AROUND = 512, WINDOW - 1
+
+
+def _words(text: Column) -> Column:
+    """The runs of letters and digits, in lower case."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def tokens(text: Column) -> Column:
-    """Hashes of the runs of letters and digits, in lower case."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    """Their hashes."""
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
+
+
+def _stretches(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, start, head, doc: hashes of STRETCH words of a document and of those around them; `head` of
+    these lie before, and the first of the others has place `start` in the document."""
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.posexplode(F.array(_words(F.col("text")))).alias("_", "words")).drop("_")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRETCH))
+    rows = rows.select("doc_id", "text_hash", "words", F.explode(starts).alias("start")).withColumn("head", F.least("start", F.lit(AROUND)))
+    held = F.slice("words", F.col("start") - F.col("head") + 1, F.col("head") + STRETCH + AROUND)
+    # generators of one row: the optimizer moves nothing through them, so that whole documents end here
+    rows = rows.select("doc_id", "text_hash", "start", "head", F.explode(F.array(held)).alias("words"))
+    # a function of arrays is where generated code ends, so that each stretch is a row of its own for the joins
+    return rows.select("doc_id", "text_hash", "start", "head", F.transform("words", lambda w: F.xxhash64(w)).alias("doc"))
 
 
 def _seeded(rows: DataFrame, of: str, at: str) -> DataFrame:
     """rows with `at`, `mask` and `seed`, for every position and mask; null where a mask reaches over the end.
 
-    Generators and hashes stay in generated code, which is kept small enough for the compiler.
+    Generators and hashes stay in generated code, which is kept small enough for the compiler. The outer one gets no filter,
+    which would make the array once more.
     """
-    rows = rows.select("*", F.posexplode(of).alias(at, "_token")).drop("_token")
+    rows = rows.select("*", F.posexplode_outer(of).alias(at, "_token")).drop("_token")
     seeds = [F.when(F.col(at) + max(m) < F.size(of), F.xxhash64(F.lit(i), *[F.get(F.col(of), F.col(at) + p) for p in m])) for i, m in enumerate(MASKS)]
     return rows.select("*", F.posexplode(F.array(*seeds)).alias("mask", "seed"))
 
 
-def _agrees(d: str, b: str, p: str, q: str) -> Column:
-    """Whether a window around the hit is alike enough in both: document token p + k beside test token q + k."""
-    n = F.least(F.size(b), F.lit(WINDOW))
+def _around(of: str, at: Column) -> Column:
+    """What `of` holds around a place: up to AROUND tokens on either side."""
+    return F.slice(of, F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND)) + 1 + AROUND)
+
+
+def _agrees(d: str, b: str, p: Column, q: Column, size: str) -> Column:
+    """Whether a window around the hit is alike enough in both: document token p + k beside test token q + k, of a test
+    text of such a size."""
+    n = F.least(F.col(size), F.lit(WINDOW))
     reach = F.sequence(1 - n, n - 1)
-    same = F.transform(reach, lambda k: (F.get(F.col(d), F.col(p) + k) == F.get(F.col(b), F.col(q) + k)).cast("int"))
+    same = F.transform(reach, lambda k: (F.get(F.col(d), p + k) == F.get(F.col(b), q + k)).cast("int"))
     count = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
     alike = F.exists(F.sequence(F.lit(1), n), lambda s: count(F.slice(same, s, n)) >= n - F.when(n < WINDOW, 1).otherwise(SUBSTITUTIONS))
     return alike
@@ -63,13 +92,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = F.element_at(F.array(*[F.lit(max(m) + 1) for m in MASKS]), F.col("mask") + 1)
     seeds = cut(_seeded(tests, "test", "q").where("seed is not null").select("seed", "item", "q", widths.alias("width")).distinct(), "seeds")
     blocks = max(1, -(-seeds.count() // SEEDS))
-    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), tokens(F.col("text")).alias("doc"))
-    looked = _seeded(rows, "doc", "p").drop("mask")
+    looked = _seeded(_stretches(docs), "doc", "at").drop("mask")
+    # a stretch's own places: what lies around them is the next one's
+    looked = looked.where((F.col("at") >= F.col("head")) & (F.col("at") < F.col("head") + STRETCH))
     found = []
     for i in range(blocks):  # each block's seeds and the test texts they lie in have a bounded size
         mine = lambda df: df.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i) if blocks > 1 else df
         hits = looked.join(F.broadcast(mine(seeds)), "seed").join(F.broadcast(mine(tests)), "item")
-        sure = hits.where(_agrees("doc", "test", "p", "q")).select("doc_id", "text_hash", "item", (F.col("p") - F.col("q")).alias("shift"), "p", (F.col("p") + F.col("width")).alias("end"))
+        place = F.col("start") + F.col("at") - F.col("head")
+        around = F.struct(F.size("test").alias("size"), _around("doc", F.col("at")).alias("near"), F.least("at", F.lit(AROUND)).alias("np"), _around("test", F.col("q")).alias("like"), F.least("q", F.lit(AROUND)).alias("nq"))
+        hits = hits.select("doc_id", "text_hash", "item", place.alias("p"), "q", "width", F.inline(F.array(around)))
+        sure = hits.where(_agrees("near", "like", F.col("np"), F.col("nq"), "size")).select("doc_id", "text_hash", "item", (F.col("p") - F.col("q")).alias("shift"), "p", (F.col("p") + F.col("width")).alias("end"))
         # several blocks: each is written before the next one's seeds are sent out, and then forgotten
         found.append(cut(sure, "hits") if blocks > 1 else sure)
     every = reduce(DataFrame.union, found)

@@ -79,3 +79,12 @@ def test_clean_rows_keep_odd_columns(spark):
     got = clean(docs, spark.createDataFrame([(7, words)], "item_id long, text string"))
     assert got.columns == docs.columns
     assert sorted(r["a.b"] for r in got.collect()) == [2, 4, 5]
+
+
+def test_a_long_text_of_many_hits_is_not_held_once_for_each(spark):
+    passage = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(passage * 200)), (2, " ".join([*["x"] * 600, *passage[:13], *["y"] * 495, *passage[50:63], "z"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(passage))], "item_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.overlap_tokens) for r in D.decontaminate(df, bench).collect()}
+    assert got == {1: ([7], 100), 2: ([7], 13)}
