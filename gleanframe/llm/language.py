@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_batches, parts
+from .common import give_back, in_batches, parts
 from .shingles import mix
 
 #: Characters of an n-gram; white space and all else that isn't a letter is one blank.
@@ -72,6 +72,7 @@ def _count(batches):
             for lang in sorted(set(langs)):
                 found, n = np.unique(grams([texts[i] for i in np.flatnonzero(langs == lang)])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+    give_back()
 
 
 class Filters:
@@ -136,6 +137,7 @@ def _judge(docs: DataFrame, filters: Filters):
                 found[a:b] = names[np.where(has, scores.argmax(1), len(f.languages)) if f.languages else np.zeros(b - a, np.int64)]
                 top[a:b] = scores.max(1, initial=0) * has
             yield pa.StructArray.from_arrays([pa.array(found.tolist(), pa.string()), pa.array(top)], names=["lang_pred", "score"])
+        give_back()
 
     return F.arrow_udf(run, "struct<lang_pred:string,score:double>")(F.col("text").cast("string"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, parts, small_or_not
+from .common import cut, give_back, in_batches, parts, small_or_not
 from .components import components
 from .shingles import WordHashes, mix, shingle_set
 
@@ -61,6 +61,8 @@ def _sets(words: int, keep: int | None):
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _lists(sets if keep is None else [_least(s, keep) for s in sets])],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "hashes"],
                 )
+        hashes.clear()
+        give_back()
 
     return run
 

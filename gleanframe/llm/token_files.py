@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import huffman
-from .common import cut, in_batches, new_folder, parts
+from .common import cut, give_back, in_batches, new_folder, parts
 
 #: Ids after which a file ends (with the document that reaches it).
 FILE_IDS = 4_000_000
@@ -173,6 +173,7 @@ def _tokenise(path: str, end_id: int, file_ids: int):
                     yield from close()
         if held:
             yield from close()
+        give_back()
 
     return run
 
@@ -196,6 +197,8 @@ def _encode(folder: str, lengths: bytes):
                     f.write(data)
                 system.move(mine, name)  # a task that runs again writes the same bytes
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)], pa.int64()), pa.array([len(ids)], pa.int64())], names=["file", "bytes", "ids"])
+        row = doc_ids = sizes = blob = ids = data = None
+        give_back()
 
     return run
 
@@ -244,6 +247,8 @@ def _decode(batches):
             crcs = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
             doc_ids = pa.array(f.doc_ids, mask=np.arange(len(f.doc_ids)) < f.nulls)
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(f.start + begins), pa.array(f.doc_lengths.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    f = ids = ends = begins = view = crcs = doc_ids = None
+    give_back()
 
 
 def read_token_files(spark, folder: str) -> DataFrame:

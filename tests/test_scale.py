@@ -215,3 +215,14 @@ def test_marks_of_a_content_system_count_wherever_they_stand_in_a_page(spark, tm
         got = catalog.queries()[name](spark, str(tmp_path))
         assert sorted(map(tuple, got.collect())) == sorted(db.execute(catalog.oracle_sql()[name]).fetchall())
     assert dict(map(tuple, catalog.queries()["d4_readers"](spark, str(tmp_path)).collect()))["cms"] == 3
+
+
+def test_workers_give_free_memory_back_at_the_end_of_a_task(monkeypatch):
+    from gleanframe.llm import near_dup
+
+    given = []
+    for module in (language, near_dup):
+        monkeypatch.setattr(module, "give_back", lambda m=module: given.append(m.__name__))
+    texts = pa.array(["some words of a text", None, "more words"])
+    rows = [*language._count([pa.RecordBatch.from_arrays([pa.array(["en", "en", "de"]), texts], names=["lang", "text"])]), *near_dup._sets(2, 96)([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), texts], names=["doc_id", "text"])])]
+    assert len(rows) == 3 and given == [language.__name__, near_dup.__name__]
