@@ -110,17 +110,22 @@ class _Tree(HTMLParser):
 
 def ended(page: str | None, piece: int = PIECE) -> Iterator[list[list]]:
     """Lists of nodes in the order in which they end; the page is parsed piece by piece, cut before a tag."""
+    return (done for done, _ in ended_and_open(page, piece))
+
+
+def ended_and_open(page: str | None, piece: int = PIECE) -> Iterator[tuple[list[list], list[list]]]:
+    """Of each piece the nodes that ended in it, and those that are open behind it, outermost first."""
     tree, at, page = _Tree(), 0, page or ""
     while at < len(page):
         to = page.find("<", at + piece)
         to = len(page) if to < 0 else to
         tree.feed(page[at:to])
         at = to
-        yield tree.closed
+        yield tree.closed, tree.open
         tree.closed = []
     tree.close()
     tree._pop(0)
-    yield tree.closed
+    yield tree.closed, tree.open
 
 
 def parse(page: str | None) -> list[list]:

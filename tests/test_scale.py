@@ -226,3 +226,40 @@ def test_workers_give_free_memory_back_at_the_end_of_a_task(monkeypatch):
     texts = pa.array(["some words of a text", None, "more words"])
     rows = [*language._count([pa.RecordBatch.from_arrays([pa.array(["en", "en", "de"]), texts], names=["lang", "text"])]), *near_dup._sets(2, 96)([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), texts], names=["doc_id", "text"])])]
     assert len(rows) == 3 and given == [language.__name__, near_dup.__name__]
+
+
+def test_boards_read_in_a_stream_say_what_whole_ones_say():
+    import random
+
+    rng, rules = random.Random(5), items._rules("SMF-board")
+    row = lambda i: f'<tr class="r"><td></td><td><a href="/index.php?topic={i}.0">Topic name {i}</a>{rng.choice(["", " see //x.example/f", "<table><tr><td>in<td>ner</table>"])}</td><td><a href="/index.php?action=profile;u={i % 3}">member {i % 3}</a></td><td>{rng.choice(["1.234", "0", ""])}</td></tr>'
+    other = ("<div class=post>", "</div>", "<h2>A head <b>line</b></h2>", '<div id="content">', "<main>", "</main>", "<nav><a href='/n'>menu item</a></nav>", '<table class="table_grid">', "</table>", "<h1>", "<p>words &amp; more", '<span class="title">', "</span>", "<form action='/x'>", "</form>", "<tr><td>no topic", "<br>", '<a data-url="/d" href="/y">a link to all</a>', "<script>//s.example</script>", "<body>", "<ul role=main>", "<li>one<li>two")
+    streamed = 0
+    for n in range(300):
+        body = "".join(row(i) if rng.random() < 0.5 else rng.choice(other) for i in range(rng.choice([3, 20, 60])))
+        page = rng.choice(["", "<html><head><title> The  board</title></head><body>", "<title>x</title><header><a href='/h'>home page</a></header>"]) + '<table class="table_grid">' + body + rng.choice(["", "</table>", "<title>late</title>", "<input>"])
+        if not fold.in_stream(page):
+            continue
+        streamed += 1
+        said = lambda rows: [(*r[:6], *r[8:10], sorted(set(r[10])), sorted(set(r[11])), *r[12:], *(() if r[2] else r[6:8])) for r in rows]
+        want = said(fold._rows(1, "u", page, rules))
+        for piece in (1, 40, 700, 1 << 18):
+            assert said(fold.board_rows(1, "u", page, rules, piece)) == want
+    assert streamed > 100
+
+
+def test_of_a_long_board_no_nodes_are_held(monkeypatch):
+    row = '<tr><td></td><td><a href="/index.php?topic={0}.0">Topic name {0}</a></td><td><a href="/index.php?action=profile;u=1">m</a></td><td>1</td></tr>'
+    page = '<html><body><table class="table_grid">' + "".join(row.format(i) for i in range(30_000)) + "</table></body></html>"
+    most, made = 0, fold.Page.__init__
+
+    def counted(self, tree, rules):
+        nonlocal most
+        most = max(most, len(tree))
+        made(self, tree, rules)
+
+    monkeypatch.setattr(fold.Page, "__init__", counted)
+    batch = pa.RecordBatch.from_pydict({"page_id": [1], "url": ["https://b.example/index.php?board=5.0"], "html": [page]})
+    found = pa.Table.from_batches(fold.in_rows([batch], items._rules("SMF-board"), 1000))
+    assert most < 20_000
+    assert found.num_rows == 30_000 + 4 and sum(map(len, found.column("hrefs").to_pylist())) == 30_000 * 2 + 30_001
